@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,21 +25,31 @@ class Tables:
         self.spark = spark
         self.sf_dir = sf_dir
 
+    @cache
     def given(self, name: str) -> DataFrame:
         return bronze.table(self.spark, self.sf_dir, name)
 
+    @cache
     def raw(self, name: str) -> DataFrame:
         return getattr(bronze, f"raw_{name}")(self.spark, self.sf_dir)
 
+    @cache
     def stg(self, name: str) -> DataFrame:
         return getattr(staging, f"stg_{name}")(self.raw(name))
 
+    @cache
     def customer_orders(self) -> DataFrame:
         return marts.mart_customer_orders(
             self.stg("customers"), self.stg("orders"), self.stg("order_items")
         )
 
 
+@cache
+def _tables(app_id: str, sf_dir: str) -> Tables:
+    """Plans of one session and folder are built once; they hold no data."""
+    return Tables(SparkSession.active(), sf_dir)
+
+
 def comparable(df: DataFrame) -> DataFrame:
     """Types both engines print alike: decimals as doubles, dates as text."""
     columns = []
@@ -65,7 +76,8 @@ def query(name: str, sql: str | None = None) -> Callable[[Callable[[Tables], Dat
             raise ValueError(f"query {name} is registered twice")
 
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return comparable(fn(Tables(tune(spark), sf_dir)))
+            tune(spark)
+            return comparable(fn(_tables(spark.sparkContext.applicationId, sf_dir)))
 
         run.__name__ = name
         run.__doc__ = fn.__doc__
