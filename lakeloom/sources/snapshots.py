@@ -1,0 +1,390 @@
+"""Parquet datasets with snapshots.
+
+Rows are written once, under ``data/_snapshot_id=N``; one row in the commit
+log makes them visible. A read takes the folders its snapshot lists, so a
+write that died half-way is never seen. One writer at a time is assumed.
+"""
+
+from __future__ import annotations
+
+import json
+import math
+from collections.abc import Sequence
+from datetime import datetime
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, Row, SparkSession, Window
+from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
+
+from lakeloom.functions.clean import dedupe_latest
+from lakeloom.sources.layout import (
+    TIME_FORMATS,
+    PartitionField,
+    align,
+    merged_schema,
+    with_partitions,
+)
+from lakeloom.sources.scan import in_partition, key_range, scan
+
+LOG_SCHEMA = """
+    snapshot_id bigint, committed_at timestamp, operation string, n_rows bigint,
+    live_ids array<bigint>,
+    hidden array<struct<before: bigint, column: string, values: array<string>>>,
+    table_schema string, batch string, expired_ids array<bigint>
+"""
+
+
+def _schema_of(snapshot: Row) -> StructType:
+    return StructType.fromJson(json.loads(snapshot.table_schema))
+
+
+class SnapshotTable:
+    def __init__(
+        self, spark: SparkSession, path: str, partition_by: Sequence[PartitionField] = ()
+    ):
+        self.spark = spark
+        self.path = path.rstrip("/")
+        self.partition_by = list(partition_by)
+
+    # --- commit log --------------------------------------------------------
+
+    def _log(self) -> DataFrame:
+        try:
+            return self.spark.read.schema(LOG_SCHEMA).parquet(f"{self.path}/log")
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return self.spark.createDataFrame([], LOG_SCHEMA)
+
+    def snapshots(self) -> DataFrame:
+        """Snapshots that are not expired."""
+        log = self._log()
+        gone = log.select(F.explode("expired_ids").alias("snapshot_id"))
+        return log.where("operation <> 'expire'").join(gone, "snapshot_id", "left_anti")
+
+    def list_snapshots(self, limit: int | None = None) -> DataFrame:
+        newest_first = self.snapshots().orderBy(F.desc("snapshot_id"))
+        columns = ["snapshot_id", "committed_at", "operation", "n_rows"]
+        return scan(newest_first, columns, limit=limit)
+
+    def current(self) -> Row | None:
+        """The newest snapshot; it is never expired."""
+        rows = self._log().where("operation <> 'expire'")
+        return rows.orderBy(F.desc("snapshot_id")).first()
+
+    def _snapshot(self, snapshot_id: int | None, as_of: datetime | None) -> Row | None:
+        if snapshot_id is None and as_of is None:
+            return self.current()
+        rows = self.snapshots()
+        if snapshot_id is not None:
+            rows = rows.where(F.col("snapshot_id") == snapshot_id)
+        if as_of is not None:
+            rows = rows.where(F.col("committed_at") <= F.lit(as_of))
+        row = rows.orderBy(F.desc("snapshot_id")).first()
+        if row is None:
+            raise ValueError(f"{self.path} has no snapshot {snapshot_id or as_of}")
+        return row
+
+    # --- reading -----------------------------------------------------------
+
+    def _rows(self, snapshot: Row, with_layout: bool = False) -> DataFrame:
+        schema = _schema_of(snapshot)
+        layout = StructType([StructField(f.name, StringType()) for f in self.partition_by])
+        if not snapshot.live_ids:
+            empty = self.spark.createDataFrame([], StructType(schema.fields + layout.fields))
+            return empty if with_layout else empty.select(*schema.fieldNames())
+        own = StructType([*layout.fields, StructField("_snapshot_id", LongType())])
+        rows = (
+            self.spark.read.schema(StructType(schema.fields + own.fields))
+            .option("basePath", f"{self.path}/data")
+            .parquet(*[f"{self.path}/data/_snapshot_id={i}" for i in snapshot.live_ids])
+        )
+        for gap in snapshot.hidden or []:
+            replaced = F.col(gap["column"]).isin(*gap["values"])
+            rows = rows.where(~((F.col("_snapshot_id") < gap["before"]) & replaced))
+        return rows if with_layout else rows.select(*schema.fieldNames())
+
+    def scan(
+        self,
+        columns: Sequence[str] | None = None,
+        row_filter: str | None = None,
+        limit: int | None = None,
+        snapshot_id: int | None = None,
+        as_of: datetime | None = None,
+        partition_key: str | None = None,
+    ) -> DataFrame:
+        snapshot = self._snapshot(snapshot_id, as_of)
+        if snapshot is None:
+            raise ValueError(f"{self.path} has no snapshot")
+        rows = self._rows(snapshot, with_layout=True)
+        names = [n for n in rows.columns if n != "_snapshot_id" and n not in self._layout_names()]
+        if partition_key is not None:
+            rows = self._prune(rows, partition_key)
+        return scan(rows.select(*names), columns, row_filter, limit)
+
+    def _layout_names(self) -> list[str]:
+        return [f.name for f in self.partition_by]
+
+    def _prune(self, rows: DataFrame, key: str) -> DataFrame:
+        """The key's range on the time column, plus the folders that can hold it."""
+        start, end = key_range(key)
+        for field in self.partition_by:
+            if field.transform not in TIME_FORMATS:
+                continue
+            width = {"year": 4, "month": 7, "day": 10, "hour": 13}[field.transform]
+            first = start.strftime("%Y-%m-%d-%H")[:width]
+            beyond = end.strftime("%Y-%m-%d-%H")
+            folder = F.col(field.name)
+            rows = rows.where((folder >= first) & (folder < beyond))
+            return in_partition(rows, field.column, key)
+        raise ValueError(f"{self.path} has no time partition")
+
+    def partitions(self) -> DataFrame:
+        """Rows per partition folder; no data column is read."""
+        rows = self._rows(self.current(), with_layout=True)
+        return rows.groupBy(*self._layout_names()).agg(F.count("*").alias("n_rows"))
+
+    # --- writing -----------------------------------------------------------
+
+    def append(self, df: DataFrame, batch: str | None = None) -> Row:
+        return self._write(df, "append", batch)
+
+    def overwrite(self, df: DataFrame, batch: str | None = None) -> Row:
+        return self._write(df, "overwrite", batch)
+
+    def overwrite_partitions(self, df: DataFrame, batch: str | None = None) -> Row:
+        """Replace only the partitions the new rows fall into."""
+        if len(self.partition_by) != 1:
+            raise ValueError("partition overwrite needs exactly one partition column")
+        return self._write(df, "overwrite_partitions", batch)
+
+    def _committed(self, batch: str | None) -> Row | None:
+        return None if batch is None else self._log().where(F.col("batch") == batch).first()
+
+    def _write(self, df: DataFrame, operation: str, batch: str | None) -> Row:
+        done = self._committed(batch)
+        if done is not None:
+            return done
+        before = self.current()
+        schema = StructType([StructField(f.name, f.dataType, True) for f in df.schema.fields])
+        if before is not None:
+            schema = merged_schema(_schema_of(before), schema)
+        snapshot_id = self._next_id()
+        n_rows = self._write_files(align(df, schema), snapshot_id)
+        live = [] if before is None or operation == "overwrite" else list(before.live_ids)
+        hidden = [] if before is None or operation == "overwrite" else list(before.hidden or [])
+        if operation == "overwrite_partitions":
+            hidden.append(self._replaced(snapshot_id))
+        return self._commit(
+            snapshot_id, operation, n_rows, [*live, snapshot_id], hidden, schema, batch
+        )
+
+    def _next_id(self) -> int:
+        """One above every id ever given out, expired ones included."""
+        return int(self._log().agg(F.coalesce(F.max("snapshot_id"), F.lit(0))).first()[0]) + 1
+
+    def _write_files(self, df: DataFrame, snapshot_id: int) -> int:
+        target = f"{self.path}/data/_snapshot_id={snapshot_id}"
+        if self.partition_by:
+            # Rebalancing splits a partition value that is too big for one task.
+            df = with_partitions(df, self.partition_by).hint("rebalance", *self._layout_names())
+        writer = df.write.mode("overwrite").option("partitionOverwriteMode", "static")
+        writer.partitionBy(*self._layout_names()).parquet(target)
+        # Counted from the written footers: exact even if tasks were run twice.
+        return self.spark.read.schema(df.schema).parquet(target).count()
+
+    def _replaced(self, snapshot_id: int) -> tuple[int, str, list[str]]:
+        """Partition values present in a snapshot, read from its folder names."""
+        name = self.partition_by[0].name
+        fs, folder = self._fs(f"{self.path}/data/_snapshot_id={snapshot_id}")
+        unescape = self.spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils
+        values = [
+            unescape.unescapePathName(s.getPath().getName().split("=", 1)[1])
+            for s in fs.listStatus(folder)
+            if s.getPath().getName().startswith(f"{name}=")
+        ]
+        return (snapshot_id, name, sorted(values))
+
+    def _commit(self, snapshot_id, operation, n_rows, live, hidden, schema, batch, expired=None):
+        text = schema.json() if schema is not None else None
+        now = datetime.now()
+        row = (snapshot_id, now, operation, n_rows, live, hidden, text, batch, expired or [])
+        entry = self.spark.createDataFrame([row], LOG_SCHEMA).coalesce(1)
+        entry.write.mode("append").parquet(f"{self.path}/log")
+        gaps = [Row(before=g[0], column=g[1], values=g[2]) for g in hidden]
+        return Row(*entry.columns)(*row[:5], gaps, *row[6:])
+
+    # --- upsert ------------------------------------------------------------
+
+    def merge(
+        self, updates: DataFrame, keys: Sequence[str], newest: str, batch: str | None = None
+    ) -> Row:
+        """Upsert by key; rewrites only the partitions that hold or receive a changed key."""
+        done = self._committed(batch)
+        if done is not None:
+            return done
+        before = self.current()
+        if before is None:
+            return self.append(dedupe_latest(updates, keys, newest), batch)
+        if not self.partition_by:
+            return self.overwrite(upsert(self._rows(before), updates, keys, newest), batch)
+        name = self.partition_by[0].name
+        rows = self._rows(before, with_layout=True).drop("_snapshot_id")
+        arriving = with_partitions(updates, self.partition_by)
+        holding = rows.join(updates.select(*keys), list(keys), "left_semi")
+        # One value per partition of the table, never per row.
+        touched = arriving.select(name).union(holding.select(name)).distinct()
+        values = sorted(r[0] for r in touched.collect())
+        affected = rows.where(F.col(name).isin(*values)).drop(*self._layout_names())
+        merged = upsert(affected, updates, keys, newest)
+        snapshot_id = self._next_id()
+        schema = StructType([StructField(f.name, f.dataType, True) for f in merged.schema.fields])
+        n_rows = self._write_files(merged, snapshot_id)
+        gap = (snapshot_id, name, values)
+        live = [*before.live_ids, snapshot_id]
+        hidden = [*(before.hidden or []), gap]
+        return self._commit(snapshot_id, "merge", n_rows, live, hidden, schema, batch)
+
+    # --- maintenance -------------------------------------------------------
+
+    def expirable(
+        self, older_than: datetime | None = None, retain_last: int | None = None
+    ) -> DataFrame:
+        """Snapshots no rule keeps. The newest one is always kept."""
+        if older_than is None and retain_last is None:
+            raise ValueError("give older_than, retain_last or both")
+        newest_first = Window.orderBy(F.desc("snapshot_id"))
+        rows = self.snapshots().withColumn("_age", F.row_number().over(newest_first))
+        keep = F.col("_age") <= max(1, retain_last or 0)
+        if older_than is not None:
+            keep = keep | (F.col("committed_at") >= F.lit(older_than))
+        return rows.where(~keep).select("snapshot_id", "operation", "n_rows")
+
+    def expire(self, older_than: datetime | None = None, retain_last: int | None = None) -> int:
+        ids = sorted(r.snapshot_id for r in self.expirable(older_than, retain_last).collect())
+        if ids:
+            self._commit(self._next_id(), "expire", 0, [], [], None, None, ids)
+        return len(ids)
+
+    def _fs(self, folder: str):
+        jvm = self.spark._jvm
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
+
+    def unreferenced(self, committed_before: datetime | None = None) -> DataFrame:
+        """Snapshots in the log whose folder no kept snapshot reads."""
+        live = self.snapshots().select(F.explode("live_ids").alias("snapshot_id")).distinct()
+        rows = self._log().where("operation <> 'expire'")
+        if committed_before is not None:
+            rows = rows.where(F.col("committed_at") < F.lit(committed_before))
+        return rows.join(live, "snapshot_id", "left_anti").select("snapshot_id", "n_rows")
+
+    def vacuum(self, committed_before: datetime | None = None) -> list[int]:
+        """Delete the folders no kept snapshot reads; returns the ids that had one."""
+        removed = []
+        for row in self.unreferenced(committed_before).orderBy("snapshot_id").collect():
+            fs, folder = self._fs(f"{self.path}/data/_snapshot_id={row.snapshot_id}")
+            if fs.exists(folder) and fs.delete(folder, True):
+                removed.append(row.snapshot_id)
+        return removed
+
+    def files(self) -> DataFrame:
+        """Data files of the current snapshot; the file contents are not read."""
+        snapshot = self.current()
+        return (
+            self.spark.read.format("binaryFile")
+            .option("pathGlobFilter", "*.parquet")
+            .option("recursiveFileLookup", "true")
+            .load([f"{self.path}/data/_snapshot_id={i}" for i in snapshot.live_ids])
+            .select(
+                F.regexp_extract("path", r"_snapshot_id=(\d+)", 1).cast("bigint").alias("snapshot_id"),
+                F.col("path").alias("file"),
+                F.col("length").alias("bytes"),
+            )
+        )
+
+    def compact(self, min_commits: int = 10, target_bytes: int = 512 * 1024 * 1024) -> Row | None:
+        """Rewrite the snapshots made of small files; big ones are left where they are."""
+        before = self.current()
+        if before is None or len(before.live_ids) < min_commits:
+            return None
+        sizes = self.files().groupBy("snapshot_id").agg(
+            F.sum("bytes").alias("total"), F.avg("bytes").alias("mean")
+        )
+        small = sizes.where(F.col("mean") < target_bytes / 2).collect()
+        if not small:
+            return None
+        ids = {r.snapshot_id for r in small}
+        schema = _schema_of(before)
+        part = Row(**{**before.asDict(), "live_ids": sorted(ids)})
+        rows = self._rows(part)
+        if not self.partition_by:
+            rows = rows.repartition(max(1, math.ceil(sum(r.total for r in small) / target_bytes)))
+        snapshot_id = self._next_id()
+        n_rows = self._write_files(rows, snapshot_id)
+        live = [*[i for i in before.live_ids if i not in ids], snapshot_id]
+        hidden = list(before.hidden or []) if len(live) > 1 else []
+        return self._commit(snapshot_id, "compact", n_rows, live, hidden, schema, None)
+
+
+def upsert(
+    target: DataFrame, updates: DataFrame, keys: Sequence[str], newest: str
+) -> DataFrame:
+    """Old and new rows together, the newest row per key; an update wins a tie."""
+    schema = merged_schema(target.schema, updates.schema)
+    both = align(target, schema).withColumn("_new", F.lit(0)).unionByName(
+        align(updates, schema).withColumn("_new", F.lit(1))
+    )
+    columns = [*keys, newest, "_new", *[c for c in schema.fieldNames() if c not in (*keys, newest)]]
+    return dedupe_latest(both.select(*columns), keys, newest).select(*schema.fieldNames())
+
+
+def high_water(source: DataFrame, target: DataFrame, column: str) -> DataFrame:
+    """Source rows above the largest value already loaded; all rows for an empty target."""
+    mark = target.agg(F.max(column)).scalar()
+    return source.where(mark.isNull() | (F.col(column) > mark))
+
+
+# --- writing by name -------------------------------------------------------
+
+
+def write_table(
+    spark: SparkSession,
+    path: str,
+    df: DataFrame,
+    mode: str = "overwrite",
+    create_if_not_exists: bool = True,
+    partition_by: Sequence[PartitionField] = (),
+) -> Row:
+    if mode not in {"append", "overwrite", "overwrite_partitions"}:
+        raise ValueError(f"unknown write mode {mode!r}")
+    table = SnapshotTable(spark, path, partition_by)
+    if not create_if_not_exists and table.current() is None:
+        raise ValueError(f"{path} does not exist")
+    return getattr(table, mode)(df)
+
+
+def materialize_report(
+    spark: SparkSession, path: str, name: str, df: DataFrame, metadata: dict | None = None
+) -> dict[str, object]:
+    """Write an asset and say what was written; write mode and layout come from metadata."""
+    metadata = metadata or {}
+    mode = metadata.get("write_mode", "append")
+    before = SnapshotTable(spark, path).current()
+    row = write_table(
+        spark,
+        path,
+        df,
+        mode,
+        metadata.get("create_if_not_exists", True),
+        metadata.get("partition_by", ()),
+    )
+    evolved = before is not None and before.table_schema != row.table_schema
+    return {
+        "table": name,
+        "n_rows": row.n_rows,
+        "snapshot_id": row.snapshot_id,
+        "write_mode": mode,
+        "schema_evolved": evolved,
+    }

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-AREAS = ["transforms"]
+AREAS = ["transforms", "storage"]
 
 
 def _load() -> None:
