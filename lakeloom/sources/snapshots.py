@@ -140,6 +140,11 @@ class SnapshotTable:
             return in_partition(rows, field.column, key)
         raise ValueError(f"{self.path} has no time partition")
 
+    def added(self, entry: Row) -> DataFrame:
+        """The rows one commit wrote, from its log row."""
+        own = {**entry.asDict(), "live_ids": [entry.snapshot_id], "hidden": []}
+        return self._rows(Row(**own))
+
     def partitions(self) -> DataFrame:
         """Rows per partition folder; no data column is read."""
         rows = self._rows(self.current(), with_layout=True)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-AREAS = ["transforms", "storage"]
+AREAS = ["transforms", "storage", "semantic", "controls", "records", "scalars", "synthetic", "streams"]
 
 
 def _load() -> None:

@@ -80,6 +80,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Callable[[Tables], Dat
             return comparable(fn(_tables(spark.sparkContext.applicationId, sf_dir)))
 
         run.__name__ = name
+        run.area = fn.__module__.rsplit(".", 1)[1]
         run.__doc__ = fn.__doc__
         QUERIES[name] = run
         if sql is not None:
