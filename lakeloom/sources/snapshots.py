@@ -27,12 +27,18 @@ from lakeloom.sources.layout import (
 )
 from lakeloom.sources.scan import in_partition, key_range, scan
 
-LOG_SCHEMA = """
-    snapshot_id bigint, committed_at timestamp, operation string, n_rows bigint,
-    live_ids array<bigint>,
-    hidden array<struct<before: bigint, column: string, values: array<string>>>,
-    table_schema string, batch string, expired_ids array<bigint>
-"""
+LOG_COLUMNS = {
+    "snapshot_id": "bigint",
+    "committed_at": "timestamp",
+    "operation": "string",
+    "n_rows": "bigint",
+    "live_ids": "array<bigint>",
+    "hidden": "array<struct<before:bigint,column:string,values:array<string>>>",
+    "table_schema": "string",
+    "batch": "string",
+    "expired_ids": "array<bigint>",
+}
+LOG_SCHEMA = ", ".join(f"{name} {kind}" for name, kind in LOG_COLUMNS.items())
 
 
 def _schema_of(snapshot: Row) -> StructType:
@@ -70,8 +76,16 @@ class SnapshotTable:
 
     def current(self) -> Row | None:
         """The newest snapshot; it is never expired."""
-        rows = self._log().where("operation <> 'expire'")
-        return rows.orderBy(F.desc("snapshot_id")).first()
+        return self._newest()[0]
+
+    def _newest(self) -> tuple[Row | None, int]:
+        """The newest snapshot, and the next free id. Ids are never given out twice."""
+        newest_first = self._log().orderBy(F.desc("snapshot_id"))
+        last = newest_first.first()
+        if last is None:
+            return None, 1
+        row = last if last.operation != "expire" else newest_first.where("operation <> 'expire'").first()
+        return row, last.snapshot_id + 1
 
     def _snapshot(self, snapshot_id: int | None, as_of: datetime | None) -> Row | None:
         if snapshot_id is None and as_of is None:
@@ -171,11 +185,10 @@ class SnapshotTable:
         done = self._committed(batch)
         if done is not None:
             return done
-        before = self.current()
+        before, snapshot_id = self._newest()
         schema = StructType([StructField(f.name, f.dataType, True) for f in df.schema.fields])
         if before is not None:
             schema = merged_schema(_schema_of(before), schema)
-        snapshot_id = self._next_id()
         n_rows = self._write_files(align(df, schema), snapshot_id)
         live = [] if before is None or operation == "overwrite" else list(before.live_ids)
         hidden = [] if before is None or operation == "overwrite" else list(before.hidden or [])
@@ -185,10 +198,6 @@ class SnapshotTable:
             snapshot_id, operation, n_rows, [*live, snapshot_id], hidden, schema, batch
         )
 
-    def _next_id(self) -> int:
-        """One above every id ever given out, expired ones included."""
-        return int(self._log().agg(F.coalesce(F.max("snapshot_id"), F.lit(0))).first()[0]) + 1
-
     def _write_files(self, df: DataFrame, snapshot_id: int) -> int:
         target = f"{self.path}/data/_snapshot_id={snapshot_id}"
         if self.partition_by:
@@ -212,13 +221,28 @@ class SnapshotTable:
         return (snapshot_id, name, sorted(values))
 
     def _commit(self, snapshot_id, operation, n_rows, live, hidden, schema, batch, expired=None):
-        text = schema.json() if schema is not None else None
-        now = datetime.now()
-        row = (snapshot_id, now, operation, n_rows, live, hidden, text, batch, expired or [])
-        entry = self.spark.createDataFrame([row], LOG_SCHEMA).coalesce(1)
+        row = {
+            "snapshot_id": snapshot_id,
+            "committed_at": datetime.now(),
+            "operation": operation,
+            "n_rows": n_rows,
+            "live_ids": live,
+            "hidden": hidden,
+            "table_schema": schema.json() if schema is not None else None,
+            "batch": batch,
+            "expired_ids": expired or [],
+        }
+        gaps = [F.struct(F.lit(g[0]), F.lit(g[1]), F.lit(g[2])) for g in hidden]
+        values = {**row, "hidden": F.array(*gaps)}
+        columns = [
+            (values[name] if name == "hidden" else F.lit(values[name])).cast(kind).alias(name)
+            for name, kind in LOG_COLUMNS.items()
+        ]
+        # One row, so one file: the commit is visible whole or not at all.
+        entry = self.spark.range(0, 1, 1, 1).select(*columns)
         entry.write.mode("append").parquet(f"{self.path}/log")
         gaps = [Row(before=g[0], column=g[1], values=g[2]) for g in hidden]
-        return Row(*entry.columns)(*row[:5], gaps, *row[6:])
+        return Row(**{**row, "hidden": gaps})
 
     # --- upsert ------------------------------------------------------------
 
@@ -229,7 +253,7 @@ class SnapshotTable:
         done = self._committed(batch)
         if done is not None:
             return done
-        before = self.current()
+        before, snapshot_id = self._newest()
         if before is None:
             return self.append(dedupe_latest(updates, keys, newest), batch)
         if not self.partition_by:
@@ -243,7 +267,6 @@ class SnapshotTable:
         values = sorted(r[0] for r in touched.collect())
         affected = rows.where(F.col(name).isin(*values)).drop(*self._layout_names())
         merged = upsert(affected, updates, keys, newest)
-        snapshot_id = self._next_id()
         schema = StructType([StructField(f.name, f.dataType, True) for f in merged.schema.fields])
         n_rows = self._write_files(merged, snapshot_id)
         gap = (snapshot_id, name, values)
@@ -269,7 +292,7 @@ class SnapshotTable:
     def expire(self, older_than: datetime | None = None, retain_last: int | None = None) -> int:
         ids = sorted(r.snapshot_id for r in self.expirable(older_than, retain_last).collect())
         if ids:
-            self._commit(self._next_id(), "expire", 0, [], [], None, None, ids)
+            self._commit(self._newest()[1], "expire", 0, [], [], None, None, ids)
         return len(ids)
 
     def _fs(self, folder: str):
@@ -311,7 +334,7 @@ class SnapshotTable:
 
     def compact(self, min_commits: int = 10, target_bytes: int = 512 * 1024 * 1024) -> Row | None:
         """Rewrite the snapshots made of small files; big ones are left where they are."""
-        before = self.current()
+        before, snapshot_id = self._newest()
         if before is None or len(before.live_ids) < min_commits:
             return None
         sizes = self.files().groupBy("snapshot_id").agg(
@@ -326,7 +349,6 @@ class SnapshotTable:
         rows = self._rows(part)
         if not self.partition_by:
             rows = rows.repartition(max(1, math.ceil(sum(r.total for r in small) / target_bytes)))
-        snapshot_id = self._next_id()
         n_rows = self._write_files(rows, snapshot_id)
         live = [*[i for i in before.live_ids if i not in ids], snapshot_id]
         hidden = list(before.hidden or []) if len(live) > 1 else []

@@ -251,9 +251,7 @@ def _layout_query(transform: str, pattern: str) -> None:
     )
     def run(t: Tables) -> DataFrame:
         field = PartitionField("ts", transform)
-        table = fresh(t, f"part-{transform}", field)
-        table.append(t.given("events").select("event_id", "ts"))
-        rows = layout.with_partitions(table.scan(), [field])
+        rows = layout.with_partitions(t.given("events").select("event_id", "ts"), [field])
         return rows.groupBy(F.col(field.name).alias("part")).agg(
             F.count("*").alias("n_rows"), F.sum("event_id").alias("ids")
         )
