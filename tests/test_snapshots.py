@@ -1,0 +1,225 @@
+from __future__ import annotations
+
+from datetime import datetime, timedelta
+
+import pytest
+from pyspark.sql import functions as F
+from pyspark.sql.types import DecimalType, IntegerType, LongType, StringType, StructType
+
+from lakeloom.session import scratch_path
+from lakeloom.sources.layout import PartitionField, merged_schema, wider, with_partitions
+from lakeloom.sources.scan import key_range, layer_path, load_input, table_name
+from lakeloom.sources.snapshots import SnapshotTable, upsert, write_table
+
+
+def table(spark, *fields):
+    return SnapshotTable(spark, scratch_path(spark, "t"), fields)
+
+
+def rows(spark, *pairs):
+    return spark.createDataFrame(list(pairs), "id bigint, day string")
+
+
+def values(df):
+    return sorted(tuple(r) for r in df.collect())
+
+
+def test_snapshot_reads_equal_earlier_writes(spark):
+    t = table(spark)
+    t.append(rows(spark, (1, "a")))
+    middle = t.append(rows(spark, (2, "b"))).committed_at
+    t.overwrite(rows(spark, (3, "c")))
+    assert values(t.scan(snapshot_id=1)) == [(1, "a")]
+    assert values(t.scan(snapshot_id=2)) == [(1, "a"), (2, "b")]
+    assert values(t.scan(as_of=middle)) == [(1, "a"), (2, "b")]
+    assert values(t.scan()) == [(3, "c")]
+    assert values(t.scan(columns=["day"], row_filter="id = 3", limit=5)) == [("c",)]
+    with pytest.raises(ValueError):
+        t.scan(snapshot_id=9)
+    with pytest.raises(ValueError):
+        t.scan(as_of=datetime.now() - timedelta(days=1))
+
+
+def test_no_table(spark):
+    t = table(spark)
+    assert t.current() is None and t.snapshots().count() == 0
+    with pytest.raises(ValueError):
+        t.scan()
+    with pytest.raises(ValueError):
+        write_table(spark, t.path, rows(spark, (1, "a")), "append", create_if_not_exists=False)
+    with pytest.raises(ValueError):
+        write_table(spark, t.path, rows(spark, (1, "a")), "upsert")
+
+
+def test_a_write_that_never_committed_is_not_seen(spark):
+    t = table(spark, PartitionField("day"))
+    t.append(rows(spark, (1, "a")))
+    lost = with_partitions(rows(spark, (9, "a"), (9, "z")), t.partition_by)
+    lost.write.partitionBy("_p_day_identity").parquet(f"{t.path}/data/_snapshot_id=2")
+    assert values(t.scan()) == [(1, "a")]
+    t.append(rows(spark, (2, "b")))  # takes the same id and leaves nothing of the lost write
+    assert values(t.scan()) == [(1, "a"), (2, "b")]
+
+
+def test_a_batch_is_written_once(spark):
+    t = table(spark)
+    first = t.append(rows(spark, (1, "a")), batch="b1")
+    again = t.append(rows(spark, (1, "a")), batch="b1")
+    assert first.snapshot_id == again.snapshot_id and values(t.scan()) == [(1, "a")]
+
+
+def test_partition_overwrite_touches_only_its_partitions(spark):
+    t = table(spark, PartitionField("day"))
+    t.append(rows(spark, (1, "a"), (2, "b"), (3, None), (4, "")))
+    t.overwrite_partitions(rows(spark, (10, "b"), (11, "c")))
+    assert {r.id for r in t.scan().collect()} == {1, 3, 4, 10, 11}
+    t.overwrite_partitions(rows(spark, (20, None)))
+    got = {r.id for r in t.scan().collect()}
+    assert got == {1, 10, 11, 20}  # null and empty share a partition
+    assert {r.id for r in t.scan(snapshot_id=1).collect()} == {1, 2, 3, 4}
+
+
+def test_merge_finds_rows_that_change_partition(spark):
+    t = table(spark, PartitionField("day"))
+    schema = "id bigint, day string, v bigint, at bigint"
+    t.append(spark.createDataFrame([(1, "a", 1, 1), (2, "a", 1, 1), (3, "b", 1, 5)], schema))
+    t.merge(spark.createDataFrame([(1, "c", 2, 2), (3, "b", 9, 4), (4, "d", 1, 1)], schema), ["id"], "at")
+    assert values(t.scan()) == [(1, "c", 2, 2), (2, "a", 1, 1), (3, "b", 1, 5), (4, "d", 1, 1)]
+    assert t.current().n_rows == 4 and t.current().operation == "merge"
+
+
+def test_merge_twice_is_the_same(spark):
+    schema = "id bigint, day string, v bigint, at bigint"
+    updates = spark.createDataFrame([(1, "a", 2, 2), (5, "b", 1, 1)], schema)
+    t = table(spark, PartitionField("day"))
+    t.append(spark.createDataFrame([(1, "a", 1, 1), (2, "a", 1, 1)], schema))
+    t.merge(updates, ["id"], "at")
+    once = values(t.scan())
+    t.merge(updates, ["id"], "at")
+    assert values(t.scan()) == once
+
+
+def test_an_update_wins_a_tie(spark):
+    old = spark.createDataFrame([(1, "old", 5)], "id bigint, v string, at bigint")
+    new = spark.createDataFrame([(1, "new", 5), (2, "x", 1)], "id bigint, v string, at bigint")
+    assert values(upsert(old, new, ["id"], "at")) == [(1, "new", 5), (2, "x", 1)]
+
+
+def test_schema_grows_but_never_narrows(spark):
+    t = table(spark)
+    t.append(spark.createDataFrame([(1,)], "id int"))
+    t.append(spark.createDataFrame([(2**40, "x")], "id bigint, name string"))
+    assert values(t.scan().na.fill("-")) == [(1, "-"), (2**40, "x")]
+    t.append(spark.createDataFrame([(7,)], "id int"))  # narrower input is widened
+    assert t.scan().schema["id"].dataType == LongType()
+    with pytest.raises(TypeError):
+        t.append(spark.createDataFrame([("text",)], "id string"))
+    assert t.scan(snapshot_id=1).columns == ["id"]
+
+
+def test_widening_rules():
+    assert wider(IntegerType(), LongType()) == LongType() == wider(LongType(), IntegerType())
+    assert wider(DecimalType(10, 2), DecimalType(12, 2)) == DecimalType(12, 2)
+    for old, new in [(DecimalType(10, 2), DecimalType(10, 3)), (StringType(), LongType())]:
+        with pytest.raises(TypeError):
+            wider(old, new)
+    old, new = StructType.fromDDL("a int, b string"), StructType.fromDDL("c int, a bigint")
+    assert merged_schema(old, new) == StructType.fromDDL("a bigint, b string, c int")
+
+
+def history(spark, n=5):
+    t = table(spark)
+    for i in range(n):
+        t.overwrite(rows(spark, (i, "x")))
+    return t
+
+
+def test_expiry_rules(spark):
+    t = history(spark)
+    with pytest.raises(ValueError):
+        t.expire()
+    third = t.snapshots().where("snapshot_id = 3").first().committed_at
+    assert {r.snapshot_id for r in t.expirable(older_than=third).collect()} == {1, 2}
+    assert {r.snapshot_id for r in t.expirable(retain_last=2).collect()} == {1, 2, 3}
+    assert {r.snapshot_id for r in t.expirable(third, retain_last=4).collect()} == {1}
+    future = datetime.now() + timedelta(days=1)
+    assert t.expire(older_than=future) == 4 and t.expire(older_than=future) == 0
+    assert [r.snapshot_id for r in t.list_snapshots().collect()] == [5]
+    with pytest.raises(ValueError):
+        t.scan(snapshot_id=2)
+    assert t.append(rows(spark, (9, "y"))).snapshot_id == 7  # ids are never reused
+
+
+def test_vacuum_keeps_what_a_snapshot_reads(spark):
+    t = table(spark)
+    t.append(rows(spark, (1, "a")))
+    t.append(rows(spark, (2, "b")))
+    t.expire(retain_last=1)
+    assert t.vacuum() == []  # the kept snapshot still reads both folders
+    t.overwrite(rows(spark, (3, "c")))
+    t.expire(retain_last=1)
+    assert t.unreferenced(datetime.now() - timedelta(days=30)).count() == 0
+    assert t.vacuum() == [1, 2] and t.vacuum() == []
+    assert values(t.scan()) == [(3, "c")]
+
+
+def test_compaction_keeps_rows_and_drops_files(spark):
+    t = table(spark, PartitionField("day"))
+    for i in range(6):
+        t.append(rows(spark, (i, "ab"[i % 2]), (i + 100, "c")))
+    t.overwrite_partitions(rows(spark, (500, "c")))
+    before, n_files = values(t.scan()), t.files().count()
+    assert t.compact(min_commits=20) is None
+    assert t.compact(min_commits=5).operation == "compact"
+    assert values(t.scan()) == before and t.files().count() < n_files
+    t.overwrite_partitions(rows(spark, (600, "a")))
+    assert {r.id for r in t.scan().collect()} == {1, 3, 5, 500, 600}
+    assert t.compact(min_commits=1, target_bytes=1) is None  # no file is small
+
+
+def test_hourly_partitions_prune(spark):
+    t = table(spark, PartitionField("ts", "hour"))
+    df = spark.range(48).selectExpr("id", "timestamp_ntz'2024-01-01' + make_dt_interval(0, cast(id as int)) AS ts")
+    t.append(df)
+    day = t.scan(partition_key="2024-01-02")
+    assert sorted(r.id for r in day.collect()) == list(range(24, 48))
+    hour = t.scan(partition_key="2024-01-01-05")
+    assert [r.id for r in hour.collect()] == [5]
+    text = hour._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(_p_ts_hour" in text
+    assert t.partitions().count() == 48
+
+
+def test_partition_keys_of_reads():
+    assert key_range("2024-02") == (datetime(2024, 2, 1), datetime(2024, 3, 1))
+    assert key_range("2024-12") == (datetime(2024, 12, 1), datetime(2025, 1, 1))
+    assert key_range("2024-02-29-23") == (datetime(2024, 2, 29, 23), datetime(2024, 3, 1))
+    assert key_range("2024") == (datetime(2024, 1, 1), datetime(2025, 1, 1))
+    with pytest.raises(ValueError):
+        key_range("yesterday")
+
+
+def test_names_and_layers(spark):
+    assert table_name(["orders"]) == "default.orders"
+    assert table_name(["gold", "mart", "revenue"]) == "gold.mart_revenue"
+    assert layer_path({"gold": "/x/"}, "gold", "t") == "/x/t"
+    with pytest.raises(KeyError, match="bronze, gold"):
+        layer_path({"gold": "/x", "bronze": "/y"}, "silver", "t")
+    df = spark.range(10).withColumn("d", F.lit("x"))
+    assert load_input(df, {"columns": ["id"], "row_filter": "id > 3", "limit": 2}).count() == 2
+
+
+def test_partition_fields_are_checked():
+    for bad in [("ts", "minute"), ("ts", "bucket"), ("ts", "truncate", 0)]:
+        with pytest.raises(ValueError):
+            PartitionField(*bad)
+
+
+def test_truncate_and_bucket(spark):
+    fields = [PartitionField("n", "truncate", 10), PartitionField("s", "truncate", 2), PartitionField("n", "bucket", 4)]
+    df = spark.createDataFrame([(-3, "abc"), (12, "z"), (None, None)], "n bigint, s string")
+    got = with_partitions(df, fields).select(*[f.name for f in fields]).collect()
+    assert [tuple(r)[:2] for r in got] == [("-10", "ab"), ("10", "z"), ("null", "null")]
+    many = with_partitions(spark.range(4000).withColumnRenamed("id", "n"), fields[2:])
+    sizes = [r["count"] for r in many.groupBy(fields[2].name).count().collect()]
+    assert len(sizes) == 4 and min(sizes) > 800
