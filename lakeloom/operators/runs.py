@@ -10,9 +10,10 @@ from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from lakeloom.functions.redact import redact_message
-from lakeloom.session import materialize
+from lakeloom.session import materialize, scratch_path
 
 EVENT_SCHEMA = """
     run_id string, job string, event_type string, event_time timestamp,
@@ -89,23 +90,26 @@ def upstream(edges: DataFrame, targets: DataFrame, max_depth: int = 100) -> Data
     One join per level of the graph; each level is written, so a lost executor
     does not replay the earlier ones. A node is reported at its smallest depth.
     """
-    links = edges.select("child", "parent").distinct()
+    spark = edges.sparkSession
+    path = scratch_path(spark, "upstream")
+    links = materialize(edges.select("child", "parent").distinct(), "edges")
     level = targets.select(F.col("node").alias("target"), F.col("node").alias("ancestor"))
-    found: DataFrame | None = None
+    schema = StructType([*level.schema.fields, StructField("depth", IntegerType())])
     for depth in range(1, max_depth + 1):
         step = (
             level.join(links, F.col("ancestor") == F.col("child"))
             .select("target", F.col("parent").alias("ancestor"))
             .distinct()
         )
-        if found is not None:
-            step = step.join(found, ["target", "ancestor"], "left_anti")
-        level = materialize(step, f"upstream-{depth}")
+        if depth > 1:
+            known = spark.read.schema(schema).parquet(path)
+            step = step.join(known, ["target", "ancestor"], "left_anti")
+        step.write.parquet(f"{path}/depth={depth}")
+        found = spark.read.schema(schema).parquet(path)
+        level = found.where(F.col("depth") == depth).drop("depth")
         if level.isEmpty():
-            return found if found is not None else level.withColumn("depth", F.lit(depth))
-        reached = level.withColumn("depth", F.lit(depth))
-        found = reached if found is None else found.unionByName(reached)
-    raise ValueError(f"the graph is deeper than {max_depth} or has a cycle")
+            return found
+    raise ValueError(f"the graph is deeper than {max_depth}")
 
 
 def schema_facet(df: DataFrame, dataset: str) -> DataFrame:

@@ -420,7 +420,10 @@ def product_totals(products: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def revenue_ranks(totals: DataFrame, products: DataFrame) -> DataFrame:
-    """Overall and in-category rank by revenue, equal revenue sharing a rank."""
+    """Overall and in-category rank by revenue, equal revenue sharing a rank.
+
+    ``totals`` is read several times: hand in a written frame.
+    """
     if fits_one_task(products):
         return totals.withColumn(
             "revenue_rank",
@@ -431,12 +434,12 @@ def revenue_ranks(totals: DataFrame, products: DataFrame) -> DataFrame:
             .over(Window.partitionBy("category").orderBy(F.desc("total_revenue")))
             .cast("bigint"),
         )
-    overall = rank_desc(materialize(totals, "product-totals"), "total_revenue", "revenue_rank")
+    overall = rank_desc(totals, "total_revenue", "revenue_rank")
     return rank_desc(overall, "total_revenue", "category_revenue_rank", ["category"])
 
 
 def mart_product_analytics(products: DataFrame, items: DataFrame) -> DataFrame:
-    totals = product_totals(products, items)
+    totals = materialize(product_totals(products, items), "product-totals")
     sold = totals.where("total_orders > 0")
     mean = sold.agg(ratio(F.sum("total_revenue"), F.count("*")).alias("m")).scalar()
     relative = F.col("total_revenue").cast("double") / mean
@@ -464,29 +467,29 @@ def daily_active_users(events: DataFrame) -> DataFrame:
     )
 
 
+def with_share(counts: DataFrame, total: DataFrame) -> DataFrame:
+    """Share of each count. The total is a scalar over the same shuffled counts, so the
+    rows are read once and no window gathers the counts in one task."""
+    return counts.withColumn("pct", F.round(F.col("n") * 100.0 / total.scalar(), 1))
+
+
 def pct_of_total(df: DataFrame, column: str) -> DataFrame:
-    """Count and share of each value; the total is a scalar, not a one-task window."""
-    total = df.agg(F.count("*")).scalar()
-    return df.groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n")).withColumn(
-        "pct", F.round(F.col("n") * 100.0 / total, 1)
-    )
+    counts = df.groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n"))
+    return with_share(counts, counts.agg(F.sum("n")))
 
 
 def value_distribution(df: DataFrame, columns: list[str]) -> DataFrame:
     """Counts and shares of the values of several columns, in one pass."""
-    total = df.agg(F.count("*")).scalar()
     pairs = F.array(
         *[
             F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value"))
             for c in columns
         ]
     )
-    return (
-        df.select(F.inline(pairs))
-        .groupBy("column", "value")
-        .agg(F.count("*").alias("n"))
-        .withColumn("pct", F.round(F.col("n") * 100.0 / total, 1))
+    counts = (
+        df.select(F.inline(pairs)).groupBy("column", "value").agg(F.count("*").alias("n"))
     )
+    return with_share(counts, counts.agg(F.sum("n") / len(columns)))
 
 
 def load_gate(df: DataFrame, least_rows: int, least_regions: int) -> DataFrame:

@@ -253,13 +253,11 @@ def _direct(measure: Measure, x: Column, p: str) -> list[Column]:
     return _parts(measure, x, p)
 
 
-def _final(measure: Measure, p: str, sketched: bool, running: Column | None) -> Column:
+def _final(measure: Measure, p: str, sketched: bool) -> Column:
     kind = measure.type
     if kind == "avg":
         n = F.nullif(F.col(f"{p}n"), F.lit(0))
         return F.col(f"{p}s").cast("double") / n
-    if kind == "running_total":
-        return F.sum(f"{p}s").over(running)
     if kind == "count_distinct_approx" and sketched:
         return F.hll_sketch_estimate(f"{p}h")
     if kind == "count":
@@ -503,19 +501,16 @@ def _finish(request: _Request, grouped: DataFrame, sketched: set[str]) -> DataFr
     dimensions = _shown_dimensions(request)
     timed = [f"{t[0].name}_{t[1].name}" for t in request.time if t[2] is not None]
     plain = [d for d in dimensions if d not in timed]
-    running = (
-        Window.partitionBy(*plain)
-        .orderBy(*timed)
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
+    running = [f"_p_{c.name}_{m.name}_s" for c, m in request.measures if m.type == "running_total"]
+    if running and len(timed) != 1:
+        raise MetricError("a running total needs one time dimension with a granularity")
+    if running:
+        grouped = _run_along(grouped, plain, timed[0], running)
     values: dict[str, Column] = {}
     for c, m in request.measures:
-        if m.type == "running_total" and not timed:
-            raise MetricError(f"{m.name} runs along time: give a time dimension with a granularity")
         if m.type != "number":
-            values[f"{c.name}_{m.name}"] = _final(
-                m, f"_p_{c.name}_{m.name}_", f"{c.name}.{m.name}" in sketched, running
-            )
+            name = f"{c.name}_{m.name}"
+            values[name] = _final(m, f"_p_{name}_", f"{c.name}.{m.name}" in sketched)
     result = grouped.select(*dimensions, *[v.alias(n) for n, v in values.items()])
     for c, m in request.measures:
         if m.type == "number":
@@ -524,6 +519,41 @@ def _finish(request: _Request, grouped: DataFrame, sketched: set[str]) -> DataFr
     return result.select(*dimensions, *[column_name(n) for n in request.shown])
 
 
+def _run_along(
+    grouped: DataFrame, dimensions: list[str], time: str, sums: list[str]
+) -> DataFrame:
+    """Replace sums by running sums along time.
+
+    Summed inside each year first and over the years before it second, so the
+    buckets of a fine grain are not all ordered in one task.
+    """
+    year = grouped.withColumn("_year", F.year(time))
+    inside = (
+        Window.partitionBy(*dimensions, "_year")
+        .orderBy(time)
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    )
+    earlier = (
+        Window.partitionBy(*dimensions)
+        .orderBy("_year")
+        .rowsBetween(Window.unboundedPreceding, -1)
+    )
+    before = year.groupBy(*dimensions, "_year").agg(*[F.sum(s).alias(f"{s}_b") for s in sums])
+    before = before.withColumns({f"{s}_b": F.sum(f"{s}_b").over(earlier) for s in sums})
+    keys = {n: f"_k{i}" for i, n in enumerate([*dimensions, "_year"])}
+    before = before.withColumnsRenamed(keys)
+    match = [F.col(n).eqNullSafe(F.col(k)) for n, k in keys.items()]
+    both = year.withColumns({s: F.sum(s).over(inside) for s in sums}).join(before, match)
+    totals = {
+        s: F.when(
+            F.col(s).isNotNull() | F.col(f"{s}_b").isNotNull(),
+            F.coalesce(F.col(s), F.lit(0)) + F.coalesce(F.col(f"{s}_b"), F.lit(0)),
+        )
+        for s in sums
+    }
+    return both.withColumns(totals)
+
+
 def _page(result: DataFrame, request: _Request, query: Mapping) -> DataFrame:
     """Order, then offset and limit; dimensions break ties so pages never overlap."""
     order = {column_name(n): d for n, d in query.get("order", {}).items()}
@@ -562,7 +592,7 @@ def finish_rollup(cube: Cube, rollup: Rollup, parts: DataFrame) -> DataFrame:
     names = [*rollup.dimensions, *([rollup.time_dimension] if rollup.time_dimension else [])]
     measures = [cube.measure(m) for m in rollup.measures]
     return parts.select(
-        *names, *[_final(m, f"{m.name}_", True, None).alias(m.name) for m in measures]
+        *names, *[_final(m, f"{m.name}_", True).alias(m.name) for m in measures]
     )
 
 

@@ -28,6 +28,8 @@ def build_session(app: str = "lakeloom", cores: str = "*", partitions: int = 8)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", str(partitions))
+        # Small local files are still split over the cores.
+        .config("spark.sql.files.openCostInBytes", str(1024 * 1024))
         .config("spark.driver.memory", os.environ.get("SPARK_DRIVER_MEMORY", "12g"))
     )
     for key, value in TUNING.items():

@@ -235,3 +235,24 @@ def test_refresh_drops_nothing(spark, data):
     metrics.refresh_rollup(table, ORDERS, rollup, orders, orders.where("order_id % 3 = 0"))
     total = metrics.finish_rollup(ORDERS, rollup, table.scan()).agg(F.sum("count")).first()[0]
     assert total == orders.count()
+
+
+def test_running_total_over_years_with_gaps(spark):
+    data = [(1, "a", "2020-12-30", 5), (2, "a", "2021-01-02", 7), (3, "a", "2023-05-05", None), (4, None, "2021-01-01", 3)]
+    orders = spark.createDataFrame(data, "order_id bigint, region string, d string, total_amount int")
+    frames_ = {"orders": orders.withColumn("created_at", F.col("d").cast("timestamp_ntz"))}
+    request = {
+        "measures": ["Orders.runningAmount", "Orders.totalAmount"],
+        "dimensions": ["Orders.region"],
+        "timeDimensions": [{"dimension": "Orders.createdAt", "granularity": "day"}],
+    }
+    got = {(r[0], str(r[1])[:10]): (r[2], r[3]) for r in metrics.run(CUBES, frames_, request).collect()}
+    assert got == {
+        ("a", "2020-12-30"): (5, 5),
+        ("a", "2021-01-02"): (12, 7),
+        ("a", "2023-05-05"): (12, None),
+        (None, "2021-01-01"): (3, 3),
+    }
+    plain = {**request, "dimensions": []}
+    totals = [r[1] for r in metrics.run(CUBES, frames_, plain).orderBy("Orders_createdAt").collect()]
+    assert totals == [5, 8, 15, 15]
