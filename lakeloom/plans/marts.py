@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakeloom.functions.clean import mismatch
+from lakeloom.operators.joins import shuffled_again
 from lakeloom.operators.ranking import fits_one_task, rank_desc, row_number_desc
 from lakeloom.session import materialize
 
@@ -44,14 +45,18 @@ def join_order_totals(orders: DataFrame, items: DataFrame) -> DataFrame:
     )
 
 
+def _people(customers: DataFrame) -> DataFrame:
+    return shuffled_again(customers, "customer_id").select(
+        "customer_id",
+        F.col("name").alias("customer_name"),
+        F.col("email").alias("customer_email"),
+        F.col("region").alias("customer_region"),
+    )
+
+
 def join_customer_orders(customers: DataFrame, orders: DataFrame) -> DataFrame:
     return (
-        customers.select(
-            "customer_id",
-            F.col("name").alias("customer_name"),
-            F.col("email").alias("customer_email"),
-            F.col("region").alias("customer_region"),
-        )
+        _people(customers)
         .join(orders, "customer_id")
         .select(
             "customer_id",
@@ -87,13 +92,7 @@ def mart_customer_orders(customers: DataFrame, orders: DataFrame, items: DataFra
         "total_amount",
     )
     extra = ["products_in_order", "items_in_order", "calculated_order_total", "has_amount_mismatch"]
-    people = customers.select(
-        "customer_id",
-        F.col("name").alias("customer_name"),
-        F.col("email").alias("customer_email"),
-        F.col("region").alias("customer_region"),
-    )
-    return people.join(flagged, "customer_id").select(
+    return _people(customers).join(flagged, "customer_id").select(
         "customer_id",
         "customer_name",
         "customer_email",
@@ -187,7 +186,7 @@ def product_sales(products: DataFrame, items: DataFrame, orders: DataFrame) -> D
             "order_id", "product_id", "quantity", F.col("price").alias("sold_price"), "line_total"
         )
         .join(
-            orders.select(
+            shuffled_again(orders, "order_id").select(
                 "order_id",
                 F.col("status").alias("order_status"),
                 F.col("created_at").alias("sale_date"),
@@ -195,7 +194,7 @@ def product_sales(products: DataFrame, items: DataFrame, orders: DataFrame) -> D
             "order_id",
         )
         .join(
-            products.select(
+            shuffled_again(products, "product_id").select(
                 "product_id",
                 F.col("name").alias("product_name"),
                 "category",
@@ -300,14 +299,17 @@ def dim_customers(customers: DataFrame) -> DataFrame:
 
 
 def fact_orders(orders: DataFrame, dim: DataFrame) -> DataFrame:
-    return orders.join(dim.select("customer_id", "full_name"), "customer_id").select(
+    names = shuffled_again(dim.select("customer_id", "full_name"), "customer_id")
+    return orders.join(names, "customer_id").select(
         "order_id", "customer_id", "full_name", "status", "total_amount", "created_at"
     )
 
 
 def inherit_region(orders: DataFrame, customers: DataFrame) -> DataFrame:
     """Order region taken from the customer, as an explicit lookup."""
-    parent = customers.select("customer_id", F.col("region").alias("customer_region"))
+    parent = shuffled_again(customers, "customer_id").select(
+        "customer_id", F.col("region").alias("customer_region")
+    )
     return (
         orders.join(parent, "customer_id", "left")
         .withColumn("region", F.coalesce("customer_region", "region"))
@@ -316,7 +318,7 @@ def inherit_region(orders: DataFrame, customers: DataFrame) -> DataFrame:
 
 
 def order_items_enriched(items: DataFrame, products: DataFrame) -> DataFrame:
-    details = products.select(
+    details = shuffled_again(products, "product_id").select(
         "product_id",
         F.col("name").alias("product_name"),
         "category",

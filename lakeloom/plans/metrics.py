@@ -25,6 +25,7 @@ from pyspark.sql.types import (
     TimestampType,
 )
 
+from lakeloom.operators.joins import shuffled_again
 from lakeloom.sources.layout import with_partitions
 from lakeloom.sources.snapshots import SnapshotTable
 
@@ -438,6 +439,8 @@ def _joined(request: _Request, tables, security) -> tuple[DataFrame, set[str]]:
             ]
             other = other.groupBy(right).agg(*(parts or [F.count("*").alias("_rows")]))
             in_parts |= {f"{cube.name}.{m.name}" for m in own}
+        else:
+            other = shuffled_again(other, right)
         how = "inner" if _narrowed(cube, request, security) else "left"
         left = f"_k_{base.name}_{link.left}"
         rows = rows.join(other, F.col(left) == F.col(right), how)

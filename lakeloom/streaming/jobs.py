@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
+from lakeloom.operators.joins import shuffled_again
 from lakeloom.operators.runs import EVENT_SCHEMA, run_status_since
 from lakeloom.operators.sessions import sessionize
 from lakeloom.sources.snapshots import LOG_SCHEMA, SnapshotTable
@@ -163,19 +164,21 @@ def sessions(
     def handle(rows: DataFrame, snapshot_id: int) -> None:
         tag = f"sessions-{snapshot_id}"
         columns = ["event_id", "user_id", "event_type", "timestamp"]
-        carried = F.lit(None).cast("string")
         local = sessionize(rows.select(*columns), opens, closes)
-        if state.current() is not None:
-            known = state.scan().groupBy("user_id").agg(F.max_by("session_id", "event_id").alias("_open"))
-            local = local.join(known, "user_id", "left")
-            carried = F.col("_open")
         # A user's first state change in the batch ends what earlier batches left open.
         changes = rows.where(F.col("event_type").isin(opens, closes))
-        first = changes.groupBy("user_id").agg(F.min("event_id").alias("_first"))
+        user_rows = changes.groupBy("user_id").agg(F.min("event_id").alias("_first"))
+        if state.current() is None:
+            user_rows = user_rows.withColumn("_open", F.lit(None).cast("string"))
+        else:
+            left_open = state.scan().groupBy("user_id").agg(
+                F.max_by("session_id", "event_id").alias("_open")
+            )
+            user_rows = user_rows.join(left_open, "user_id", "full")
         before = F.col("_first").isNull() | (F.col("event_id") < F.col("_first"))
         ends = (F.col("event_id") == F.col("_first")) & (F.col("event_type") == closes)
-        done = local.join(first, "user_id", "left").withColumn(
-            "session_id", F.when(before | ends, carried).otherwise(F.col("session_id"))
+        done = local.join(shuffled_again(user_rows, "user_id"), "user_id", "left").withColumn(
+            "session_id", F.when(before | ends, F.col("_open")).otherwise(F.col("session_id"))
         )
         target.append(done.select(*columns, "session_id"), batch=tag)
         left = changes.groupBy("user_id").agg(

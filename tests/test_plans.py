@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from conftest import SMALL
 from lakeloom.functions.clean import dedupe_latest
-from lakeloom.plans import marts
+from lakeloom.plans import marts, staging
 from lakeloom.sources.scan import in_partition, scan
 
 # These write and read tables while they are built; their last plan is a plain scan.
@@ -92,3 +92,70 @@ def test_revenue_is_independent_of_partitioning(spark, tables):
     few = tables.customer_orders().coalesce(1).agg(F.sum("order_total")).first()[0]
     many = tables.customer_orders().repartition(32).agg(F.sum("order_total")).first()[0]
     assert few == many
+
+
+SKEW_SETTINGS = {
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "200KB",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "200KB",
+}
+
+
+@pytest.fixture
+def tiny_partitions(spark):
+    before = {k: spark.conf.get(k, None) for k in SKEW_SETTINGS}
+    for key, value in SKEW_SETTINGS.items():
+        spark.conf.set(key, value)
+    yield
+    for key, value in before.items():
+        spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
+def hot_tables(spark, n=300_000):
+    """A third of the lines on one product, a third of the orders of one customer."""
+    at = "timestamp_ntz'2024-01-01' AS created_at"
+    items = spark.range(n).selectExpr(
+        "id AS order_item_id", "id div 3 AS order_id", "if(id % 3 = 0, 5, pmod(xxhash64(id), 900)) AS product_id",
+        "1 + id % 4 AS quantity", "cast(1 + id % 7 as double) AS price", at,
+    )
+    orders = spark.range(n // 3).selectExpr(
+        "id AS order_id", "if(id % 3 = 0, 7, pmod(xxhash64(id), 800)) AS customer_id",
+        "'completed' AS status", "'north' AS region", "cast(id % 90 as double) AS total_amount", at,
+    )
+    products = spark.range(900).selectExpr(
+        "id AS product_id", "concat('p', id) AS name", "'books' AS category", "4.0D AS price", at
+    )
+    customers = spark.range(800).selectExpr(
+        "id AS customer_id", "concat('c#', id) AS name", "'a@b.co' AS email", "'north' AS region", at
+    )
+    return (
+        staging.stg_products(products),
+        staging.stg_order_items(items),
+        staging.stg_orders(orders),
+        staging.stg_customers(customers),
+    )
+
+
+def test_hot_keys_are_split_in_joins(spark, tiny_partitions):
+    products, items, orders, customers = hot_tables(spark)
+    sales = marts.product_metrics(marts.product_sales(products, items, orders))
+    people = marts.join_customer_orders(customers, orders)
+    detailed = marts.order_items_enriched(items, products)
+    assert sales.agg(F.sum("orders_with_product"), F.max("orders_with_product")).first()[1] > 90_000
+    for df in (sales, people.groupBy().count(), detailed.groupBy().count()):
+        df.collect()
+        assert "SortMergeJoin(skew=true)" in plan(df)
+
+
+def test_partitioned_write_splits_a_hot_partition(spark, tiny_partitions):
+    from lakeloom.session import scratch_path
+    from lakeloom.sources.layout import PartitionField
+    from lakeloom.sources.snapshots import SnapshotTable
+
+    table = SnapshotTable(spark, scratch_path(spark, "hot"), [PartitionField("day")])
+    rows = spark.range(600_000).selectExpr("id", "uuid() AS payload", "if(id % 3 = 0, 'hot', cast(id % 50 as string)) AS day")
+    table.append(rows)
+    files = table.files().where(F.col("file").contains("=hot")).count()
+    assert files > 1 and table.scan().count() == 600_000
