@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
+from importlib import import_module
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -66,6 +67,14 @@ def dynamic_keys(df: DataFrame, column: str) -> DataFrame:
     )
 
 
+def keys_from(spark: SparkSession, fn: Callable[..., Sequence[str]] | str, **arguments) -> DataFrame:
+    """Keys a user function returns at run time; it may be named as ``module.function``."""
+    if isinstance(fn, str):
+        module, _, name = fn.rpartition(".")
+        fn = getattr(import_module(module), name)
+    return static_keys(spark, list(fn(**arguments)))
+
+
 def select_keys(keys: DataFrame, selector: str) -> DataFrame:
     if selector == "all":
         return keys.select("partition_key")

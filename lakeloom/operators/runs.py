@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from contextlib import contextmanager
 from dataclasses import dataclass, field
 from datetime import datetime
+from functools import wraps
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
@@ -59,6 +60,28 @@ class RunLog:
         self._emit(run, "COMPLETE", list(inputs), list(outputs))
 
 
+    def asset(
+        self, outputs: Sequence[str] = (), inputs: Sequence[str] = ()
+    ) -> Callable[[Callable], Callable]:
+        """Decorator: every call of the function is a recorded run named after it.
+
+        A function that returns a commit gives the run its row count.
+        """
+
+        def wrap(fn: Callable) -> Callable:
+            @wraps(fn)
+            def call(*args, **kwargs):
+                with self.asset_run(fn.__name__, outputs, inputs) as run:
+                    result = fn(*args, **kwargs)
+                    if isinstance(result, Row) and "n_rows" in result:
+                        run.n_rows = result.n_rows
+                return result
+
+            return call
+
+        return wrap
+
+
 def run_summary(events: DataFrame) -> DataFrame:
     """Start, end, duration, rows and status of every run."""
     finished = F.col("event_type").isin("COMPLETE", "FAIL")

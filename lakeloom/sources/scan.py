@@ -50,9 +50,12 @@ def key_range(key: str) -> tuple[datetime, datetime]:
     raise ValueError(f"{key!r} is not an hour, day, month or year key")
 
 
-def in_partition(df: DataFrame, column: str, key: str) -> DataFrame:
-    """Rows of one time partition, as a half-open range that reaches the file scan."""
-    start, end = key_range(key)
+def in_partition(df: DataFrame, column: str, key: str, last_key: str | None = None) -> DataFrame:
+    """Rows of one time partition, or of all from ``key`` to ``last_key``.
+
+    One half-open range, so it reaches the file scan.
+    """
+    start, end = key_range(key)[0], key_range(last_key or key)[1]
     kind = df.schema[column].dataType
     low, high = F.lit(str(start)).cast(kind), F.lit(str(end)).cast(kind)
     return df.where((F.col(column) >= low) & (F.col(column) < high))

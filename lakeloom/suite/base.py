@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import cache
+from functools import cache, lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,10 +44,10 @@ class Tables:
         )
 
 
-@cache
-def _tables(app_id: str, sf_dir: str) -> Tables:
+@lru_cache(maxsize=8)
+def _tables(spark: SparkSession, sf_dir: str) -> Tables:
     """Plans of one session and folder are built once; they hold no data."""
-    return Tables(SparkSession.active(), sf_dir)
+    return Tables(spark, sf_dir)
 
 
 def comparable(df: DataFrame) -> DataFrame:
@@ -76,8 +76,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Callable[[Tables], Dat
             raise ValueError(f"query {name} is registered twice")
 
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            tune(spark)
-            return comparable(fn(_tables(spark.sparkContext.applicationId, sf_dir)))
+            return comparable(fn(_tables(tune(spark), sf_dir)))
 
         run.__name__ = name
         run.area = fn.__module__.rsplit(".", 1)[1]

@@ -127,10 +127,7 @@ def backfill_run(t: Tables) -> DataFrame:
     orders = t.given("orders")
 
     def load(batch: list[str]) -> None:
-        rows = in_partition(orders, "o_orderdate", batch[0])
-        for key in batch[1:]:
-            rows = rows.union(in_partition(orders, "o_orderdate", key))
-        table.overwrite_partitions(rows)
+        table.overwrite_partitions(in_partition(orders, "o_orderdate", batch[0], batch[-1]))
 
     partitions.run_backfill(partitions.backfill_plan(keys, "1996", "1999", 2), load)
     return table.partitions().select(F.col(field.name).alias("partition_key"), "n_rows")

@@ -12,6 +12,7 @@ from lakeloom.functions.redact import redact_message, safe_attributes
 from lakeloom.operators import governance, partitions, quality, runs
 from lakeloom.operators.governance import Action, Policy
 from lakeloom.session import scratch_path, shared_dir
+from lakeloom.sources.snapshots import SnapshotTable
 
 
 def test_enforce(spark):
@@ -204,6 +205,29 @@ def test_runs_record_success_and_failure(spark):
     assert runs.run_status_since(log.read(), "FAIL", datetime(2120, 1, 1)).isEmpty()
 
 
+def test_a_function_as_an_asset(spark):
+    log = runs.RunLog(spark, scratch_path(spark, "log"))
+    table = SnapshotTable(spark, scratch_path(spark, "t"))
+
+    @log.asset(outputs=["silver.numbers"], inputs=["bronze.numbers"])
+    def numbers(n):
+        return table.append(spark.range(n))
+
+    assert numbers(7).n_rows == 7 and numbers.__name__ == "numbers"
+    done = log.read().where("event_type = 'COMPLETE'").first()
+    assert (done.job, done.n_rows, done.outputs) == ("numbers", 7, ["silver.numbers"])
+
+
+def month_names(year):
+    return [f"{year}-{m:02d}" for m in (1, 2)]
+
+
+def test_keys_from_functions(spark):
+    for fn in (month_names, f"{month_names.__module__}.month_names"):
+        got = partitions.keys_from(spark, fn, year=2024)
+        assert [r[0] for r in got.collect()] == ["2024-01", "2024-02"]
+
+
 def test_scratch_lives_in_the_named_folder(spark, monkeypatch):
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named is not None:
