@@ -16,10 +16,17 @@ from pyspark.sql.types import IntegerType, StructField, StructType
 from lakeloom.functions.redact import redact_message
 from lakeloom.session import materialize, scratch_path
 
-EVENT_SCHEMA = """
-    run_id string, job string, event_type string, event_time timestamp,
-    inputs array<string>, outputs array<string>, n_rows bigint, error string
-"""
+EVENT_COLUMNS = {
+    "run_id": "string",
+    "job": "string",
+    "event_type": "string",
+    "event_time": "timestamp",
+    "inputs": "array<string>",
+    "outputs": "array<string>",
+    "n_rows": "bigint",
+    "error": "string",
+}
+EVENT_SCHEMA = ", ".join(f"{name} {kind}" for name, kind in EVENT_COLUMNS.items())
 
 
 @dataclass
@@ -41,8 +48,12 @@ class RunLog:
         return self.spark.read.schema(EVENT_SCHEMA).parquet(self.path)
 
     def _emit(self, run: Run, kind: str, inputs, outputs, error: str | None = None) -> None:
-        row = (run.run_id, run.job, kind, datetime.now(), inputs, outputs, run.n_rows, error)
-        event = self.spark.createDataFrame([row], EVENT_SCHEMA).coalesce(1)
+        values = (run.run_id, run.job, kind, datetime.now(), inputs, outputs, run.n_rows, error)
+        columns = [
+            F.lit(value).cast(of_type).alias(name)
+            for value, (name, of_type) in zip(values, EVENT_COLUMNS.items(), strict=True)
+        ]
+        event = self.spark.range(0, 1, 1, 1).select(*columns)
         event.withColumn("error", redact_message("error")).write.mode("append").parquet(self.path)
 
     @contextmanager

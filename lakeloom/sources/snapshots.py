@@ -90,12 +90,17 @@ class SnapshotTable:
     def _snapshot(self, snapshot_id: int | None, as_of: datetime | None) -> Row | None:
         if snapshot_id is None and as_of is None:
             return self.current()
-        rows = self.snapshots()
         if snapshot_id is not None:
-            rows = rows.where(F.col("snapshot_id") == snapshot_id)
-        if as_of is not None:
-            rows = rows.where(F.col("committed_at") <= F.lit(as_of))
-        row = rows.orderBy(F.desc("snapshot_id")).first()
+            # One pass finds the snapshot and any marker that expired it.
+            named = (F.col("snapshot_id") == snapshot_id) & (F.col("operation") != "expire")
+            gone = F.array_contains("expired_ids", F.lit(snapshot_id).cast("bigint"))
+            found = self._log().where(named | gone).collect()
+            row = found[0] if len(found) == 1 and found[0].snapshot_id == snapshot_id else None
+            if row is not None and as_of is not None and row.committed_at > as_of:
+                row = None
+        else:
+            earlier = self.snapshots().where(F.col("committed_at") <= F.lit(as_of))
+            row = earlier.orderBy(F.desc("snapshot_id")).first()
         if row is None:
             raise ValueError(f"{self.path} has no snapshot {snapshot_id or as_of}")
         return row
@@ -351,7 +356,8 @@ class SnapshotTable:
             rows = rows.repartition(max(1, math.ceil(sum(r.total for r in small) / target_bytes)))
         n_rows = self._write_files(rows, snapshot_id)
         live = [*[i for i in before.live_ids if i not in ids], snapshot_id]
-        hidden = list(before.hidden or []) if len(live) > 1 else []
+        # A gap is needed as long as a folder older than it is read.
+        hidden = [g for g in before.hidden or [] if any(i < g["before"] for i in live)]
         return self._commit(snapshot_id, "compact", n_rows, live, hidden, schema, None)
 
 

@@ -129,8 +129,12 @@ def rollup_by_day(
     )
 
     def handle(batch: DataFrame, number: int) -> None:
-        changed = batch.withColumn("batch", F.lit(number))
-        table.merge(changed, ["day", *dimensions], "batch", batch=f"rollup-{number}")
+        # Read several times by the merge; without this the state would be updated each time.
+        changed = batch.withColumn("batch", F.lit(number)).persist()
+        try:
+            table.merge(changed, ["day", *dimensions], "batch", batch=f"rollup-{number}")
+        finally:
+            changed.unpersist()
 
     return each_batch(counts, checkpoint, handle, mode="update")
 
