@@ -7,8 +7,9 @@ from check_oracle import compare, connect
 from conftest import SMALL
 
 import __spark_entry__ as entry
+from lakeloom import suite
 
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
+QUERIES, ORACLES = suite.all_queries(), suite.all_oracles()
 
 
 @pytest.fixture(scope="module")
