@@ -10,9 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from lakeloom.llm import bpe, contamination, langid, licenses, sharding, simhash, toxicity
+from lakeloom.llm import bpe, contamination, embeddings, extraction, langid, licenses, sharding, simhash, toxicity, warc
 from lakeloom.llm.common import read_table, short_batches
-from lakeloom.session import tune
+from lakeloom.session import scratch_path, tune
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -57,6 +57,30 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+@query("op3_warc")
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to WARC archives and read back: responses with their payloads, revisits by their headers."""
+    path = scratch_path(spark, "warc")
+    warc.archive(read_table(spark, sf_dir, "pages"), path)
+    responses = warc.read(spark, path).where("record_type = 'response'")
+    revisits = warc.read(spark, path, payload=False).where("record_type = 'revisit'")
+    responses = responses.select(
+        F.col("row_id").alias("page_id"),
+        F.octet_length("payload").cast("long").alias("payload_bytes"),
+        warc.payload_digest(F.col("payload")).alias("payload_digest"),
+        "record_type",
+        F.col("refers_to_row").alias("refers_to"),
+    )
+    revisits = revisits.select(
+        F.col("row_id").alias("page_id"),
+        "payload_bytes",
+        "payload_digest",
+        "record_type",
+        F.col("refers_to_row").alias("refers_to"),
+    )
+    return responses.unionByName(revisits)
+
+
 @query("op4_license_scan")
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base phrases and licenses of every document."""
@@ -80,6 +104,18 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op5_embedding_near_dedup")
+def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and group of every embedding."""
+    return embeddings.near_duplicates(read_table(spark, sf_dir, "embeddings"))
+
+
+@query("op6_html_extraction")
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return extraction.extract(read_table(spark, sf_dir, "pages"))
+
+
 @query("op7_language_id")
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document, learned from the labelled folds."""
