@@ -14,9 +14,6 @@ from lakeloom.llm import contamination, langid, queries, simhash, toxicity
 from lakeloom.llm.common import read_table, written
 from lakeloom.session import tune
 
-# Bits per byte at which a text is in no language that was learned: raw bytes take as many.
-RAW_BITS = 8.0
-
 
 def _free(docs: DataFrame, name: str) -> str:
     """A column name that the input does not use, whatever the case of its letters."""
@@ -34,12 +31,11 @@ def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def unreadable_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that was learned stay: texts with a letter whose code is shorter than their raw bytes."""
+    """Documents that have a language stay. Texts without any letter have none (``und``), and so have null and empty ones."""
     labelled = langid.kept_for_learning(read_table(spark, sf_dir, "documents")).select("lang", "text")
     found = _free(docs, "language_found")
     rows = docs.withColumn(found, langid.predict(F.col("text"), langid.learn(labelled)))
-    known = (F.col(f"{found}.lang") != langid.UNKNOWN) & (F.col(f"{found}.bits") < RAW_BITS)
-    return rows.where(known).drop(found)
+    return rows.where(F.col(f"{found}.lang") != langid.UNKNOWN).drop(found)
 
 
 def near_copies_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
