@@ -299,7 +299,7 @@ class WarcReader(DataSourceReader):
                 room = max(self.size, size)
             packed[-1].append(path)
             room -= size
-        return [Files(paths) for paths in packed]
+        return [Files(paths) for paths in packed or [[]]]
 
     def read(self, partition: Files) -> Iterator[pa.RecordBatch]:
         system, _ = file_system(self.path)
