@@ -50,7 +50,8 @@ def category_label(col: Column | str) -> Column:
 
 
 def money(col: Column | str) -> Column:
-    return (F.col(col) if isinstance(col, str) else col).cast("decimal(10,2)")
+    """An amount in cents; one too large to be held is null and does not end the job."""
+    return (F.col(col) if isinstance(col, str) else col).try_cast("decimal(10,2)")
 
 
 def is_email(col: Column | str) -> Column:

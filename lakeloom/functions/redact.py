@@ -38,16 +38,23 @@ FORBIDDEN_ATTRIBUTES = [
     "result_data",
 ]
 
+# Fixed value: letters of the longest error that a run record holds.
 MAX_MESSAGE = 500
 
 
-def redact_message(message: Column | str) -> Column:
-    """Secrets replaced, then cut to the longest message a run record may hold."""
-    text = F.col(message) if isinstance(message, str) else message
+def redact(text: Column | str) -> Column:
+    """A whole text with its secrets replaced."""
+    text = F.col(text) if isinstance(text, str) else text
     for pattern in SECRET_PATTERNS:
         text = F.regexp_replace(text, f"(?i){pattern}", "[REDACTED]")
-    short = F.concat(F.substring(text, 1, MAX_MESSAGE - 3), F.lit("..."))
-    return F.when(F.length(text) > MAX_MESSAGE, short).otherwise(text)
+    return text
+
+
+def redact_message(message: Column | str, longest: int = MAX_MESSAGE) -> Column:
+    """The error of a run record: secrets replaced, then cut to what a record holds."""
+    text = redact(message)
+    short = F.concat(F.substring(text, 1, longest - 3), F.lit("..."))
+    return F.when(F.length(text) > longest, short).otherwise(text)
 
 
 def safe_attributes(attributes: Column | str) -> Column:

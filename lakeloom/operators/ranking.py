@@ -14,15 +14,19 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lakeloom.session import size_bound
-
-ONE_TASK_BYTES = 64 * 1024 * 1024
-IDS_PER_CHUNK = 1_000_000
-
+def with_chunks(
+    df: DataFrame, source: DataFrame, column: str, chunks: int | None = None, least: int = 16
+) -> DataFrame:
+    """Add ``_chunk``: the number of cut points below the row's id.
 
-def fits_one_task(df: DataFrame) -> bool:
-    """True when a frame's files are small enough to be windowed in one task."""
-    return size_bound(df) <= ONE_TASK_BYTES
+    The cuts are quantiles of the ids in ``source``, so chunks are of about equal size, whether ids are dense or sparse.
+    """
+    chunks = max(2, chunks or max(least, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    shares = F.array(*[F.lit(i / chunks) for i in range(1, chunks)])
+    cuts = source.agg(F.percentile_approx(column, shares).alias("c")).scalar()
+    rows = df.withColumn("_cuts", cuts)
+    below = F.size(F.filter("_cuts", lambda c: c < F.col(column)))
+    return rows.withColumn("_chunk", F.coalesce(below, F.lit(0))).drop("_cuts")
 
 
 def rank_desc(
@@ -76,17 +80,14 @@ def row_number_desc(
     out: str,
     within: Sequence[str] = (),
     buckets: int | None = None,
-    ids_per_chunk: int = IDS_PER_CHUNK,
 ) -> DataFrame:
     """``row_number() over (partition by within order by value desc, unique_id)``.
 
-    Ties are cut into chunks of consecutive ids, so a chunk is bounded by its
-    width whatever the number of rows that share a value.
+    Ties are cut at quantiles of the ids there are, so a chunk holds its share of
+    them however far apart the ids are and whatever shares a value.
     """
     within = list(within)
-    ranked = rank_desc(df, value, "_rank", within, buckets).withColumn(
-        "_chunk", F.floor(F.col(unique_id) / ids_per_chunk)
-    )
+    ranked = with_chunks(rank_desc(df, value, "_rank", within, buckets), df, unique_id, buckets)
     ties = [*within, value]
     before = (
         ranked.groupBy(*ties, "_chunk")

@@ -118,32 +118,33 @@ def run_status_since(
     return rows if jobs is None else rows.where(F.col("job").isin(*jobs))
 
 
-def upstream(edges: DataFrame, targets: DataFrame, max_depth: int = 100) -> DataFrame:
-    """All ancestors of each target with their distance.
+def upstream(edges: DataFrame, targets: DataFrame) -> DataFrame:
+    """All ancestors of each given target with their least distance, whatever the depth of the graph.
 
-    One join per level of the graph; each level is written, so a lost executor
-    does not replay the earlier ones. A node is reported at its smallest depth.
+    The result has a row per target and ancestor, so targets are meant to be some nodes and not all. One join per level;
+    each level is written, so a lost executor does not replay the earlier ones. A node that was met on a shorter way is
+    left out, so circles end.
     """
     spark = edges.sparkSession
     path = scratch_path(spark, "upstream")
     links = materialize(edges.select("child", "parent").distinct(), "edges")
     level = targets.select(F.col("node").alias("target"), F.col("node").alias("ancestor"))
     schema = StructType([*level.schema.fields, StructField("depth", IntegerType())])
-    for depth in range(1, max_depth + 1):
+    depth = 0
+    while True:
+        depth += 1
         step = (
             level.join(links, F.col("ancestor") == F.col("child"))
             .select("target", F.col("parent").alias("ancestor"))
             .distinct()
         )
         if depth > 1:
-            known = spark.read.schema(schema).parquet(path)
+            known = spark.read.schema(schema).parquet(path).select("target", "ancestor")
             step = step.join(known, ["target", "ancestor"], "left_anti")
         step.write.parquet(f"{path}/depth={depth}")
-        found = spark.read.schema(schema).parquet(path)
-        level = found.where(F.col("depth") == depth).drop("depth")
+        level = spark.read.schema(step.schema).parquet(f"{path}/depth={depth}")
         if level.isEmpty():
-            return found
-    raise ValueError(f"the graph is deeper than {max_depth}")
+            return spark.read.schema(schema).parquet(path)
 
 
 def schema_facet(df: DataFrame, dataset: str) -> DataFrame:

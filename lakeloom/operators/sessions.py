@@ -1,27 +1,23 @@
 """State carried along an order, without one task per user or per table.
 
-Rows are cut into chunks of consecutive event ids. Ids are unique, so a chunk
-holds at most its width however active a user is. A window inside each chunk
-is completed by the state the earlier chunks end with.
+Rows are cut into chunks at quantiles of the event ids, so a chunk holds its
+share of the rows however active a user is and however far apart the ids are. A
+window inside each chunk is completed by the state the earlier chunks end with.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-IDS_PER_CHUNK = 1_000_000
-
-
-def _chunk(ids_per_chunk: int) -> Column:
-    return F.floor(F.col("event_id") / ids_per_chunk)
+from lakeloom.operators.ranking import with_chunks
 
 
 def sessionize(
     events: DataFrame,
     opens: str = "login",
     closes: str = "logout",
-    ids_per_chunk: int = IDS_PER_CHUNK,
+    chunks: int | None = None,
 ) -> DataFrame:
     """Add ``session_id``, per user in event id order.
 
@@ -32,7 +28,7 @@ def sessionize(
     state = F.when(F.col("event_type") == opens, F.struct(own.alias("id"))).when(
         F.col("event_type") == closes, F.struct(F.lit(None).cast("string").alias("id"))
     )
-    rows = events.withColumns({"_chunk": _chunk(ids_per_chunk), "_state": state})
+    rows = with_chunks(events.withColumn("_state", state), events, "event_id", chunks)
     before = (
         Window.partitionBy("user_id", "_chunk")
         .orderBy("event_id")
@@ -66,13 +62,13 @@ def sessionize(
 
 
 def late_split(
-    events: DataFrame, ts: str, days: int, ids_per_chunk: int = IDS_PER_CHUNK
+    events: DataFrame, ts: str, days: int, chunks: int | None = None
 ) -> DataFrame:
     """Add ``is_late``: older than the newest earlier arrival minus ``days``.
 
     Arrival order is event id order.
     """
-    rows = events.withColumn("_chunk", _chunk(ids_per_chunk))
+    rows = with_chunks(events, events, "event_id", chunks)
     before = (
         Window.partitionBy("_chunk").orderBy("event_id").rowsBetween(Window.unboundedPreceding, -1)
     )

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lakeloom.functions.clean import mismatch
 from lakeloom.operators.joins import shuffled_again
-from lakeloom.operators.ranking import fits_one_task, rank_desc, row_number_desc
+from lakeloom.operators.ranking import rank_desc, row_number_desc
 from lakeloom.session import materialize
 
 # Our own cut points; no published model fixes them.
@@ -262,17 +262,10 @@ def product_metrics(sales: DataFrame) -> DataFrame:
     )
 
 
-def rank_in_category(metrics: DataFrame, products: DataFrame) -> DataFrame:
-    """Position by revenue inside a category, ties by product id.
-
-    One window per category is used only while the product table is small.
-    """
-    out = "revenue_rank_in_category"
-    if fits_one_task(products):
-        order = Window.partitionBy("category").orderBy(F.desc("total_revenue"), "product_id")
-        return metrics.withColumn(out, F.row_number().over(order).cast("bigint"))
+def rank_in_category(metrics: DataFrame) -> DataFrame:
+    """Position by revenue inside a category, ties by product id."""
     return row_number_desc(
-        materialize(metrics, "product-metrics"), "total_revenue", "product_id", out, ["category"]
+        materialize(metrics, "product-metrics"), "total_revenue", "product_id", "revenue_rank_in_category", ["category"]
     )
 
 
@@ -281,7 +274,7 @@ def mart_product_performance(
 ) -> DataFrame:
     metrics = product_metrics(product_sales(products, items, orders))
     names = products.select("product_id", F.col("name").alias("product_name"), "category")
-    return rank_in_category(names.join(metrics, "product_id"), products)
+    return rank_in_category(names.join(metrics, "product_id"))
 
 
 # --- documented models -----------------------------------------------------
@@ -421,21 +414,11 @@ def product_totals(products: DataFrame, items: DataFrame) -> DataFrame:
     )
 
 
-def revenue_ranks(totals: DataFrame, products: DataFrame) -> DataFrame:
+def revenue_ranks(totals: DataFrame) -> DataFrame:
     """Overall and in-category rank by revenue, equal revenue sharing a rank.
 
     ``totals`` is read several times: hand in a written frame.
     """
-    if fits_one_task(products):
-        return totals.withColumn(
-            "revenue_rank",
-            F.rank().over(Window.orderBy(F.desc("total_revenue"))).cast("bigint"),
-        ).withColumn(
-            "category_revenue_rank",
-            F.rank()
-            .over(Window.partitionBy("category").orderBy(F.desc("total_revenue")))
-            .cast("bigint"),
-        )
     overall = rank_desc(totals, "total_revenue", "revenue_rank")
     return rank_desc(overall, "total_revenue", "category_revenue_rank", ["category"])
 
@@ -449,7 +432,7 @@ def mart_product_analytics(products: DataFrame, items: DataFrame) -> DataFrame:
     for name, least in TIER_RATIOS.items():
         tier = tier.when(relative >= least, name)
     listed = F.col("current_price").cast("double")
-    return revenue_ranks(totals, products).select(
+    return revenue_ranks(totals).select(
         *totals.columns,
         tier.otherwise("underperformer").alias("performance_tier"),
         "revenue_rank",

@@ -27,7 +27,7 @@ from pyspark.sql.types import (
 
 from lakeloom.operators.joins import shuffled_again
 from lakeloom.sources.layout import with_partitions
-from lakeloom.sources.snapshots import SnapshotTable
+from lakeloom.sources.datasets import Dataset
 
 NAME = re.compile(r"^[a-zA-Z][a-zA-Z0-9_]*$")
 
@@ -249,8 +249,6 @@ def _direct(measure: Measure, x: Column, p: str) -> list[Column]:
     """Aggregates of one pass; distinct counts need not be mergeable here."""
     if measure.type == "count_distinct":
         return [F.count_distinct(x).alias(f"{p}n")]
-    if measure.type == "count_distinct_approx":
-        return [F.approx_count_distinct(x, 0.02).alias(f"{p}h")]
     return _parts(measure, x, p)
 
 
@@ -259,8 +257,8 @@ def _final(measure: Measure, p: str, sketched: bool) -> Column:
     if kind == "avg":
         n = F.nullif(F.col(f"{p}n"), F.lit(0))
         return F.col(f"{p}s").cast("double") / n
-    if kind == "count_distinct_approx" and sketched:
-        return F.hll_sketch_estimate(f"{p}h")
+    if kind == "count_distinct_approx":
+        return F.coalesce(F.hll_sketch_estimate(f"{p}h"), F.lit(0))
     if kind == "count":
         return F.coalesce(F.col(f"{p}n"), F.lit(0))
     return F.col(f"{p}{PARTS.get(kind, 'v')}")
@@ -670,14 +668,14 @@ def _from_rollup(request: _Request, rollup: Rollup, rows: DataFrame, security):
 
 
 def refresh_rollup(
-    table: SnapshotTable, cube: Cube, rollup: Rollup, base: DataFrame, arrived: DataFrame
+    table: Dataset, cube: Cube, rollup: Rollup, base: DataFrame, arrived: DataFrame
 ) -> None:
     """Recompute the stored partitions that new base rows fall into, and no others."""
     field = table.partition_by[0]
     instant = F.expr(cube.dimension(rollup.time_dimension).sql)
-    stamped = [df.withColumn(field.column, instant) for df in (arrived, base)]
-    keys = [with_partitions(df, [field]) for df in stamped]
-    # One value per partition of the rollup.
-    touched = [r[0] for r in keys[0].select(field.name).distinct().collect()]
-    rows = keys[1].where(F.col(field.name).isin(*touched)).select(*base.columns)
+    arrived, base_keys = (
+        with_partitions(df.withColumn(field.column, instant), [field]) for df in (arrived, base)
+    )
+    touched = arrived.select(field.name).distinct()
+    rows = base_keys.join(touched, field.name, "left_semi").select(*base.columns)
     table.overwrite_partitions(build_rollup(cube, rollup, rows))

@@ -20,13 +20,14 @@ TUNING = {
 }
 
 
-def build_session(app: str = "lakeloom", cores: str = "*", partitions: int = 8) -> SparkSession:
-    """Local session for tests and the benchmark; a cluster brings its own."""
+def build_session(app: str, scratch: str, cores: str = "*", partitions: int = 8) -> SparkSession:
+    """Local session for tests and the benchmark, with ``scratch`` as its shared folder; a cluster brings its own."""
     builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.checkpoint.dir", scratch)
         .config("spark.sql.shuffle.partitions", str(partitions))
         # Small local files are still split over the cores.
         .config("spark.sql.files.openCostInBytes", str(1024 * 1024))
@@ -48,7 +49,7 @@ def tune(spark: SparkSession) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach, as named by ``spark.checkpoint.dir``.
 
-    Only a local-mode session may fall back to a folder of this machine.
+    Only a local-mode session that does not name one gets a folder of this machine.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if base is None:
@@ -65,12 +66,6 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def size_bound(df: DataFrame) -> int:
-    """Bytes Catalyst expects of a frame, from file sizes; no job is run."""
-    stats = df._jdf.queryExecution().optimizedPlan().stats()
-    return int(str(stats.sizeInBytes()))
-
-
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write a frame that is used several times to the shared folder and read it back.
 

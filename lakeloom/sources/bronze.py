@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 # Raw spellings per order status letter, chosen by order key modulo 4.
 STATUS_SPELLINGS = {
@@ -24,15 +23,9 @@ CATEGORY_BY_TYPE = {
 }
 
 
-_SCHEMAS: dict[str, StructType] = {}
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A given table. Its footer is read for the schema once, not on every use."""
-    path = f"{sf_dir}/{name}.parquet"
-    if path not in _SCHEMAS:
-        _SCHEMAS[path] = spark.read.parquet(path).schema
-    return spark.read.schema(_SCHEMAS[path]).parquet(path)
+    """A given table, with the columns its files have now."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _pick(selector: Column, options: dict[str, Column]) -> Column:
@@ -44,11 +37,11 @@ def _pick(selector: Column, options: dict[str, Column]) -> Column:
 
 def raw_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     nation = table(spark, sf_dir, "nation").join(
-        table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")
+        table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"), "left"
     )
     return (
         table(spark, sf_dir, "customer")
-        .join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
+        .join(nation, F.col("c_nationkey") == F.col("n_nationkey"), "left")
         .select(
             F.col("c_custkey").alias("customer_id"),
             F.col("c_name").alias("name"),
@@ -66,6 +59,7 @@ def raw_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def raw_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every order; one whose customer is not known has no region."""
     region = raw_customers(spark, sf_dir).select("customer_id", "region")
     spelled = {
         letter: F.element_at(
@@ -75,10 +69,10 @@ def raw_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     }
     return (
         table(spark, sf_dir, "orders")
-        .join(region, F.col("o_custkey") == F.col("customer_id"))
+        .join(region, F.col("o_custkey") == F.col("customer_id"), "left")
         .select(
             F.col("o_orderkey").alias("order_id"),
-            "customer_id",
+            F.col("o_custkey").alias("customer_id"),
             _pick(F.col("o_orderstatus"), spelled).alias("status"),
             "region",
             F.col("o_totalprice").alias("total_amount"),
@@ -106,7 +100,7 @@ def raw_order_items(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_partkey").alias("product_id"),
         F.col("l_quantity").cast("bigint").alias("quantity"),
         (
-            F.expr("cast(round(l_extendedprice * 100) as bigint) div cast(l_quantity as bigint)")
+            F.expr("cast(round(l_extendedprice * 100) as bigint) div nullif(cast(l_quantity as bigint), 0)")
             / F.lit(100.0)
         ).alias("price"),
         F.col("l_shipdate").alias("created_at"),

@@ -12,12 +12,14 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from lakeloom.operators.joins import shuffled_again
 from lakeloom.operators.runs import EVENT_SCHEMA, run_status_since
 from lakeloom.operators.sessions import sessionize
-from lakeloom.sources.snapshots import LOG_SCHEMA, SnapshotTable
+from lakeloom.session import materialize
+from lakeloom.sources.datasets import BATCH, Dataset
+from lakeloom.sources.layout import PartitionField, with_partitions
 
 Handler = Callable[[DataFrame, int], None]
 
@@ -46,9 +48,9 @@ def each_batch(
 
 
 def ingest(
-    stream: DataFrame, table: SnapshotTable, checkpoint: str, every: str | None = None
+    stream: DataFrame, table: Dataset, checkpoint: str, every: str | None = None
 ) -> StreamingQuery:
-    """Append every batch to a table."""
+    """Append every batch to a folder of its own."""
 
     def handle(batch: DataFrame, number: int) -> None:
         table.append(batch, batch=f"ingest-{number}")
@@ -56,145 +58,168 @@ def ingest(
     return each_batch(stream, checkpoint, handle, every)
 
 
-def on_commit(
-    table: SnapshotTable,
-    checkpoint: str,
-    handle: Callable[[DataFrame, int], None],
-    every: str | None = None,
-) -> StreamingQuery:
-    """Call ``handle(new_rows, snapshot_id)`` for every snapshot the table gains.
-
-    The commit log is the stream, one log file per batch, so files of a write
-    that never committed are not seen.
-    """
-    log = file_stream(table.spark, f"{table.path}/log", LOG_SCHEMA, files_per_batch=1)
-
-    def each(batch: DataFrame, _: int) -> None:
-        new = batch.where("operation in ('append', 'overwrite', 'overwrite_partitions', 'merge')")
-        for row in new.orderBy("snapshot_id").collect():  # one log row
-            handle(table.added(row), row.snapshot_id)
-
-    return each_batch(log, checkpoint, each, every)
+def arrivals(source: Dataset, files_per_batch: int | None = None) -> DataFrame:
+    """Rows of a dataset as its files arrive: a new load of the layer below triggers the job above."""
+    schema = StructType(source.schema().fields + [StructField(n, StringType()) for n in source.folders])
+    return file_stream(source.spark, source.path, schema, files_per_batch=files_per_batch).drop(*source.folders)
 
 
 def refine(
-    source: SnapshotTable,
+    source: Dataset,
     transform: Callable[[DataFrame], DataFrame],
-    target: SnapshotTable,
+    target: Dataset,
     checkpoint: str,
+    files_per_batch: int | None = None,
 ) -> StreamingQuery:
-    """Run a layer for the rows each new snapshot of the layer below brings."""
+    """Run a layer for the rows each new load of the layer below brings."""
 
-    def handle(rows: DataFrame, snapshot_id: int) -> None:
-        target.append(transform(rows), batch=f"refine-{snapshot_id}")
+    def handle(rows: DataFrame, number: int) -> None:
+        target.append(transform(rows), batch=f"refine-{number}")
 
-    return on_commit(source, checkpoint, handle)
+    return each_batch(arrivals(source, files_per_batch), checkpoint, handle)
+
+
+def _before(table: Dataset, tag: str, number: int) -> DataFrame | None:
+    """The rows that the batch before this one left in a folder of its own."""
+    if not table.exists():
+        return None
+    return table.rows().where(F.col(BATCH) == f"{tag}-{number - 1}").drop(BATCH)
 
 
 def merge_late(
-    source: SnapshotTable,
-    target: SnapshotTable,
-    rejected: SnapshotTable,
+    source: Dataset,
+    target: Dataset,
+    rejected: Dataset,
+    newest: Dataset,
     keys: Sequence[str],
     ts: str,
     days: int,
     checkpoint: str,
+    files_per_batch: int | None = None,
 ) -> StreamingQuery:
-    """Upsert new rows; those more than ``days`` behind the newest known time go aside."""
+    """Upsert new rows; those more than ``days`` behind the newest known time go aside.
 
-    def handle(rows: DataFrame, snapshot_id: int) -> None:
-        tag = f"merge-{snapshot_id}"
-        accepted = rows
-        if target.current() is not None:
-            newest = target.scan(columns=[ts]).agg(F.max(ts)).scalar()
-            late = F.col(ts) < newest - F.make_dt_interval(F.lit(days))
-            # Written first: once the merge commits, the newest time has moved on.
-            rejected.append(rows.where(late), batch=tag)
-            accepted = rows.where(~late)
-        target.merge(accepted, keys, ts, batch=tag)
+    ``newest`` holds one row per batch, the newest time up to it; only the last one is read. A key's rows lie within ``days`` of each
+    other, so target partitions that are older than that are not read.
+    """
+
+    def handle(rows: DataFrame, number: int) -> None:
+        rows = materialize(rows, "arrived")
+        mark = _before(newest, "merge", number)
+        known = mark.first() if mark is not None else None
+        accepted, reach = rows, None
+        if known is not None and known.newest is not None:
+            limit = F.lit(str(known.newest)).cast("timestamp_ntz") - F.make_dt_interval(F.lit(days))
+            late = F.coalesce(F.col(ts) < limit, F.lit(False))
+            rejected.append(rows.where(late), batch=f"merge-{number}")
+            accepted, reach = rows.where(~late), F.col(ts) >= limit
+        target.merge(accepted, keys, ts, reach)
+        last = F.lit(str(known.newest) if known is not None and known.newest is not None else None).cast("timestamp_ntz")
+        newest.append(rows.agg(F.greatest(F.max(ts), last).alias("newest")), batch=f"merge-{number}")
 
-    return on_commit(source, checkpoint, handle)
+    return each_batch(arrivals(source, files_per_batch), checkpoint, handle)
 
 
 def rollup_by_day(
-    stream: DataFrame, ts: str, dimensions: Sequence[str], delay: str, table: SnapshotTable, checkpoint: str
+    stream: DataFrame, ts: str, dimensions: Sequence[str], table: Dataset, checkpoint: str
 ) -> StreamingQuery:
-    """Daily counts kept up to date; each batch upserts the days it changed."""
-    counts = (
-        stream.withColumn(ts, F.col(ts).cast("timestamp"))
-        .withWatermark(ts, delay)
-        .groupBy(F.window(ts, "1 day"), *dimensions)
-        .agg(F.count("*").alias("n"))
-        .select(F.col("window.start").cast("timestamp_ntz").alias("day"), *dimensions, "n")
-    )
+    """Daily counts of each batch, in a folder of its own. No state and no watermark: a row counts however late it comes."""
 
     def handle(batch: DataFrame, number: int) -> None:
-        # Read several times by the merge; without this the state would be updated each time.
-        changed = batch.withColumn("batch", F.lit(number)).persist()
-        try:
-            table.merge(changed, ["day", *dimensions], "batch", batch=f"rollup-{number}")
-        finally:
-            changed.unpersist()
+        day = F.date_trunc("day", F.col(ts).cast("timestamp_ntz")).cast("timestamp_ntz")
+        counts = batch.groupBy(day.alias("day"), *dimensions).agg(F.count("*").alias("n"))
+        table.append(counts, batch=f"rollup-{number}")
+
+    return each_batch(stream, checkpoint, handle)
 
-    return each_batch(counts, checkpoint, handle, mode="update")
+
+def rollup_total(table: Dataset, dimensions: Sequence[str]) -> DataFrame:
+    """The counts of all batches together."""
+    return table.scan().groupBy("day", *dimensions).agg(F.sum("n").alias("n"))
 
 
 def dedupe(
-    stream: DataFrame, keys: Sequence[str], ts: str, delay: str, table: SnapshotTable, checkpoint: str
+    stream: DataFrame, keys: Sequence[str], ts: str, delay_days: int, table: Dataset, checkpoint: str
 ) -> StreamingQuery:
-    """Append rows whose key was not seen within the delay."""
-    once = (
-        stream.withColumn(ts, F.col(ts).cast("timestamp"))
-        .withWatermark(ts, delay)
-        .dropDuplicatesWithinWatermark(list(keys))
-    )
-    return ingest(once.withColumn(ts, F.col(ts).cast("timestamp_ntz")), table, checkpoint)
+    """Append rows whose key was not seen before. Copies come within ``delay_days`` of each other's time, so only stored rows
+    from that long before the batch's earliest time are compared; a late row that is no copy is kept."""
+
+    def handle(batch: DataFrame, number: int) -> None:
+        tag = f"once-{number}"
+        batch = materialize(batch.dropDuplicates(list(keys)), "arrived")
+        if table.exists():
+            earliest = batch.agg(F.min(ts)).scalar() - F.make_dt_interval(F.lit(delay_days))
+            seen = table.rows().where((F.col(BATCH) != tag) & (F.col(ts) >= earliest)).select(*keys)
+            batch = batch.join(shuffled_again(seen, keys[0]), list(keys), "left_anti")
+        table.append(batch, batch=tag)
+
+    return each_batch(stream, checkpoint, handle)
+
+
+# Folders that the state of sessions is spread over; a batch rewrites those of its users.
+STATE_FOLDERS = 64
+
+
+def session_state(spark: SparkSession, path: str, folders: int = STATE_FOLDERS) -> Dataset:
+    """One row per user: the session left open, and the one before the batch that changed it last."""
+    return Dataset(spark, path, [PartitionField("user_id", "bucket", folders)])
 
 
 def sessions(
-    source: SnapshotTable,
-    target: SnapshotTable,
-    state: SnapshotTable,
+    source: Dataset,
+    target: Dataset,
+    state: Dataset,
     checkpoint: str,
     opens: str = "login",
     closes: str = "logout",
+    files_per_batch: int | None = None,
 ) -> StreamingQuery:
     """Session ids across batches: the last state of each user is carried in a table.
 
     Kept as a table and not as keyed streaming state, because a batch of one
-    very active user is then still cut into chunks.
+    very active user is then still cut into chunks. A batch that is run again
+    finds the state from before its first run.
     """
 
-    def handle(rows: DataFrame, snapshot_id: int) -> None:
-        tag = f"sessions-{snapshot_id}"
+    def handle(rows: DataFrame, number: int) -> None:
         columns = ["event_id", "user_id", "event_type", "timestamp"]
-        local = sessionize(rows.select(*columns), opens, closes)
+        rows = materialize(rows.select(*columns), "arrived")
+        local = sessionize(rows, opens, closes)
         # A user's first state change in the batch ends what earlier batches left open.
-        changes = rows.where(F.col("event_type").isin(opens, closes))
-        user_rows = changes.groupBy("user_id").agg(F.min("event_id").alias("_first"))
-        if state.current() is None:
-            user_rows = user_rows.withColumn("_open", F.lit(None).cast("string"))
+        changes = rows.where(F.col("event_type").isin(opens, closes)).groupBy("user_id").agg(
+            F.min("event_id").alias("_first"),
+            F.max("event_id").alias("_last"),
+            F.max_by("event_type", "event_id").alias("_kind"),
+        )
+        users = rows.select("user_id").distinct().join(changes, "user_id", "left")
+        if state.exists():
+            known = state.rows()
+            folder = [f.name for f in state.partition_by]
+            mine = with_partitions(users.select("user_id"), state.partition_by).select(*folder).distinct()
+            known = materialize(known.join(mine, folder, "left_semi").drop(*folder), "known-state")
         else:
-            left_open = state.scan().groupBy("user_id").agg(
-                F.max_by("session_id", "event_id").alias("_open")
-            )
-            user_rows = user_rows.join(left_open, "user_id", "full")
+            known = rows.sparkSession.createDataFrame([], "user_id bigint, batch bigint, session_id string, earlier string")
+        left_open = F.when(F.col("batch") == number, F.col("earlier")).otherwise(F.col("session_id"))
+        users = materialize(
+            users.join(known.select("user_id", left_open.alias("_open")), "user_id", "left"), "batch-users"
+        )
         before = F.col("_first").isNull() | (F.col("event_id") < F.col("_first"))
         ends = (F.col("event_id") == F.col("_first")) & (F.col("event_type") == closes)
-        done = local.join(shuffled_again(user_rows, "user_id"), "user_id", "left").withColumn(
+        done = local.join(users, "user_id", "left").withColumn(
             "session_id", F.when(before | ends, F.col("_open")).otherwise(F.col("session_id"))
         )
-        target.append(done.select(*columns, "session_id"), batch=tag)
-        left = changes.groupBy("user_id").agg(
-            F.max("event_id").alias("event_id"), F.max_by("event_type", "event_id").alias("kind")
-        )
-        opened = F.concat(F.lit("sess_"), F.col("event_id").cast("string"))
-        state.append(
-            left.select("user_id", "event_id", F.when(F.col("kind") == opens, opened).alias("session_id")),
-            batch=tag,
+        target.append(done.select(*columns, "session_id"), batch=f"sessions-{number}")
+        opened = F.concat(F.lit("sess_"), F.col("_last").cast("string"))
+        changed = users.where("_first is not null").select(
+            "user_id",
+            F.lit(number).cast("bigint").alias("batch"),
+            F.when(F.col("_kind") == opens, opened).alias("session_id"),
+            F.col("_open").alias("earlier"),
         )
+        same = known.join(changed.select("user_id"), "user_id", "left_anti").select(*changed.columns)
+        state.overwrite_partitions(same.unionByName(changed))
 
-    return on_commit(source, checkpoint, handle)
+    return each_batch(arrivals(source, files_per_batch), checkpoint, handle)
 
 
 def watch_runs(spark: SparkSession, log_path: str, status: str, jobs: Sequence[str] | None = None) -> DataFrame:

@@ -10,8 +10,8 @@ _DEFS = {
                ' ' || upper(replace(c_name, '#', '.')) || '@Example.com ' AS email,
                r_name AS region,
                TIMESTAMP '1994-01-01 00:00:00' + to_days(CAST(c_custkey % 365 AS INTEGER)) AS created_at
-        FROM customer JOIN nation ON c_nationkey = n_nationkey
-        JOIN region ON n_regionkey = r_regionkey""",
+        FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey
+        LEFT JOIN region ON n_regionkey = r_regionkey""",
     "raw_orders": """
         SELECT o_orderkey AS order_id, o_custkey AS customer_id,
                CASE o_orderstatus
@@ -20,7 +20,7 @@ _DEFS = {
                  WHEN 'P' THEN (['cancelled', 'Canceled', 'error', 'on_hold'])[CAST(o_orderkey % 4 AS INTEGER) + 1]
                END AS status,
                c.region, o_totalprice AS total_amount, o_orderdate AS created_at
-        FROM orders JOIN raw_customers c ON o_custkey = c.customer_id""",
+        FROM orders LEFT JOIN raw_customers c ON o_custkey = c.customer_id""",
     "raw_products": """
         SELECT p_partkey AS product_id, ' ' || p_name AS name,
                CASE p_type WHEN 'STANDARD' THEN 'electronics' WHEN 'ECONOMY' THEN 'Clothing'
@@ -31,7 +31,7 @@ _DEFS = {
     "raw_order_items": """
         SELECT l_orderkey * 10 + l_linenumber AS order_item_id, l_orderkey AS order_id,
                l_partkey AS product_id, CAST(l_quantity AS BIGINT) AS quantity,
-               (CAST(round(l_extendedprice * 100) AS BIGINT) // CAST(l_quantity AS BIGINT)) / 100.0::DOUBLE AS price,
+               (CAST(round(l_extendedprice * 100) AS BIGINT) // nullif(CAST(l_quantity AS BIGINT), 0)) / 100.0::DOUBLE AS price,
                l_shipdate AS created_at
         FROM lineitem""",
     "raw_events": """

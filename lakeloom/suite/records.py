@@ -11,7 +11,7 @@ from lakeloom.operators import partitions, runs
 from lakeloom.session import scratch_path
 from lakeloom.sources.layout import PartitionField
 from lakeloom.sources.scan import in_partition
-from lakeloom.sources.snapshots import SnapshotTable
+from lakeloom.sources.datasets import Dataset
 from lakeloom.suite.base import Tables, query
 from lakeloom.suite.ctes import define, sql
 
@@ -123,7 +123,7 @@ def backfill_run(t: Tables) -> DataFrame:
     years = partitions.time_keys_of(t.given("orders"), "o_orderdate", "month", "yyyy")
     keys = years.groupBy("partition_key").agg(F.floor(F.min("index") / 12).alias("index"))
     field = PartitionField("o_orderdate", "year")
-    table = SnapshotTable(t.spark, scratch_path(t.spark, "backfill"), [field])
+    table = Dataset(t.spark, scratch_path(t.spark, "backfill"), [field])
     orders = t.given("orders")
 
     def load(batch: list[str]) -> None:
@@ -155,7 +155,7 @@ def missing_partitions(t: Tables) -> DataFrame:
 )
 def partition_isolation(t: Tables) -> DataFrame:
     """A second run for one month doubles its amounts and touches nothing else."""
-    table = SnapshotTable(
+    table = Dataset(
         t.spark, scratch_path(t.spark, "isolation"), [PartitionField("o_orderdate", "month")]
     )
     orders = t.given("orders").select("o_orderkey", "o_orderdate", "o_totalprice")
@@ -236,7 +236,7 @@ def run_status_since(t: Tables) -> DataFrame:
 def run_events(t: Tables) -> DataFrame:
     """One step that completes and one that fails; the secret in its error is removed."""
     log = runs.RunLog(t.spark, scratch_path(t.spark, "runs"))
-    table = SnapshotTable(t.spark, scratch_path(t.spark, "customers"))
+    table = Dataset(t.spark, scratch_path(t.spark, "customers"))
     with log.asset_run("customers", outputs=["bronze.customers"]) as run:
         run.n_rows = table.append(t.given("customer")).n_rows
     try:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lakeloom.functions import clean, temporal
 from lakeloom.functions.draws import draw, draw_int, weighted
-from lakeloom.functions.redact import FORBIDDEN_ATTRIBUTES, SECRET_PATTERNS, redact_message, safe_attributes
+from lakeloom.functions.redact import FORBIDDEN_ATTRIBUTES, SECRET_PATTERNS, redact, safe_attributes
 from lakeloom.operators import generate, quality, sessions
 from lakeloom.suite.base import Tables, query
 from lakeloom.suite.ctes import define, sql
@@ -111,11 +111,10 @@ for _pattern in SECRET_PATTERNS:
 
 @query(
     "redact_messages",
-    f"""SELECT id, CASE WHEN length(m) > 500 THEN substr(m, 1, 497) || '...' ELSE m END AS message
-        FROM (SELECT id, {_REDACTED} AS m FROM {_MESSAGE_SQL})""",
+    f"SELECT id, {_REDACTED} AS message FROM {_MESSAGE_SQL}",
 )
 def redact_messages(t: Tables) -> DataFrame:
-    """Document texts and made-up error messages that carry secrets."""
+    """Whole document texts, and error messages made of customers, that carry secrets."""
     texts = t.given("documents").select(
         F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("id"), F.col("text").alias("message")
     )
@@ -132,7 +131,7 @@ def redact_messages(t: Tables) -> DataFrame:
             F.lit("x"),
         ).alias("message"),
     )
-    return texts.unionByName(errors).select("id", redact_message("message").alias("message"))
+    return texts.unionByName(errors).select("id", redact("message").alias("message"))
 
 
 _FORBIDDEN = " OR ".join(f"contains(lower(k), '{word}')" for word in FORBIDDEN_ATTRIBUTES)

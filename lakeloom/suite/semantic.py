@@ -13,7 +13,7 @@ from lakeloom.plans.cubes import CUBES, CUSTOMERS, ORDERS
 from lakeloom.plans.metrics import SecurityContext, cube_from_schema
 from lakeloom.session import scratch_path
 from lakeloom.sources.layout import PartitionField
-from lakeloom.sources.snapshots import SnapshotTable
+from lakeloom.sources.datasets import Dataset
 from lakeloom.suite.base import Tables, query
 from lakeloom.suite.ctes import sql
 
@@ -404,7 +404,7 @@ def rollup_customers_by_region(t: Tables) -> DataFrame:
 
 
 def _stored_rollup(t: Tables) -> DataFrame:
-    table = SnapshotTable(t.spark, scratch_path(t.spark, "rollup"))
+    table = Dataset(t.spark, scratch_path(t.spark, "rollup"))
     table.overwrite(metrics.build_rollup(ORDERS, DAY, t.stg("orders")))
     return table.scan()
 
@@ -449,7 +449,7 @@ def rollup_refresh(t: Tables) -> DataFrame:
     old = orders.where("created_at < timestamp_ntz'2000-06-01'")
     arrived = orders.where("created_at >= timestamp_ntz'2000-06-01'")
     path = scratch_path(t.spark, "refresh")
-    table = SnapshotTable(t.spark, path, [PartitionField("createdAt", "year")])
+    table = Dataset(t.spark, path, [PartitionField("createdAt", "year")])
     table.append(metrics.build_rollup(ORDERS, DAY, old))
     metrics.refresh_rollup(table, ORDERS, DAY, orders, arrived)
     return metrics.finish_rollup(ORDERS, DAY, table.scan()).select(

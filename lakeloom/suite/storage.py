@@ -1,15 +1,16 @@
-"""Scans, sinks, layouts, snapshots and table maintenance."""
+"""Scans, sinks, layouts, loads and upserts."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lakeloom.session import scratch_path
 from lakeloom.sources import layout, scan
 from lakeloom.sources.layout import PartitionField
-from lakeloom.sources.snapshots import (
-    SnapshotTable,
+from lakeloom.sources.datasets import (
+    BATCH,
+    Dataset,
     high_water,
     materialize_report,
     upsert,
@@ -24,8 +25,8 @@ OLD = f"o_orderdate < timestamp_ntz'{SPLIT}'"
 OLD_SQL = f"o_orderdate < TIMESTAMP '{SPLIT}'"
 
 
-def fresh(t: Tables, name: str, *partition_by: PartitionField) -> SnapshotTable:
-    return SnapshotTable(t.spark, scratch_path(t.spark, name), partition_by)
+def fresh(t: Tables, name: str, *partition_by: PartitionField) -> Dataset:
+    return Dataset(t.spark, scratch_path(t.spark, name), partition_by)
 
 
 # --- scans -----------------------------------------------------------------
@@ -147,7 +148,7 @@ def write_table_query(t: Tables) -> DataFrame:
     path = scratch_path(t.spark, "write")
     write_table(t.spark, path, t.given("orders").where(OLD))
     write_table(t.spark, path, t.given("orders").where(f"not ({OLD})"), mode="append")
-    return SnapshotTable(t.spark, path).scan()
+    return Dataset(t.spark, path).scan()
 
 
 @query("write_layer", "SELECT c_custkey, c_name FROM customer")
@@ -155,14 +156,13 @@ def write_layer(t: Tables) -> DataFrame:
     layers = {"bronze": scratch_path(t.spark, "bronze"), "gold": scratch_path(t.spark, "gold")}
     path = scan.layer_path(layers, "gold", "customer")
     write_table(t.spark, path, t.given("customer").select("c_custkey", "c_name"))
-    return SnapshotTable(t.spark, path).scan()
+    return Dataset(t.spark, path).scan()
 
 
 @query(
     "materialize_report",
-    """SELECT 'demo.orders' AS "table", count(*) AS n_rows, 1 AS snapshot_id, 'append' AS write_mode,
-              false AS schema_evolved FROM orders
-       UNION ALL SELECT 'demo.orders', count(*), 2, 'overwrite', true FROM orders""",
+    """SELECT 'demo.orders' AS "table", count(*) AS n_rows, 'append' AS write_mode, false AS schema_evolved FROM orders
+       UNION ALL SELECT 'demo.orders', count(*), 'overwrite', true FROM orders""",
 )
 def materialize_report_query(t: Tables) -> DataFrame:
     path, orders = scratch_path(t.spark, "report"), t.given("orders")
@@ -173,7 +173,7 @@ def materialize_report_query(t: Tables) -> DataFrame:
     ]
     return t.spark.createDataFrame(
         reports,
-        "table string, n_rows bigint, snapshot_id bigint, write_mode string, schema_evolved boolean",
+        "table string, n_rows bigint, write_mode string, schema_evolved boolean",
     )
 
 
@@ -226,9 +226,8 @@ def append_batches(t: Tables) -> DataFrame:
     table, orders = fresh(t, "batches"), t.given("orders")
     for status in ("F", "O", "P"):
         table.append(orders.where(F.col("o_orderstatus") == status), batch=f"status-{status}")
-    table.append(orders, batch="status-F")  # a repeated batch is not written again
-    commits = table.snapshots()
-    return commits.agg(F.count("*").alias("n_batches"), F.sum("n_rows").alias("n_rows"))
+    table.append(orders.where("o_orderstatus = 'F'"), batch="status-F")  # a repeated batch replaces itself
+    return table.partitions().agg(F.count("*").alias("n_batches"), F.sum("n_rows").alias("n_rows"))
 
 
 @query("ctas", sql("SELECT customer_id, name, email FROM stg_customers"))
@@ -315,26 +314,43 @@ def inspect_partitions(t: Tables) -> DataFrame:
     return table.partitions().select(F.col(field.name).alias("part"), "n_rows")
 
 
-# --- snapshots -------------------------------------------------------------
+# --- loads -----------------------------------------------------------------
+# Each load is a folder of its own, so earlier states are plain filters on it.
 
 
-def _two_commits(t: Tables, name: str) -> SnapshotTable:
-    table, orders = fresh(t, name), t.given("orders")
-    table.append(orders.where(OLD))
-    table.append(orders.where(f"not ({OLD})"))
+def _loads(t: Tables, name: str, *parts: DataFrame) -> Dataset:
+    table = fresh(t, name)
+    for number, part in enumerate(parts, 1):
+        table.append(part, batch=str(number))
     return table
 
 
+def _two_loads(t: Tables, name: str) -> Dataset:
+    orders = t.given("orders")
+    return _loads(t, name, orders.where(OLD), orders.where(f"not ({OLD})"))
+
+
+def _load() -> Column:
+    return F.col(BATCH).cast("bigint")
+
+
 @query("time_travel_id", f"SELECT {ORDER_COLUMNS} FROM orders WHERE {OLD_SQL}")
 def time_travel_id(t: Tables) -> DataFrame:
-    return _two_commits(t, "travel").scan(snapshot_id=1)
+    """The rows up to the first load."""
+    return _two_loads(t, "travel").rows().where(_load() <= 1).drop(BATCH)
 
 
 @query("time_travel_ts", f"SELECT {ORDER_COLUMNS} FROM orders WHERE {OLD_SQL}")
 def time_travel_ts(t: Tables) -> DataFrame:
-    table = _two_commits(t, "travel")
-    first = table.snapshots().where("snapshot_id = 1").first()
-    return table.scan(as_of=first.committed_at)
+    """The rows in files that were there when the first load had ended."""
+    rows = _two_loads(t, "travel").rows()
+    written = F.col("_metadata.file_modification_time")
+    ended = rows.where(_load() == 1).agg(F.max(written)).scalar()
+    return rows.where(written <= ended).drop(BATCH)
+
+
+def _history(table: Dataset) -> DataFrame:
+    return table.partitions().select(_load().alias("snapshot_id"), F.lit("append").alias("operation"), "n_rows")
 
 
 @query(
@@ -343,7 +359,8 @@ def time_travel_ts(t: Tables) -> DataFrame:
         UNION ALL SELECT 1, 'append', count(*) FROM orders WHERE {OLD_SQL}""",
 )
 def list_snapshots(t: Tables) -> DataFrame:
-    return _two_commits(t, "list").list_snapshots(10).drop("committed_at")
+    """Loads, newest first."""
+    return _history(_two_loads(t, "list")).orderBy(F.desc("snapshot_id"))
 
 
 @query(
@@ -351,16 +368,13 @@ def list_snapshots(t: Tables) -> DataFrame:
     f"SELECT 2 AS snapshot_id, 'append' AS operation, count(*) AS n_rows FROM orders WHERE NOT {OLD_SQL}",
 )
 def current_snapshot(t: Tables) -> DataFrame:
-    return _two_commits(t, "current").list_snapshots(1).drop("committed_at")
+    return _history(_two_loads(t, "current")).orderBy(F.desc("snapshot_id")).limit(1)
 
 
-def _by_status(t: Tables, name: str) -> SnapshotTable:
-    """Three appends, then an overwrite by the finished orders."""
-    table, orders = fresh(t, name), t.given("orders")
-    for status in ("F", "O", "P"):
-        table.append(orders.where(F.col("o_orderstatus") == status))
-    table.overwrite(orders.where("o_orderstatus = 'F'"))
-    return table
+def _by_status(t: Tables, name: str) -> Dataset:
+    """A load for each status, then the finished orders once more."""
+    orders = t.given("orders")
+    return _loads(t, name, *[orders.where(F.col("o_orderstatus") == s) for s in ("F", "O", "P", "F")])
 
 
 @query(
@@ -369,8 +383,9 @@ def _by_status(t: Tables, name: str) -> SnapshotTable:
               count(*) AS n_rows FROM orders WHERE o_orderstatus IN ('F', 'O') GROUP BY 1""",
 )
 def expire_snapshots(t: Tables) -> DataFrame:
-    """The snapshots an expiry that retains the last two takes away."""
-    return _by_status(t, "expire").expirable(retain_last=2)
+    """The loads that a rule which keeps the last two takes away."""
+    history = _history(_by_status(t, "expire"))
+    return history.where(F.col("snapshot_id") <= history.agg(F.max("snapshot_id") - 2).scalar())
 
 
 @query(
@@ -379,22 +394,19 @@ def expire_snapshots(t: Tables) -> DataFrame:
               count(*) AS n_rows FROM orders GROUP BY 1""",
 )
 def vacuum_plan(t: Tables) -> DataFrame:
-    """Snapshots whose files nothing reads once only the last one is kept."""
-    table = _by_status(t, "vacuum")
-    table.expire(retain_last=1)
-    plan = table.unreferenced()
-    table.vacuum()
-    return plan
+    """Loads that nothing reads once the last one holds all there is."""
+    history = _history(_by_status(t, "vacuum")).drop("operation")
+    return history.where(F.col("snapshot_id") < history.agg(F.max("snapshot_id")).scalar())
 
 
 @query("compact_files", f"SELECT {ORDER_COLUMNS} FROM orders")
 def compact_files(t: Tables) -> DataFrame:
-    """Ten small commits become one; the rows stay the same."""
-    table, orders = fresh(t, "compact"), t.given("orders")
-    for part in range(10):
-        table.append(orders.where(F.pmod("o_custkey", F.lit(10)) == part))
-    table.compact(min_commits=10)
-    return table.scan()
+    """Ten small loads are rewritten as one; the rows stay the same."""
+    orders = t.given("orders")
+    small = _loads(t, "small", *[orders.where(F.pmod("o_custkey", F.lit(10)) == i) for i in range(10)])
+    large = fresh(t, "compact")
+    large.append(small.scan().hint("rebalance"))
+    return large.scan()
 
 
 # --- upserts ---------------------------------------------------------------
@@ -424,18 +436,24 @@ def _updates(t: Tables) -> DataFrame:
 @query(
     "merge_upsert",
     sql(
-        """SELECT o.order_id, o.customer_id, coalesce(u.status, o.status) AS status,
-                  coalesce(u.created_at, o.created_at) AS created_at,
-                  CAST(o.total_amount AS DOUBLE) AS total_amount
-           FROM stg_orders o LEFT JOIN order_updates u ON o.order_id = u.order_id"""
+        """WITH target AS (
+             SELECT order_id, customer_id, status, created_at, total_amount FROM stg_orders
+             UNION ALL SELECT order_id, customer_id, status, created_at, total_amount FROM stg_orders WHERE order_id % 7 = 0
+             UNION ALL SELECT NULL, customer_id, status, created_at, total_amount FROM stg_orders WHERE order_id % 11 = 0)
+           SELECT order_id, customer_id, status, created_at, CAST(total_amount AS DOUBLE) AS total_amount FROM target
+           WHERE order_id IS NULL OR order_id NOT IN (SELECT order_id FROM order_updates)
+           UNION ALL SELECT order_id, customer_id, status, created_at, CAST(total_amount AS DOUBLE) FROM order_updates"""
     ),
 )
 def merge_upsert(t: Tables) -> DataFrame:
-    """Upsert into a table partitioned by month; only the touched months are rewritten."""
+    """Upsert into a table partitioned by month; only the touched months are rewritten.
+
+    The target has repeated keys and null keys in months that change and in others; every row without an update stays.
+    """
     table = fresh(t, "merge", PartitionField("created_at", "month"))
-    table.append(
-        t.stg("orders").select("order_id", "customer_id", "status", "created_at", "total_amount")
-    )
+    orders = t.stg("orders").select("order_id", "customer_id", "status", "created_at", "total_amount")
+    none = orders.where("order_id % 11 = 0").withColumn("order_id", F.lit(None).cast("bigint"))
+    table.append(orders.unionByName(orders.where("order_id % 7 = 0")).unionByName(none))
     table.merge(_updates(t), ["order_id"], "created_at")
     return table.scan()
 

@@ -7,43 +7,48 @@ from pyspark.sql import functions as F
 
 from lakeloom.session import scratch_path
 from lakeloom.sources.layout import PartitionField
-from lakeloom.sources.snapshots import SnapshotTable
+from lakeloom.sources.datasets import Dataset
 from lakeloom.streaming import jobs
 from lakeloom.suite.base import Tables, query
 from lakeloom.suite.ctes import define, sql
 from lakeloom.suite.scalars import late_events
 
 
-def _table(t: Tables, name: str, *fields: PartitionField) -> SnapshotTable:
-    return SnapshotTable(t.spark, scratch_path(t.spark, name), fields)
+def _table(t: Tables, name: str, *fields: PartitionField) -> Dataset:
+    return Dataset(t.spark, scratch_path(t.spark, name), fields)
 
 
 def _checkpoint(t: Tables, name: str) -> str:
     return scratch_path(t.spark, f"checkpoint-{name}")
 
 
-def _event_files(t: Tables) -> DataFrame:
-    # A pattern, because the table may be one file or a folder of files.
-    path = f"{t.sf_dir}/event*.parquet"
-    return jobs.file_stream(t.spark, path, t.given("events").schema)
+# Files of each arriving part, and files that a batch takes: each part is one batch.
+FILES = 4
+PARTS = 3
 
 
-def _arrivals(t: Tables, rows: DataFrame) -> SnapshotTable:
-    """Event rows arriving in three commits, in event id order."""
+def _arrivals(t: Tables, rows: DataFrame) -> Dataset:
+    """Event rows arriving in three loads, in event id order."""
     table = _table(t, "arrivals")
     high = t.given("events").agg(F.max("event_id")).first()[0] + 1
-    edges = [high * i // 3 for i in range(4)]
-    for low, top in zip(edges, edges[1:]):
-        table.append(rows.where((F.col("event_id") >= low) & (F.col("event_id") < top)))
+    edges = [high * i // PARTS for i in range(PARTS + 1)]
+    for i, (low, top) in enumerate(zip(edges, edges[1:])):
+        part = rows.where((F.col("event_id") >= low) & (F.col("event_id") < top))
+        table.append(part.repartition(FILES), batch=f"load-{i}")
     return table
 
 
+def _event_files(t: Tables, rows: DataFrame | None = None) -> DataFrame:
+    """The events as a stream of several batches."""
+    return jobs.arrivals(_arrivals(t, t.given("events") if rows is None else rows), FILES)
+
+
 @query("stream_ingest", "SELECT event_id, ts, user_id, event_type, value, props FROM events")
 def stream_ingest(t: Tables) -> DataFrame:
-    table, checkpoint = _table(t, "ingest"), _checkpoint(t, "ingest")
-    jobs.ingest(_event_files(t), table, checkpoint).awaitTermination()
+    table, checkpoint, source = _table(t, "ingest"), _checkpoint(t, "ingest"), _arrivals(t, t.given("events"))
+    jobs.ingest(jobs.arrivals(source, FILES), table, checkpoint).awaitTermination()
     # Started again, the job finds no new file and adds nothing.
-    jobs.ingest(_event_files(t), table, checkpoint).awaitTermination()
+    jobs.ingest(jobs.arrivals(source, FILES), table, checkpoint).awaitTermination()
     return table.scan()
 
 
@@ -54,18 +59,18 @@ def stream_ingest(t: Tables) -> DataFrame:
     ),
 )
 def stream_bronze_to_silver(t: Tables) -> DataFrame:
-    """Each new bronze snapshot runs the silver step for its own rows."""
+    """Each new bronze load runs the silver step for its own rows."""
     bronze, silver = _arrivals(t, t.raw("events")), _table(t, "silver")
 
     def clean(rows: DataFrame) -> DataFrame:
         kind = F.upper("event_type").alias("event_type")
         return rows.where("value >= 1").select("event_id", "user_id", kind, "timestamp")
 
-    jobs.refine(bronze, clean, silver, _checkpoint(t, "refine")).awaitTermination()
+    jobs.refine(bronze, clean, silver, _checkpoint(t, "refine"), FILES).awaitTermination()
     return silver.scan()
 
 
-# Rows are late when older than the newest earlier commit's time minus seven days.
+# Rows are late when older than the newest earlier load's time minus seven days.
 define(
     "arrival_batches",
     """SELECT e.*, CAST(floor(e.event_id * 3 / (SELECT max(event_id) + 1 FROM events)) AS INTEGER) AS batch
@@ -90,8 +95,9 @@ def stream_merge(t: Tables) -> DataFrame:
     """Upserts with rows up to seven days late; older ones are kept aside."""
     source = _arrivals(t, late_events(t))
     target, aside = _table(t, "target", PartitionField("timestamp", "month")), _table(t, "late")
+    newest, checkpoint = _table(t, "newest"), _checkpoint(t, "merge")
     jobs.merge_late(
-        source, target, aside, ["event_id"], "timestamp", 7, _checkpoint(t, "merge")
+        source, target, aside, newest, ["event_id"], "timestamp", 7, checkpoint, FILES
     ).awaitTermination()
     sides = [
         table.scan().select(F.lit(name).alias("side"), "event_id", "user_id", "event_type", "timestamp")
@@ -102,25 +108,26 @@ def stream_merge(t: Tables) -> DataFrame:
 
 @query(
     "stream_rollup",
-    "SELECT date_trunc('day', ts)::TIMESTAMP AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2",
+    """SELECT date_trunc('day', ts - to_days(CAST(CASE WHEN event_id % 5 = 0 THEN event_id % 17 ELSE 0 END AS INTEGER)))::TIMESTAMP
+              AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2""",
 )
 def stream_rollup(t: Tables) -> DataFrame:
-    table = _table(t, "rollup", PartitionField("day", "month"))
-    jobs.rollup_by_day(
-        _event_files(t), "ts", ["event_type"], "7 days", table, _checkpoint(t, "rollup")
-    ).awaitTermination()
-    return table.scan().select("day", "event_type", "n")
+    """Daily counts over three batches with late rows in each."""
+    moved = F.expr("ts - make_dt_interval(cast(if(event_id % 5 = 0, event_id % 17, 0) as int))")
+    table, events = _table(t, "rollup"), t.given("events").withColumn("ts", moved)
+    jobs.rollup_by_day(_event_files(t, events), "ts", ["event_type"], table, _checkpoint(t, "rollup")).awaitTermination()
+    return jobs.rollup_total(table, ["event_type"])
 
 
 @query("stream_dedupe", "SELECT event_id, ts, user_id, event_type FROM events")
 def stream_dedupe(t: Tables) -> DataFrame:
-    """Every event arrives twice and is kept once."""
-    twice = _event_files(t).select(
-        "event_id", "ts", "user_id", "event_type", F.explode(F.array(F.lit(1), F.lit(2))).alias("copy")
-    )
+    """Every event arrives twice, some copies in a later batch, and is kept once."""
+    events = t.given("events").select("event_id", "ts", "user_id", "event_type")
+    source = _arrivals(t, events)
+    source.append(events.repartition(FILES), batch="again")
     table = _table(t, "once")
     jobs.dedupe(
-        twice.drop("copy"), ["event_id"], "ts", "60 days", table, _checkpoint(t, "dedupe")
+        jobs.arrivals(source, FILES), ["event_id"], "ts", 1, table, _checkpoint(t, "dedupe")
     ).awaitTermination()
     return table.scan()
 
@@ -132,8 +139,8 @@ def stream_dedupe(t: Tables) -> DataFrame:
 def stream_sessions(t: Tables) -> DataFrame:
     """Sessions carried over three batches equal those of one pass."""
     source = _arrivals(t, t.raw("events"))
-    target, state = _table(t, "sessions"), _table(t, "state")
+    target, state = _table(t, "sessions"), jobs.session_state(t.spark, scratch_path(t.spark, "state"))
     jobs.sessions(
-        source, target, state, _checkpoint(t, "sessions"), "signup", "error"
+        source, target, state, _checkpoint(t, "sessions"), "signup", "error", FILES
     ).awaitTermination()
     return target.scan()

@@ -13,10 +13,10 @@ SMALL = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     from lakeloom.session import build_session
 
-    session = build_session("tests", cores="8", partitions=4)
+    session = build_session("tests", str(tmp_path_factory.mktemp("shared")), cores="8", partitions=4)
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()

@@ -5,14 +5,17 @@ from __future__ import annotations
 from datetime import datetime
 
 import pytest
+from conftest import SMALL
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from lakeloom.functions.redact import redact_message, safe_attributes
+from lakeloom.functions.redact import redact, redact_message, safe_attributes
 from lakeloom.operators import governance, partitions, quality, runs
 from lakeloom.operators.governance import Action, Policy
+from lakeloom.plans import staging
 from lakeloom.session import scratch_path, shared_dir
-from lakeloom.sources.snapshots import SnapshotTable
+from lakeloom.sources import bronze
+from lakeloom.sources.datasets import Dataset
 
 
 def test_enforce(spark):
@@ -207,7 +210,7 @@ def test_runs_record_success_and_failure(spark):
 
 def test_a_function_as_an_asset(spark):
     log = runs.RunLog(spark, scratch_path(spark, "log"))
-    table = SnapshotTable(spark, scratch_path(spark, "t"))
+    table = Dataset(spark, scratch_path(spark, "t"))
 
     @log.asset(outputs=["silver.numbers"], inputs=["bronze.numbers"])
     def numbers(n):
@@ -234,3 +237,21 @@ def test_scratch_lives_in_the_named_folder(spark, monkeypatch):
         assert shared_dir(spark) == named
     first, second = scratch_path(spark, "x"), scratch_path(spark, "x")
     assert first != second and first.startswith(shared_dir(spark))
+
+
+def test_long_texts_are_redacted_whole(spark):
+    text = "x" * 600 + " password = 'a' " + "y" * 600
+    row = spark.createDataFrame([(text,)], "m string").select(redact("m")).first()
+    assert row[0] == "x" * 600 + " [REDACTED] " + "y" * 600
+
+
+def test_orders_without_a_customer_and_lines_without_quantity(spark, tmp_path):
+    for name in ("nation", "region", "customer", "orders", "lineitem"):
+        spark.read.parquet(f"{SMALL}/{name}.parquet").limit(40).write.parquet(f"{tmp_path}/{name}.parquet")
+    orders, lines = spark.read.parquet(f"{SMALL}/orders.parquet").limit(1), spark.read.parquet(f"{SMALL}/lineitem.parquet").limit(1)
+    orders.withColumns({"o_orderkey": F.lit(-1).cast("bigint"), "o_custkey": F.lit(-5).cast("bigint"), "o_totalprice": F.lit(2e8)}).write.mode("append").parquet(f"{tmp_path}/orders.parquet")
+    lines.withColumn("l_quantity", F.lit(0.0)).write.mode("append").parquet(f"{tmp_path}/lineitem.parquet")
+    raw = bronze.raw_orders(spark, str(tmp_path))
+    assert raw.count() == 41 and raw.where("customer_id = -5 and region is null").count() == 1
+    assert staging.stg_orders(raw).where("customer_id = -5").first().total_amount is None
+    assert bronze.raw_order_items(spark, str(tmp_path)).where("price is null").count() == 1

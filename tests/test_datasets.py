@@ -1,19 +1,19 @@
 from __future__ import annotations
 
-from datetime import datetime, timedelta
+from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.types import DecimalType, IntegerType, LongType, StringType, StructType
 
 from lakeloom.session import scratch_path
+from lakeloom.sources.datasets import Dataset, upsert, write_table
 from lakeloom.sources.layout import PartitionField, merged_schema, wider, with_partitions
 from lakeloom.sources.scan import key_range, layer_path, load_input, table_name
-from lakeloom.sources.snapshots import SnapshotTable, upsert, write_table
 
 
 def table(spark, *fields):
-    return SnapshotTable(spark, scratch_path(spark, "t"), fields)
+    return Dataset(spark, scratch_path(spark, "t"), fields)
 
 
 def rows(spark, *pairs):
@@ -24,25 +24,19 @@ def values(df):
     return sorted(tuple(r) for r in df.collect())
 
 
-def test_snapshot_reads_equal_earlier_writes(spark):
+def test_append_and_overwrite(spark):
     t = table(spark)
     t.append(rows(spark, (1, "a")))
-    middle = t.append(rows(spark, (2, "b"))).committed_at
-    t.overwrite(rows(spark, (3, "c")))
-    assert values(t.scan(snapshot_id=1)) == [(1, "a")]
-    assert values(t.scan(snapshot_id=2)) == [(1, "a"), (2, "b")]
-    assert values(t.scan(as_of=middle)) == [(1, "a"), (2, "b")]
+    assert t.append(rows(spark, (2, "b"))).n_rows == 1
+    assert values(t.scan()) == [(1, "a"), (2, "b")]
+    assert t.overwrite(rows(spark, (3, "c"))).n_rows == 1
     assert values(t.scan()) == [(3, "c")]
     assert values(t.scan(columns=["day"], row_filter="id = 3", limit=5)) == [("c",)]
-    with pytest.raises(ValueError):
-        t.scan(snapshot_id=9)
-    with pytest.raises(ValueError):
-        t.scan(as_of=datetime.now() - timedelta(days=1))
 
 
 def test_no_table(spark):
     t = table(spark)
-    assert t.current() is None and t.snapshots().count() == 0
+    assert not t.exists()
     with pytest.raises(ValueError):
         t.scan()
     with pytest.raises(ValueError):
@@ -51,21 +45,12 @@ def test_no_table(spark):
         write_table(spark, t.path, rows(spark, (1, "a")), "upsert")
 
 
-def test_a_write_that_never_committed_is_not_seen(spark):
-    t = table(spark, PartitionField("day"))
-    t.append(rows(spark, (1, "a")))
-    lost = with_partitions(rows(spark, (9, "a"), (9, "z")), t.partition_by)
-    lost.write.partitionBy("_p_day_identity").parquet(f"{t.path}/data/_snapshot_id=2")
-    assert values(t.scan()) == [(1, "a")]
-    t.append(rows(spark, (2, "b")))  # takes the same id and leaves nothing of the lost write
-    assert values(t.scan()) == [(1, "a"), (2, "b")]
-
-
-def test_a_batch_is_written_once(spark):
+def test_a_batch_replaces_itself(spark):
     t = table(spark)
-    first = t.append(rows(spark, (1, "a")), batch="b1")
-    again = t.append(rows(spark, (1, "a")), batch="b1")
-    assert first.snapshot_id == again.snapshot_id and values(t.scan()) == [(1, "a")]
+    t.append(rows(spark, (1, "a"), (2, "a")), batch="b1")
+    t.append(rows(spark, (5, "a")), batch="b2")
+    t.append(rows(spark, (1, "a")), batch="b1")
+    assert values(t.scan()) == [(1, "a"), (5, "a")] and t.partitions().count() == 2
 
 
 def test_partition_overwrite_touches_only_its_partitions(spark):
@@ -74,9 +59,7 @@ def test_partition_overwrite_touches_only_its_partitions(spark):
     t.overwrite_partitions(rows(spark, (10, "b"), (11, "c")))
     assert {r.id for r in t.scan().collect()} == {1, 3, 4, 10, 11}
     t.overwrite_partitions(rows(spark, (20, None)))
-    got = {r.id for r in t.scan().collect()}
-    assert got == {1, 10, 11, 20}  # null and empty share a partition
-    assert {r.id for r in t.scan(snapshot_id=1).collect()} == {1, 2, 3, 4}
+    assert {r.id for r in t.scan().collect()} == {1, 10, 11, 20}  # null and empty share a partition
 
 
 def test_merge_finds_rows_that_change_partition(spark):
@@ -85,7 +68,26 @@ def test_merge_finds_rows_that_change_partition(spark):
     t.append(spark.createDataFrame([(1, "a", 1, 1), (2, "a", 1, 1), (3, "b", 1, 5)], schema))
     t.merge(spark.createDataFrame([(1, "c", 2, 2), (3, "b", 9, 4), (4, "d", 1, 1)], schema), ["id"], "at")
     assert values(t.scan()) == [(1, "c", 2, 2), (2, "a", 1, 1), (3, "b", 1, 5), (4, "d", 1, 1)]
-    assert t.current().n_rows == 4 and t.current().operation == "merge"
+
+
+def test_merge_keeps_what_has_no_update(spark):
+    """Repeated keys and null keys stay, in partitions that change and in others; only a replaced key's rows go."""
+    schema = "id bigint, day string, v bigint, at bigint"
+    t = table(spark, PartitionField("day"))
+    old = [(1, "a", 1, 1), (1, "a", 2, 1), (2, "a", 1, 1), (2, "a", 1, 1), (None, "a", 5, 1), (None, "a", 6, 1), (3, "b", 1, 1), (3, "b", 1, 1)]
+    t.append(spark.createDataFrame(old, schema))
+    new = [(1, "a", 9, 2), (1, "a", 8, 1), (None, "a", 7, 1), (None, "c", 7, 1)]
+    t.merge(spark.createDataFrame(new, schema), ["id"], "at")
+    want = [r for r in old if r[0] != 1] + [(1, "a", 9, 2), (None, "a", 7, 1), (None, "c", 7, 1)]
+    assert sorted(map(tuple, t.scan().collect()), key=str) == sorted(want, key=str)
+
+
+def test_merge_without_partitions(spark):
+    schema = "id bigint, v bigint, at bigint"
+    t = table(spark)
+    t.merge(spark.createDataFrame([(1, 1, 1), (2, 1, 1)], schema), ["id"], "at")
+    t.merge(spark.createDataFrame([(2, 2, 2), (3, 1, 1)], schema), ["id"], "at")
+    assert values(t.scan()) == [(1, 1, 1), (2, 2, 2), (3, 1, 1)]
 
 
 def test_merge_twice_is_the_same(spark):
@@ -114,7 +116,6 @@ def test_schema_grows_but_never_narrows(spark):
     assert t.scan().schema["id"].dataType == LongType()
     with pytest.raises(TypeError):
         t.append(spark.createDataFrame([("text",)], "id string"))
-    assert t.scan(snapshot_id=1).columns == ["id"]
 
 
 def test_widening_rules():
@@ -127,56 +128,6 @@ def test_widening_rules():
     assert merged_schema(old, new) == StructType.fromDDL("a bigint, b string, c int")
 
 
-def history(spark, n=5):
-    t = table(spark)
-    for i in range(n):
-        t.overwrite(rows(spark, (i, "x")))
-    return t
-
-
-def test_expiry_rules(spark):
-    t = history(spark)
-    with pytest.raises(ValueError):
-        t.expire()
-    third = t.snapshots().where("snapshot_id = 3").first().committed_at
-    assert {r.snapshot_id for r in t.expirable(older_than=third).collect()} == {1, 2}
-    assert {r.snapshot_id for r in t.expirable(retain_last=2).collect()} == {1, 2, 3}
-    assert {r.snapshot_id for r in t.expirable(third, retain_last=4).collect()} == {1}
-    future = datetime.now() + timedelta(days=1)
-    assert t.expire(older_than=future) == 4 and t.expire(older_than=future) == 0
-    assert [r.snapshot_id for r in t.list_snapshots().collect()] == [5]
-    with pytest.raises(ValueError):
-        t.scan(snapshot_id=2)
-    assert t.append(rows(spark, (9, "y"))).snapshot_id == 7  # ids are never reused
-
-
-def test_vacuum_keeps_what_a_snapshot_reads(spark):
-    t = table(spark)
-    t.append(rows(spark, (1, "a")))
-    t.append(rows(spark, (2, "b")))
-    t.expire(retain_last=1)
-    assert t.vacuum() == []  # the kept snapshot still reads both folders
-    t.overwrite(rows(spark, (3, "c")))
-    t.expire(retain_last=1)
-    assert t.unreferenced(datetime.now() - timedelta(days=30)).count() == 0
-    assert t.vacuum() == [1, 2] and t.vacuum() == []
-    assert values(t.scan()) == [(3, "c")]
-
-
-def test_compaction_keeps_rows_and_drops_files(spark):
-    t = table(spark, PartitionField("day"))
-    for i in range(6):
-        t.append(rows(spark, (i, "ab"[i % 2]), (i + 100, "c")))
-    t.overwrite_partitions(rows(spark, (500, "c")))
-    before, n_files = values(t.scan()), t.files().count()
-    assert t.compact(min_commits=20) is None
-    assert t.compact(min_commits=5).operation == "compact"
-    assert values(t.scan()) == before and t.files().count() < n_files
-    t.overwrite_partitions(rows(spark, (600, "a")))
-    assert {r.id for r in t.scan().collect()} == {1, 3, 5, 500, 600}
-    assert t.compact(min_commits=1, target_bytes=1) is None  # no file is small
-
-
 def test_hourly_partitions_prune(spark):
     t = table(spark, PartitionField("ts", "hour"))
     df = spark.range(48).selectExpr("id", "timestamp_ntz'2024-01-01' + make_dt_interval(0, cast(id as int)) AS ts")

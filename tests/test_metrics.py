@@ -227,10 +227,10 @@ def test_date_ranges():
 def test_refresh_drops_nothing(spark, data):
     from lakeloom.session import scratch_path
     from lakeloom.sources.layout import PartitionField
-    from lakeloom.sources.snapshots import SnapshotTable
+    from lakeloom.sources.datasets import Dataset
 
     rollup, orders = ORDERS.rollups[0], data["orders"]
-    table = SnapshotTable(spark, scratch_path(spark, "r"), [PartitionField("createdAt", "month")])
+    table = Dataset(spark, scratch_path(spark, "r"), [PartitionField("createdAt", "month")])
     table.append(metrics.build_rollup(ORDERS, rollup, orders.where("order_id % 3 <> 0")))
     metrics.refresh_rollup(table, ORDERS, rollup, orders, orders.where("order_id % 3 = 0"))
     total = metrics.finish_rollup(ORDERS, rollup, table.scan()).agg(F.sum("count")).first()[0]

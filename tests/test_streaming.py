@@ -7,14 +7,14 @@ from pyspark.sql import functions as F
 
 from lakeloom.operators.runs import RunLog
 from lakeloom.session import scratch_path
+from lakeloom.sources.datasets import Dataset
 from lakeloom.sources.layout import PartitionField
-from lakeloom.sources.snapshots import SnapshotTable
 from lakeloom.streaming import jobs
 from test_skew import hot_events, session_oracle
 
 
 def table(spark, *fields):
-    return SnapshotTable(spark, scratch_path(spark, "t"), fields)
+    return Dataset(spark, scratch_path(spark, "t"), fields)
 
 
 def test_new_files_only_and_only_matching_ones(spark):
@@ -43,23 +43,25 @@ def test_a_batch_that_fails_after_its_write_is_not_doubled(spark):
     with pytest.raises(Exception, match="lost the driver"):
         jobs.each_batch(jobs.file_stream(spark, folder, "id bigint"), checkpoint, broken).awaitTermination()
     jobs.ingest(jobs.file_stream(spark, folder, "id bigint"), target, checkpoint).awaitTermination()
-    assert target.scan().count() == 5 and target.snapshots().count() == 1
+    assert target.scan().count() == 5 and target.partitions().count() == 1
 
 
-def test_uncommitted_files_start_no_run(spark):
-    source, seen = table(spark), []
-    source.append(spark.range(3))
-    spark.range(9).write.parquet(f"{source.path}/data/_snapshot_id=7")
-    checkpoint = scratch_path(spark, "cp")
+def test_new_loads_start_runs(spark):
+    source, target, checkpoint = table(spark), table(spark), scratch_path(spark, "cp")
+    for n in (3, 4):
+        source.append(spark.range(n))
+        jobs.refine(source, lambda rows: rows.selectExpr("id * 2 AS id"), target, checkpoint).awaitTermination()
+    assert sorted(r.id for r in target.scan().collect()) == [0, 0, 2, 2, 4, 4, 6]
 
-    def handle(rows, snapshot_id):
-        seen.append((snapshot_id, rows.count()))
 
-    jobs.on_commit(source, checkpoint, handle).awaitTermination()
-    source.append(spark.range(4))
-    source.expire(retain_last=1)
-    jobs.on_commit(source, checkpoint, handle).awaitTermination()
-    assert seen == [(1, 3), (2, 4)]
+def test_copies_of_other_batches_and_late_rows(spark):
+    source, target, checkpoint = table(spark), table(spark), scratch_path(spark, "cp")
+    schema = "id bigint, ts timestamp_ntz"
+    for rows in ([(1, 20), (1, 20), (2, 21)], [(2, 21), (3, 22), (4, 1)], [(4, 1), (5, 2)]):
+        source.append(spark.createDataFrame([(i, datetime(2024, 1, d)) for i, d in rows], schema))
+        stream = jobs.arrivals(source)
+        jobs.dedupe(stream, ["id"], "ts", 2, target, checkpoint).awaitTermination()
+    assert sorted(r.id for r in target.scan().collect()) == [1, 2, 3, 4, 5]
 
 
 def test_sessions_over_batches_with_a_hot_user(spark):
@@ -67,36 +69,57 @@ def test_sessions_over_batches_with_a_hot_user(spark):
     df = spark.createDataFrame(rows, "event_id bigint, user_id bigint, event_type string").withColumn(
         "timestamp", F.expr("timestamp_ntz'2024-01-01'")
     )
-    source, target, state = table(spark), table(spark), table(spark)
+    source, target = table(spark), table(spark)
+    state = jobs.session_state(spark, scratch_path(spark, "state"), 4)
     checkpoint = scratch_path(spark, "cp")
     for low, high in [(0, 30), (30, 31), (31, 250), (250, 500)]:
         source.append(df.where(f"event_id >= {low} and event_id < {high}"))
         jobs.sessions(source, target, state, checkpoint).awaitTermination()
     got = {r.event_id: r.session_id for r in target.scan().collect()}
     assert got == session_oracle(rows)
+    # The state is one row per user, whatever the number of batches.
+    assert state.scan().count() == state.scan().select("user_id").distinct().count()
+
+
+def test_sessions_of_a_batch_that_ran_before(spark):
+    """A batch that died after its writes is run again and gives the same."""
+    rows = [(1, 7, "login"), (2, 7, "view"), (3, 7, "logout"), (4, 7, "login"), (5, 7, "view")]
+    df = spark.createDataFrame(rows, "event_id bigint, user_id bigint, event_type string")
+    df = df.withColumn("timestamp", F.expr("timestamp_ntz'2024-01-01'"))
+    source, target = table(spark), table(spark)
+    state = jobs.session_state(spark, scratch_path(spark, "state"), 4)
+    source.append(df.where("event_id <= 2").coalesce(1))
+    first = scratch_path(spark, "cp")
+    jobs.sessions(source, target, state, first).awaitTermination()
+    # Another cursor that starts at the beginning: the first batch comes again under the same number.
+    jobs.sessions(source, target, state, scratch_path(spark, "cp")).awaitTermination()
+    source.append(df.where("event_id > 2").coalesce(1))
+    jobs.sessions(source, target, state, first).awaitTermination()
+    assert {r.event_id: r.session_id for r in target.scan().collect()} == session_oracle(rows)
 
 
 def test_rollup_updates_a_day_that_grows(spark):
     folder, checkpoint = scratch_path(spark, "in"), scratch_path(spark, "cp")
-    target = table(spark, PartitionField("day", "month"))
+    target = table(spark)
     schema = "ts timestamp_ntz, kind string"
 
     def arrive(*rows):
         df = spark.createDataFrame([(datetime(2024, 1, d), k) for d, k in rows], schema)
         df.coalesce(1).write.mode("append").parquet(folder)
         jobs.rollup_by_day(
-            jobs.file_stream(spark, folder, schema), "ts", ["kind"], "7 days", target, checkpoint
+            jobs.file_stream(spark, folder, schema), "ts", ["kind"], target, checkpoint
         ).awaitTermination()
 
     arrive((1, "a"), (2, "a"), (2, "b"))
-    arrive((2, "a"), (3, "a"))
-    got = {(r.day.day, r.kind): r.n for r in target.scan().collect()}
-    assert got == {(1, "a"): 1, (2, "a"): 2, (2, "b"): 1, (3, "a"): 1}
+    arrive((2, "a"), (30, "a"))
+    arrive((1, "a"))  # four weeks late, and counted
+    got = {(r.day.day, r.kind): r.n for r in jobs.rollup_total(target, ["kind"]).collect()}
+    assert got == {(1, "a"): 2, (2, "a"): 2, (2, "b"): 1, (30, "a"): 1}
 
 
 def test_merge_takes_late_rows_within_the_limit(spark):
     schema = "id bigint, ts timestamp_ntz, v string"
-    source, aside = table(spark), table(spark)
+    source, aside, newest = table(spark), table(spark), table(spark)
     target, checkpoint = table(spark, PartitionField("ts", "day")), scratch_path(spark, "cp")
     for rows in (
         [(1, 20, "a"), (2, 19, "a")],
@@ -105,7 +128,7 @@ def test_merge_takes_late_rows_within_the_limit(spark):
     ):
         data = [(i, datetime(2024, 1, d), v) for i, d, v in rows]
         source.append(spark.createDataFrame(data, schema))
-        jobs.merge_late(source, target, aside, ["id"], "ts", 7, checkpoint).awaitTermination()
+        jobs.merge_late(source, target, aside, newest, ["id"], "ts", 7, checkpoint).awaitTermination()
     assert {r.id: r.v for r in target.scan().collect()} == {1: "newer", 2: "a", 3: "late", 5: "b"}
     assert [r.id for r in aside.scan().collect()] == [4]
 
