@@ -14,9 +14,10 @@ from pyspark.sql import functions as F
 
 
 def draw(seed: int, name: str, *ids: Column | str) -> Column:
-    """Uniform double in [0, 1)."""
-    bits = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.lit(name), *ids), 11)
-    return bits / F.lit(float(2**53))
+    """Uniform double in [0, 1): the first 52 bits of an MD5 of seed, name and ids. Other engines can draw the same."""
+    parts = [(F.col(i) if isinstance(i, str) else i).cast("string") for i in ids]
+    digits = F.substring(F.md5(F.concat_ws("|", F.lit(f"{seed}|{name}"), *parts)), 1, 13)
+    return F.conv(digits, 16, 10).cast("bigint") / F.lit(float(2**52))
 
 
 def draw_int(low: int | Column, high: int | Column, u: Column) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, StringType
 
-from lakeloom.functions.draws import draw, pick
+from lakeloom.functions.draws import draw, draw_int, pick
 from lakeloom.operators.generate import FIRST, HOSTS, LAST
 
 
@@ -126,7 +126,7 @@ def synthesize(column: Column | str, seed: int = 42, pii_type: str | None = None
     )
     if pii_type == "email":
         host = pick(HOSTS, draw(seed, "host", value))
-        number = F.pmod(F.xxhash64(F.lit(seed), value), F.lit(10000)).cast("string")
+        number = draw_int(0, 9999, draw(seed, "number", value)).cast("string")
         fake = F.concat(F.lower(first), F.lit("."), F.lower(last), number, F.lit("@"), host)
     else:
         fake = F.concat_ws(" ", first, last)

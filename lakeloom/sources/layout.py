@@ -51,7 +51,8 @@ class PartitionField:
         if self.transform in TIME_FORMATS:
             return F.date_format(column, TIME_FORMATS[self.transform])
         if self.transform == "bucket":
-            return F.pmod(F.xxhash64(column), F.lit(self.param)).cast("string")
+            digits = F.substring(F.md5(column.cast("string")), 1, 13)
+            return F.pmod(F.conv(digits, 16, 10).cast("bigint"), F.lit(self.param)).cast("string")
         if self.transform == "truncate":
             if isinstance(kind, StringType):
                 return F.substring(column, 1, self.param)

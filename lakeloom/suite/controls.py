@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from lakeloom.operators import governance, quality
+from lakeloom.operators import generate, governance, quality
 from lakeloom.operators.governance import Action, Policy
+from lakeloom.suite import draw_sql
 from lakeloom.suite.base import Tables, query
 from lakeloom.suite.ctes import sql
 
@@ -311,7 +312,19 @@ def restrict_columns(t: Tables) -> DataFrame:
     return governance.restrict(t.stg("customers"), needed, ["analyst"])
 
 
-@query("synthesize_column")
+def _fake(column: str, words: list[str], name: str) -> str:
+    return draw_sql.pick(words, draw_sql.u(name, column))
+
+
+@query(
+    "synthesize_column",
+    sql(
+        f"""SELECT customer_id, {_fake("name", generate.FIRST, "first")} || ' ' || {_fake("name", generate.LAST, "last")} AS name,
+                   lower({_fake("email", generate.FIRST, "first")}) || '.' || lower({_fake("email", generate.LAST, "last")})
+                     || {draw_sql.whole(0, 9999, draw_sql.u("number", "email"))} || '@' || {_fake("email", generate.HOSTS, "host")} AS email
+            FROM stg_customers"""
+    ),
+)
 def synthesize_column(t: Tables) -> DataFrame:
     """Made-up names and addresses, the same for the same customer."""
     return t.stg("customers").select(

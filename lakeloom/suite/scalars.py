@@ -11,6 +11,7 @@ from lakeloom.functions import clean, temporal
 from lakeloom.functions.draws import draw, draw_int, weighted
 from lakeloom.functions.redact import FORBIDDEN_ATTRIBUTES, SECRET_PATTERNS, redact, safe_attributes
 from lakeloom.operators import generate, quality, sessions
+from lakeloom.suite import draw_sql
 from lakeloom.suite.base import Tables, query
 from lakeloom.suite.ctes import define, sql
 
@@ -177,7 +178,11 @@ def valid_email(t: Tables) -> DataFrame:
 # --- draws and factors -----------------------------------------------------
 
 
-@query("hash_draw")
+@query(
+    "hash_draw",
+    f"""SELECT o_orderkey, {draw_sql.u("u", "o_orderkey")} AS u, {draw_sql.whole(1, 6, draw_sql.u("die", "o_orderkey"))} AS die
+        FROM orders""",
+)
 def hash_draw(t: Tables) -> DataFrame:
     """A draw in [0, 1) and a whole number per order."""
     return t.given("orders").select(
@@ -187,27 +192,31 @@ def hash_draw(t: Tables) -> DataFrame:
     )
 
 
-@query("weighted_draw")
+@query(
+    "weighted_draw",
+    f"""SELECT {draw_sql.weighted(generate.STATUS_WEIGHTS, draw_sql.u("status", "o_orderkey"))} AS status, count(*) AS n
+        FROM orders GROUP BY 1""",
+)
 def weighted_draw(t: Tables) -> DataFrame:
     """Orders per drawn status."""
     status = weighted(generate.STATUS_WEIGHTS, draw(42, "status", "o_orderkey"))
     return t.given("orders").groupBy(status.alias("status")).agg(F.count("*").alias("n"))
 
 
-_DAILY_SQL = """CASE WHEN hour(ts) < 6 THEN 0.1 WHEN hour(ts) < 9 THEN 0.5::DOUBLE + (hour(ts) - 6) * 0.15::DOUBLE
+DAILY_SQL = """CASE WHEN hour(ts) < 6 THEN 0.1 WHEN hour(ts) < 9 THEN 0.5::DOUBLE + (hour(ts) - 6) * 0.15::DOUBLE
     WHEN hour(ts) IN (10, 14, 18, 21) THEN 1.0 WHEN hour(ts) < 18 THEN 0.7 WHEN hour(ts) < 22 THEN 0.8
     ELSE 0.3 END::DOUBLE"""
-_WEEKLY_SQL = """CASE WHEN isodow(ts) >= 6 THEN 0.3 WHEN isodow(ts) = 1 THEN 0.9 WHEN isodow(ts) = 5 THEN 0.85
+WEEKLY_SQL = """CASE WHEN isodow(ts) >= 6 THEN 0.3 WHEN isodow(ts) = 1 THEN 0.9 WHEN isodow(ts) = 5 THEN 0.85
     ELSE 1.0 END::DOUBLE"""
 
 
-@query("daily_factor", f"SELECT event_id, {_DAILY_SQL} AS factor FROM events")
+@query("daily_factor", f"SELECT event_id, {DAILY_SQL} AS factor FROM events")
 def daily_factor(t: Tables) -> DataFrame:
     factor = temporal.daily_factor(F.hour("timestamp"))
     return t.raw("events").select("event_id", factor.alias("factor"))
 
 
-@query("weekly_factor", f"SELECT event_id, {_WEEKLY_SQL} AS factor FROM events")
+@query("weekly_factor", f"SELECT event_id, {WEEKLY_SQL} AS factor FROM events")
 def weekly_factor(t: Tables) -> DataFrame:
     factor = temporal.weekly_factor(F.weekday("timestamp"))
     return t.raw("events").select("event_id", factor.alias("factor"))
@@ -224,7 +233,7 @@ def trend_factor(t: Tables) -> DataFrame:
 
 @query(
     "adjusted_count",
-    f"""SELECT event_id, greatest(1, CAST(floor(1000 * (({_DAILY_SQL}) * ({_WEEKLY_SQL}) * ({_TREND_SQL})))
+    f"""SELECT event_id, greatest(1, CAST(floor(1000 * (({DAILY_SQL}) * ({WEEKLY_SQL}) * ({_TREND_SQL})))
           AS BIGINT)) AS n FROM events""",
 )
 def adjusted_count(t: Tables) -> DataFrame:

@@ -270,7 +270,10 @@ def part_identity(t: Tables) -> DataFrame:
     )
 
 
-@query("part_bucket")
+@query(
+    "part_bucket",
+    """SELECT ('0x' || substr(md5(CAST(user_id AS VARCHAR)), 1, 13))::BIGINT % 16 AS bucket, count(*) AS n_rows FROM events GROUP BY 1""",
+)
 def part_bucket(t: Tables) -> DataFrame:
     """Rows per hash bucket of the user id."""
     field = PartitionField("user_id", "bucket", 16)
