@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from lakeloom.llm import bpe, contamination, embeddings, extraction, langid, licenses, sharding, simhash, toxicity, warc
+from lakeloom.llm import bpe, contamination, embeddings, extraction, langid, licenses, oracles, sharding, simhash, toxicity, warc
 from lakeloom.llm.common import read_table, short_batches
 from lakeloom.session import scratch_path, tune
 
@@ -57,7 +57,7 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
-@query("op3_warc")
+@query("op3_warc", oracles.OP3)
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page written to WARC archives and read back: responses with their payloads, revisits by their headers."""
     path = scratch_path(spark, "warc")
@@ -104,7 +104,7 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("op5_embedding_near_dedup")
+@query("op5_embedding_near_dedup", oracles.OP5)
 def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links and group of every embedding."""
     return embeddings.near_duplicates(read_table(spark, sf_dir, "embeddings"))
@@ -156,7 +156,7 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenized(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-@query("op9_decontamination")
+@query("op9_decontamination", oracles.OP9)
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark words in every document."""
     docs, benchmark = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")
@@ -171,7 +171,7 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("op10_sharding")
+@query("op10_sharding", oracles.OP10)
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's place in 40 shards."""
     return sharding.interleave(read_table(spark, sf_dir, "documents"))

@@ -246,3 +246,11 @@ def test_components(spark):
 
 def test_queries_are_registered():
     assert {q.split("_")[0] for q in queries.QUERIES} == {f"op{n}" for n in range(1, 11)}
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_queries_beside_their_sql(spark, name):
+    from check_oracle import compare, connect
+
+    ok, text = compare(spark, connect(SMALL), SMALL, name, queries.QUERIES[name], queries.ORACLES[name])
+    assert ok, text
