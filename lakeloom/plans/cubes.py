@@ -99,14 +99,70 @@ SEGMENTS = Cube(
         Dimension("customerId", "customer_id", "number", primary_key=True),
         Dimension("segment", "customer_segment"),
         Dimension("churnRisk", "churn_risk"),
+        Dimension("customerName", "customer_name"),
+        Dimension("email", "email"),
+        Dimension("createdAt", "customer_created_at", "time"),
+        Dimension("firstOrderDate", "first_order_date", "time"),
+        Dimension("lastOrderDate", "last_order_date", "time"),
     ),
     measures=(
         Measure("count"),
         Measure("totalRevenue", "sum", "total_revenue"),
         Measure("totalOrders", "sum", "total_orders"),
+        # Averages of ratios are taken over six decimals, so the order of rows does not show.
+        Measure("averageOrderValue", "avg", "cast(avg_order_value as decimal(18,6))"),
+        Measure("averageDaysSinceOrder", "avg", "days_since_last_order"),
+    ),
+    rollups=(Rollup("bySegment", ("count", "totalRevenue", "averageOrderValue"), ("segment", "churnRisk")),),
+    row_filters=(),
+)
+
+PRODUCT_TIERS = Cube(
+    name="ProductTiers",
+    table="product_analytics",
+    dimensions=(
+        Dimension("productId", "product_id", "number", primary_key=True),
+        Dimension("productName", "product_name"),
+        Dimension("category", "category"),
+        Dimension("currentPrice", "current_price", "number"),
+        Dimension("performanceTier", "performance_tier"),
+        Dimension("revenueRank", "revenue_rank", "number"),
+        Dimension("categoryRevenueRank", "category_revenue_rank", "number"),
+        Dimension("priceVariance", "price_variance_pct", "number"),
+        Dimension("firstSaleDate", "first_sale_date", "time"),
+        Dimension("lastSaleDate", "last_sale_date", "time"),
+    ),
+    measures=(
+        Measure("count"),
+        Measure("totalRevenue", "sum", "total_revenue"),
+        Measure("totalUnitsSold", "sum", "total_units_sold"),
+        Measure("totalOrders", "sum", "total_orders"),
+        Measure("averageSellingPrice", "avg", "cast(avg_selling_price as decimal(18,6))"),
+        Measure("averageQuantityPerOrder", "avg", "cast(avg_quantity_per_order as decimal(18,6))"),
+    ),
+    rollups=(Rollup("byCategory", ("count", "totalRevenue", "totalUnitsSold"), ("category", "performanceTier")),),
+    row_filters=(),
+)
+
+DAILY_REVENUE = Cube(
+    name="DailyRevenue",
+    table="revenue",
+    dimensions=(
+        Dimension("orderDate", "cast(revenue_date as timestamp_ntz)", "time"),
+        Dimension("region", "region"),
+        Dimension("status", "status"),
+    ),
+    measures=(
+        Measure("count", "sum", "order_count"),
+        Measure("completedCount", "sum", "order_count", ("status = 'completed'",)),
+        Measure("totalAmount", "sum", "total_revenue"),
+        Measure("averageOrderValue", "avg", "cast(avg_order_value as decimal(18,6))"),
+        Measure("totalUnitsSold", "sum", "total_items_sold"),
+        Measure("uniqueProducts", "max", "total_products_sold"),
+        Measure("uniqueCustomers", "max", "customer_count"),
     ),
-    rollups=(Rollup("bySegment", ("count", "totalRevenue"), ("segment", "churnRisk")),),
+    rollups=(Rollup("revenueByDay", ("count", "totalAmount", "averageOrderValue"), (), "orderDate", "day"),),
     row_filters=(),
 )
 
-CUBES = {c.name: c for c in (ORDERS, CUSTOMERS, PRODUCTS, SEGMENTS)}
+CUBES = {c.name: c for c in (ORDERS, CUSTOMERS, PRODUCTS, SEGMENTS, PRODUCT_TIERS, DAILY_REVENUE)}

@@ -278,6 +278,7 @@ class _Request:
     dimensions: list[tuple[Cube, Dimension]]
     time: list[tuple[Cube, Dimension, str | None, tuple[datetime, datetime] | None]]
     filters: list[tuple[Cube, Dimension, str, list]]
+    way: list[tuple[Cube, Join, Cube]]
 
 
 def _member(cubes: Mapping[str, Cube], name: str) -> tuple[Cube, str]:
@@ -345,14 +346,39 @@ def _resolve(cubes: Mapping[str, Cube], query: Mapping, as_of: datetime | None)
     if not touched:
         raise MetricError("a query needs a measure or a dimension")
     by_name = {c.name: c for c in touched}
-    bases = [c for c in by_name.values() if all(o == c.name or _joins(c, o) for o in by_name)]
-    if not bases:
+    # The base with the fewest joins on the way to all others; earlier members first.
+    ways = [(c, _way(cubes, c, set(by_name))) for c in by_name.values()]
+    ways = sorted([w for w in ways if w[1] is not None], key=lambda w: len(w[1]))
+    if not ways:
         raise MetricError(f"no declared join connects {', '.join(by_name)}")
-    return _Request(bases[0], by_name, measures, asked, dimensions, time, filters)
+    base, way = ways[0]
+    everything = by_name | {c.name: c for _, _, c in way}
+    return _Request(base, everything, measures, asked, dimensions, time, filters, way)
 
 
-def _joins(cube: Cube, other: str) -> bool:
-    return any(j.name == other for j in cube.joins)
+def _way(cubes: Mapping[str, Cube], base: Cube, wanted: set[str]) -> list[tuple[Cube, Join, Cube]] | None:
+    """The joins that lead from a base to all wanted cubes, parents first; none if a cube is out of reach.
+
+    Over more than one join only single rows are followed: a cube with many rows is joined to the base itself.
+    """
+    reached, frontier = {base.name: []}, [base]
+    while frontier:
+        cube = frontier.pop(0)
+        for link in cube.joins:
+            direct = cube.name == base.name
+            if link.name in reached or link.name not in cubes or not direct and link.relationship == "one_to_many":
+                continue
+            if link.relationship == "one_to_many" and link.name not in wanted:
+                continue
+            reached[link.name] = [*reached[cube.name], (cube, link, cubes[link.name])]
+            if link.relationship != "one_to_many":
+                frontier.append(cubes[link.name])
+    if not wanted <= set(reached):
+        return None
+    way: list[tuple[Cube, Join, Cube]] = []
+    for name in sorted(wanted - {base.name}, key=lambda n: len(reached[n])):
+        way += [step for step in reached[name] if step not in way]
+    return way
 
 
 def _row_filters(cube: Cube, security: SecurityContext | None) -> dict[str, object]:
@@ -415,13 +441,14 @@ def _narrowed(cube: Cube, request: _Request, security: SecurityContext | None) -
 def _joined(request: _Request, tables, security) -> tuple[DataFrame, set[str]]:
     """Base rows with every other cube attached, and the measures already in parts."""
     base = request.base
-    others = [c for c in request.cubes.values() if c.name != base.name]
-    links = {c.name: base.join(c.name) for c in others}
-    rows = _project(base, tables[base.table], request, security, [j.left for j in links.values()])
+
+    def keys(cube: Cube) -> list[str]:
+        return [link.left for parent, link, _ in request.way if parent.name == cube.name]
+
+    rows = _project(base, tables[base.table], request, security, keys(base))
     in_parts: set[str] = set()
-    for cube in others:
-        link = links[cube.name]
-        other = _project(cube, tables[cube.table], request, security, [link.right])
+    for parent, link, cube in request.way:
+        other = _project(cube, tables[cube.table], request, security, dict.fromkeys([link.right, *keys(cube)]))
         right = f"_k_{cube.name}_{link.right}"
         if link.relationship == "one_to_many":
             own = [m for c, m in request.measures if c.name == cube.name and m.type != "number"]
@@ -440,7 +467,7 @@ def _joined(request: _Request, tables, security) -> tuple[DataFrame, set[str]]:
         else:
             other = shuffled_again(other, right)
         how = "inner" if _narrowed(cube, request, security) else "left"
-        left = f"_k_{base.name}_{link.left}"
+        left = f"_k_{parent.name}_{link.left}"
         rows = rows.join(other, F.col(left) == F.col(right), how)
     return rows, in_parts
 
@@ -452,11 +479,16 @@ def run(
     security: SecurityContext | None = None,
     as_of: datetime | None = None,
     rollups: Mapping[str, DataFrame] | None = None,
-    require_security: bool = False,
+    require_security: bool | None = None,
 ) -> DataFrame:
-    """The query's result; answered from a given rollup where one covers it."""
-    _check_context(security, require_security)
+    """The query's result; answered from a given rollup where one covers it.
+
+    A cube with row filters is not read without a context, unless ``require_security=False`` says so.
+    """
     request = _resolve(cubes, query, as_of)
+    if require_security is None:
+        require_security = any(c.row_filters for c in request.cubes.values())
+    _check_context(security, require_security)
     for cube in request.cubes.values():
         _row_filters(cube, security)
     covering = _covering_rollup(request, security, rollups or {})

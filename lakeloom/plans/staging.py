@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Mapping
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakeloom.functions.clean import canonical_status, category_label, dedupe_latest, money, normalize, require
@@ -62,3 +64,11 @@ def stg_order_items(raw: DataFrame) -> DataFrame:
 
 def events_cleaned(raw: DataFrame) -> DataFrame:
     return raw.where(F.col("event_type").isNotNull())
+
+
+def create_views(spark: SparkSession, models: Mapping[str, DataFrame], prefix: str = "stg_") -> dict[str, str]:
+    """Register cleaned tables as temporary views; nothing is computed until one is read. Returns the views' names."""
+    names = {model: f"{prefix}{model}" for model in models}
+    for model, frame in models.items():
+        frame.createOrReplaceTempView(names[model])
+    return names

@@ -8,30 +8,46 @@ from datetime import datetime
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeloom.plans import marts, metrics
-from lakeloom.plans.cubes import CUBES, CUSTOMERS, ORDERS
+from lakeloom.plans import marts, metrics, staging
+from lakeloom.plans.cubes import CUBES, CUSTOMERS, ORDERS, PRODUCT_TIERS, SEGMENTS
 from lakeloom.plans.metrics import SecurityContext, cube_from_schema
 from lakeloom.session import scratch_path
-from lakeloom.sources.layout import PartitionField
 from lakeloom.sources.datasets import Dataset
-from lakeloom.suite.base import Tables, query
+from lakeloom.sources.layout import PartitionField
+from lakeloom.suite import transforms  # noqa: F401  its SQL is used below
+from lakeloom.suite.base import ORACLES, Tables, query
 from lakeloom.suite.ctes import sql
 
 AS_OF = datetime(2001, 8, 2)
 
 
-def frames(t: Tables) -> dict[str, DataFrame]:
-    as_of = F.lit(str(AS_OF)).cast("timestamp_ntz")
-    return {
-        "orders": t.stg("orders"),
-        "customers": t.stg("customers"),
-        "products": t.stg("products"),
-        "segments": marts.mart_customer_segments(t.stg("customers"), t.stg("orders"), as_of),
-    }
+class Frames(dict):
+    """The tables behind the cubes; one is built when a query asks for it."""
+
+    def __init__(self, t: Tables):
+        self.t = t
+
+    def __missing__(self, name: str) -> DataFrame:
+        t = self.t
+        if name == "segments":
+            as_of = F.lit(str(AS_OF)).cast("timestamp_ntz")
+            self[name] = marts.mart_customer_segments(t.stg("customers"), t.stg("orders"), as_of)
+        elif name == "product_analytics":
+            self[name] = marts.mart_product_analytics(t.stg("products"), t.stg("order_items"))
+        elif name == "revenue":
+            self[name] = marts.mart_revenue(t.customer_orders())
+        else:
+            self[name] = t.stg(name)
+        return self[name]
+
+
+def frames(t: Tables) -> Frames:
+    return Frames(t)
 
 
 def ask(t: Tables, request: Mapping, **options) -> DataFrame:
-    return metrics.run(CUBES, frames(t), request, as_of=AS_OF, **options)
+    """A query of a trusted job: without a context it sees all rows."""
+    return metrics.run(CUBES, frames(t), request, **{"as_of": AS_OF, "require_security": False} | options)
 
 
 def metric(name: str, request: Mapping, check: str, **options) -> None:
@@ -364,6 +380,101 @@ def from_schema(t: Tables) -> DataFrame:
     return metrics.run({"Events": cube}, {"events": events}, request)
 
 
+# --- cubes over marts ------------------------------------------------------
+
+SEGMENT_ROWS = f"({ORACLES['mart_customer_segments']})"
+TIER_ROWS = f"({ORACLES['mart_product_analytics']})"
+REVENUE_ROWS = f"({ORACLES['mart_revenue']})"
+MONEY = "CAST(sum(CAST(total_revenue AS DECIMAL(18,2))) AS DOUBLE)"
+
+
+def _mean(column: str) -> str:
+    return f"CAST(sum(CAST({column} AS DECIMAL(18,6))) AS DOUBLE) / count({column})"
+
+
+metric(
+    "cube_segments",
+    by(
+        ["Segments.count", "Segments.totalRevenue", "Segments.totalOrders", "Segments.averageOrderValue", "Segments.averageDaysSinceOrder"],
+        "Segments.segment",
+    ),
+    f"""SELECT customer_segment AS Segments_segment, count(*) AS Segments_count, {MONEY} AS Segments_totalRevenue,
+               CAST(sum(total_orders) AS BIGINT) AS Segments_totalOrders, {_mean("avg_order_value")} AS Segments_averageOrderValue,
+               CAST(sum(days_since_last_order) AS DOUBLE) / count(days_since_last_order) AS Segments_averageDaysSinceOrder
+        FROM {SEGMENT_ROWS} GROUP BY 1""",
+)
+metric(
+    "cube_product_tiers",
+    by(
+        [
+            "ProductTiers.count", "ProductTiers.totalRevenue", "ProductTiers.totalUnitsSold", "ProductTiers.totalOrders",
+            "ProductTiers.averageSellingPrice", "ProductTiers.averageQuantityPerOrder",
+        ],
+        "ProductTiers.category",
+        "ProductTiers.performanceTier",
+    ),
+    f"""SELECT category AS ProductTiers_category, performance_tier AS "ProductTiers_performanceTier", count(*) AS ProductTiers_count,
+               {MONEY} AS "ProductTiers_totalRevenue", CAST(sum(total_units_sold) AS BIGINT) AS "ProductTiers_totalUnitsSold",
+               CAST(sum(total_orders) AS BIGINT) AS "ProductTiers_totalOrders", {_mean("avg_selling_price")} AS "ProductTiers_averageSellingPrice",
+               {_mean("avg_quantity_per_order")} AS "ProductTiers_averageQuantityPerOrder"
+        FROM {TIER_ROWS} GROUP BY 1, 2""",
+)
+metric(
+    "cube_daily_revenue",
+    {
+        "measures": [f"DailyRevenue.{m}" for m in ("count", "completedCount", "totalAmount", "totalUnitsSold", "uniqueProducts", "uniqueCustomers")],
+        "timeDimensions": [{"dimension": "DailyRevenue.orderDate", "granularity": "month"}],
+    },
+    f"""SELECT CAST(date_trunc('month', CAST(revenue_date AS DATE)) AS TIMESTAMP) AS "DailyRevenue_orderDate", CAST(sum(order_count) AS BIGINT) AS DailyRevenue_count,
+               CAST(sum(CASE WHEN status = 'completed' THEN order_count END) AS BIGINT) AS "DailyRevenue_completedCount",
+               {MONEY} AS "DailyRevenue_totalAmount", CAST(sum(total_items_sold) AS BIGINT) AS "DailyRevenue_totalUnitsSold",
+               max(total_products_sold) AS "DailyRevenue_uniqueProducts", max(customer_count) AS "DailyRevenue_uniqueCustomers"
+        FROM {REVENUE_ROWS} GROUP BY 1""",
+)
+metric(
+    "cube_two_joins",
+    by(["Orders.count", "Orders.totalAmount"], "Segments.segment"),
+    f"""SELECT s.customer_segment AS Segments_segment, count(*) AS Orders_count, {TOTAL} AS Orders_totalAmount
+        FROM stg_orders o LEFT JOIN stg_customers c ON o.customer_id = c.customer_id
+        LEFT JOIN {SEGMENT_ROWS} s ON c.customer_id = s.customer_id GROUP BY 1""",
+)
+
+
+@query(
+    "rollup_by_segment",
+    sql(
+        f"""SELECT customer_segment AS segment, churn_risk AS "churnRisk", count(*) AS "count", {MONEY} AS "totalRevenue",
+                   {_mean("avg_order_value")} AS "averageOrderValue" FROM {SEGMENT_ROWS} GROUP BY 1, 2"""
+    ),
+)
+def rollup_by_segment(t: Tables) -> DataFrame:
+    rollup = SEGMENTS.rollups[0]
+    return metrics.finish_rollup(SEGMENTS, rollup, metrics.build_rollup(SEGMENTS, rollup, frames(t)["segments"]))
+
+
+@query(
+    "rollup_by_category",
+    sql(
+        f"""SELECT category, performance_tier AS "performanceTier", count(*) AS "count", {MONEY} AS "totalRevenue",
+                   CAST(sum(total_units_sold) AS BIGINT) AS "totalUnitsSold" FROM {TIER_ROWS} GROUP BY 1, 2"""
+    ),
+)
+def rollup_by_category(t: Tables) -> DataFrame:
+    rollup = PRODUCT_TIERS.rollups[0]
+    parts = metrics.build_rollup(PRODUCT_TIERS, rollup, frames(t)["product_analytics"])
+    return metrics.finish_rollup(PRODUCT_TIERS, rollup, parts)
+
+
+@query(
+    "silver_views",
+    sql("SELECT status, count(*) AS n, CAST(sum(total_amount) AS DOUBLE) AS amount FROM stg_orders GROUP BY status"),
+)
+def silver_views(t: Tables) -> DataFrame:
+    """The cleaned tables as views of the session, asked in SQL."""
+    names = staging.create_views(t.spark, {n: t.stg(n) for n in ("orders", "customers")})
+    return t.spark.sql(f"SELECT status, count(*) AS n, sum(total_amount) AS amount FROM {names['orders']} GROUP BY status")
+
+
 # --- rollups ---------------------------------------------------------------
 
 DAY, WEEK = ORDERS.rollups
@@ -433,7 +544,7 @@ def query_via_rollup(t: Tables) -> DataFrame:
             }
         ],
     )
-    return metrics.run(CUBES, {}, request, rollups={"ordersByDay": _stored_rollup(t)})
+    return metrics.run(CUBES, {}, request, rollups={"ordersByDay": _stored_rollup(t)}, require_security=False)
 
 
 @query(
@@ -467,7 +578,7 @@ def rollup_refresh(t: Tables) -> DataFrame:
 def rollup_hll(t: Tables) -> DataFrame:
     """Distinct customers per status from the sketches of the daily rollup."""
     request = by(["Orders.customersApprox"], "Orders.status")
-    estimate = metrics.run(CUBES, {}, request, rollups={"ordersByDay": _stored_rollup(t)})
+    estimate = metrics.run(CUBES, {}, request, rollups={"ordersByDay": _stored_rollup(t)}, require_security=False)
     exact = ask(t, by(["Orders.customers"], "Orders.status"))
     error = F.abs(F.col("Orders_customersApprox") - F.col("Orders_customers"))
     return estimate.join(exact, "Orders_status").select(
