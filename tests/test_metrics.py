@@ -26,7 +26,8 @@ from lakeloom.suite.semantic import frames
 
 @pytest.fixture(scope="module")
 def data(tables):
-    return {name: df.cache() for name, df in frames(tables).items()}
+    made = frames(tables)
+    return {name: made[name].cache() for name in ("orders", "customers", "products", "segments")}
 
 
 def ask(data, request, **options):
