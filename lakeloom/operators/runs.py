@@ -47,29 +47,41 @@ class RunLog:
     def read(self) -> DataFrame:
         return self.spark.read.schema(EVENT_SCHEMA).parquet(self.path)
 
-    def _emit(self, run: Run, kind: str, inputs, outputs, error: str | None = None) -> None:
-        values = (run.run_id, run.job, kind, datetime.now(), inputs, outputs, run.n_rows, error)
-        columns = [
-            F.lit(value).cast(of_type).alias(name)
-            for value, (name, of_type) in zip(values, EVENT_COLUMNS.items(), strict=True)
-        ]
-        event = self.spark.range(0, 1, 1, 1).select(*columns)
-        event.withColumn("error", redact_message("error")).write.mode("append").parquet(self.path)
+    def _write(self, run: Run, events: Sequence[tuple], inputs: list[str], outputs: list[str]) -> None:
+        """The events (type, time, rows, error) of a run in one file."""
+        rows = F.array(
+            *[
+                F.struct(
+                    *[
+                        F.lit(value).cast(of_type).alias(name)
+                        for value, (name, of_type) in zip(
+                            (run.run_id, run.job, kind, at, inputs, outputs, n_rows, error), EVENT_COLUMNS.items(), strict=True
+                        )
+                    ]
+                )
+                for kind, at, n_rows, error in events
+            ]
+        )
+        written = self.spark.range(0, 1, 1, 1).select(F.inline(rows))
+        written.withColumn("error", redact_message("error")).write.mode("append").parquet(self.path)
 
     @contextmanager
     def asset_run(
         self, job: str, outputs: Sequence[str] = (), inputs: Sequence[str] = (), **attributes
     ) -> Iterator[Run]:
-        """START before the block, COMPLETE or FAIL after it; an error is passed on."""
-        run = Run(uuid.uuid4().hex, job, dict(attributes))
-        self._emit(run, "START", list(inputs), list(outputs))
+        """START with the time before the block, COMPLETE or FAIL after it, written together; an error is passed on."""
+        run, started = Run(uuid.uuid4().hex, job, dict(attributes)), datetime.now()
+
+        def end(kind: str, error: str | None = None) -> None:
+            events = [("START", started, None, None), (kind, datetime.now(), run.n_rows, error)]
+            self._write(run, events, list(inputs), list(outputs))
+
         try:
             yield run
         except Exception as error:
-            self._emit(run, "FAIL", list(inputs), list(outputs), str(error))
+            end("FAIL", str(error))
             raise
-        self._emit(run, "COMPLETE", list(inputs), list(outputs))
-
+        end("COMPLETE")
 
     def asset(
         self, outputs: Sequence[str] = (), inputs: Sequence[str] = ()

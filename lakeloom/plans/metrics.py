@@ -587,10 +587,33 @@ def _run_along(
     return both.withColumns(totals)
 
 
+def _beyond(result: DataFrame, order: Mapping[str, str], after: Mapping[str, object]) -> Column:
+    """Whether a row comes after the row ``after`` in the order; nulls come last."""
+    beyond, same = F.lit(False), F.lit(True)
+    for name, direction in order.items():
+        column, last = F.col(name), F.lit(after[name]).cast(result.schema[name].dataType)
+        further = F.lit(False) if after[name] is None else (column < last if direction == "desc" else column > last) | column.isNull()
+        beyond = beyond | (same & further)
+        same = same & column.eqNullSafe(last)
+    return beyond
+
+
 def _page(result: DataFrame, request: _Request, query: Mapping) -> DataFrame:
-    """Order, then offset and limit; dimensions break ties so pages never overlap."""
+    """Order, then offset and limit; dimensions break ties so pages never overlap.
+
+    ``offset`` is for the first pages and needs a limit. Deep pages go on ``after`` the last row of the page before, given by its
+    ordered members and its dimensions; then each page is a top-k of the rows that are left.
+    """
     order = {column_name(n): d for n, d in query.get("order", {}).items()}
     paged = query.get("limit") is not None or query.get("offset")
+    if query.get("offset") and query.get("limit") is None:
+        raise MetricError("an offset needs a limit")
+    if query.get("after"):
+        whole = order | {d: "asc" for d in _shown_dimensions(request) if d not in order}
+        after = {column_name(n): v for n, v in query["after"].items()}
+        if set(after) != set(whole):
+            raise MetricError(f"'after' names {', '.join(whole)}")
+        result = result.where(_beyond(result, whole, after))
     if order or paged:
         keys = [
             F.col(n).desc_nulls_last() if d == "desc" else F.col(n).asc_nulls_last()

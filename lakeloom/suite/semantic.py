@@ -475,6 +475,25 @@ def silver_views(t: Tables) -> DataFrame:
     return t.spark.sql(f"SELECT status, count(*) AS n, sum(total_amount) AS amount FROM {names['orders']} GROUP BY status")
 
 
+FIFTIETH = by(
+    ["Orders.count"], "Orders.customerId", order={"Orders.count": "desc"}, limit=50,
+)
+
+
+@query(
+    "page_after",
+    sql(
+        """SELECT customer_id AS "Orders_customerId", count(*) AS Orders_count FROM stg_orders GROUP BY 1
+           ORDER BY 2 DESC, 1 LIMIT 50 OFFSET 50"""
+    ),
+)
+def page_after(t: Tables) -> DataFrame:
+    """The second page, found by the last row of the first."""
+    last = ask(t, FIFTIETH).collect()[-1]
+    after = {"Orders.count": last.Orders_count, "Orders.customerId": last.Orders_customerId}
+    return ask(t, {**FIFTIETH, "after": after})
+
+
 # --- rollups ---------------------------------------------------------------
 
 DAY, WEEK = ORDERS.rollups

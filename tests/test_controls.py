@@ -249,7 +249,7 @@ def test_orders_without_a_customer_and_lines_without_quantity(spark, tmp_path):
     for name in ("nation", "region", "customer", "orders", "lineitem"):
         spark.read.parquet(f"{SMALL}/{name}.parquet").limit(40).write.parquet(f"{tmp_path}/{name}.parquet")
     orders, lines = spark.read.parquet(f"{SMALL}/orders.parquet").limit(1), spark.read.parquet(f"{SMALL}/lineitem.parquet").limit(1)
-    orders.withColumns({"o_orderkey": F.lit(-1).cast("bigint"), "o_custkey": F.lit(-5).cast("bigint"), "o_totalprice": F.lit(2e8)}).write.mode("append").parquet(f"{tmp_path}/orders.parquet")
+    orders.withColumns({"o_orderkey": F.lit(10**12).cast("bigint"), "o_custkey": F.lit(-5).cast("bigint"), "o_totalprice": F.lit(2e8)}).write.mode("append").parquet(f"{tmp_path}/orders.parquet")
     lines.withColumn("l_quantity", F.lit(0.0)).write.mode("append").parquet(f"{tmp_path}/lineitem.parquet")
     raw = bronze.raw_orders(spark, str(tmp_path))
     assert raw.count() == 41 and raw.where("customer_id = -5 and region is null").count() == 1

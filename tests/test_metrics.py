@@ -126,7 +126,15 @@ def test_pages_differ_and_cover(data):
     }
     whole = rows(ask(data, request))
     pages = [rows(ask(data, {**request, "limit": 30, "offset": o})) for o in range(0, len(whole) + 30, 30)]
+    with pytest.raises(MetricError, match="limit"):
+        ask(data, {**request, "offset": 30})
     assert sum(pages, []) == whole and pages[-1] == []
+    # The same pages by key: each goes on after the last row of the one before.
+    found, last = [], {}
+    while page := ask(data, {**request, "limit": 30} | last).collect():
+        found += page
+        last = {"after": {"Orders.count": page[-1].Orders_count, "Orders.customerId": page[-1].Orders_customerId}}
+    assert [tuple(r) for r in found] == [tuple(r) for r in whole]
 
 
 ROLLUP_QUERIES = [
