@@ -5,9 +5,8 @@ a byte's probability is taken at the longest context known to the language, and
 an escape is paid (distinct followers against all, method C) and the next shorter context is asked, down to all bytes alike. The
 sum of the negative logarithms is the exact length of the text's code, and the language with the shortest code wins.
 
-The trees are learned from a bounded sample of labelled rows (``SAMPLE_ROWS`` rows per language, the first ``SAMPLE_BYTES`` bytes
-of each); counting is a Spark job, and grams seen fewer than ``LEAST_COUNT`` times are cut from the deepest level. Scoring
-reads whole texts. The nodes of all trees are numbered together level by level, so a batch of texts walks down all trees
+The trees are learned from the whole texts of a bounded sample of labelled rows (``SAMPLE_ROWS`` rows per language); counting is
+a Spark job, and grams seen fewer than ``LEAST_COUNT`` times are cut from the deepest level. Scoring reads whole texts. The nodes of all trees are numbered together level by level, so a batch of texts walks down all trees
 at once: one table lookup per byte and level.
 """
 
@@ -26,8 +25,7 @@ from lakeloom.llm.common import short_batches, utf8, written
 
 # Bytes of context.
 ORDER = 4
-SAMPLE_ROWS = 1500
-SAMPLE_BYTES = 4000
+SAMPLE_ROWS = 1000
 # Grams of full depth below this count are left to the shorter contexts.
 LEAST_COUNT = 2
 # Bytes that are scored at once.
@@ -62,7 +60,7 @@ def _lower(data: np.ndarray) -> np.ndarray:
     return np.where((data >= 65) & (data <= 90), data + 32, data).astype(np.uint8)
 
 
-def _count_grams(order: int, keep: int):
+def _count_grams(order: int):
     """Counts of grams per language and batch. Grams never reach over two texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -71,7 +69,7 @@ def _count_grams(order: int, keep: int):
             data, offsets = _lower(data), offsets.tolist()
             languages = batch["lang"].to_pylist()
             for language in sorted(set(languages)):
-                parts = [data[a : min(b, a + keep)] for a, b, x in zip(offsets, offsets[1:], languages, strict=False) if x == language]
+                parts = [data[a:b] for a, b, x in zip(offsets, offsets[1:], languages, strict=False) if x == language]
                 for size in range(1, order + 2):
                     grams, counts = np.unique(np.concatenate([_gram_values(p, size) for p in parts]), return_counts=True)
                     yield pa.RecordBatch.from_arrays(
@@ -93,11 +91,11 @@ def sample(labelled: DataFrame, rows: int) -> DataFrame:
     return known.where(F.col("draw") < share[F.col("lang")]).select("lang", "text")
 
 
-def learn(labelled: DataFrame, order: int = ORDER, rows: int = SAMPLE_ROWS, keep: int = SAMPLE_BYTES, least: int = LEAST_COUNT) -> Model:
+def learn(labelled: DataFrame, order: int = ORDER, rows: int = SAMPLE_ROWS, least: int = LEAST_COUNT) -> Model:
     """Frozen trees from ``lang, text`` rows; rows without a language are ignored. The counts that come to the driver are
-    bounded by the sample: languages times ``rows`` times ``keep`` times the levels."""
+    those of the sample's distinct grams, fewer than its bytes times the levels."""
     short_batches(labelled.sparkSession)
-    counted = sample(labelled, rows).mapInArrow(_count_grams(order, keep), "lang string, size int, gram long, n long")
+    counted = sample(labelled, rows).mapInArrow(_count_grams(order), "lang string, size int, gram long, n long")
     counted = counted.groupBy("lang", "size", "gram").agg(F.sum("n").alias("n"))
     table = counted.where((F.col("n") >= least) | (F.col("size") <= order)).toArrow()
     lang, size, gram, n = (table[c].to_numpy() for c in ("lang", "size", "gram", "n"))
