@@ -10,6 +10,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from lakeloom.functions.clean import EMAIL_PATTERN
+from lakeloom.operators.generate import (
+    CATEGORIES,
+    EVENT_WEIGHTS,
+    PLAN_WEIGHTS,
+    REGION_WEIGHTS,
+    STATUS_WEIGHTS,
+    SUBSCRIPTION_WEIGHTS,
+)
 
 RESULT = ["check", "table", "column", "n_rows", "n_failed"]
 
@@ -169,22 +177,12 @@ def enforce(results: DataFrame, fail_on_error: bool = True) -> DataFrame:
 
 # --- row rules -------------------------------------------------------------
 
-# What the entity rules accept.
-REGIONS = ["north", "south", "east", "west"]
-ORDER_STATUSES = ["pending", "processing", "completed", "cancelled"]
-PLANS = ["free", "starter", "pro", "enterprise"]
-CATEGORIES = ["electronics", "clothing", "home", "sports", "books"]
-SUBSCRIPTION_STATUSES = ["active", "trial", "churned", "cancelled", "past_due"]
-EVENT_TYPES = [
-    "page_view",
-    "feature_use",
-    "api_call",
-    "login",
-    "logout",
-    "signup",
-    "upgrade",
-    "downgrade",
-]
+# What the entity rules accept: the values that generated entities take.
+REGIONS = list(REGION_WEIGHTS)
+ORDER_STATUSES = list(STATUS_WEIGHTS)
+PLANS = list(PLAN_WEIGHTS)
+SUBSCRIPTION_STATUSES = list(SUBSCRIPTION_WEIGHTS)
+EVENT_TYPES = list(EVENT_WEIGHTS)
 
 
 def _length(column: str, low: int, high: int) -> Column:
