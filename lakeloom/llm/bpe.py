@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 from lakeloom.llm.common import short_batches
 
 # Characters of text that are indexed together, and ids that are kept for words met again.
-CHUNK_CHARS = 8_000_000
-KEPT_IDS = 2_000_000
+CHUNK_CHARS = 4_000_000
+KEPT_IDS = 1_200_000
 # Lists below this length are applied one position after another.
 SHORT = 48
 
