@@ -2,9 +2,10 @@
 
 Each half of a unit vector has a codebook of its own; the pairs of codes are the cells of a grid. A vector is kept in the cell of
 its own codes and visits the cells around it by multi-sequence traversal: cells in order of the least distance at which they
-begin, from two sorted lists and a heap. A neighbour in a random direction lies behind a border at distance h with a known
-probability; cells are visited until all that are left hold a neighbour with less than 1 - ``recall`` together. With a recall
-of 1 the traversal goes as far as a neighbour can be, and nothing is missed. Every pair that meets in a cell is verified by its cosine.
+begin, from two sorted lists and a heap. Cells are visited as far as the target recall asks: the distance is measured on a sample
+whose vectors are moved to the threshold. A pair is found if either vector visits the other's cell, so what is missed is
+about the square of what one direction misses. With a recall of 1 the traversal goes as far as a neighbour can be, and
+nothing is missed. Every pair that meets in a cell is verified by its cosine.
 
 Equal vectors are one entry with a count. Members and visitors of a cell are dealt into blocks of bounded size and each pair
 of blocks is a group of its own, so a crowded cell is many tasks. From a block come counts and one link per vector, never its pairs.
@@ -14,7 +15,6 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
-from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -28,11 +28,14 @@ from lakeloom.llm.components import components
 from lakeloom.operators.joins import shuffled_again
 
 COSINE = 0.95
-RECALL = 0.9999
+# Of neighbours at the threshold, the share that a vector finds by its own visits.
+RECALL = 0.99
 # Vectors that the codebooks are fitted to, at most about; codes of a half; vectors that a cell should hold.
 SAMPLE_ROWS = 20_000
 MOST_CODES = 256
-CELL_ROWS = 32
+CELL_ROWS = 512
+# Vectors that the distance of visits is measured with.
+MEASURED_ROWS = 2000
 # Rows of one side of a block.
 BLOCK_ROWS = 2048
 
@@ -59,8 +62,8 @@ def _as_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(offsets), pa.array(vectors.ravel()))], ["unit"])
 
 
-def codebooks(vectors: DataFrame, dim: int, codes: int, rows: int = SAMPLE_ROWS) -> list[np.ndarray]:
-    """Codes of both halves, fitted to a sample of at most about ``rows`` vectors drawn by a hash."""
+def codebooks(vectors: DataFrame, dim: int, codes: int, rows: int = SAMPLE_ROWS) -> tuple[list[np.ndarray], np.ndarray]:
+    """Codes of both halves, fitted to a sample of at most about ``rows`` vectors drawn by a hash; and some of the sample."""
     held = vectors.count()
     drawn = vectors.where(F.pmod(F.xxhash64(F.lit(5), "uid"), F.lit(1_000_000)) < 1_000_000 * rows // max(held, 1))
     drawn = written(drawn.select("vector").mapInArrow(_as_units, "unit array<double>"), "codebook-sample")
@@ -73,7 +76,8 @@ def codebooks(vectors: DataFrame, dim: int, codes: int, rows: int = SAMPLE_ROWS)
         half = drawn.select(array_to_vector(F.slice("unit", first, size)).alias("half"))
         model = KMeans(featuresCol="half", k=codes, maxIter=8, seed=1).fit(half)
         books.append(np.array([c for c in model.clusterCenters()]).reshape(-1, size))
-    return books
+    some = [r.unit for r in drawn.limit(MEASURED_ROWS).collect()]
+    return books, np.array(some).reshape(-1, dim)
 
 
 def borders(half: np.ndarray, book: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -103,13 +107,22 @@ def traverse(first: np.ndarray, second: np.ndarray, reach: float) -> list[tuple[
     return found
 
 
-def reach_of(cosine: float, recall: float, dim: int, cells: int) -> float:
-    """Distance up to which cells are visited. All cells further away together hold a neighbour at the threshold, moved in a random
-    direction, with a probability below 1 - ``recall``; at a recall of 1 no neighbour at all."""
+def reach_of(cosine: float, recall: float, books: list[np.ndarray], sample: np.ndarray) -> float:
+    """Distance up to which cells are visited.
+
+    Sampled vectors are moved in random directions to the threshold; the distance is the one within which the share ``recall``
+    of them are found again. At a recall of 1 it is the furthest that any neighbour can be.
+    """
     radius = float(np.sqrt(max(2 - 2 * cosine, 0.0)))
-    if recall >= 1:
+    if recall >= 1 or len(sample) < 100:
         return radius
-    return min(radius, radius / np.sqrt(dim) * NormalDist().inv_cdf(1 - (1 - recall) / cells))
+    moves = np.random.default_rng(1).normal(size=sample.shape)
+    moves -= (moves * sample).sum(axis=1, keepdims=True) * sample
+    moves /= np.maximum(np.sqrt((moves * moves).sum(axis=1, keepdims=True)), 1e-300)
+    moved = cosine * sample + np.sqrt(max(1 - cosine * cosine, 0.0)) * moves
+    cut, row = books[0].shape[1], np.arange(len(sample))
+    far = [borders(sample[:, s], book)[1][row, borders(moved[:, s], book)[0]] for s, book in zip((slice(0, cut), slice(cut, None)), books, strict=True)]
+    return min(radius, float(np.sqrt(np.quantile(far[0] ** 2 + far[1] ** 2, recall))))
 
 
 def _place(books: list[np.ndarray], cut: int, reach: float):
@@ -180,8 +193,8 @@ def links(vectors: DataFrame, dim: int, cosine: float, recall: float, block_rows
     """``uid, n, vector`` of one length to ``uid, links, root`` rows, several per vector: counts to be summed, and links to a lesser one."""
     held = vectors.count()
     codes = max(1, min(MOST_CODES, round((held / CELL_ROWS) ** 0.5)))
-    books = codebooks(vectors, dim, codes)
-    reach = reach_of(cosine, recall, dim, len(books[0]) * len(books[1]))
+    books, sample = codebooks(vectors, dim, codes)
+    reach = reach_of(cosine, recall, books, sample)
     schema = "uid long, n long, vector array<float>, cell long, visits array<long>"
     placed = vectors.repartition("uid").select("uid", "n", "vector").mapInArrow(_place(books, (dim + 1) // 2, reach), schema)
     placed = written(placed, "placed-vectors")

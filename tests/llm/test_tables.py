@@ -205,7 +205,7 @@ def plain_links(rows, cosine=0.95):
     return [(rows[i][0], counts[i], least[group[i]]) for i in range(n)]
 
 
-@pytest.mark.parametrize(("recall", "block"), [(1.0, 2048), (1.0, 16), (0.9999, 2048)])
+@pytest.mark.parametrize(("recall", "block"), [(1.0, 2048), (1.0, 16), (0.99, 2048)])
 def test_links_and_groups(spark, monkeypatch, recall, block):
     monkeypatch.setattr(embeddings.links, "__defaults__", (block,))
     rows = vectors()
