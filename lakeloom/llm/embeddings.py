@@ -2,10 +2,10 @@
 
 Each half of a unit vector has a codebook of its own; the pairs of codes are the cells of a grid. A vector is kept in the cell of
 its own codes and visits the cells around it by multi-sequence traversal: cells in order of the least distance at which they
-begin, from two sorted lists and a heap. Cells are visited as far as the target recall asks: the distance is measured on a sample
-whose vectors are moved to the threshold. A pair is found if either vector visits the other's cell, so what is missed is
-about the square of what one direction misses. With a recall of 1 the traversal goes as far as a neighbour can be, and
-nothing is missed. Every pair that meets in a cell is verified by its cosine.
+begin, from two sorted lists and a heap. With a recall of 1, the default, the traversal goes as far as a neighbour can be and
+nothing is missed; of two cells the vectors of the later one visit the earlier one. With a lower recall cells are visited, in
+both directions, as far as that share of real neighbours asks: the distance is measured on the pairs at the threshold between a
+sample and all vectors, and where these are too few it is the exact one. Every pair that meets in a cell is verified by its cosine.
 
 Equal vectors are one entry with a count. Members and visitors of a cell are dealt into blocks of bounded size and each pair
 of blocks is a group of its own, so a crowded cell is many tasks. From a block come counts and one link per vector, never its pairs.
@@ -28,16 +28,19 @@ from lakeloom.llm.components import components
 from lakeloom.operators.joins import shuffled_again
 
 COSINE = 0.95
-# Of neighbours at the threshold, the share that a vector finds by its own visits.
-RECALL = 0.99
+# Of pairs at the threshold, the share that is found; at 1 all are.
+RECALL = 1.0
 # Vectors that the codebooks are fitted to, at most about; codes of a half; vectors that a cell should hold.
 SAMPLE_ROWS = 20_000
 MOST_CODES = 256
-CELL_ROWS = 512
-# Vectors that the distance of visits is measured with.
+CELL_ROWS = 4096
+# Vectors that the distance of visits is measured with, pairs that it needs, and its steps.
 MEASURED_ROWS = 2000
-# Rows of one side of a block.
-BLOCK_ROWS = 2048
+MEASURED_PAIRS = 100
+STEPS = 1000
+# Rows of one side of a block, and visitors that are compared at a time.
+BLOCK_ROWS = 8192
+COMPARED_ROWS = 512
 
 
 def usable(vector: F.Column) -> F.Column:
@@ -107,25 +110,49 @@ def traverse(first: np.ndarray, second: np.ndarray, reach: float) -> list[tuple[
     return found
 
 
-def reach_of(cosine: float, recall: float, books: list[np.ndarray], sample: np.ndarray) -> float:
-    """Distance up to which cells are visited.
+def _border_steps(books: list[np.ndarray], cut: int, cosine: float, sample: np.ndarray, radius: float):
+    """Counts of the pairs at or just above the threshold between the vectors and the sample, by the lesser distance of the two directions."""
 
-    Sampled vectors are moved in random directions to the threshold; the distance is the one within which the share ``recall``
-    of them are found again. At a recall of 1 it is the furthest that any neighbour can be.
-    """
-    radius = float(np.sqrt(max(2 - 2 * cosine, 0.0)))
-    if recall >= 1 or len(sample) < 100:
+    def placed(vectors: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        return [borders(vectors[:, s], book) for s, book in zip((slice(0, cut), slice(cut, None)), books, strict=True)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        others = placed(sample)
+        for batch in batches:
+            for start in range(0, len(batch), COMPARED_ROWS):
+                vectors = units(batch["vector"].slice(start, COMPARED_ROWS))
+                cosines = vectors @ sample.T
+                q, m = np.nonzero((cosines >= cosine) & (cosines < (1 + cosine) / 2))
+                there = sum(far[q, own[m]] ** 2 for (_, far), (own, _) in zip(placed(vectors), others, strict=True))
+                back = sum(far[m, own[q]] ** 2 for (own, _), (_, far) in zip(placed(vectors), others, strict=True))
+                step = np.ceil(np.sqrt(np.minimum(there, back)) / radius * STEPS).astype(np.int64)
+                steps, counts = np.unique(np.minimum(step, STEPS), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(steps, pa.int64()), pa.array(counts, pa.int64())], ["step", "n"])
+
+    return run
+
+
+def radius_of(cosine: float) -> float:
+    """The furthest that a neighbour can be."""
+    return float(np.sqrt(max(2 - 2 * cosine, 0.0)))
+
+
+def reach_of(vectors: DataFrame, cosine: float, recall: float, books: list[np.ndarray], sample: np.ndarray) -> float:
+    """Distance up to which cells are visited: the one within which the share ``recall`` of the sample's real neighbours at the
+    threshold lie in one direction or the other. At a recall of 1, and with too few such pairs, it is the furthest that any
+    neighbour can be."""
+    radius = radius_of(cosine)
+    if recall >= 1 or not radius or not len(sample):
         return radius
-    moves = np.random.default_rng(1).normal(size=sample.shape)
-    moves -= (moves * sample).sum(axis=1, keepdims=True) * sample
-    moves /= np.maximum(np.sqrt((moves * moves).sum(axis=1, keepdims=True)), 1e-300)
-    moved = cosine * sample + np.sqrt(max(1 - cosine * cosine, 0.0)) * moves
-    cut, row = books[0].shape[1], np.arange(len(sample))
-    far = [borders(sample[:, s], book)[1][row, borders(moved[:, s], book)[0]] for s, book in zip((slice(0, cut), slice(cut, None)), books, strict=True)]
-    return min(radius, float(np.sqrt(np.quantile(far[0] ** 2 + far[1] ** 2, recall))))
+    steps = vectors.select("vector").mapInArrow(_border_steps(books, books[0].shape[1], cosine, sample, radius), "step long, n long")
+    found = sorted((r.step, r.n) for r in steps.groupBy("step").agg(F.sum("n").alias("n")).collect())
+    within = np.cumsum([n for _, n in found])
+    if not found or within[-1] < MEASURED_PAIRS:
+        return radius
+    return radius * found[int(np.searchsorted(within, recall * within[-1]))][0] / STEPS
 
 
-def _place(books: list[np.ndarray], cut: int, reach: float):
+def _place(books: list[np.ndarray], cut: int, reach: float, exact: bool):
     width = len(books[1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,6 +165,9 @@ def _place(books: list[np.ndarray], cut: int, reach: float):
             visits = []
             for own, a, b in zip((own1 * width + own2).tolist(), far1, far2, strict=True):
                 cells = [i * width + j for i, j in traverse(a, b, reach)]
+                if exact:
+                    # Both vectors of a pair reach each other's cell: one direction finds it.
+                    cells = [c for c in cells if c <= own]
                 visits.append(cells if own in cells else [own, *cells])
             yield pa.RecordBatch.from_arrays(
                 [batch["uid"], batch["n"], batch["vector"], pa.array(own1 * width + own2, pa.int64()), pa.array(visits, pa.list_(pa.int64()))],
@@ -167,22 +197,34 @@ def _verify(cosine: float):
             return schema.empty_table()
         uid = [t["uid"].to_numpy() for t in (visitors, members)]
         n = [t["n"].to_numpy() for t in (visitors, members)]
-        close = units(visitors["vector"].combine_chunks()) @ units(members["vector"].combine_chunks()).T >= cosine
-        close &= uid[0][:, None] != uid[1][None, :]
-        q, m = np.nonzero(close)
-        if not len(q):
-            return schema.empty_table()
-        links = [close @ n[1], np.zeros(len(uid[1]), np.int64)]
-        visits = visitors["from"].to_numpy()
-        seen = [set(x) for x in members["visits"].to_pylist()]
-        for i in np.unique(m).tolist():
-            others = q[m == i]
-            lonely = np.array([c not in seen[i] for c in visits[others].tolist()])
-            links[1][i] = n[0][others[lonely]].sum()
+        cells, cell = np.unique(visitors["from"].to_numpy(), return_inverse=True)
+        sees = np.zeros((members.num_rows, len(cells)), bool)
+        lists = members["visits"].combine_chunks()
+        of, seen = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy()), lists.flatten().to_numpy()
+        at = np.minimum(np.searchsorted(cells, seen), len(cells) - 1)
+        known = cells[at] == seen
+        sees[of[known], at[known]] = True
+        left, right = (units(t["vector"].combine_chunks()) for t in (visitors, members))
+        links = [np.zeros(len(x), np.int64) for x in uid]
         # One node per vector, whichever side it is on.
         nodes, number = np.unique(np.concatenate(uid), return_inverse=True)
+        joined = [np.zeros((2, 0), np.int64)]
+        for start in range(0, len(left), COMPARED_ROWS):
+            q, m = np.nonzero(left[start : start + COMPARED_ROWS] @ right.T >= cosine)
+            q += start
+            other = uid[0][q] != uid[1][m]
+            q, m = q[other], m[other]
+            if not len(q):
+                continue
+            links[0] += np.bincount(q, n[1][m], len(left)).astype(np.int64)
+            lonely = ~sees[m, cell[q]]
+            links[1] += np.bincount(m[lonely], n[0][q[lonely]], len(right)).astype(np.int64)
+            # Of the pairs remains one link per vector.
+            label = _least_labels(number[q], number[len(left) + m], len(nodes))
+            linked = np.flatnonzero(label != np.arange(len(nodes)))
+            joined.append(np.stack([linked, label[linked]]))
         sums = np.bincount(number, np.concatenate(links), len(nodes)).astype(np.int64)
-        root = nodes[_least_labels(number[: len(uid[0])][q], number[len(uid[0]) :][m], len(nodes))]
+        root = nodes[_least_labels(*np.concatenate(joined, axis=1), len(nodes))]
         some = (sums > 0) | (root != nodes)
         return pa.Table.from_arrays([pa.array(x[some]) for x in (nodes, sums, root)], schema=schema)
 
@@ -194,9 +236,9 @@ def links(vectors: DataFrame, dim: int, cosine: float, recall: float, block_rows
     held = vectors.count()
     codes = max(1, min(MOST_CODES, round((held / CELL_ROWS) ** 0.5)))
     books, sample = codebooks(vectors, dim, codes)
-    reach = reach_of(cosine, recall, books, sample)
+    reach = reach_of(vectors, cosine, recall, books, sample)
     schema = "uid long, n long, vector array<float>, cell long, visits array<long>"
-    placed = vectors.repartition("uid").select("uid", "n", "vector").mapInArrow(_place(books, (dim + 1) // 2, reach), schema)
+    placed = vectors.repartition("uid").select("uid", "n", "vector").mapInArrow(_place(books, (dim + 1) // 2, reach, reach >= radius_of(cosine)), schema)
     placed = written(placed, "placed-vectors")
     # Named anew: the two sides of the cogroup come from one table.
     own = [F.col(c).alias(c) for c in ("uid", "n", "vector")]

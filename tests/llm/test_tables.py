@@ -220,6 +220,30 @@ def test_links_and_groups(spark, monkeypatch, recall, block):
         assert sum(r.n_links for r in got) >= 0.95 * sum(x[1] for x in expected)
 
 
+@pytest.mark.parametrize(("recall", "least"), [(None, 1.0), (0.9999, 0.999), (0.99, 0.97)])
+def test_links_along_the_directions_of_the_data(spark, monkeypatch, recall, least):
+    """Vectors of four directions in 64 dimensions, each with a neighbour along them, and many cells."""
+    monkeypatch.setattr(embeddings, "CELL_ROWS", 16)
+    rng = np.random.default_rng(4)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    base, moves = unit(rng.normal(size=(1500, 4))), rng.normal(size=(1500, 4))
+    moves = unit(moves - (moves * base).sum(axis=1, keepdims=True) * base)
+    flat = np.concatenate([base, 0.952 * base + np.sqrt(1 - 0.952**2) * moves])
+    rows = (flat @ np.linalg.qr(rng.normal(size=(64, 4)))[0].T).astype(np.float32)
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rows)], "vec_id long, embedding array<float>")
+    got = embeddings.near_duplicates(table, **({} if recall is None else {"recall": recall})).collect()
+    exact = unit(rows.astype(float))
+    expected = (exact @ exact.T >= 0.95).sum(axis=1) - 1
+    found = {r.vec_id: r.n_links for r in got}
+    if recall is None:
+        assert [found[i] for i in range(len(rows))] == expected.tolist()
+    assert expected.sum() >= sum(found.values()) >= least * expected.sum()
+
+
+def test_links_and_groups_at_the_first_recall(spark, monkeypatch):
+    test_links_and_groups(spark, monkeypatch, 0.9999, 2048)
+
+
 def test_no_vectors(spark):
     table = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert embeddings.near_duplicates(table).collect() == []
