@@ -1,9 +1,10 @@
 """Main text of web pages by two passes of block rules.
 
 A page is cut into blocks at its block tags. The first pass decides each block by itself: by where it stands (menus, headers,
-footers, sidebars, notices, adverts, forms and comments are out, a declared article is in), by the share of its letters
-inside links, its length, and the density of stop words. Short blocks, and longer ones of middling density, stay open.
-In the second pass an open block takes the label of the nearest decided blocks around it.
+footers, sidebars, notices, adverts, forms and comments are out), by the share of its letters inside links, its length, and
+the density of stop words. Short blocks, and longer ones of middling density, stay open. In the second pass an open block
+takes the label of the nearest decided blocks around it. Inside a declared article less density is enough, no block is out
+for its density alone, and an open block is text unless the decided blocks of the article on all its sides are not.
 """
 
 from __future__ import annotations
@@ -206,21 +207,38 @@ def first_pass(block: Block) -> str:
     letters = len(block.text) - block.text.count(" ")
     if block.out:
         return "bad"
-    if block.inside:
-        return "good"
     if block.linked > LINKS * letters:
-        return "bad"
+        # A linked title of an article stays open.
+        return "short" if block.inside and block.heading else "bad"
     words = block.text.lower().split()
     density = sum(w.strip(".,;:!?\"'()[]«»“”¿¡") in STOP_WORDS for w in words) / len(words)
     if len(block.text) < SHORT or block.heading:
         return "short"
+    if block.inside:
+        return "good" if density >= MIDDLING else "near"
     return "good" if density >= DENSE else "near" if density >= MIDDLING else "bad"
 
 
+def settle_articles(found: list[Block]) -> None:
+    """Open blocks inside a declared article are good, unless those decided by their own text before and after them are bad."""
+    own = [b for b in found if b.inside and not b.out]
+    labels = [b.label for b in own]
+    before, last = [], ""
+    for x in labels:
+        last = x if x in ("good", "bad") else last
+        before.append(last)
+    following = ""
+    for i in range(len(own) - 1, -1, -1):
+        following = labels[i] if labels[i] in ("good", "bad") else following
+        if labels[i] not in ("good", "bad"):
+            own[i].label = "bad" if {before[i], following} - {""} == {"bad"} else "good"
+
+
 def second_pass(found: list[Block]) -> None:
-    """Open blocks take the label of the nearest decided ones: of both if they agree, else of the nearer one; at equal
+    """Open blocks inside a declared article are settled first. The others take the label of the nearest decided ones: of both if they agree, else of the nearer one; at equal
     distances a middling block is good and a short one is bad, but a heading goes with what follows. Without any decided
     block in the page, open blocks are good."""
+    settle_articles(found)
     labels = [b.label for b in found]
     decided = [i for i, x in enumerate(labels) if x in ("good", "bad")]
     if not decided:

@@ -151,6 +151,23 @@ def test_block_rules(page, text):
     assert extraction.main_text(page) == text
 
 
+LINKS = "<ul>" + "<li><a href=x>Some other page</a></li>" * 6 + "</ul>"
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        (f"<body><main>{LINKS}<h1>Title</h1><p>{SENTENCE}</p><p>Short.</p>{LINKS}<p>Popular now</p>{LINKS}</main>", f"Title\n{SENTENCE}\nShort."),
+        (f"<article><p>{SENTENCE}</p><p>{'Lamps 1999 ' * 9}</p><p>{SENTENCE}</p></article>", f"{SENTENCE}\n{('Lamps 1999 ' * 9).strip()}\n{SENTENCE}"),
+        (f"<article><p>{SENTENCE}</p><p><a href=x>{SENTENCE}</a></p></article>", SENTENCE),
+        (f"<div>{LINKS}<h1>Title</h1><p>{SENTENCE}</p><p>{SENTENCE}</p>{LINKS}</div>", f"Title\n{SENTENCE}\n{SENTENCE}"),
+        ("<main><p>One.</p><p>Two.</p></main>", "One.\nTwo."),
+    ],
+)
+def test_block_rules_decide_inside_articles(page, text):
+    assert extraction.main_text(page) == text
+
+
 def test_pages_that_are_broken_or_deep():
     assert extraction.main_text("<div>" * 30_000 + "x" + "</div>" * 30_000) == "x"
     assert extraction.main_text('<p a="' * 30_000) == ""
