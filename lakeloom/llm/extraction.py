@@ -25,6 +25,9 @@ from lakeloom.llm.common import short_batches
 LINKS = 0.5
 # Letters below which a block is short.
 SHORT = 70
+# Share of a page's dense text above which a form or what is named like no text holds the page, and what a longer name only
+# hints at ("content-sidebar-wrap").
+WHOLE, MOST = 0.9, 0.5
 # Stop words, of all words, from which a block is text, and from which it may be.
 DENSE, MIDDLING = 0.3, 0.15
 
@@ -53,7 +56,7 @@ BLOCK_TAGS = frozenset(
 )
 # Their content is no text of the page.
 RAW_TAGS = ("script", "style", "noscript", "template", "iframe", "svg", "math", "object", "canvas", "audio", "video", "textarea", "select", "title", "xmp")
-OUT_TAGS = frozenset("nav footer aside form menu dialog button fieldset".split())
+OUT_TAGS = frozenset("nav footer aside menu dialog button fieldset".split())
 IN_TAGS = frozenset(("article", "main"))
 # Elements that hold others and are closed by name.
 HOLDERS = frozenset(
@@ -82,6 +85,11 @@ _TAG = re.compile(
 )
 _ATTRIBUTE = re.compile(r"(?<![\w-])(class|id|role|hidden|style)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.IGNORECASE)
 _NAME_PART = re.compile(r"[a-z0-9]+")
+# Without an end, the rest of the page is theirs; the start of any other is ignored then.
+_TO_THE_END = ("script", "style")
+# One that begins within one of the same kind shows that the first has no end.
+_NOT_NESTED = ("select", "audio", "video", "canvas", "noscript")
+_RAW_START = {tag: re.compile(rf"<{tag}(?=[\s/>])", re.IGNORECASE) for tag in _NOT_NESTED}
 _RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*(?:>|\Z)", re.IGNORECASE) for tag in RAW_TAGS}
 
 
@@ -92,46 +100,71 @@ class Block:
     out: bool
     inside: bool
     heading: bool
+    # The innermost element around it that may be out.
+    doubt: int = -1
     label: str = ""
 
 
+@dataclass
+class Doubt:
+    """An element that is out by its names or as a form, unless it holds the text of the page."""
+
+    around: int
+    hint: bool
+    depth: int
+    articles: int = 0
+    mains: int = 0
+    dense: int = 0
+
+
 @dataclass
 class _Page:
     """What the walk over a page's tags has gathered."""
 
     blocks: list[Block] = field(default_factory=list)
-    # Open elements: name, and whether they or those around them are out of the text, or in a declared article.
-    holders: list[tuple[str, bool, bool]] = field(default_factory=list)
+    # Open elements: name, whether they or those around them are out of the text, or in a declared article, and the doubt on them.
+    holders: list[tuple[str, bool, bool, int]] = field(default_factory=list)
     opened: Counter = field(default_factory=Counter)
     pieces: list[str] = field(default_factory=list)
     linked: int = 0
     links: int = 0
     tag: str = ""
     tag_out: bool = False
+    doubts: list[Doubt] = field(default_factory=list)
+    # Declared articles that are not out: the doubt they stand in, and whether they are a main.
+    articles: list[tuple[int, bool]] = field(default_factory=list)
 
-    def around(self) -> tuple[bool, bool]:
-        return self.holders[-1][1:] if self.holders else (False, False)
+    def around(self) -> tuple[bool, bool, int]:
+        return self.holders[-1][1:] if self.holders else (False, False, -1)
 
     def hold(self, name: str, rest: str) -> None:
         """Open an element that holds others."""
-        out, inside = self.around()
-        if _is_out(name, rest, inside) and not out:
+        out, inside, doubt = self.around()
+        why = "" if out else _why_out(name, rest, inside)
+        if why:
             self.close()
-            out = True
+            if why == "tag":
+                out = True
+            else:
+                self.doubts.append(Doubt(doubt, why == "hint", self.doubts[doubt].depth + 1 if doubt >= 0 else 1))
+                doubt = len(self.doubts) - 1
+        if name in IN_TAGS and not out:
+            self.articles.append((doubt, name == "main"))
         self.opened[name] += 1
-        self.holders.append((name, out, inside or name in IN_TAGS))
+        self.holders.append((name, out, inside or name in IN_TAGS, doubt))
 
     def release(self, name: str) -> None:
         """Close the last open element of a name and those in it; an end without a beginning is ignored."""
         if not self.opened[name]:
             return
-        was_out = self.around()[0]
+        was = self.around()
         at = len(self.holders) - 1
         while self.holders[at][0] != name:
             at -= 1
-        if was_out and not (at and self.holders[at - 1][1]):
+        left = self.holders[at - 1] if at else ("", False, False, -1)
+        if was[0] and not left[1] or was[2] != left[3]:
             self.close()
-        for other, _, _ in self.holders[at:]:
+        for other, *_ in self.holders[at:]:
             self.opened[other] -= 1
         del self.holders[at:]
 
@@ -146,31 +179,77 @@ class _Page:
         """End the block that is open."""
         text = " ".join("".join(self.pieces).split())
         if text:
-            out, inside = self.around()
-            self.blocks.append(Block(text, self.linked, out or self.tag_out, inside, self.tag[:1] == "h" and self.tag[1:].isdigit()))
+            out, inside, doubt = self.around()
+            self.blocks.append(Block(text, self.linked, out or self.tag_out, inside, self.tag[:1] == "h" and self.tag[1:].isdigit(), doubt))
         self.pieces, self.linked = [], 0
 
 
-def _is_out(name: str, rest: str, inside: bool) -> bool:
-    """Whether an element is none of the page's text, by its tag and its names."""
+def _why_out(name: str, rest: str, inside: bool) -> str:
+    """Why an element is none of the page's text: ``tag`` for its tag, role or style; ``name`` for a form, or a class or an id of
+    words that say so; ``hint`` for one with other words beside them. Empty if it may be text."""
     if name in OUT_TAGS or name == "header" and not inside:
-        return True
+        return "tag"
+    why = "name" if name == "form" else ""
     if name in ("html", "body", "article", "main") or not rest or "=" not in rest and "hidden" not in rest:
-        return False
+        return why
     for key, value in _ATTRIBUTE.findall(rest):
         key, value = key.lower(), value.strip("\"'").lower()
         if key == "hidden" or key == "style" and "display:none" in value.replace(" ", ""):
-            return True
+            return "tag"
         if key == "role" and value in OUT_ROLES:
-            return True
-        if key in ("class", "id") and not OUT_NAMES.isdisjoint(_NAME_PART.findall(value)):
-            return True
-    return False
+            return "tag"
+        if key in ("class", "id") and why != "name":
+            for parts in map(_NAME_PART.findall, value.split()):
+                if not OUT_NAMES.isdisjoint(parts):
+                    why = "name" if why == "name" or OUT_NAMES.issuperset(parts) else "hint"
+    return why
+
+
+def _dense_letters(block: Block) -> int:
+    """Letters of a block whose length and links are those of text."""
+    letters = len(block.text) - block.text.count(" ")
+    return letters if len(block.text) >= SHORT and block.linked <= LINKS * letters else 0
+
+
+def settle_doubts(page: _Page) -> None:
+    """Put blocks out that stand in an element that is out.
+
+    An element in doubt is text, to be decided by its blocks, if it holds the page: the outermost main; the outermost articles,
+    when they are in it for more than a part of its name or hold most of the dense text; or, where no declared article stands
+    outside such elements, nearly all dense text (most of it, if its name only hints).
+    """
+    if not page.doubts:
+        return
+    doubts, total = page.doubts, 0
+    for block in page.blocks:
+        if not block.out:
+            dense = _dense_letters(block)
+            total += dense
+            if block.doubt >= 0:
+                doubts[block.doubt].dense += dense
+    depth = lambda doubt: doubts[doubt].depth if doubt >= 0 else 0
+    nearest = min((depth(d) for d, _ in page.articles), default=-1)
+    nearest_main = min((depth(d) for d, main in page.articles if main), default=-1)
+    for doubt, main in page.articles:
+        if doubt >= 0:
+            doubts[doubt].articles += depth(doubt) == nearest
+            doubts[doubt].mains += main and depth(doubt) == nearest_main
+    for doubt in reversed(doubts):
+        if doubt.around >= 0:
+            up = doubts[doubt.around]
+            up.articles, up.mains, up.dense = up.articles + doubt.articles, up.mains + doubt.mains, up.dense + doubt.dense
+    stays = []
+    for doubt in doubts:
+        text = doubt.mains > 0 or doubt.articles > 0 and (doubt.hint or doubt.dense > MOST * total or not total)
+        text = text or nearest != 0 and doubt.dense > (MOST if doubt.hint else WHOLE) * total
+        stays.append(text and (doubt.around < 0 or stays[doubt.around]))
+    for block in page.blocks:
+        block.out = block.out or block.doubt >= 0 and not stays[block.doubt]
 
 
 def blocks(page: str) -> list[Block]:
     """The blocks of a page in order. Broken tags, missing ends and nested paragraphs are read as browsers read them."""
-    state, at = _Page(), 0
+    state, at, ends = _Page(), 0, {}
     for match in iter(lambda: _TAG.search(page, at), None):
         state.text(page[at : match.start()])
         at = match.end()
@@ -180,9 +259,14 @@ def blocks(page: str) -> list[Block]:
         name, rest = name.lower(), match["rest"] if match["name"] else match["rest2"]
         end = match["end"] or match["end2"]
         if not end and name in _RAW_END and not rest.endswith("/"):
-            closing = _RAW_END[name].search(page, at)
-            at = closing.end() if closing else len(page)
             state.text(" ")
+            if name not in ends or ends[name] and ends[name].start() < at:
+                ends[name] = _RAW_END[name].search(page, at)
+            closing = ends[name]
+            if closing and name in _RAW_START and _RAW_START[name].search(page, at, closing.start()):
+                closing = None
+            if closing or name in _TO_THE_END:
+                at = closing.end() if closing else len(page)
             continue
         if name in BLOCK_TAGS:
             state.close()
@@ -196,9 +280,10 @@ def blocks(page: str) -> list[Block]:
         elif name in HOLDERS and not rest.endswith("/"):
             state.hold(name, rest)
         elif name in BLOCK_TAGS and not end:
-            state.tag_out = _is_out(name, rest, state.around()[1])
+            state.tag_out = bool(_why_out(name, rest, state.around()[1]))
     state.text(page[at:])
     state.close()
+    settle_doubts(state)
     return state.blocks
 
 

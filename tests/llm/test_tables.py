@@ -168,6 +168,43 @@ def test_block_rules_decide_inside_articles(page, text):
     assert extraction.main_text(page) == text
 
 
+BODY = f"<p>{SENTENCE}</p><p>{SENTENCE}</p>"
+BODY_TEXT = f"{SENTENCE}\n{SENTENCE}"
+
+
+@pytest.mark.parametrize("name", ["content-sidebar-wrap", "has-sidebar", "no-sidebar", "with-comments", "page with-nav"])
+@pytest.mark.parametrize("inner", [f"<article>{BODY}</article>", f"<main>{BODY}</main>", BODY])
+def test_one_word_of_a_name_puts_no_page_out(name, inner):
+    page = f"<body><div class='{name}'>{inner}<div class='sidebar'><p>{SENTENCE}</p></div></div><div id=comments><p>{SENTENCE}</p></div></body>"
+    assert extraction.main_text(page) == BODY_TEXT
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"<body><form action=x><div>{BODY}</div></form></body>",
+        f"<form><article>{BODY}</article></form>",
+        f"<div class=sidebar><main>{BODY}</main></div>",
+        f"<article>{BODY}</article><div class='comments'><article><p>{SENTENCE}</p></article></div>",
+        f"<div class='has-sidebar'><article>{BODY}</article><div class='related'><article><p>{SENTENCE}</p></article></div></div>",
+        f"{BODY}<div class='comments'><article><p>{SENTENCE}</p></article></div>",
+    ],
+)
+def test_forms_and_names_around_the_page(page):
+    assert extraction.main_text(page) == BODY_TEXT
+
+
+@pytest.mark.parametrize("tag", ["svg", "math", "object", "select", "canvas", "audio", "video", "iframe", "noscript"])
+def test_a_raw_tag_without_an_end_cuts_nothing(tag):
+    assert extraction.main_text(f"<p>{SENTENCE}</p><{tag} a=b><p>{SENTENCE}</p>") == BODY_TEXT
+
+
+def test_raw_tags_without_ends():
+    assert extraction.main_text(f"<p>{SENTENCE}</p><script>x<p>{SENTENCE}</p>") == SENTENCE
+    assert extraction.main_text(f"<p>{SENTENCE}</p><select><p>{SENTENCE}</p><select><option>x</select>") == BODY_TEXT
+    assert extraction.main_text("<select>" * 30_000 + f"<p>{SENTENCE}</p>" + "</select>") in ("", SENTENCE)
+
+
 def test_pages_that_are_broken_or_deep():
     assert extraction.main_text("<div>" * 30_000 + "x" + "</div>" * 30_000) == "x"
     assert extraction.main_text('<p a="' * 30_000) == ""
