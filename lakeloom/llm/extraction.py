@@ -2,7 +2,8 @@
 
 A page is cut into blocks at its block tags. The first pass decides each block by itself: by where it stands (menus, headers,
 footers, sidebars, notices, adverts, forms and comments are out), by the share of its letters inside links, its length, and
-the density of stop words. Short blocks, and longer ones of middling density, stay open. In the second pass an open block
+the density of stop words. Short blocks, and longer ones of middling density, stay open. On a page whose long blocks together
+hold few of the known stop words, long blocks are text whatever their density. In the second pass an open block
 takes the label of the nearest decided blocks around it. Inside a declared article less density is enough, no block is out
 for its density alone, and an open block is text unless the decided blocks of the article on all its sides are not.
 """
@@ -30,6 +31,8 @@ SHORT = 70
 WHOLE, MOST = 0.9, 0.5
 # Stop words, of all words, from which a block is text, and from which it may be.
 DENSE, MIDDLING = 0.3, 0.15
+# Letters of scripts without spaces, which say as much as two others.
+_WIDE = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u2e80-\u9fff\uac00-\ud7af\uf900-\ufaff\U00020000-\U0003ffff]")
 
 # Frequent words of the languages that are met.
 STOP_WORDS = frozenset(
@@ -208,7 +211,7 @@ def _why_out(name: str, rest: str, inside: bool) -> str:
 def _dense_letters(block: Block) -> int:
     """Letters of a block whose length and links are those of text."""
     letters = len(block.text) - block.text.count(" ")
-    return letters if len(block.text) >= SHORT and block.linked <= LINKS * letters else 0
+    return letters if _length(block.text) >= SHORT and block.linked <= LINKS * letters else 0
 
 
 def settle_doubts(page: _Page) -> None:
@@ -287,18 +290,41 @@ def blocks(page: str) -> list[Block]:
     return state.blocks
 
 
-def first_pass(block: Block) -> str:
-    """``good``, ``bad``, or an open label: ``near`` for middling blocks, ``short``."""
+def _length(text: str) -> int:
+    return len(text) if text.isascii() else len(text) + len(_WIDE.findall(text))
+
+
+def _stop_words(text: str) -> tuple[int, int]:
+    """Stop words, and words."""
+    words = text.lower().split()
+    return sum(w.strip(".,;:!?\"'()[]«»“”¿¡") in STOP_WORDS for w in words), len(words)
+
+
+def known_language(found: list[Block]) -> bool:
+    """Whether the long blocks of a page that are neither out nor links hold enough of the known stop words together."""
+    known = words = 0
+    for block in found:
+        if not block.out and not block.heading and _length(block.text) >= SHORT and block.linked <= LINKS * (len(block.text) - block.text.count(" ")):
+            some, of = _stop_words(block.text)
+            known, words = known + some, words + of
+    return known >= MIDDLING * words
+
+
+def first_pass(block: Block, known: bool = True) -> str:
+    """``good``, ``bad``, or an open label: ``near`` for middling blocks, ``short``. In a language that is not ``known``, density
+    decides nothing."""
     letters = len(block.text) - block.text.count(" ")
     if block.out:
         return "bad"
     if block.linked > LINKS * letters:
         # A linked title of an article stays open.
         return "short" if block.inside and block.heading else "bad"
-    words = block.text.lower().split()
-    density = sum(w.strip(".,;:!?\"'()[]«»“”¿¡") in STOP_WORDS for w in words) / len(words)
-    if len(block.text) < SHORT or block.heading:
+    if _length(block.text) < SHORT or block.heading:
         return "short"
+    if not known:
+        return "good"
+    some, of = _stop_words(block.text)
+    density = some / of
     if block.inside:
         return "good" if density >= MIDDLING else "near"
     return "good" if density >= DENSE else "near" if density >= MIDDLING else "bad"
@@ -355,8 +381,9 @@ def second_pass(found: list[Block]) -> None:
 def main_text(page: str | None) -> str:
     """The good blocks, one per line. A null or empty page has none."""
     found = blocks(page or "")
+    known = known_language(found)
     for block in found:
-        block.label = first_pass(block)
+        block.label = first_pass(block, known)
     second_pass(found)
     return "\n".join(b.text for b in found if b.label == "good")
 

@@ -205,6 +205,25 @@ def test_raw_tags_without_ends():
     assert extraction.main_text("<select>" * 30_000 + f"<p>{SENTENCE}</p>" + "</select>") in ("", SENTENCE)
 
 
+OTHERS = {
+    "ru": "Вчера вечером жители города собрались на площади, чтобы послушать музыку и поговорить о том, что случилось за год.",
+    "pl": "Wczoraj wieczorem mieszkańcy miasta zebrali się na rynku, żeby posłuchać muzyki i porozmawiać o tym, co się wydarzyło.",
+    "zh": "昨天晚上，城市的居民们聚集在广场上，一起听音乐，谈论这一年里发生的事情，孩子们在旁边高兴地跑来跑去。",
+    "ja": "昨日の夜、町の人々は広場に集まり、音楽を聴きながら、この一年に起きた出来事について長いあいだ語り合っていました。",
+    "ar": "اجتمع سكان المدينة مساء أمس في الساحة ليستمعوا إلى الموسيقى ويتحدثوا عن كل ما حدث خلال هذا العام الطويل.",
+}
+
+
+@pytest.mark.parametrize("language", sorted(OTHERS))
+def test_pages_in_other_languages(language):
+    text = OTHERS[language]
+    page = f"<nav><a href=x>{text}</a></nav><h1>{text[:12]}</h1><p>{text}</p><p>{text}</p><div>{LINKS}</div><footer>{text}</footer>"
+    title = text[:12].strip()
+    assert extraction.main_text(page) == f"{title}\n{text}\n{text}"
+    # On a page of a known language, long blocks without its stop words are still none of the text.
+    assert extraction.main_text(f"<p>{SENTENCE}</p><p>{SENTENCE}</p><p>{'Lamps 1999 ' * 9}</p>") == BODY_TEXT
+
+
 def test_pages_that_are_broken_or_deep():
     assert extraction.main_text("<div>" * 30_000 + "x" + "</div>" * 30_000) == "x"
     assert extraction.main_text('<p a="' * 30_000) == ""
