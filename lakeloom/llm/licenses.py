@@ -1,8 +1,8 @@
 """License scan by ordered signature rules.
 
 Rules are regular expressions over a text's words (A-Z lowered, one space between), made from a list of license
-names and the ways in which texts mention a license. Each rule names a word that its matches must hold; only rules
-whose word a text has are run. Detections are resolved in order of priority: one that lies within the words of a
+names and the ways in which texts mention a license. Each rule names words of which its matches must hold one, forms
+that are written together with a version included; only rules of which a text has a word are run. Detections are resolved in order of priority: one that lies within the words of a
 detection of higher priority, or of a longer one of the same, is suppressed.
 
 Besides the rules there are base phrases: fixed sequences of words whose every place is reported, resolved by nothing.
@@ -25,26 +25,26 @@ from lakeloom.llm.common import short_batches, utf8, words_of
 # Base phrases and their labels.
 BASE = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 
-# Label, gating word, and the name as a pattern over words.
+# Label, gating words, and the name as a pattern over words.
 NAMES = [
     ("mit", "mit", "(?:the )?mit(?: expat)?"),
-    ("apache-2", "apache", "apache(?: software)?(?: license)?(?: version| v)? ?2(?: 0)?"),
-    ("apache-1.1", "apache", "apache(?: software)?(?: license)?(?: version| v)? ?1 1"),
-    ("apache-1.0", "apache", "apache(?: software)?(?: license)?(?: version| v)? ?1 0"),
+    ("apache-2", "apache apachev apache2 apachev2", "apache(?: software)?(?: license)?(?: version| ?v)? ?2(?: 0)?"),
+    ("apache-1.1", "apache apachev apache1 apachev1", "apache(?: software)?(?: license)?(?: version| ?v)? ?1 1"),
+    ("apache-1.0", "apache apachev apache1 apachev1", "apache(?: software)?(?: license)?(?: version| ?v)? ?1 0"),
     ("gpl-3", "gnu", "gnu general public license(?: as published by the free software foundation)?(?: either)? (?:version|v) ?3(?: 0)?"),
     ("gpl-2", "gnu", "gnu general public license(?: as published by the free software foundation)?(?: either)? (?:version|v) ?2(?: 0)?"),
     ("gpl-3", "gplv3", "gplv3"),
     ("gpl-2", "gplv2", "gplv2"),
-    ("gpl-3", "gpl", "gpl(?: version| v)? ?3(?: 0)?"),
-    ("gpl-2", "gpl", "gpl(?: version| v)? ?2(?: 0)?"),
+    ("gpl-3", "gpl gpl3", "gpl(?: version| v)? ?3(?: 0)?"),
+    ("gpl-2", "gpl gpl2", "gpl(?: version| v)? ?2(?: 0)?"),
     ("gpl", "gnu", "gnu general public license"),
     ("gpl", "gnu", "gnu gpl"),
     ("lgpl-3", "lesser", "gnu lesser general public license (?:version|v) ?3(?: 0)?"),
     ("lgpl-2.1", "lesser", "gnu lesser general public license (?:version|v) ?2(?: 1)?"),
     ("lgpl", "lesser", "gnu lesser general public license"),
-    ("lgpl", "lgpl", "lgpl(?: version| v)?(?: ?[23](?: [01])?)?"),
+    ("lgpl", "lgpl lgplv lgpl2 lgpl3 lgplv2 lgplv3", "lgpl(?: version| ?v)?(?: ?[23](?: [01])?)?"),
     ("agpl-3", "affero", "gnu affero general public license(?: version| v)?(?: ?3(?: 0)?)?"),
-    ("agpl-3", "agpl", "agpl(?: version| v)?(?: ?3(?: 0)?)?"),
+    ("agpl-3", "agpl agplv agpl3 agplv3", "agpl(?: version| ?v)?(?: ?3(?: 0)?)?"),
     ("fdl", "documentation", "gnu free documentation license(?: version)?(?: 1 [123])?"),
     ("bsd-2", "bsd", "(?:2 clause|simplified|freebsd) bsd"),
     ("bsd-2", "bsd", "bsd 2 clause"),
@@ -56,7 +56,7 @@ NAMES = [
     ("mpl-2", "mozilla", "mozilla public license(?: version| v)? ?2(?: 0)?"),
     ("mpl-1.1", "mozilla", "mozilla public license(?: version| v)? ?1 1"),
     ("mpl", "mozilla", "mozilla public license"),
-    ("mpl-2", "mpl", "mpl(?: version| v)? ?2(?: 0)?"),
+    ("mpl-2", "mpl mplv mpl2 mplv2", "mpl(?: version| ?v)? ?2(?: 0)?"),
     ("epl-2", "eclipse", "eclipse public license(?: version| v)? ?2(?: 0)?"),
     ("epl-1", "eclipse", "eclipse public license(?: version| v)? ?1(?: 0)?"),
     ("eupl-1.2", "eupl", "eupl(?: version| v)?(?: 1 2)?"),
@@ -106,7 +106,7 @@ WAYS = [
 ALONE = ("full-name", 40, 0.6, "{name}")
 AMBIGUOUS = {"mit", "isc", "zlib", "bsd", "ruby", "unlicense"}
 
-# Rules without a license's name. Label, gating word, priority, score, pattern.
+# Rules without a license's name. Label, gating words, priority, score, pattern.
 NOTICES = [
     ("all-rights-reserved", "reserved", 30, 0.7, "all rights reserved"),
     ("all-rights-reserved", "reservados", 30, 0.7, "todos los derechos reservados"),
@@ -126,7 +126,7 @@ NOTICES = [
 class Rule:
     name: str
     label: str
-    word: bytes
+    words: frozenset[bytes]
     priority: int
     score: float
     pattern: re.Pattern
@@ -136,15 +136,15 @@ def rules() -> list[Rule]:
     """All rules, highest priority first; of one priority in the order of the lists."""
     found = []
 
-    def add(name: str, label: str, word: str, priority: int, score: float, pattern: str) -> None:
-        found.append(Rule(name, label, word.encode(), priority, score, re.compile(f"(?<= ){pattern}(?= )".encode())))
+    def add(name: str, label: str, words: str, priority: int, score: float, pattern: str) -> None:
+        found.append(Rule(name, label, frozenset(words.encode().split()), priority, score, re.compile(f"(?<= ){pattern}(?= )".encode())))
 
-    for i, (label, word, name) in enumerate(NAMES):
+    for i, (label, gates, name) in enumerate(NAMES):
         ways = WAYS if label in AMBIGUOUS else [*WAYS, ALONE]
         for way, priority, score, pattern in ways:
-            add(f"{way}:{label}:{i}", label, word, priority, score, pattern.replace("{name}", f"(?:{name})"))
-    for i, (label, word, priority, score, pattern) in enumerate(NOTICES):
-        add(f"notice:{label}:{i}", label, word, priority, score, pattern)
+            add(f"{way}:{label}:{i}", label, gates, priority, score, pattern.replace("{name}", f"(?:{name})"))
+    for i, (label, gates, priority, score, pattern) in enumerate(NOTICES):
+        add(f"notice:{label}:{i}", label, gates, priority, score, pattern)
     return sorted(found, key=lambda r: -r.priority)
 
 
@@ -180,7 +180,7 @@ def resolve(detections: list[tuple[int, int, Rule]]) -> list[tuple[int, int, Rul
 class Scanner:
     def __init__(self, base: dict[str, str]):
         self.rules = rules()
-        self.words = frozenset(r.word for r in self.rules)
+        self.words = frozenset().union(*(r.words for r in self.rules))
         self.base = [(f" {phrase} ".encode(), label, [w.encode() for w in phrase.split()]) for phrase, label in sorted(base.items())]
         self.known = self.words.union(*(words for _, _, words in self.base)) if base else self.words
 
@@ -199,7 +199,7 @@ class Scanner:
                     base.append((label, at))
                     at = line.find(phrase, at + 1)
         for rule in self.rules:
-            if rule.word in present:
+            if not present.isdisjoint(rule.words):
                 spans.extend((m.start(), m.end(), rule) for m in rule.pattern.finditer(line))
         if not base and not spans:
             return len(words), [], []

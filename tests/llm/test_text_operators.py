@@ -258,6 +258,66 @@ def test_resolve_keeps_what_nothing_better_contains(spans):
     assert sorted(licenses.resolve(found), key=lambda d: d[:2]) == sorted(kept, key=lambda d: d[:2])
 
 
+def alternatives(pattern):
+    """Every text that a pattern of words matches; of a class of characters the first and the last."""
+    texts, at = [""], 0
+    while at < len(pattern):
+        if pattern.startswith("(?:", at):
+            depth, end, parts = 1, at + 3, [""]
+            while depth:
+                depth += {"(": 1, ")": -1}.get(pattern[end], 0)
+                if depth == 1 and pattern[end] == "|":
+                    parts.append("")
+                elif depth:
+                    parts[-1] += pattern[end]
+                end += 1
+            unit = [t for part in parts for t in alternatives(part)]
+        elif pattern[at] == "[":
+            end = pattern.index("]", at) + 1
+            unit = [pattern[at + 1], pattern[end - 2]]
+        else:
+            unit, end = [pattern[at]], at + 1
+        if pattern[end : end + 1] == "?":
+            unit, end = ["", *unit], end + 1
+        texts, at = [a + b for a in texts for b in unit], end
+    return texts
+
+
+def test_gates_lose_no_match():
+    """Detections are those of all rules run on the text, for every form of every name in every way, and of every notice."""
+    scanner = licenses.Scanner(licenses.BASE)
+    ways = [pattern for *_, pattern in [*licenses.WAYS, licenses.ALONE]]
+    texts = [alternatives(way)[-1].replace("{name}", form) for *_, name in licenses.NAMES for form in alternatives(name) for way in ways]
+    texts += [form for *_, notice in licenses.NOTICES for form in alternatives(notice)]
+    assert len(texts) > 5000
+    for rule in scanner.rules:
+        assert rule.words
+    for text in set(texts):
+        line = f" {text} ".encode()
+        spans = [(line.count(b" ", 0, m.start()) - 1, line.count(b" ", 0, m.end()), r) for r in scanner.rules for m in r.pattern.finditer(line)]
+        assert scanner.scan(text.encode())[2] == licenses.resolve(spans), text
+
+
+@pytest.mark.parametrize(
+    ("text", "label"),
+    [
+        ("Licensed under GPL3.", "gpl-3"),
+        ("licensed under gpl2", "gpl-2"),
+        ("licensed under LGPL3", "lgpl"),
+        ("licensed under LGPLv2.1", "lgpl"),
+        ("LGPLv3", "lgpl"),
+        ("AGPL3", "agpl-3"),
+        ("released under the AGPLv3 license", "agpl-3"),
+        ("MPL2", "mpl-2"),
+        ("under the MPLv2", "mpl-2"),
+        ("Apache2 license", "apache-2"),
+        ("ApacheV2", "apache-2"),
+    ],
+)
+def test_names_written_together_with_a_version(text, label):
+    assert [rule.label for *_, rule in licenses.Scanner(licenses.BASE).scan(text.encode())[2]] == [label]
+
+
 def test_scanning_no_documents(spark, nothing):
     assert licenses.scan(nothing).collect() == []
 
