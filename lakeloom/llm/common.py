@@ -58,6 +58,11 @@ _WORD_BYTES = bytes(
 )
 
 
+def draw_bound(rows: int, held: int) -> int:
+    """The largest 64-bit hash that is drawn where about ``rows`` of ``held`` are wanted, and never none."""
+    return min(2**63 - 1, (rows << 64) // max(held, 1) - 2**63)
+
+
 def words_of(text: bytes) -> list[bytes]:
     """Words ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` after lowering A-Z."""
     return text.translate(_WORD_BYTES).split()

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from lakeloom.llm.common import short_batches, utf8, written
+from lakeloom.llm.common import draw_bound, short_batches, utf8, written
 
 # Bytes of context.
 ORDER = 4
@@ -81,19 +81,20 @@ def _count_grams(order: int):
 
 
 def sample(labelled: DataFrame, rows: int) -> DataFrame:
-    """At most about ``rows`` rows of each language, drawn by a hash of the text: ``lang, text``."""
+    """At most about ``rows`` distinct texts of each language, drawn by a hash of the text: ``lang, text``. Copies count once."""
     known = labelled.where("lang is not null").select("lang", F.coalesce("text", F.lit("")).alias("text"))
-    known = known.withColumn("draw", F.pmod(F.xxhash64(F.lit(7), "text"), F.lit(1_000_000)))
-    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    known = known.withColumn("draw", F.xxhash64(F.lit(7), "text"))
+    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count_distinct("draw").alias("n")).collect()}
     if not counts:
         return known.select("lang", "text")
-    share = F.create_map(*[F.lit(x) for k, n in sorted(counts.items()) for x in (k, 1_000_000 * rows // n)])
-    return known.where(F.col("draw") < share[F.col("lang")]).select("lang", "text")
+    share = F.create_map(*[F.lit(x) for k, n in sorted(counts.items()) for x in (k, draw_bound(rows, n))])
+    return known.where(F.col("draw") <= share[F.col("lang")].cast("long")).select("lang", "text").distinct()
 
 
 def learn(labelled: DataFrame, order: int = ORDER, rows: int = SAMPLE_ROWS, least: int = LEAST_COUNT) -> Model:
     """Frozen trees from ``lang, text`` rows; rows without a language are ignored. The counts that come to the driver are
-    those of the sample's distinct grams, fewer than its bytes times the levels."""
+    those of the sample's distinct grams: for each language and level no more than ``rows`` times the bytes of its longest sampled
+    text, and no more than 256 to the power of the level."""
     short_batches(labelled.sparkSession)
     counted = sample(labelled, rows).mapInArrow(_count_grams(order), "lang string, size int, gram long, n long")
     counted = counted.groupBy("lang", "size", "gram").agg(F.sum("n").alias("n"))

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from lakeloom.llm.common import short_batches, utf8, written
+from lakeloom.llm.common import draw_bound, short_batches, utf8, written
 
 # Labelled rows that are learned from, at most about.
 SAMPLE_ROWS = 20_000
@@ -288,8 +288,7 @@ def labelled_sample(
     marks = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull())
     marks = marks.groupBy(F.col(id_col).cast("long").alias("mark_id")).agg(F.max(label_col).alias("toxic"))
     held = marks.count()
-    draw = F.pmod(F.xxhash64(F.lit(3), "mark_id"), F.lit(1_000_000))
-    marks = marks.where(draw < 1_000_000 * rows // max(held, 1))
+    marks = marks.where(F.xxhash64(F.lit(3), "mark_id") <= draw_bound(rows, held))
     texts = docs.select(F.col(id_col).cast("long").alias("mark_id"), F.col(text_col).alias("text"))
     return texts.join(F.broadcast(marks), "mark_id").select("text", "toxic")
 

@@ -95,6 +95,22 @@ def test_nothing_to_learn_languages_from(spark, odd, nothing):
     assert {r.lang_pred for r in langid.identify(odd, one).collect()} == {"und", "de"}
 
 
+def test_copies_are_sampled_once(spark):
+    rows = [("en", f"copy {i % 10}") for i in range(3000)] + [("en", f"text {i}") for i in range(3000)] + [("de", "kurz"), ("de", None), (None, "x")]
+    labelled = spark.createDataFrame(rows, "lang string, text string")
+    got = [(r.lang, r.text) for r in langid.sample(labelled, 1000).collect()]
+    assert len(got) == len(set(got)) and 850 < sum(x == "en" for x, _ in got) < 1150
+    assert sorted(t for x, t in got if x == "de") == ["", "kurz"]
+
+
+def test_draws_of_very_many_rows():
+    from lakeloom.llm.common import draw_bound
+
+    for held in (1, 1000, 10**9, 10**12, 10**15):
+        share = (draw_bound(1000, held) + 2**63 + 1) / 2**64
+        assert share == pytest.approx(min(1.0, 1000 / held), rel=1e-3)
+
+
 def toxic_rows(n=600):
     """Clean prose, insults, invented insults with one beginning, and disguised ones."""
     draw, rows = random.Random(3), []
