@@ -67,3 +67,20 @@ o AS (SELECT *, row_number() OVER (ORDER BY (rank * 2 + 1) / (n * 2)::DOUBLE, {_
 SELECT doc_id, size::BIGINT AS size, text_crc32::BIGINT AS text_crc32, 'rows' AS law, (place * 40 // total)::INTEGER AS shard,
        place - ((place * 40 // total) * total + 39) // 40 AS slot, NULL::INTEGER AS grown_shard, stratum FROM o
 """
+
+
+# Every document's score for every item, then the ten best.
+OP11 = f"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, {_WORDS} AS w FROM documents),
+t AS (SELECT row, doc_id, len(w) AS n, unnest(w) AS term FROM d),
+tf AS (SELECT row, doc_id, n, term, count(*) AS tf FROM t GROUP BY ALL),
+total AS (SELECT count(*) AS docs, sum(len(w)) AS terms FROM d WHERE len(w) > 0),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+q AS (SELECT DISTINCT item_id, unnest({_WORDS}) AS term FROM benchmark),
+s AS (SELECT item_id, row, doc_id, sum(floor(1000 * ln((2 * docs + 2) / (2 * df + 1)))::BIGINT
+        * ((1000000000 * tf) // (1000 * tf + 8 * (10 + ((90 * n * docs) // terms::BIGINT)))))::BIGINT AS score
+      FROM q JOIN tf USING (term) JOIN df USING (term), total GROUP BY ALL)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM s WHERE score > 0)
+WHERE rank <= 10
+"""

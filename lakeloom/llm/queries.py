@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from lakeloom.llm import bpe, contamination, embeddings, extraction, langid, licenses, oracles, sharding, simhash, toxicity, warc
+from lakeloom.llm import bpe, contamination, embeddings, extraction, langid, lexical, licenses, oracles, sharding, simhash, toxicity, warc
 from lakeloom.llm.common import read_table, short_batches
 from lakeloom.session import scratch_path, tune
 
@@ -175,3 +175,9 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's place in 40 shards."""
     return sharding.interleave(read_table(spark, sf_dir, "documents"))
+
+
+@query("op11_ranked_search", oracles.OP11)
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents of every benchmark item."""
+    return lexical.rank(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
