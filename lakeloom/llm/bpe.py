@@ -283,55 +283,32 @@ class Encoder:
         return ids, ends[np.r_[0, np.cumsum(number)]]
 
 
-def _encode_batches(vocabulary: Vocabulary, chunk_chars: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(vocabulary)
-        names, texts, size = [], [], 0
-
-        def chunk() -> pa.RecordBatch:
-            ids, offsets = encoder.encode(texts)
-            lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids))
-            return pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), lists], ["doc_id", "ids"])
-
-        for batch in batches:
-            for name, text in zip(batch[0].to_pylist(), batch[1].to_pylist(), strict=True):
-                names.append(name)
-                texts.append(text or "")
-                size += len(texts[-1])
-                if size >= chunk_chars:
-                    yield chunk()
-                    names, texts, size = [], [], 0
-        if names:
-            yield chunk()
+def encoded_chunks(
+    batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary, chunk_chars: int
+) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
+    """Of batches of id and text: the ids of the rows of a chunk, all their token ids, and the n + 1 offsets.
 
-    return run
-
-
-def encode(self, batch: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids, and the n + 1 offsets of the texts."""
-        words, number = self.split(batch)
-        self.learn(words)
-        slots = np.fromiter(map(self.slots.__getitem__, words), np.int64, len(words))
-        starts = np.cumsum(self.counts) - self.counts
-        counts = self.counts[slots]
-        ends = np.r_[0, np.cumsum(counts)]
-        ids = self.ids[np.repeat(starts[slots] - ends[:-1], counts) + np.arange(ends[-1])]
-        return ids, ends[np.r_[0, np.cumsum(number)]]
+    A chunk runs over as many batches as it takes to fill it, so the index is laid out for many texts at once.
+    """
+    encoder = Encoder(vocabulary)
+    names, texts, size = [], [], 0
+    for batch in batches:
+        for name, text in zip(batch[0].to_pylist(), batch[1].to_pylist(), strict=True):
+            names.append(name)
+            texts.append(text or "")
+            size += len(texts[-1])
+            if size >= chunk_chars:
+                yield names, *encoder.encode(texts)
+                names, texts, size = [], [], 0
+    if names:
+        yield names, *encoder.encode(texts)
 
 
 def _encode_batches(vocabulary: Vocabulary, chunk_chars: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(vocabulary)
-        for batch in batches:
-            texts = [t or "" for t in batch[1].to_pylist()]
-            start, size = 0, 0
-            for end, text in enumerate(texts, 1):
-                size += len(text)
-                if size >= chunk_chars or end == len(texts):
-                    ids, offsets = encoder.encode(texts[start:end])
-                    lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids))
-                    yield pa.RecordBatch.from_arrays([batch[0].slice(start, end - start), lists], ["doc_id", "ids"])
-                    start, size = end, 0
+        for names, ids, offsets in encoded_chunks(batches, vocabulary, chunk_chars):
+            lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids))
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), lists], ["doc_id", "ids"])
 
     return run
 

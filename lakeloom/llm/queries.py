@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from hashlib import sha256
 
+import numpy as np
 import pyarrow as pa
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.functions import arrow_udf
 
 from lakeloom.llm import bpe, contamination, embeddings, extraction, langid, lexical, licenses, oracles, sharding, simhash, toxicity, warc
 from lakeloom.llm.common import read_table, short_batches
@@ -126,28 +127,30 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def ids_digest(ids: F.Column) -> F.Column:
-    """SHA-256 of ids as little-endian unsigned 32-bit integers."""
-    import hashlib
+def _round_trips(vocabulary: bpe.Vocabulary):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for names, ids, offsets in bpe.encoded_chunks(batches, vocabulary, bpe.CHUNK_CHARS):
+            ids, counts, of_ids, of_text = ids.astype("<u4"), np.diff(offsets), [], []
+            for start, end in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+                of_ids.append(sha256(ids[start:end].tobytes()).hexdigest())
+                of_text.append(sha256(bpe.decode_ids(ids[start:end].tolist(), vocabulary).encode()).hexdigest())
+            yield pa.record_batch(
+                [pa.array(names, pa.int64()), pa.array(counts, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())],
+                ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
+            )
 
-    @arrow_udf("string")
-    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in batches:
-            yield pa.array([hashlib.sha256(x.values.to_numpy().astype("<u4").tobytes()).hexdigest() for x in batch], pa.string())
-
-    return run(ids)
+    return run
 
 
 def tokenized(docs: DataFrame, path: str) -> DataFrame:
-    """Digests of the ids and of the text they are decoded to."""
+    """Digests of the ids and of the text they are decoded to, one row per input row.
+
+    Encoding, decoding and both digests are made where the text is: ids go through no second worker.
+    Null and empty texts have no ids. Repeated rows give equal rows, no rows none; other columns are not read.
+    """
     short_batches(docs.sparkSession)
-    rows = bpe.decode(bpe.encode(docs, path), path)
-    return rows.select(
-        "doc_id",
-        F.size("ids").cast("long").alias("n_tokens"),
-        ids_digest(F.col("ids")).alias("ids_sha256"),
-        F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"),
-    )
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return rows.mapInArrow(_round_trips(bpe.Vocabulary(path)), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 @query("op8_bpe")
