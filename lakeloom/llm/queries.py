@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator
 from hashlib import sha256
 
@@ -10,9 +11,10 @@ import pyarrow as pa
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
 
-from lakeloom.llm import bpe, contamination, embeddings, extraction, langid, lexical, licenses, oracles, sharding, simhash, toxicity, warc
-from lakeloom.llm.common import read_table, short_batches
+from lakeloom.llm import bpe, contamination, embeddings, extraction, langid, lexical, licenses, oracles, periodicity, sharding, simhash, toxicity, warc
+from lakeloom.llm.common import read_table, short_batches, texts
 from lakeloom.session import scratch_path, tune
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -184,3 +186,52 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten best documents of every benchmark item."""
     return lexical.rank(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+def with_tail(name: int | None, text: bytes) -> bytes:
+    """The words of one text in ten, by the CRC-32 of its id, with a period from some word on; other texts as they are."""
+    drawn = zlib.crc32(b"" if name is None else str(name).encode())
+    words = text.split()
+    if drawn % 10 or not words:
+        return text
+    g, n = drawn // 10, len(words)
+    first = g % n
+    period = 1 + (n - first) // (3 + g % 8)
+    tail = words[first : first + period]
+    return b" ".join(words[:first] + (tail * (1 + (n - first) // period))[: n - first])
+
+
+def tailed(name: F.Column, text: F.Column) -> F.Column:
+    @arrow_udf("string")
+    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for names, column in batches:
+            made = [with_tail(one, words) for one, words in zip(names.to_pylist(), texts(column), strict=True)]
+            yield pa.array(made, pa.binary()).cast(pa.string())
+
+    return run(name, text)
+
+
+@query("op12_periodic_runs")
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The runs of every document, the longest of them by exponent, and the text without their repeats."""
+    short_batches(spark)
+    docs = read_table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    found = periodicity.runs(docs.select("doc_id", tailed(F.col("doc_id"), F.col("text")).alias("text")))
+    # Runs come by start and period, so of equal exponents the first one stays.
+    best = F.aggregate(
+        "runs",
+        F.col("runs")[0],
+        lambda top, run: F.when(run["length"] * top["period"] > top["length"] * run["period"], run).otherwise(top),
+    )
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    lines = F.array_join(F.transform(lines, lambda line: F.concat(line, F.lit("\n"))), "")
+    return found.withColumn("best", F.when(F.size("runs") > 0, best)).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        F.col("best.start").alias("start"),
+        F.col("best.length").alias("length"),
+        F.col("best.period").alias("period"),
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(lines.cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("text").cast("binary"), 256).alias("collapsed_sha256"),
+    )
