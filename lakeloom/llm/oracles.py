@@ -84,3 +84,18 @@ SELECT item_id, rank::INTEGER AS rank, doc_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM s WHERE score > 0)
 WHERE rank <= 10
 """
+
+# Every string of 200 bytes as hex digits; the gaps between the spans of those met twice are put together again.
+OP13 = """
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT row, k, md5(substr(h, (2 * k + 1)::BIGINT, 400)) AS s FROM (SELECT row, h, unnest(range(0, len(h) // 2 - 199)) AS k FROM d WHERE len(h) >= 400)),
+hit AS (SELECT w.row, w.k FROM w JOIN (SELECT s FROM w GROUP BY s HAVING count(*) > 1) USING (s)),
+edge AS (SELECT *, CASE WHEN k <= lag(k) OVER (PARTITION BY row ORDER BY k) + 200 THEN 0 ELSE 1 END AS opens FROM hit),
+span AS (SELECT row, min(k) AS a, max(k) + 200 AS b FROM (SELECT *, sum(opens) OVER (PARTITION BY row ORDER BY k) AS island FROM edge) GROUP BY row, island),
+gap AS (SELECT row, b AS a, coalesce(lead(a) OVER (PARTITION BY row ORDER BY a), len(h) // 2) AS b, h FROM span JOIN d USING (row)
+  UNION ALL SELECT row, 0, coalesce(first, len(h) // 2), h FROM d LEFT JOIN (SELECT row, min(a) AS first FROM span GROUP BY row) USING (row)),
+kept AS (SELECT row, sha256(unhex(string_agg(substr(h, (2 * a + 1)::BIGINT, (2 * (b - a))::BIGINT), '' ORDER BY a))) AS kept_sha256 FROM gap GROUP BY row),
+total AS (SELECT row, sum(b - a)::BIGINT AS n_removed, count(*)::BIGINT AS n_spans FROM span GROUP BY row)
+SELECT doc_id, (len(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, kept_sha256
+FROM d JOIN kept USING (row) LEFT JOIN total USING (row)
+"""

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from lakeloom.llm import bpe, contamination, embeddings, extraction, langid, lexical, licenses, oracles, periodicity, sharding, simhash, toxicity, warc
+from lakeloom.llm import bpe, contamination, embeddings, extraction, langid, lexical, licenses, oracles, periodicity, sharding, simhash, suffixes, toxicity, warc
 from lakeloom.llm.common import read_table, short_batches, texts
 from lakeloom.session import scratch_path, tune
 
@@ -235,3 +235,17 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(lines.cast("binary"), 256).alias("runs_sha256"),
         F.sha2(F.col("text").cast("binary"), 256).alias("collapsed_sha256"),
     )
+
+
+@query("op13_suffix_array_dedup", oracles.OP13)
+def op13_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the strings of 200 bytes that it shares with any other place, as digests."""
+    found = suffixes.remove_repeats(read_table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return found.select(
+        "doc_id",
+        "n_bytes",
+        removed.alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
