@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeloom.llm.common import short_batches, texts
+from lakeloom.llm.common import short_batches
 from lakeloom.operators.joins import shuffled_again
 from lakeloom.session import scratch_path
 
@@ -129,7 +129,7 @@ def _cut(length: int, level: int, hashed_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         finder = Pieces(length, level)
         for batch in batches:
-            bodies = list(texts(batch[2]))
+            bodies = [body or b"" for body in batch[2].cast(pa.large_binary()).to_pylist()]
             found: list[list] = [[] for _ in bodies]
             held, owners, size = [], [], 0
 

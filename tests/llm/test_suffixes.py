@@ -102,6 +102,8 @@ def test_crowded_buckets_are_parted(spark, seed):
     line = prose(seed, 12)
     rows = [(i, f"{prose(100 + i, 30)} {line} {draw.choice(['é', 'è', 'e'])}{prose(500 + i % 7, 40)}") for i in range(60)]
     rows += [(100 + i, t) for i, t in enumerate(mixture(draw, 30))] + [(5, rows[3][1]), (None, rows[9][1][40:])]
+    # Letters of several bytes, so that pieces begin and end inside them.
+    rows += [(200 + i, "".join(draw.choices("日本語éжñ😀", k=90)) + "語é日" * 8 + "жñ" * draw.randint(60, 90)) for i in range(20)]
     frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     assert found(frame, crowd=2, sorted_bytes=5000) == wanted(rows)
     assert found(frame, length=90, crowd=3) == wanted(rows, 90)
