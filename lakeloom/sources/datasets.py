@@ -13,13 +13,13 @@ import uuid
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, Observation, Row, SparkSession
+from pyspark.sql import DataFrame, Observation, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from lakeloom.functions.clean import dedupe_latest
 from lakeloom.operators.joins import shuffled_again
-from lakeloom.session import materialize
+from lakeloom.session import materialize, scratch_path
 from lakeloom.sources.layout import TIME_FORMATS, PartitionField, align, merged_schema, with_partitions
 from lakeloom.sources.scan import in_partition, key_range, scan
 
@@ -104,12 +104,13 @@ class Dataset:
         return align(df, schema), before is not None and schema != before
 
     def _write(self, df: DataFrame, target: str, mode: str, how: str) -> int:
-        counted = Observation()
-        df = df.observe(counted, F.count(F.lit(1)).alias("n"))
         names = [f.name for f in self.partition_by]
         if names:
             # Rebalancing splits a partition value that is too big for one task.
             df = with_partitions(df, self.partition_by).hint("rebalance", *names)
+        # Counted last: adaptive execution drops what lies below the shuffle of an empty frame.
+        counted = Observation()
+        df = df.observe(counted, F.count(F.lit(1)).alias("n"))
         writer = df.write.mode(mode).option("partitionOverwriteMode", how)
         writer.partitionBy(*names).parquet(target)
         return counted.get["n"]
@@ -128,16 +129,20 @@ class Dataset:
         before = self.schema()
         df = align(df, _nullable(df.schema))
         if not self.partition_by:
-            named = df.withColumn(BATCH, F.lit(uuid.uuid4().hex))
-            counted = Observation()
-            named = named.observe(counted, F.count(F.lit(1)).alias("n"))
-            named.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy(BATCH).parquet(self.path)
-            n_rows = counted.get["n"]
+            n_rows = self._overwrite_loads(df, uuid.uuid4().hex)
         else:
             n_rows = self._write(df, self.path, "overwrite", "static")
-        self._declare(df, fresh=True)
+            self._declare(df, fresh=True)
         return Row(n_rows=n_rows, schema_evolved=before is not None and before != df.schema)
 
+    def _overwrite_loads(self, df: DataFrame, batch: str) -> int:
+        """One load in the place of all."""
+        counted = Observation()
+        named = df.withColumn(BATCH, F.lit(batch)).observe(counted, F.count(F.lit(1)).alias("n"))
+        named.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy(BATCH).parquet(self.path)
+        self._declare(df, fresh=True)
+        return counted.get["n"]
+
     def overwrite_partitions(self, df: DataFrame) -> Row:
         """Replace only the partitions the new rows fall into."""
         if not self.partition_by:
@@ -147,34 +152,77 @@ class Dataset:
 
     # --- upsert ------------------------------------------------------------
 
-    def merge(self, updates: DataFrame, keys: Sequence[str], newest: str, reach: Column | None = None) -> Row:
+    def merge(self, updates: DataFrame, keys: Sequence[str], newest: str) -> Row:
         """Upsert by key; rewrites only the partitions that hold or receive a changed key.
 
-        ``reach`` limits where changed keys are looked for, so that a target's old partitions are not read.
-        A merge that died half-way is mended by running it again.
+        Where the layout follows from the key, an update's partition is the one that holds its key, and the target is not searched.
+        What is to be written is stored and noted before the target is touched: a merge that died half-way is brought to its
+        end by the next one, or by ``recover``.
         """
+        self.recover()
         updates = materialize(latest(updates, keys, newest), "updates")
+        if updates.isEmpty():
+            return Row(n_rows=0, schema_evolved=False)
         if not self.exists():
             return self.append(updates)
         if not self.partition_by:
-            merged = materialize(upsert(self.scan(), updates, keys, newest), "merged")
-            return self.overwrite(merged)
+            before = self.schema()
+            merged = upsert(self.scan(), updates, keys, newest)
+            return Row(n_rows=self._replace(merged), schema_evolved=before != _nullable(merged.schema))
         updates, evolved = self._declare(updates)
         names = [f.name for f in self.partition_by]
         rows = self.rows()
-        near = rows if reach is None else rows.where(reach)
-        known = shuffled_again(updates.select(*keys), keys[0])
-        holding = near.join(known, list(keys), "left_semi").select(*names)
-        arriving = with_partitions(updates, self.partition_by).select(*names)
-        touched = materialize(holding.union(arriving).distinct(), "touched")
+        touched = with_partitions(updates, self.partition_by).select(*names)
+        if not {f.column for f in self.partition_by} <= set(keys):
+            known = shuffled_again(updates.select(*keys), keys[0])
+            touched = touched.union(rows.join(known, list(keys), "left_semi").select(*names))
+        touched = materialize(touched.distinct(), "touched")
         affected = rows.join(touched, names, "left_semi").drop(*names)
-        merged = materialize(upsert(affected, updates, keys, newest), "merged")
-        n_rows = self._write(merged, self.path, "overwrite", "dynamic")
-        left = with_partitions(merged, self.partition_by).select(*names).distinct()
+        return Row(n_rows=self._replace(upsert(affected, updates, keys, newest), touched), schema_evolved=evolved)
+
+    def _replace(self, rows: DataFrame, touched: DataFrame | None = None) -> int:
+        """Put rows in the place of the touched partitions, or of everything."""
+        plan = {"rows": self._aside(rows, "merged"), "touched": touched and self._aside(touched, "touched"), "batch": uuid.uuid4().hex}
+        self._note(plan)
+        n_rows = self._carry_out(plan)
+        self._note(None)
+        return n_rows
+
+    def _aside(self, df: DataFrame, name: str) -> str:
+        path = scratch_path(self.spark, name)
+        df.write.parquet(path)
+        return path
+
+    def _note(self, plan: dict | None) -> None:
+        """Keep what is about to be written beside the folder, where an overwrite does not reach it; or that nothing is."""
+        text = self.spark.range(0, 1, 1, 1).select(F.lit(json.dumps(plan)).alias("value"))
+        text.write.mode("overwrite").text(f"{self.path}-pending")
+
+    def recover(self) -> bool:
+        """Finish a merge that died after its rows were stored; whether there was one."""
+        try:
+            row = self.spark.read.text(f"{self.path}-pending", wholetext=True).first()
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return False
+        plan = json.loads(row.value) if row else None
+        if plan is not None:
+            self._carry_out(plan)
+            self._note(None)
+        return plan is not None
+
+    def _carry_out(self, plan: dict) -> int:
+        rows = self.spark.read.parquet(plan["rows"])
+        if plan["touched"] is None:
+            return self._overwrite_loads(rows, plan["batch"])
+        n_rows = self._write(rows, self.path, "overwrite", "dynamic")
+        names = [f.name for f in self.partition_by]
+        left = with_partitions(rows, self.partition_by).select(*names).distinct()
         # Partitions whose rows have all moved away; there is at most one per touched partition.
-        for row in touched.join(left, names, "left_anti").toLocalIterator():
+        for row in self.spark.read.parquet(plan["touched"]).join(left, names, "left_anti").toLocalIterator():
             self._drop_folder(row.asDict())
-        return Row(n_rows=n_rows, schema_evolved=evolved)
+        return n_rows
 
     def _drop_folder(self, values: dict[str, str]) -> None:
         jvm = self.spark._jvm

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from datetime import datetime
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -99,21 +101,21 @@ def merge_late(
 ) -> StreamingQuery:
     """Upsert new rows; those more than ``days`` behind the newest known time go aside.
 
-    ``newest`` holds one row per batch, the newest time up to it; only the last one is read. A key's rows lie within ``days`` of each
-    other, so target partitions that are older than that are not read.
+    ``newest`` holds one row per batch, the newest time up to it; only the last one is read. A key is looked up wherever it is stored, however
+    old: give the target a layout by the key, then an update's partition follows from it and no other is read.
     """
 
     def handle(rows: DataFrame, number: int) -> None:
         rows = materialize(rows, "arrived")
         mark = _before(newest, "merge", number)
         known = mark.first() if mark is not None else None
-        accepted, reach = rows, None
+        accepted = rows
         if known is not None and known.newest is not None:
             limit = F.lit(str(known.newest)).cast("timestamp_ntz") - F.make_dt_interval(F.lit(days))
             late = F.coalesce(F.col(ts) < limit, F.lit(False))
             rejected.append(rows.where(late), batch=f"merge-{number}")
-            accepted, reach = rows.where(~late), F.col(ts) >= limit
-        target.merge(accepted, keys, ts, reach)
+            accepted = rows.where(~late)
+        target.merge(accepted, keys, ts)
         last = F.lit(str(known.newest) if known is not None and known.newest is not None else None).cast("timestamp_ntz")
         newest.append(rows.agg(F.greatest(F.max(ts), last).alias("newest")), batch=f"merge-{number}")
 
@@ -142,15 +144,18 @@ def dedupe(
     stream: DataFrame, keys: Sequence[str], ts: str, delay_days: int, table: Dataset, checkpoint: str
 ) -> StreamingQuery:
     """Append rows whose key was not seen before. Copies come within ``delay_days`` of each other's time, so only stored rows
-    from that long before the batch's earliest time are compared; a late row that is no copy is kept."""
+    from that long before the batch's earliest time are compared; a late row that is no copy is kept. Rows with a null in their
+    key are copies of nothing and all kept."""
+    whole = reduce(and_, [F.col(k).isNotNull() for k in keys])
 
     def handle(batch: DataFrame, number: int) -> None:
         tag = f"once-{number}"
-        batch = materialize(batch.dropDuplicates(list(keys)), "arrived")
+        keyless = batch.where(~whole)
+        batch = materialize(batch.where(whole).dropDuplicates(list(keys)).unionByName(keyless), "arrived")
         if table.exists():
             earliest = batch.agg(F.min(ts)).scalar() - F.make_dt_interval(F.lit(delay_days))
             seen = table.rows().where((F.col(BATCH) != tag) & (F.col(ts) >= earliest)).select(*keys)
-            batch = batch.join(shuffled_again(seen, keys[0]), list(keys), "left_anti")
+            batch = batch.join(shuffled_again(seen, keys[0]), list(keys), "left_anti")  # a null key equals none
         table.append(batch, batch=tag)
 
     return each_batch(stream, checkpoint, handle)

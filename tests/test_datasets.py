@@ -101,6 +101,64 @@ def test_merge_twice_is_the_same(spark):
     assert values(t.scan()) == once
 
 
+@pytest.mark.parametrize("layout", [[], [PartitionField("day")], [PartitionField("id", "bucket", 4)]])
+def test_frames_without_rows(spark, layout):
+    """Every way of writing takes an empty frame, whether its plan is known to be empty or turns out so behind a shuffle."""
+    schema = "id bigint, day string, at bigint"
+    some = spark.createDataFrame([(1, "a", 1)], schema)
+    behind = some.where("id > 5").join(some.select("id"), "id").groupBy("id", "day").agg(F.max("at").alias("at"))
+    for none in (some.where("id > 5"), spark.createDataFrame([], schema), behind):
+        t = table(spark, *layout)
+        assert t.append(none).n_rows == 0 and values(t.scan()) == []
+        t.append(some)
+        assert t.append(none).n_rows == 0 and t.merge(none, ["id"], "at").n_rows == 0
+        if layout:
+            assert t.overwrite_partitions(none).n_rows == 0
+        assert values(t.scan()) == [(1, "a", 1)]
+        assert t.overwrite(none).n_rows == 0 and values(t.scan()) == []
+        fresh = table(spark, *layout)
+        assert fresh.merge(none, ["id"], "at").n_rows == 0
+        assert fresh.merge(some, ["id"], "at").n_rows == 1 and values(fresh.scan()) == [(1, "a", 1)]
+
+
+@pytest.mark.parametrize("layout", [[], [PartitionField("day")]])
+def test_a_merge_that_dies_after_deleting_is_finished_by_the_next(spark, layout, monkeypatch):
+    schema = "id bigint, day string, v bigint, at bigint"
+    t = table(spark, *layout)
+    t.append(spark.createDataFrame([(1, "a", 1, 1), (2, "a", 1, 1), (3, "b", 1, 1)], schema))
+    updates = spark.createDataFrame([(1, "c", 2, 2), (3, "b", 2, 2)], schema)
+    carry_out = Dataset._carry_out
+
+    def broken(self, plan):
+        if layout:
+            spark.createDataFrame([], schema).drop("day").write.mode("overwrite").parquet(f"{self.path}/_p_day_identity=a")
+        else:
+            spark.createDataFrame([], schema).write.mode("overwrite").parquet(self.path)
+        raise RuntimeError("lost the driver")
+
+    monkeypatch.setattr(Dataset, "_carry_out", broken)
+    with pytest.raises(RuntimeError):
+        t.merge(updates, ["id"], "at")
+    monkeypatch.setattr(Dataset, "_carry_out", carry_out)
+    again = Dataset(spark, t.path, layout)
+    again.merge(updates, ["id"], "at")
+    want = [(1, "c", 2, 2), (2, "a", 1, 1), (3, "b", 2, 2)]
+    assert values(again.scan()) == want and not again.recover()
+
+
+def test_a_layout_by_key_is_not_searched(spark):
+    """The key names the partition, so nothing but the update's partitions is read."""
+    schema = "id bigint, v bigint, at bigint"
+    t = table(spark, PartitionField("id", "truncate", 10))
+    t.append(spark.createDataFrame([(i, 1, 1) for i in range(100)], schema))
+    written = []
+    write = t._write
+    t._write = lambda df, *a: written.append(df) or write(df, *a)
+    assert t.merge(spark.createDataFrame([(25, 2, 2), (27, 2, 0), (120, 1, 1)], schema), ["id"], "at").n_rows == 11
+    assert {r.id for r in written[0].collect()} == {*range(20, 30), 120}
+    assert {r.id: r.v for r in t.scan().collect()} == {**{i: 1 for i in range(100)}, 25: 2, 120: 1}
+
+
 def test_an_update_wins_a_tie(spark):
     old = spark.createDataFrame([(1, "old", 5)], "id bigint, v string, at bigint")
     new = spark.createDataFrame([(1, "new", 5), (2, "x", 1)], "id bigint, v string, at bigint")

@@ -133,6 +133,29 @@ def test_merge_takes_late_rows_within_the_limit(spark):
     assert [r.id for r in aside.scan().collect()] == [4]
 
 
+def test_keys_whose_update_comes_weeks_later(spark):
+    """The row of January goes when February's update arrives, with a layout by time and with one by key; a batch without accepted rows changes nothing."""
+    schema = "id bigint, ts timestamp_ntz, v string"
+    for layout in (PartitionField("ts", "month"), PartitionField("id", "truncate", 2)):
+        source, aside, newest = table(spark), table(spark), table(spark)
+        target, checkpoint = table(spark, layout), scratch_path(spark, "cp")
+        for rows in ([(1, 1, 20, "pending"), (2, 1, 21, "pending")], [(1, 2, 25, "completed")], [(3, 1, 1, "late")], [], [(2, 2, 26, "completed")]):
+            source.append(spark.createDataFrame([(i, datetime(2024, m, d), v) for i, m, d, v in rows], schema))
+            jobs.merge_late(source, target, aside, newest, ["id"], "ts", 7, checkpoint).awaitTermination()
+        assert sorted((r.id, r.v) for r in target.scan().collect()) == [(1, "completed"), (2, "completed")]
+        assert [r.id for r in aside.scan().collect()] == [3]
+
+
+def test_rows_without_a_key_are_all_kept(spark):
+    source, target, checkpoint = table(spark), table(spark), scratch_path(spark, "cp")
+    schema = "id bigint, part bigint, ts timestamp_ntz"
+    for rows in ([(None, 1), (None, 1), (1, 1), (1, None)], [(None, 1), (1, 1), (1, None)]):
+        source.append(spark.createDataFrame([(i, p, datetime(2024, 1, 1)) for i, p in rows], schema))
+        jobs.dedupe(jobs.arrivals(source), ["id", "part"], "ts", 2, target, checkpoint).awaitTermination()
+    got = sorted(((r.id, r.part) for r in target.scan().collect()), key=str)
+    assert got == sorted([(None, 1)] * 3 + [(1, None)] * 2 + [(1, 1)], key=str)
+
+
 def test_run_watcher_sees_each_run_once(spark):
     log = RunLog(spark, scratch_path(spark, "log"))
     target, checkpoint = table(spark), scratch_path(spark, "cp")
