@@ -6,14 +6,16 @@ own number, so a batch that is run again after a failure changes nothing.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
-from datetime import datetime
+from collections.abc import Callable, Iterator, Sequence
+from datetime import datetime, timedelta
 from functools import reduce
 from operator import and_
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StringType, StructField, StructType
 
 from lakeloom.operators.joins import shuffled_again
@@ -122,6 +124,120 @@ def merge_late(
     return each_batch(arrivals(source, files_per_batch), checkpoint, handle)
 
 
+# The newest time known when a row was accepted: it never goes back, so no watermark on it leaves a row behind.
+CLOCK = "_clock"
+
+
+def divert_late(
+    source: Dataset, accepted: Dataset, aside: Dataset, newest: Dataset, ts: str, days: int, checkpoint: str, files_per_batch: int | None = None
+) -> StreamingQuery:
+    """Part rows that are more than ``days`` behind the newest known time from those that stateful jobs may take.
+
+    Both sides of a batch are written by that batch, so no row vanishes; rows without a time are accepted. ``newest`` holds one row per batch. Accepted
+    rows get the newest time as a clock, by which the state of later jobs is kept and dropped.
+    """
+
+    def handle(rows: DataFrame, number: int) -> None:
+        rows = materialize(rows, "arrived")
+        mark = _before(newest, "split", number)
+        known = mark.first() if mark is not None else None
+        before = F.lit(str(known.newest) if known is not None and known.newest is not None else None).cast("timestamp_ntz")
+        late = F.coalesce(F.col(ts) < before - F.make_dt_interval(F.lit(days)), F.lit(False))
+        newest.append(rows.agg(F.greatest(F.max(ts), before).alias("newest")), batch=f"split-{number}")
+        clock = F.lit(str(_before(newest, "split", number + 1).first().newest)).cast("timestamp_ntz")
+        aside.append(rows.where(late), batch=f"split-{number}")
+        accepted.append(rows.where(~late).withColumn(CLOCK, clock), batch=f"split-{number}")
+
+    return each_batch(arrivals(source, files_per_batch), checkpoint, handle)
+
+
+def _with_clock(rows: DataFrame, days: int) -> DataFrame:
+    return rows.withColumn(CLOCK, F.col(CLOCK).cast("timestamp")).withWatermark(CLOCK, f"{days} days")
+
+
+def once_within(
+    source: Dataset, keys: Sequence[str], days: int, table: Dataset, checkpoint: str, files_per_batch: int | None = None
+) -> StreamingQuery:
+    """Append each key of accepted rows once; the keys are kept in Spark's state store for ``days`` of the clock and dropped then.
+
+    Every copy whose time lies within ``days`` of the first one's is found if both were accepted with that limit. Rows with a null in their key do
+    not go through the state and are all kept.
+    """
+    whole = reduce(and_, [F.col(k).isNotNull() for k in keys])
+    rows = arrivals(source, files_per_batch)
+    once = _with_clock(rows.where(whole), days).dropDuplicatesWithinWatermark(list(keys))
+    every = once.unionByName(_with_clock(rows.where(~whole), days)).drop(CLOCK)
+
+    def handle(batch: DataFrame, number: int) -> None:
+        table.append(batch, batch=f"within-{number}")
+
+    return each_batch(every, checkpoint, handle)
+
+
+STATE_OF_SESSION = "session_id string, last timestamp"
+
+
+def _carry_session(opens: str, closes: str, idle: timedelta):
+    """One step of a user's session: new rows in event id order, or the timer of an open session that saw none."""
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        session, last = state.get if state.exists else (None, None)
+        out: list[tuple] = []
+        if not state.hasTimedOut:
+            rows = pd.concat(list(frames)).sort_values("event_id")
+            for event, kind, at in zip(rows["event_id"], rows["event_type"], rows["timestamp"], strict=True):
+                if session is not None and at - last > idle:
+                    out.append((None, "expired", last + idle, session))
+                    session = None
+                if kind == opens:
+                    session = f"sess_{event}"
+                out.append((event, kind, at, session))
+                session, last = (None if kind == closes else session), at
+        watermark = pd.Timestamp(state.getCurrentWatermarkMs(), unit="ms")
+        if session is not None and (state.hasTimedOut or last + idle <= watermark):
+            out.append((None, "expired", last + idle, session))
+            session = None
+        if session is not None:
+            state.update((session, last))
+            state.setTimeoutTimestamp(int((last + idle).timestamp() * 1000))
+        elif state.exists:
+            state.remove()
+        frame = pd.DataFrame(out, columns=["event_id", "event_type", "timestamp", "session_id"]).astype({"event_id": "Int64"})
+        frame.insert(1, "user_id", pd.array([key[0]] * len(frame), dtype="Int64"))
+        yield frame
+
+    return step
+
+
+def sessions_in_state(
+    source: Dataset,
+    target: Dataset,
+    checkpoint: str,
+    idle: timedelta,
+    days: int = 0,
+    opens: str = "login",
+    closes: str = "logout",
+    files_per_batch: int | None = None,
+) -> StreamingQuery:
+    """Session ids carried in Spark's state store, with a timer that closes a session of which nothing was heard for ``idle``.
+
+    Takes accepted rows (``divert_late``) with ``event_id, user_id, event_type, timestamp``; their clock drives the timers, ``days`` behind. Closed
+    sessions come out as rows of type ``expired`` at the moment they ran out, without an event id, once each: before the user's next event, or when the
+    timer fires. A task holds one user's rows of a batch, which ``files_per_batch`` bounds; users who fill more than that are cut by ``sessions``.
+    """
+    columns = ["event_id", "user_id", "event_type", "timestamp"]
+    rows = _with_clock(arrivals(source, files_per_batch).select(*columns, CLOCK), days)
+    rows = rows.withColumn("timestamp", F.col("timestamp").cast("timestamp"))
+    schema = "event_id bigint, user_id bigint, event_type string, timestamp timestamp, session_id string"
+    step = _carry_session(opens, closes, idle)
+    carried = rows.groupBy("user_id").applyInPandasWithState(step, schema, STATE_OF_SESSION, "append", GroupStateTimeout.EventTimeTimeout)
+
+    def handle(batch: DataFrame, number: int) -> None:
+        target.append(batch.withColumn("timestamp", F.col("timestamp").cast("timestamp_ntz")), batch=f"state-{number}")
+
+    return each_batch(carried, checkpoint, handle)
+
+
 def rollup_by_day(
     stream: DataFrame, ts: str, dimensions: Sequence[str], table: Dataset, checkpoint: str
 ) -> StreamingQuery:

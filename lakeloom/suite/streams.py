@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -106,6 +108,56 @@ def stream_merge(t: Tables) -> DataFrame:
     return sides[0].unionByName(sides[1])
 
 
+define(
+    "order_changes",
+    """SELECT 1 AS batch, order_id, 'completed' AS status, top + INTERVAL 1 DAY AS ts
+       FROM stg_orders, (SELECT max(created_at) AS top FROM stg_orders) WHERE order_id % 3 = 0
+       UNION ALL SELECT 1, order_id, 'checked', created_at + INTERVAL 1 HOUR FROM stg_orders WHERE order_id % 5 = 1
+       UNION ALL SELECT 2, order_id, 'returned', top + INTERVAL 2 DAY
+       FROM stg_orders, (SELECT max(created_at) AS top FROM stg_orders) WHERE order_id % 6 = 0""",
+)
+
+
+@query(
+    "stream_merge_orders",
+    sql(
+        """WITH marked AS (SELECT *, batch = 1 AND ts < (SELECT max(created_at) FROM stg_orders) - INTERVAL 7 DAY AS late FROM order_changes)
+           SELECT 'target' AS side, order_id, arg_max(status, ts) AS status, max(ts) AS updated_at FROM (
+             SELECT order_id, 'pending' AS status, created_at AS ts FROM stg_orders
+             UNION ALL SELECT order_id, status, ts FROM marked WHERE NOT late) GROUP BY order_id
+           UNION ALL SELECT 'late', order_id, status, ts FROM marked WHERE late"""
+    ),
+)
+def stream_merge_orders(t: Tables) -> DataFrame:
+    """Orders of years change in later batches; each is found and replaced wherever it is, and changes that are too old go aside."""
+    orders = t.stg("orders").select("order_id", F.col("created_at").alias("updated_at"))
+    top = orders.agg(F.max("updated_at")).scalar()
+    day = F.make_dt_interval(F.lit(1))
+    source = _table(t, "order-changes")
+    loads = [
+        orders.select("order_id", F.lit("pending").alias("status"), "updated_at"),
+        orders.where("order_id % 3 = 0")
+        .select("order_id", F.lit("completed").alias("status"), (top + day).alias("updated_at"))
+        .unionByName(
+            orders.where("order_id % 5 = 1").select(
+                "order_id", F.lit("checked").alias("status"), F.expr("updated_at + interval 1 hour").alias("updated_at")
+            )
+        ),
+        orders.where("order_id % 6 = 0").select("order_id", F.lit("returned").alias("status"), (top + day + day).alias("updated_at")),
+    ]
+    target, aside = _table(t, "orders-now", PartitionField("order_id", "truncate", 5000)), _table(t, "orders-late")
+    newest, checkpoint = _table(t, "orders-newest"), _checkpoint(t, "merge-orders")
+    for i, rows in enumerate(loads):
+        source.append(rows, batch=f"load-{i}")
+        # The job is started anew for every load and goes on where it was.
+        jobs.merge_late(source, target, aside, newest, ["order_id"], "updated_at", 7, checkpoint).awaitTermination()
+    sides = [
+        table.scan().select(F.lit(name).alias("side"), "order_id", "status", "updated_at")
+        for name, table in (("target", target), ("late", aside))
+    ]
+    return sides[0].unionByName(sides[1])
+
+
 @query(
     "stream_rollup",
     """SELECT date_trunc('day', ts - to_days(CAST(CASE WHEN event_id % 5 = 0 THEN event_id % 17 ELSE 0 END AS INTEGER)))::TIMESTAMP
@@ -132,6 +184,82 @@ def stream_dedupe(t: Tables) -> DataFrame:
     return table.scan()
 
 
+def _accepted(t: Tables, source: Dataset, days: int) -> tuple[Dataset, Dataset]:
+    """The source's rows, parted by a job of its own: accepted ones, and those too far behind."""
+    accepted, aside = _table(t, "accepted"), _table(t, "aside")
+    ts = "timestamp" if "timestamp" in source.schema().names else "ts"
+    jobs.divert_late(source, accepted, aside, _table(t, "clock"), ts, days, _checkpoint(t, "divert"), FILES).awaitTermination()
+    return accepted, aside
+
+
+@query(
+    "stream_dedupe_state",
+    """WITH e AS (SELECT nullif(event_id, CASE WHEN event_id % 50 = 0 THEN event_id END) AS event_id, ts, user_id, event_type,
+                 ts < (SELECT max(ts) FROM events) - INTERVAL 3 DAY AS late FROM events)
+       SELECT 'once' AS side, event_id, ts, user_id, event_type FROM e
+       UNION ALL SELECT 'once', event_id, ts, user_id, event_type FROM e WHERE event_id IS NULL AND NOT late
+       UNION ALL SELECT 'late', event_id, ts, user_id, event_type FROM e WHERE late""",
+)
+def stream_dedupe_state(t: Tables) -> DataFrame:
+    """All events arrive again: copies of the last days are found in the state, older rows go aside, rows without a key are kept."""
+    key = F.when(F.col("event_id") % 50 != 0, F.col("event_id")).alias("event_id")
+    events = t.given("events").select(key, "ts", "user_id", "event_type")
+    source = _table(t, "arrivals")
+    third = t.given("events").agg(F.max("event_id")).first()[0] // PARTS + 1
+    for i in range(PARTS):
+        part = t.given("events").where(F.floor(F.col("event_id") / third) == i)
+        source.append(part.select(key, "ts", "user_id", "event_type").repartition(FILES), batch=f"load-{i}")
+    source.append(events.repartition(FILES), batch="load-again")
+    accepted, aside = _accepted(t, source, 3)
+    once = _table(t, "once")
+    jobs.once_within(accepted, ["event_id"], 3, once, _checkpoint(t, "within")).awaitTermination()
+    return once.scan().select(F.lit("once").alias("side"), "*").unionByName(aside.scan().select(F.lit("late").alias("side"), "*"))
+
+
+IDLE = timedelta(hours=36)
+
+define(
+    "idle_segments",
+    """SELECT *, sum(CASE WHEN "timestamp" - before > INTERVAL 36 HOUR THEN 1 ELSE 0 END)
+              OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS segment
+       FROM (SELECT *, lag("timestamp") OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM raw_events)""",
+)
+define(
+    "idle_sessions",
+    """SELECT event_id, user_id, event_type, "timestamp", last_row,
+              CASE WHEN event_type = 'signup' THEN 'sess_' || event_id
+                   WHEN last_open > coalesce(last_close, -1) THEN 'sess_' || last_open END AS session_id
+       FROM (SELECT *,
+               max(CASE WHEN event_type = 'signup' THEN event_id END) OVER w AS last_open,
+               max(CASE WHEN event_type = 'error' THEN event_id END) OVER w AS last_close,
+               event_id = max(event_id) OVER (PARTITION BY user_id, segment) AS last_row
+             FROM idle_segments
+             WINDOW w AS (PARTITION BY user_id, segment ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))""",
+)
+
+
+@query(
+    "stream_sessions_idle",
+    sql(
+        """SELECT event_id, user_id, event_type, "timestamp", session_id FROM idle_sessions
+           UNION ALL SELECT NULL, user_id, 'expired', "timestamp" + INTERVAL 36 HOUR, session_id FROM idle_sessions
+           WHERE last_row AND event_type <> 'error' AND session_id IS NOT NULL
+             AND "timestamp" + INTERVAL 36 HOUR < (SELECT max("timestamp") FROM raw_events)"""
+    ),
+)
+def stream_sessions_idle(t: Tables) -> DataFrame:
+    """Sessions in the state store over three loads with a restart at each; a timer closes those that are idle."""
+    events, target, checkpoint = t.raw("events").drop("properties", "value"), _table(t, "sessions-idle"), _checkpoint(t, "idle")
+    source, accepted = _table(t, "arrivals"), _table(t, "accepted")
+    clock, aside, splits = _table(t, "clock"), _table(t, "aside"), _checkpoint(t, "divert")
+    third = t.given("events").agg(F.max("event_id")).first()[0] // PARTS + 1
+    for i in range(PARTS):
+        source.append(events.where(F.floor(F.col("event_id") / third) == i).repartition(FILES), batch=f"load-{i}")
+        jobs.divert_late(source, accepted, aside, clock, "timestamp", 1, splits).awaitTermination()
+        jobs.sessions_in_state(accepted, target, checkpoint, IDLE, 0, "signup", "error").awaitTermination()
+    return target.scan()
+
+
 @query(
     "stream_sessions",
     sql('SELECT event_id, user_id, event_type, "timestamp", session_id FROM sessions'),

@@ -1,6 +1,6 @@
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -156,6 +156,69 @@ def test_rows_without_a_key_are_all_kept(spark):
     assert got == sorted([(None, 1)] * 3 + [(1, None)] * 2 + [(1, 1)], key=str)
 
 
+def accept(spark, source, days, parts):
+    """A diverting job that is started again for every load."""
+    aside, newest, accepted, checkpoint = table(spark), table(spark), table(spark), scratch_path(spark, "cp")
+
+    def load(df):
+        source.append(df)
+        jobs.divert_late(source, accepted, aside, newest, "timestamp", days, checkpoint).awaitTermination()
+
+    return accepted, aside, load
+
+
+def events(spark, rows):
+    """Rows of event id, user, type, day and hour of January 2024."""
+    made = [(e, u, k, datetime(2024, 1, d, h)) for e, u, k, d, h in rows]
+    return spark.createDataFrame(made, "event_id bigint, user_id bigint, event_type string, timestamp timestamp_ntz")
+
+
+def test_copies_are_found_in_the_state_which_stays_small(spark):
+    source = table(spark)
+    accepted, aside, load = accept(spark, source, 2, 8)
+    once, checkpoint = table(spark), scratch_path(spark, "cp")
+    sizes = []
+    for day in range(1, 10):
+        rows = [(day * 10 + i, 1, "a", day, i) for i in range(5)]
+        again = [(day * 10 - 10 + i, 1, "a", day - 1, i) for i in range(3)] if day > 1 else []
+        keyless = [(None, 1, "a", day, 1)] * 2
+        late = [(1000 + day, 1, "late", day - 4, 0)] if day > 4 else []
+        load(events(spark, rows + again + keyless + late))
+        query = jobs.once_within(accepted, ["event_id"], 2, once, checkpoint)
+        query.awaitTermination()
+        sizes.append(sum(op["numRowsTotal"] for op in query.lastProgress["stateOperators"]))
+    got = [r.event_id for r in once.scan().collect()]
+    assert sorted(e for e in got if e is not None) == [day * 10 + i for day in range(1, 10) for i in range(5)]
+    assert got.count(None) == 18
+    assert sorted(r.event_id for r in aside.scan().collect()) == [1000 + day for day in range(5, 10)]
+    assert max(sizes[5:]) <= max(sizes[:5]) <= 30
+
+
+def test_sessions_time_out(spark):
+    """Over four batches, each a restart: a session that is idle is closed once, by a timer or by the user's next event."""
+    source = table(spark)
+    accepted, _, load = accept(spark, source, 1, 4)
+    target, checkpoint = table(spark), scratch_path(spark, "cp")
+    hot = [(100 + i, 9, "view", 1, i) for i in range(20)]
+    parts = [
+        [(1, 1, "login", 1, 1), (2, 1, "view", 1, 2), (3, 2, "login", 1, 3), (4, 3, "login", 1, 4), (99, 9, "login", 1, 0), *hot],
+        [(200, 1, "view", 1, 20), (201, 2, "logout", 1, 21)],
+        [(300, 1, "view", 3, 0), (301, 9, "view", 1, 23)],
+        [(400, 4, "view", 9, 0), (401, None, "login", 9, 1)],
+    ]
+    for rows in parts:
+        load(events(spark, rows))
+        jobs.sessions_in_state(accepted, target, checkpoint, timedelta(days=1)).awaitTermination()
+    rows = target.scan().collect()
+    got = {r.event_id: r.session_id for r in rows if r.event_id is not None}
+    assert got == {
+        1: "sess_1", 2: "sess_1", 3: "sess_3", 4: "sess_4", 99: "sess_99", **{100 + i: "sess_99" for i in range(20)},
+        200: "sess_1", 201: "sess_3", 300: None, 301: "sess_99", 400: None, 401: "sess_401",
+    }
+    ended = sorted((r.session_id, r.timestamp) for r in rows if r.event_type == "expired")
+    assert ended == [("sess_1", datetime(2024, 1, 2, 20)), ("sess_4", datetime(2024, 1, 2, 4)), ("sess_99", datetime(2024, 1, 2, 23))]
+
+
 def test_run_watcher_sees_each_run_once(spark):
     log = RunLog(spark, scratch_path(spark, "log"))
     target, checkpoint = table(spark), scratch_path(spark, "cp")
