@@ -42,7 +42,10 @@ ORDERS = Cube(
             uses=("completedCount", "count"),
         ),
     ),
-    joins=(Join("Customers", "many_to_one", "customer_id", "customer_id"),),
+    joins=(
+        Join("Customers", "many_to_one", "customer_id", "customer_id"),
+        Join("Items", "one_to_many", "order_id", "order_id"),
+    ),
     rollups=(
         Rollup(
             "ordersByDay",
@@ -52,10 +55,29 @@ ORDERS = Cube(
             "day",
         ),
         Rollup("ordersByWeek", ("count", "totalAmount"), ("status",), "createdAt", "week"),
+        Rollup("ordersByMonth", ("count", "totalAmount", "customers"), ("status", "region"), "createdAt", "month", "30m"),
+        # Keeps the key of the customers, so it answers queries over both.
+        Rollup("ordersByCustomer", ("count", "totalAmount", "averageAmount"), ("customerId", "status")),
     ),
     row_filters=("region",),
 )
 
+ITEMS = Cube(
+    name="Items",
+    table="item_details",
+    dimensions=(
+        Dimension("id", "order_item_id", "number", primary_key=True),
+        Dimension("category", "category"),
+        Dimension("productId", "product_id", "number"),
+    ),
+    measures=(
+        Measure("count"),
+        Measure("quantity", "sum", "quantity"),
+        Measure("products", "count_distinct", "product_id"),
+    ),
+    row_filters=(),
+)
+
 CUSTOMERS = Cube(
     name="Customers",
     table="customers",
@@ -165,4 +187,4 @@ DAILY_REVENUE = Cube(
     row_filters=(),
 )
 
-CUBES = {c.name: c for c in (ORDERS, CUSTOMERS, PRODUCTS, SEGMENTS, PRODUCT_TIERS, DAILY_REVENUE)}
+CUBES = {c.name: c for c in (ORDERS, ITEMS, CUSTOMERS, PRODUCTS, SEGMENTS, PRODUCT_TIERS, DAILY_REVENUE)}

@@ -26,6 +26,7 @@ from pyspark.sql.types import (
 )
 
 from lakeloom.operators.joins import shuffled_again
+from lakeloom.session import materialize
 from lakeloom.sources.layout import with_partitions
 from lakeloom.sources.datasets import Dataset
 
@@ -50,7 +51,7 @@ MEASURE_TYPES = {
 # Suffixes of the parts a measure is kept in; every other type keeps one value, ``v``.
 PARTS = {
     "count": "n",
-    "count_distinct": "n",
+    "count_distinct": "b",
     "count_distinct_approx": "h",
     "sum": "s",
     "running_total": "s",
@@ -123,11 +124,29 @@ class Join:
 
 @dataclass(frozen=True)
 class Rollup:
+    """``refresh_every`` is how old a stored rollup may get: a number with s, m, h or d; none is always refreshed when asked."""
+
     name: str
     measures: tuple[str, ...]
     dimensions: tuple[str, ...] = ()
     time_dimension: str | None = None
     granularity: str | None = None
+    refresh_every: str | None = None
+
+    def __post_init__(self) -> None:
+        if self.refresh_every is not None and not re.fullmatch(r"[1-9]\d*[smhd]", self.refresh_every):
+            raise MetricError(f"rollup {self.name} has unknown refresh rule {self.refresh_every!r}")
+
+    @property
+    def age(self) -> timedelta:
+        if self.refresh_every is None:
+            return timedelta(0)
+        unit = {"s": "seconds", "m": "minutes", "h": "hours", "d": "days"}[self.refresh_every[-1]]
+        return timedelta(**{unit: int(self.refresh_every[:-1])})
+
+    @property
+    def names(self) -> list[str]:
+        return [*self.dimensions, *([self.time_dimension] if self.time_dimension else [])]
 
 
 @dataclass(frozen=True)
@@ -203,6 +222,12 @@ def cube_from_schema(name: str, table: str, schema: StructType, meta: Mapping |
 #
 # A measure is a few parts per group: partial aggregates that can be merged
 # (sum of sums, count, minimum, sketch) and a final expression over them.
+#
+# The parts of an exact distinct count are bitmaps, one for each stretch of 32768 numbers, in rows
+# of their own: ``_of`` names the measure, ``_bucket`` the stretch. All other parts stand in the row
+# of the group where ``_of`` is null. Bitmaps are merged per group and stretch first and counted second.
+
+OF, BUCKET = "_of", "_bucket"
 
 
 def _input(measure: Measure) -> Column:
@@ -229,11 +254,57 @@ def _parts(measure: Measure, x: Column, p: str) -> list[Column]:
         return [F.bool_or(x).alias(f"{p}v")]
     if kind == "count_distinct_approx":
         return [F.hll_sketch_agg(x.cast("string"), F.lit(14)).alias(f"{p}h")]
+    if kind == "count_distinct":
+        return [F.when(F.col(OF) == p, F.bitmap_construct_agg(F.when(F.col(OF) == p, F.col("_bit")))).alias(f"{p}b")]
     raise MetricError(f"measure {measure.name} of type {kind} cannot be merged from parts")
 
 
+def _in_parts(rows: DataFrame, groups: list[Column], measures: Mapping[str, Measure], inputs: Mapping[str, str]) -> DataFrame:
+    """Parts of measures per group. ``measures`` go by the prefix of their parts, ``inputs`` names their columns."""
+    sets = [p for p, m in measures.items() if m.type == "count_distinct"]
+    if not sets:
+        parts = [part for p, m in measures.items() for part in _parts(m, F.col(inputs[p]), p)]
+        return _aggregate(rows, groups, parts)
+    for p in sets:
+        kind = rows.schema[inputs[p]].dataType
+        if not isinstance(kind, IntegralType):
+            raise MetricError(f"distinct counts of {kind.simpleString()} cannot be merged from parts; use count_distinct_approx")
+    # Each row once for the group itself and once for every number that it adds to a set.
+    entries = [F.struct(F.lit(None).cast("string").alias("of"), F.lit(None).cast("bigint").alias("bucket"), F.lit(None).cast("bigint").alias("bit"))]
+    for p in sets:
+        number = F.col(inputs[p]).cast("bigint")
+        entry = F.struct(F.lit(p).alias("of"), F.bitmap_bucket_number(number).alias("bucket"), F.bitmap_bit_position(number).alias("bit"))
+        entries.append(F.when(number.isNotNull(), entry))
+    rows = rows.withColumn("_entry", F.explode(F.array_compact(F.array(*entries))))
+    rows = rows.withColumns({OF: F.col("_entry.of"), BUCKET: F.col("_entry.bucket"), "_bit": F.col("_entry.bit")}).drop("_entry")
+    own = F.col(OF).isNull()
+    parts = [part for p, m in measures.items() for part in _parts(m, F.when(own, F.col(inputs[p])), p)]
+    return rows.groupBy(*groups, OF, BUCKET).agg(*parts)
+
+
+def _merge_parts(rows: DataFrame, groups: list[Column], measures: Mapping[str, Measure]) -> DataFrame:
+    """Stored parts merged into coarser groups, as parts again."""
+    whole = [*groups, F.col(OF), F.col(BUCKET)] if OF in rows.columns else groups
+    return _aggregate(rows, whole, [part for p, m in measures.items() for part in _merged(m, p)])
+
+
+def _counted(rows: DataFrame, groups: list[str], measures: Mapping[str, Measure]) -> DataFrame:
+    """The rows of sets and of the group brought together; sets become counts."""
+    if OF not in rows.columns:
+        return rows
+    parts = []
+    for p, m in measures.items():
+        if m.type == "count_distinct":
+            parts.append(F.coalesce(F.sum(F.bitmap_count(f"{p}b")), F.lit(0)).alias(f"{p}n"))
+        else:
+            parts += _merged(m, p)
+    return _aggregate(rows, [F.col(f"`{g}`") for g in groups], parts)
+
+
 def _merged(measure: Measure, p: str) -> list[Column]:
     kind = measure.type
+    if kind == "count_distinct":
+        return [F.when(F.col(OF) == p, F.bitmap_or_agg(F.coalesce(f"{p}b", F.lit(b"")))).alias(f"{p}b")]
     if kind in {"count", "sum", "running_total", "avg"}:
         return [F.sum(f"{p}{s}").alias(f"{p}{s}") for s in PARTS[kind]]
     if kind == "min":
@@ -252,8 +323,10 @@ def _direct(measure: Measure, x: Column, p: str) -> list[Column]:
     return _parts(measure, x, p)
 
 
-def _final(measure: Measure, p: str, sketched: bool) -> Column:
+def _final(measure: Measure, p: str) -> Column:
     kind = measure.type
+    if kind == "count_distinct":
+        return F.coalesce(F.col(f"{p}n"), F.lit(0))
     if kind == "avg":
         n = F.nullif(F.col(f"{p}n"), F.lit(0))
         return F.col(f"{p}s").cast("double") / n
@@ -438,37 +511,72 @@ def _narrowed(cube: Cube, request: _Request, security: SecurityContext | None) -
     ) or any(t[0].name == cube.name and t[3] for t in request.time)
 
 
-def _joined(request: _Request, tables, security) -> tuple[DataFrame, set[str]]:
-    """Base rows with every other cube attached, and the measures already in parts."""
+def _own(request: _Request, cube: Cube) -> dict[str, Measure]:
+    """The measures of a cube that are made of parts, by the prefix of their parts."""
+    return {f"_p_{c.name}_{m.name}_": m for c, m in request.measures if c.name == cube.name and m.type != "number"}
+
+
+def _own_groups(request: _Request, cube: Cube) -> list[Column]:
+    """The columns of a cube that the result is grouped by, its times cut to their grain."""
+    columns = [F.col(f"{c.name}_{d.name}") for c, d in request.dimensions if c.name == cube.name]
+    for c, d, grain, _ in request.time:
+        if c.name == cube.name and grain is not None:
+            name = f"_t_{c.name}_{d.name}"
+            columns.append(F.date_trunc(grain, F.col(name)).cast("timestamp_ntz").alias(name))
+    return columns
+
+
+def _joined(request: _Request, tables, security, rollups, sizes) -> tuple[DataFrame, set[str]]:
+    """Base rows with every other cube attached, and the measures already in parts.
+
+    The base, and a cube that has many rows for one of the base, come from a rollup that holds what is asked of them and their join keys.
+    """
     base = request.base
+    fans = any(link.relationship == "one_to_many" for _, link, _ in request.way)
 
     def keys(cube: Cube) -> list[str]:
         return [link.left for parent, link, _ in request.way if parent.name == cube.name]
 
-    rows = _project(base, tables[base.table], request, security, keys(base))
     in_parts: set[str] = set()
+    # Joined to many rows, a base row has to stay one row.
+    rollup = None if fans else _covering_rollup(request, base, keys(base), security, rollups, sizes)
+    if rollup is None:
+        rows = _project(base, tables[base.table], request, security, keys(base))
+    else:
+        rows = _from_rollup(request, base, rollup, rollups[rollup.name], security, keys(base))
+        in_parts |= set(_own(request, base))
     for parent, link, cube in request.way:
-        other = _project(cube, tables[cube.table], request, security, dict.fromkeys([link.right, *keys(cube)]))
+        wanted = list(dict.fromkeys([link.right, *keys(cube)]))
         right = f"_k_{cube.name}_{link.right}"
         if link.relationship == "one_to_many":
-            own = [m for c, m in request.measures if c.name == cube.name and m.type != "number"]
-            if any(c.name == cube.name for c, _ in request.dimensions) or any(
-                t[0].name == cube.name and t[2] for t in request.time
-            ):
-                raise MetricError(f"{base.name} has many {cube.name}: its dimensions fan out")
-            # One row per key before the join, so measures of the base never double.
-            parts = [
-                part
-                for m in own
-                for part in _parts(m, F.col(f"_m_{cube.name}_{m.name}"), f"_p_{cube.name}_{m.name}_")
-            ]
-            other = other.groupBy(right).agg(*(parts or [F.count("*").alias("_rows")]))
-            in_parts |= {f"{cube.name}.{m.name}" for m in own}
+            # One row per key and value of its dimensions before the join: a base row counts once for each value, and measures
+            # of the many side are summed without it.
+            own = _own(request, cube)
+            groups = [F.col(right), *_own_groups(request, cube)]
+            rollup = _covering_rollup(request, cube, wanted, security, rollups, sizes)
+            if rollup is not None:
+                other = _from_rollup(request, cube, rollup, rollups[rollup.name], security, wanted)
+                other = _merge_parts(other, groups, own)
+            else:
+                other = _project(cube, tables[cube.table], request, security, wanted)
+                other = _in_parts(other, groups, own, {p: f"_m_{cube.name}_{m.name}" for p, m in own.items()})
+            if OF in other.columns:
+                if OF in rows.columns:
+                    raise MetricError("distinct counts of two cubes with many rows cannot be asked for together")
+                # The rows of a set carry nothing else, or it would count again.
+                rows = rows.join(other, F.col(f"_k_{parent.name}_{link.left}") == F.col(right), "inner" if _narrowed(cube, request, security) else "left")
+                plain = [c for c in rows.columns if c.startswith(("_m_", "_p_")) and c not in {f"{p}b" for p in own}]
+                rows = rows.withColumns({c: F.when(F.col(OF).isNull(), F.col(c)) for c in plain})
+                in_parts |= set(own)
+                continue
+            in_parts |= set(own)
         else:
-            other = shuffled_again(other, right)
+            other = shuffled_again(_project(cube, tables[cube.table], request, security, wanted), right)
         how = "inner" if _narrowed(cube, request, security) else "left"
-        left = f"_k_{parent.name}_{link.left}"
-        rows = rows.join(other, F.col(left) == F.col(right), how)
+        rows = rows.join(other, F.col(f"_k_{parent.name}_{link.left}") == F.col(right), how)
+        if OF in rows.columns:
+            own_parts = [c for c in other.columns if c.startswith(("_m_", "_p_"))]
+            rows = rows.withColumns({c: F.when(F.col(OF).isNull(), F.col(c)) for c in own_parts})
     return rows, in_parts
 
 
@@ -480,10 +588,11 @@ def run(
     as_of: datetime | None = None,
     rollups: Mapping[str, DataFrame] | None = None,
     require_security: bool | None = None,
+    sizes: Mapping[str, int] | None = None,
 ) -> DataFrame:
-    """The query's result; answered from a given rollup where one covers it.
+    """The query's result; a cube is read from a given rollup where one covers what is asked of it.
 
-    A cube with row filters is not read without a context, unless ``require_security=False`` says so.
+    Of several rollups the one with the fewest rows is taken (``sizes``: stored rows by name), else the first one declared. A cube with row filters is not read without a context, unless ``require_security=False`` says so.
     """
     request = _resolve(cubes, query, as_of)
     if require_security is None:
@@ -491,23 +600,19 @@ def run(
     _check_context(security, require_security)
     for cube in request.cubes.values():
         _row_filters(cube, security)
-    covering = _covering_rollup(request, security, rollups or {})
-    if covering is not None:
-        grouped, sketched = _from_rollup(request, covering, rollups[covering.name], security)
-    else:
-        rows, in_parts = _joined(request, tables, security)
-        aggregates = []
-        for c, m in request.measures:
-            if m.type == "number":
-                continue
-            prefix = f"_p_{c.name}_{m.name}_"
-            if f"{c.name}.{m.name}" in in_parts:
-                aggregates += _merged(m, prefix)
-            else:
-                aggregates += _direct(m, F.col(f"_m_{c.name}_{m.name}"), prefix)
-        grouped = _aggregate(rows, _group_columns(request), aggregates)
-        sketched = in_parts
-    return _page(_finish(request, grouped, sketched), request, query)
+    rows, in_parts = _joined(request, tables, security, rollups or {}, sizes or {})
+    measures = {f"_p_{c.name}_{m.name}_": m for c, m in request.measures if m.type != "number"}
+    direct = {f"_p_{c.name}_{m.name}_": F.col(f"_m_{c.name}_{m.name}") for c, m in request.measures if m.type != "number" and f"_p_{c.name}_{m.name}_" not in in_parts}
+    groups = _group_columns(request)
+    if OF in rows.columns:
+        if any(measures[p].type == "count_distinct" for p in direct):
+            raise MetricError("distinct counts of a base cannot be asked for together with those of its many side")
+        groups = [*groups, F.col(OF), F.col(BUCKET)]
+    aggregates = []
+    for p, m in measures.items():
+        aggregates += _direct(m, direct[p], p) if p in direct else _merged(m, p)
+    grouped = _counted(_aggregate(rows, groups, aggregates), _shown_dimensions(request), measures)
+    return _page(_finish(request, grouped), request, query)
 
 
 def _group_columns(request: _Request) -> list[Column]:
@@ -530,7 +635,7 @@ def _shown_dimensions(request: _Request) -> list[str]:
     return [f"{c.name}_{d.name}" for c, d in request.dimensions] + timed
 
 
-def _finish(request: _Request, grouped: DataFrame, sketched: set[str]) -> DataFrame:
+def _finish(request: _Request, grouped: DataFrame) -> DataFrame:
     dimensions = _shown_dimensions(request)
     timed = [f"{t[0].name}_{t[1].name}" for t in request.time if t[2] is not None]
     plain = [d for d in dimensions if d not in timed]
@@ -543,7 +648,7 @@ def _finish(request: _Request, grouped: DataFrame, sketched: set[str]) -> DataFr
     for c, m in request.measures:
         if m.type != "number":
             name = f"{c.name}_{m.name}"
-            values[name] = _final(m, f"_p_{name}_", f"{c.name}.{m.name}" in sketched)
+            values[name] = _final(m, f"_p_{name}_")
     result = grouped.select(*dimensions, *[v.alias(n) for n, v in values.items()])
     for c, m in request.measures:
         if m.type == "number":
@@ -629,53 +734,55 @@ def _page(result: DataFrame, request: _Request, query: Mapping) -> DataFrame:
 # --- rollups ---------------------------------------------------------------
 
 
+def _stored_measures(cube: Cube, rollup: Rollup) -> dict[str, Measure]:
+    return {f"{name}_": cube.measure(name) for name in rollup.measures}
+
+
 def build_rollup(cube: Cube, rollup: Rollup, df: DataFrame) -> DataFrame:
     """Mergeable parts of the rollup's measures per dimension values and time grain."""
-    groups = [F.expr(cube.dimension(d).sql).alias(d) for d in rollup.dimensions]
+    columns = [F.expr(cube.dimension(d).sql).alias(d) for d in rollup.dimensions]
     if rollup.time_dimension is not None:
         instant = F.expr(cube.dimension(rollup.time_dimension).sql)
-        truncated = F.date_trunc(rollup.granularity, instant).cast("timestamp_ntz")
-        groups.append(truncated.alias(rollup.time_dimension))
-    parts = []
-    for name in rollup.measures:
-        measure = cube.measure(name)
-        parts += _parts(measure, _input(measure), f"{name}_")
-    return _aggregate(df, groups, parts)
+        columns.append(F.date_trunc(rollup.granularity, instant).cast("timestamp_ntz").alias(rollup.time_dimension))
+    measures = _stored_measures(cube, rollup)
+    inputs = {p: f"_m_{p}" for p in measures}
+    rows = df.select(*columns, *[_input(m).alias(inputs[p]) for p, m in measures.items()])
+    return _in_parts(rows, [F.col(n) for n in rollup.names], measures, inputs)
+
+
+def merge_rollups(cube: Cube, rollup: Rollup, parts: DataFrame) -> DataFrame:
+    """Parts of several builds as those of one."""
+    return _merge_parts(parts, [F.col(n) for n in rollup.names], _stored_measures(cube, rollup))
 
 
 def finish_rollup(cube: Cube, rollup: Rollup, parts: DataFrame) -> DataFrame:
     """A rollup as a reader sees it: measures instead of parts."""
-    names = [*rollup.dimensions, *([rollup.time_dimension] if rollup.time_dimension else [])]
-    measures = [cube.measure(m) for m in rollup.measures]
-    return parts.select(
-        *names, *[_final(m, f"{m.name}_", True).alias(m.name) for m in measures]
-    )
+    measures = _stored_measures(cube, rollup)
+    counted = _counted(parts, rollup.names, measures)
+    return counted.select(*rollup.names, *[_final(m, p).alias(m.name) for p, m in measures.items()])
 
 
-def _covering_rollup(request: _Request, security, available: Mapping) -> Rollup | None:
-    """A rollup that holds every measure, dimension, filter and time grain asked for."""
-    if len(request.cubes) != 1:
-        return None
-    cube = request.base
+def _covering_rollup(request: _Request, cube: Cube, keys: Sequence[str], security, available: Mapping, sizes: Mapping[str, int]) -> Rollup | None:
+    """The smallest rollup that holds every measure, dimension, filter, join key and time grain asked of a cube."""
+    covering = []
     for rollup in cube.rollups:
         if rollup.name not in available:
             continue
         kept = set(rollup.dimensions)
-        needed = {d.name for _, d in request.dimensions} | {f[1].name for f in request.filters}
-        claims_kept = all(
-            any(d.sql == c and d.name in kept for d in cube.dimensions)
-            for c in _row_filters(cube, security)
-        )
-        measures_kept = all(
-            m.type == "number" or m.name in rollup.measures for _, m in request.measures
-        )
-        if needed <= kept and claims_kept and measures_kept and _covers_time(request, rollup):
-            return rollup
-    return None
-
-
-def _covers_time(request: _Request, rollup: Rollup) -> bool:
-    for _, dimension, grain, span in request.time:
+        needed = {d.name for c, d in request.dimensions if c.name == cube.name}
+        needed |= {f[1].name for f in request.filters if f[0].name == cube.name}
+        held = {cube.dimension(d).sql for d in rollup.dimensions}
+        columns_kept = all(c in held for c in [*_row_filters(cube, security), *keys])
+        measures_kept = all(m.name in rollup.measures for m in _own(request, cube).values())
+        if needed <= kept and columns_kept and measures_kept and _covers_time(request, cube, rollup):
+            covering.append(rollup)
+    return min(covering, key=lambda r: sizes.get(r.name, float("inf")), default=None)
+
+
+def _covers_time(request: _Request, cube: Cube, rollup: Rollup) -> bool:
+    for owner, dimension, grain, span in request.time:
+        if owner.name != cube.name:
+            continue
         if dimension.name != rollup.time_dimension:
             return False
         if grain is not None and grain not in ADDS_UP_TO[rollup.granularity]:
@@ -691,46 +798,105 @@ def _aligned(instant: datetime, grain: str) -> bool:
     return grain in {"second", "minute", "hour", "day"}
 
 
-def _from_rollup(request: _Request, rollup: Rollup, rows: DataFrame, security):
-    cube = request.base
-    by_sql = {d.sql: d.name for d in cube.dimensions}
+def _from_rollup(request: _Request, cube: Cube, rollup: Rollup, rows: DataFrame, security, keys: Sequence[str]) -> DataFrame:
+    """Rows of a rollup in the shape that rows of the cube's table have, with parts for measures."""
+    by_sql = {cube.dimension(d).sql: d for d in rollup.dimensions}
+    own = _own(request, cube)
+    if OF in rows.columns:
+        sets = [f"{m.name}_" for m in own.values() if m.type == "count_distinct"]
+        rows = rows.where(F.col(OF).isNull() | F.col(OF).isin(sets)) if sets else rows.where(F.col(OF).isNull()).drop(OF, BUCKET)
     for column, value in _row_filters(cube, security).items():
         rows = rows.where(F.col(by_sql[column]) == F.lit(value))
-    for _, d, operator, values in request.filters:
+    for c, d, operator, values in request.filters:
+        if c.name != cube.name:
+            continue
         column = F.col(d.name)
         if operator == "equals":
             rows = rows.where(column.isin(*values))
         else:
             literal = F.lit(str(values[0])).cast(rows.schema[d.name].dataType)
             rows = rows.where(OPERATORS[operator](column, literal))
-    groups = [F.col(d.name).alias(f"{cube.name}_{d.name}") for _, d in request.dimensions]
-    for _, d, grain, span in request.time:
+    out = {f"{c.name}_{d.name}": F.col(d.name) for c, d in request.dimensions if c.name == cube.name}
+    for c, d, _, span in request.time:
+        if c.name != cube.name:
+            continue
         if span is not None:
             low, high = (F.lit(str(s)).cast("timestamp_ntz") for s in span)
             rows = rows.where((F.col(d.name) >= low) & (F.col(d.name) < high))
-        if grain is not None:
-            truncated = F.date_trunc(grain, F.col(d.name)).cast("timestamp_ntz")
-            groups.append(truncated.alias(f"{cube.name}_{d.name}"))
-    merged, sketched = [], set()
-    for c, m in request.measures:
-        if m.type == "number":
-            continue
-        sketched.add(f"{c.name}.{m.name}")
-        stored, prefix = _merged(m, f"{m.name}_"), f"_p_{c.name}_{m.name}_"
-        suffixes = PARTS.get(m.type, "v")
-        merged += [column.alias(f"{prefix}{s}") for column, s in zip(stored, suffixes, strict=True)]
-    return _aggregate(rows, groups, merged), sketched
+        out[f"_t_{c.name}_{d.name}"] = F.col(d.name)
+    out |= {f"_k_{cube.name}_{key}": F.col(by_sql[key]) for key in keys}
+    for p, m in own.items():
+        out |= {f"{p}{s}": F.col(f"{m.name}_{s}") for s in PARTS.get(m.type, "v")}
+    if OF in rows.columns:
+        out |= {OF: F.when(F.col(OF).isNotNull(), F.concat(F.lit(f"_p_{cube.name}_"), F.col(OF))), BUCKET: F.col(BUCKET)}
+    return rows.select(*[column.alias(name) for name, column in out.items()])
 
 
 def refresh_rollup(
     table: Dataset, cube: Cube, rollup: Rollup, base: DataFrame, arrived: DataFrame
 ) -> None:
-    """Recompute the stored partitions that new base rows fall into, and no others."""
+    """Recompute the stored partitions that new base rows fall into, and no others.
+
+    The scan of the base gets the span of those partitions as a predicate on the time column.
+    """
     field = table.partition_by[0]
     instant = F.expr(cube.dimension(rollup.time_dimension).sql)
     arrived, base_keys = (
         with_partitions(df.withColumn(field.column, instant), [field]) for df in (arrived, base)
     )
-    touched = arrived.select(field.name).distinct()
-    rows = base_keys.join(touched, field.name, "left_semi").select(*base.columns)
+    cut = F.date_trunc(field.transform, field.column)
+    touched = materialize(arrived.groupBy(field.name).agg(F.min(cut).alias("low"), F.max(cut).alias("high")), "touched")
+    low, high = touched.agg(F.min("low"), F.max("high")).first()
+    if low is None:
+        return
+    beyond = F.expr(f"timestampadd({field.transform}, 1, timestamp_ntz'{high}')")
+    near = base_keys.where((instant >= F.lit(str(low)).cast("timestamp_ntz")) & (instant < beyond))
+    rows = near.join(touched.select(field.name), field.name, "left_semi").select(*base.columns)
     table.overwrite_partitions(build_rollup(cube, rollup, rows))
+
+
+def add_to_rollup(table: Dataset, cube: Cube, rollup: Rollup, arrived: DataFrame) -> None:
+    """Merge the parts of new rows into the stored partitions they fall into. The base is not read, since all parts add up.
+
+    Each row has to be given once; a run that may be repeated takes ``refresh_changed``.
+    """
+    delta = materialize(build_rollup(cube, rollup, arrived), "delta")
+    names = [f.name for f in table.partition_by]
+    if table.exists() and not delta.isEmpty():
+        touched = with_partitions(delta, table.partition_by).select(*names).distinct()
+        stored = table.rows().join(touched, names, "left_semi").drop(*names)
+        delta = materialize(merge_rollups(cube, rollup, stored.unionByName(delta)), "merged-parts")
+    table.overwrite_partitions(delta)
+
+
+def refresh_changed(table: Dataset, keys: Dataset, cube: Cube, rollup: Rollup, base: Dataset, newest: str, now: datetime) -> list[str]:
+    """Recompute the partitions of a rollup whose base partitions have changed; their names.
+
+    The base and the rollup are laid out alike by the rollup's time. A partition's refresh key is the number of its rows and their newest ``newest``;
+    the keys of the last refresh are kept in ``keys``. Only that one column is read to find what has changed; of the base itself nothing but the changed
+    folders is read. A rollup that is younger than its rule allows is left alone. Partitions without rows any more get none.
+    """
+    [field] = base.partition_by
+    last = keys.scan() if keys.exists() else None
+    if last is not None:
+        at = last.agg(F.max("refreshed_at")).first()[0]
+        if at is not None and now - at < rollup.age:
+            return []
+    found = base.rows().groupBy(F.col(field.name).alias("part")).agg(F.count("*").alias("n"), F.max(newest).alias("newest"))
+    found = materialize(found.withColumn("refreshed_at", F.lit(str(now)).cast("timestamp_ntz")), "refresh-keys")
+    changed = found.select("part", "n", "newest")
+    if last is not None:
+        known = last.select("part", "n", "newest")
+        gone = known.join(changed, "part", "left_anti")
+        changed = changed.exceptAll(known).unionByName(gone)
+    parts = sorted(r.part for r in changed.collect())
+    if parts:
+        table.replace_partitions(build_rollup(cube, rollup, base_partitions(base, parts)), parts)
+    keys.overwrite(found)
+    return parts
+
+
+def base_partitions(base: Dataset, parts: Sequence[str]) -> DataFrame:
+    """Rows of the named partitions; no other folder is opened."""
+    [field] = base.partition_by
+    return base.rows().where(F.col(field.name).isin(list(parts))).drop(field.name)

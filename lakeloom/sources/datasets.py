@@ -150,6 +150,15 @@ class Dataset:
         df, evolved = self._declare(df)
         return Row(n_rows=self._write(df, self.path, "overwrite", "dynamic"), schema_evolved=evolved)
 
+    def replace_partitions(self, df: DataFrame, parts: Sequence[str]) -> Row:
+        """Put rows in the place of the named values of a single partition column; values that get no rows are emptied."""
+        [field] = self.partition_by
+        done = self.overwrite_partitions(df)
+        left = {r[0] for r in with_partitions(df, [field]).select(field.name).distinct().collect()}
+        for part in set(parts) - left:
+            self._drop_folder({field.name: part})
+        return done
+
     # --- upsert ------------------------------------------------------------
 
     def merge(self, updates: DataFrame, keys: Sequence[str], newest: str) -> Row:

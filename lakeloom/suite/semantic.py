@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
-from datetime import datetime
+from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,6 +36,8 @@ class Frames(dict):
             self[name] = marts.mart_product_analytics(t.stg("products"), t.stg("order_items"))
         elif name == "revenue":
             self[name] = marts.mart_revenue(t.customer_orders())
+        elif name == "item_details":
+            self[name] = marts.order_items_enriched(t.stg("order_items"), t.stg("products"))
         else:
             self[name] = t.stg(name)
         return self[name]
@@ -326,6 +328,38 @@ metric(
               CAST(sum(o.total_amount) AS DOUBLE) / count(o.total_amount) AS Orders_averageAmount
        FROM stg_customers c LEFT JOIN stg_orders o ON c.customer_id = o.customer_id GROUP BY c.region""",
 )
+ITEM_DETAILS = "SELECT i.order_id, i.product_id, i.quantity, p.category FROM stg_order_items i JOIN stg_products p ON i.product_id = p.product_id"
+
+metric(
+    "many_side_distinct",
+    by(["Customers.count", "Orders.customers", "Orders.count", "Orders.totalAmount"], "Customers.region"),
+    f"""SELECT c.region AS Customers_region, count(DISTINCT c.customer_id) AS Customers_count, count(DISTINCT o.customer_id) AS Orders_customers,
+               count(o.order_id) AS Orders_count, {TOTAL} AS Orders_totalAmount
+        FROM stg_customers c LEFT JOIN stg_orders o ON c.customer_id = o.customer_id GROUP BY c.region""",
+)
+metric(
+    "many_side_distinct_products",
+    by(
+        ["Orders.totalAmount", "Items.products", "Items.quantity"],
+        "Orders.status",
+        filters=[{"member": "Orders.region", "operator": "equals", "values": ["ASIA", "AFRICA"]}],
+    ),
+    f"""WITH i AS ({ITEM_DETAILS}), o AS (SELECT * FROM stg_orders WHERE region IN ('ASIA', 'AFRICA'))
+        SELECT {STATUS}, {TOTAL} AS Orders_totalAmount,
+               (SELECT count(DISTINCT product_id) FROM i JOIN o x USING (order_id) WHERE x.status = o.status) AS Items_products,
+               (SELECT sum(quantity) FROM i JOIN o x USING (order_id) WHERE x.status = o.status) AS Items_quantity
+        FROM o GROUP BY status""",
+)
+metric(
+    "many_side_dimensions",
+    by(["Orders.count", "Orders.totalAmount", "Items.quantity", "Items.products"], "Items.category", "Orders.status"),
+    f"""WITH i AS ({ITEM_DETAILS}),
+        per AS (SELECT order_id, category, sum(quantity) AS quantity FROM i GROUP BY order_id, category)
+        SELECT category AS Items_category, {STATUS}, count(*) AS Orders_count, {TOTAL} AS Orders_totalAmount, sum(quantity) AS Items_quantity,
+               coalesce((SELECT count(DISTINCT product_id) FROM i JOIN stg_orders x USING (order_id)
+                         WHERE i.category = per.category AND x.status = stg_orders.status), 0) AS Items_products
+        FROM stg_orders LEFT JOIN per USING (order_id) GROUP BY category, status""",
+)
 metric(
     "query_joined_cubes",
     by(
@@ -496,7 +530,7 @@ def page_after(t: Tables) -> DataFrame:
 
 # --- rollups ---------------------------------------------------------------
 
-DAY, WEEK = ORDERS.rollups
+DAY, WEEK, MONTH, BY_CUSTOMER = ORDERS.rollups
 
 
 @query(
@@ -566,6 +600,97 @@ def query_via_rollup(t: Tables) -> DataFrame:
     return metrics.run(CUBES, {}, request, rollups={"ordersByDay": _stored_rollup(t)}, require_security=False)
 
 
+def _stored(t: Tables, rollup: metrics.Rollup, name: str) -> DataFrame:
+    table = Dataset(t.spark, scratch_path(t.spark, name))
+    table.overwrite(metrics.build_rollup(ORDERS, rollup, t.stg("orders")))
+    return table.scan()
+
+
+@query(
+    "distinct_via_rollup",
+    sql(
+        f"""SELECT {REGION}, CAST(date_trunc('quarter', created_at) AS TIMESTAMP) AS Orders_createdAt,
+                   count(DISTINCT customer_id) AS Orders_customers, {TOTAL} / count(DISTINCT customer_id) AS Orders_amountPerCustomer
+            FROM stg_orders WHERE status IN ('completed', 'pending') GROUP BY region, 2"""
+    ),
+)
+def distinct_via_rollup(t: Tables) -> DataFrame:
+    """Exact distinct customers of quarters from the bitmaps of a monthly rollup; the base table is not given."""
+    request = by(
+        ["Orders.customers", "Orders.amountPerCustomer"],
+        "Orders.region",
+        filters=[{"member": "Orders.status", "operator": "equals", "values": ["completed", "pending"]}],
+        timeDimensions=[{"dimension": "Orders.createdAt", "granularity": "quarter"}],
+    )
+    return metrics.run(CUBES, {}, request, rollups={"ordersByMonth": _stored(t, MONTH, "by-month")}, require_security=False)
+
+
+@query(
+    "query_two_cubes_via_rollup",
+    sql(
+        f"""SELECT c.region AS Customers_region, count(DISTINCT c.customer_id) AS Customers_count, count(o.order_id) AS Orders_count,
+                   {TOTAL} AS Orders_totalAmount
+            FROM stg_customers c LEFT JOIN (SELECT * FROM stg_orders WHERE status <> 'x') o ON c.customer_id = o.customer_id GROUP BY c.region"""
+    ),
+)
+def query_two_cubes_via_rollup(t: Tables) -> DataFrame:
+    """Customers and their orders by region: the orders come from the rollup that keeps the customers' key, not from their table."""
+    request = by(["Customers.count", "Orders.count", "Orders.totalAmount"], "Customers.region")
+    stored = {"ordersByCustomer": _stored(t, BY_CUSTOMER, "by-customer")}
+    return metrics.run(CUBES, {"customers": t.stg("customers")}, request, rollups=stored, require_security=False)
+
+
+@query(
+    "joined_dimension_via_rollup",
+    sql(
+        f"""SELECT c.region AS Customers_region, o.status AS Orders_status, count(*) AS Orders_count, {MEAN} AS Orders_averageAmount
+            FROM stg_orders o JOIN stg_customers c ON o.customer_id = c.customer_id WHERE c.region IN ('EUROPE', 'ASIA') GROUP BY 1, 2"""
+    ),
+)
+def joined_dimension_via_rollup(t: Tables) -> DataFrame:
+    """Orders by a column of their customers, joined to the rollup's rows; the smaller of two rollups that hold the key is taken."""
+    request = by(
+        ["Orders.count", "Orders.averageAmount"],
+        "Customers.region",
+        "Orders.status",
+        filters=[{"member": "Customers.region", "operator": "equals", "values": ["EUROPE", "ASIA"]}],
+    )
+    stored = {"ordersByCustomer": _stored(t, BY_CUSTOMER, "by-customer"), "ordersByDay": _stored_rollup(t)}
+    sizes = {name: rows.count() for name, rows in stored.items()}
+    return metrics.run(CUBES, {"customers": t.stg("customers")}, request, rollups=stored, sizes=sizes, require_security=False)
+
+
+MONTH_SQL = f"""SELECT status, region, CAST(date_trunc('month', created_at) AS TIMESTAMP) AS "createdAt",
+                       count(*) AS "count", {TOTAL} AS "totalAmount", count(DISTINCT customer_id) AS customers FROM stg_orders GROUP BY 1, 2, 3"""
+
+
+@query("rollup_delta", sql(MONTH_SQL))
+def rollup_delta(t: Tables) -> DataFrame:
+    """Orders arrive in three loads that share months; each is merged into the stored parts, and the orders before it are not read."""
+    orders = t.stg("orders")
+    table = Dataset(t.spark, scratch_path(t.spark, "delta-rollup"), [PartitionField("createdAt", "year")])
+    for i in range(3):
+        metrics.add_to_rollup(table, ORDERS, MONTH, orders.where(F.col("order_id") % 3 == i))
+    return metrics.finish_rollup(ORDERS, MONTH, table.scan())
+
+
+@query("rollup_refresh_changed", sql(MONTH_SQL))
+def rollup_refresh_changed(t: Tables) -> DataFrame:
+    """The base grows and shrinks in some years; only their folders are read when the rule says that the rollup is too old."""
+    orders = t.stg("orders")
+    years = [PartitionField("created_at", "year")]
+    base = Dataset(t.spark, scratch_path(t.spark, "orders"), years)
+    base.append(orders.where("order_id % 5 <> 0 or year(created_at) < 1998"))
+    table = Dataset(t.spark, scratch_path(t.spark, "refreshed"), [PartitionField("createdAt", "year")])
+    keys, at = Dataset(t.spark, scratch_path(t.spark, "refresh-keys")), AS_OF
+    metrics.refresh_changed(table, keys, ORDERS, MONTH, base, "created_at", at)
+    base.append(orders.where("order_id % 5 = 0 and year(created_at) >= 1998"))
+    # Young enough: nothing happens until the rule's half hour is over.
+    metrics.refresh_changed(table, keys, ORDERS, MONTH, base, "created_at", at + timedelta(minutes=10))
+    metrics.refresh_changed(table, keys, ORDERS, MONTH, base, "created_at", at + timedelta(minutes=40))
+    return metrics.finish_rollup(ORDERS, MONTH, table.scan())
+
+
 @query(
     "rollup_refresh",
     sql(
