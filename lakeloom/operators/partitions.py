@@ -3,11 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from importlib import import_module
+from threading import Event
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lakeloom.operators.joins import shuffled_again
+from lakeloom.sources.datasets import Dataset
+
 STEPS = {
     "hour": ("interval 1 hour", "yyyy-MM-dd-HH"),
     "day": ("interval 1 day", "yyyy-MM-dd"),
@@ -96,17 +102,43 @@ def backfill_plan(keys: DataFrame, start: str, end: str, batch_size: int = 10) -
     ).select("partition_key", "batch")
 
 
-def run_backfill(plan: DataFrame, fn: Callable[[list[str]], None]) -> int:
-    """Call ``fn`` with the keys of each batch, in order; returns the batches run."""
+def run_backfill(plan: DataFrame, fn: Callable[[list[str]], None], done: Dataset | None = None, together: int = 1) -> int:
+    """Call ``fn`` with the keys of each batch, in order; returns the batches run.
+
+    ``done`` keeps the keys of finished batches: a backfill that broke is run again with the batches that are left. Up to ``together``
+    batches run at a time, each in a scheduler pool of its own; if one breaks, those that run are finished and no more are started.
+    """
+    if done is not None and done.exists():
+        plan = plan.join(shuffled_again(done.scan().select("partition_key").distinct(), "partition_key"), "partition_key", "left_anti")
     batches = (
         plan.groupBy("batch")
         .agg(F.sort_array(F.collect_list("partition_key")).alias("keys"))
         .orderBy("batch")
         .collect()  # key names only, never data
     )
-    for row in batches:
-        fn(list(row["keys"]))
-    return len(batches)
+    spark, stopped = plan.sparkSession, Event()
+
+    def run(row) -> bool:
+        if stopped.is_set():
+            return False
+        spark.sparkContext.setLocalProperty("spark.scheduler.pool", f"backfill-{row['batch']}")
+        try:
+            fn(list(row["keys"]))
+            if done is not None:
+                finished = spark.createDataFrame([(k, row["batch"]) for k in row["keys"]], "partition_key string, batch bigint")
+                done.append(finished, batch=f"backfill-{row['keys'][0]}-{row['keys'][-1]}")
+        except BaseException:
+            stopped.set()
+            raise
+        finally:
+            spark.sparkContext.setLocalProperty("spark.scheduler.pool", None)
+        return True
+
+    if together < 2:
+        return sum(run(row) for row in batches)
+    with ThreadPoolExecutor(together) as pool:
+        started = [pool.submit(inheritable_thread_target(spark)(run), row) for row in batches]
+    return sum(s.result() for s in started)
 
 
 def missing_keys(keys: DataFrame, df: DataFrame, key: Column) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -297,6 +297,41 @@ def rule_counts(df: DataFrame, rules: Mapping[str, Column]) -> DataFrame:
     return check_rows(df, "", checks).select(F.col("column").alias("rule"), "n_rows", "n_failed")
 
 
+@dataclass(frozen=True)
+class Checked:
+    """What a checked write left: rows that keep every rule, the others with the rules they break, and counts."""
+
+    kept: DataFrame
+    broken: DataFrame
+    n_rows: int
+    n_failed: dict[str, int]
+
+    def counts(self) -> DataFrame:
+        rows = [(name, self.n_rows, n) for name, n in self.n_failed.items()]
+        return self.kept.sparkSession.createDataFrame(rows, "rule string, n_rows bigint, n_failed bigint")
+
+
+def write_checked(df: DataFrame, rules: Mapping[str, Column], path: str) -> Checked:
+    """Write a frame once, kept and broken rows to folders of their own, counting each rule on the way.
+
+    The source is read and the rules are worked out a single time: rows are parted by the write, and the counts are observed by it.
+    A second run replaces both folders.
+    """
+    marked = df.withColumn("failed_rules", failed_rules(rules))
+    counted = Observation()
+    broken = [F.count_if(F.array_contains("failed_rules", name)).alias(f"rule_{i}") for i, name in enumerate(rules)]
+    marked = marked.withColumn("_kept", F.size("failed_rules") == 0).observe(counted, F.count(F.lit(1)).alias("n"), *broken)
+    marked.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("_kept").parquet(path)
+    stored = df.sparkSession.read.schema(marked.schema).parquet(path)
+    got = counted.get
+    return Checked(
+        stored.where(F.col("_kept")).drop("_kept", "failed_rules"),
+        stored.where(~F.col("_kept")).drop("_kept"),
+        got["n"],
+        {name: got[f"rule_{i}"] for i, name in enumerate(rules)},
+    )
+
+
 def with_subtotal(items: DataFrame, price: str = "price", discount: str = "discount") -> DataFrame:
     """Quantity times price minus discount, in exact cents."""
     amount = F.col("quantity").cast("int") * F.col(price).cast("decimal(10,2)")

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, Row, SparkSession
@@ -20,7 +20,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 from lakeloom.functions.clean import dedupe_latest
 from lakeloom.operators.joins import shuffled_again
 from lakeloom.session import materialize, scratch_path
-from lakeloom.sources.layout import TIME_FORMATS, PartitionField, align, merged_schema, with_partitions
+from lakeloom.sources.layout import TIME_FORMATS, PartitionField, align, folders_for, merged_schema, with_partitions
 from lakeloom.sources.scan import in_partition, key_range, scan
 
 BATCH = "_batch"
@@ -73,6 +73,9 @@ class Dataset:
         rows = self.rows()
         if partition_key is not None:
             rows = self._prune(rows, partition_key)
+        if row_filter is not None:
+            for folders in folders_for(row_filter, self.partition_by, rows.schema):
+                rows = rows.where(folders)
         return scan(rows.drop(*self.folders), columns, row_filter, limit)
 
     def _prune(self, rows: DataFrame, key: str) -> DataFrame:
@@ -159,6 +162,31 @@ class Dataset:
             self._drop_folder({field.name: part})
         return done
 
+    def fold(self, tag: str, number: int, width: int, combine: Callable[[DataFrame], DataFrame] | None = None) -> int:
+        """Bring the folders of finished batches together before batch ``number``; the folders that went.
+
+        Whenever ``width`` folders of one size are full they become one, named by its first and last batch, so ``n`` batches leave at most
+        ``width`` folders of each of log(n) sizes, and a row is written anew once for each size. ``combine`` may shrink their rows. Batch
+        ``number`` and later ones are not touched: one that is run again still replaces itself. Not for folders that a stream reads.
+        """
+        self.recover()
+        gone, size = 0, 1
+        while number and number % (size * width) == 0:
+            low, parts = number - size * width, []
+            for first in range(low, number, size):
+                parts.append(f"{tag}-{first}" if size == 1 else f"{tag}-{first}..{first + size - 1}")
+            rows, size = self.rows().where(F.col(BATCH).isin(parts)), size * width
+            if rows.isEmpty():  # folded before, by this batch's first run
+                continue
+            rows = rows.drop(BATCH)
+            rows, _ = self._declare(rows if combine is None else combine(rows))
+            plan = {"rows": self._aside(rows, "folded"), "batch": f"{tag}-{low}..{number - 1}", "gone": parts}
+            self._note(plan)
+            self._carry_out(plan)
+            self._note(None)
+            gone += len(parts)
+        return gone
+
     # --- upsert ------------------------------------------------------------
 
     def merge(self, updates: DataFrame, keys: Sequence[str], newest: str) -> Row:
@@ -208,7 +236,7 @@ class Dataset:
         text.write.mode("overwrite").text(f"{self.path}-pending")
 
     def recover(self) -> bool:
-        """Finish a merge that died after its rows were stored; whether there was one."""
+        """Finish a merge or a folding that died after its rows were stored; whether there was one."""
         try:
             row = self.spark.read.text(f"{self.path}-pending", wholetext=True).first()
         except AnalysisException as error:
@@ -223,6 +251,11 @@ class Dataset:
 
     def _carry_out(self, plan: dict) -> int:
         rows = self.spark.read.parquet(plan["rows"])
+        if "gone" in plan:
+            n_rows = self._write(rows, f"{self.path}/{BATCH}={plan['batch']}", "overwrite", "static")
+            for part in plan["gone"]:
+                self._drop_folder({BATCH: part})
+            return n_rows
         if plan["touched"] is None:
             return self._overwrite_loads(rows, plan["batch"])
         n_rows = self._write(rows, self.path, "overwrite", "dynamic")

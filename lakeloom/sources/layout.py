@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -9,15 +10,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import (
     DataType,
+    DateType,
     DecimalType,
     DoubleType,
     FloatType,
     IntegerType,
+    IntegralType,
     LongType,
     ShortType,
     StringType,
     StructField,
     StructType,
+    TimestampNTZType,
+    TimestampType,
 )
 
 # Text form of a time partition; text order is time order.
@@ -46,8 +51,24 @@ class PartitionField:
         """Folder text of a row; null and empty share a folder and stay distinct in the data."""
         return F.coalesce(F.nullif(self._text(kind), F.lit("")), F.lit("null"))
 
-    def _text(self, kind: DataType) -> Column:
-        column = F.col(self.column)
+    def holds(self, operator: str, literal: str, kind: DataType) -> Column | None:
+        """Folders that may hold rows whose column compares so with a literal; none if the layout tells nothing of it."""
+        value, folder = F.expr(literal).cast(kind), F.col(self.name)
+        if self.transform in TIME_FORMATS:
+            if not isinstance(kind, (DateType, TimestampType, TimestampNTZType)):
+                return None
+            return _compare(folder, operator, self._text(kind, value))
+        if operator == "=" and self.transform in {"identity", "bucket"}:
+            return folder == F.coalesce(F.nullif(self._text(kind, value), F.lit("")), F.lit("null"))
+        if self.transform == "truncate" and isinstance(kind, StringType):
+            # Empty texts share the folder of nulls.
+            return _compare(folder, operator, self._text(kind, value)) | (folder == "null")
+        if self.transform == "truncate" and isinstance(kind, IntegralType) and re.fullmatch(r"-?\d+", literal):
+            return _compare(folder.try_cast("bigint"), operator, self._text(kind, value).try_cast("bigint"))
+        return None
+
+    def _text(self, kind: DataType, column: Column | None = None) -> Column:
+        column = F.col(self.column) if column is None else column
         if self.transform in TIME_FORMATS:
             return F.date_format(column, TIME_FORMATS[self.transform])
         if self.transform == "bucket":
@@ -60,6 +81,35 @@ class PartitionField:
         return column.cast("string")
 
 
+def _compare(folder: Column, operator: str, cut: Column) -> Column:
+    """A cut value keeps the order, so rows on one side of a value lie in folders on that side of its cut or in it."""
+    if operator == "=":
+        return folder == cut
+    return folder >= cut if operator in {">", ">="} else folder <= cut
+
+
+_LITERAL = r"(?:(?:date|timestamp|timestamp_ntz)\s*)?'[^'\\]*'|-?\d+"
+_CONDITION = rf"([A-Za-z_]\w*)\s*(<=|>=|=|<|>)\s*({_LITERAL})"
+
+
+def comparisons(row_filter: str) -> list[tuple[str, str, str]]:
+    """Column, operator and literal of a filter that is nothing but comparisons joined by ``and``; else none."""
+    if not re.fullmatch(rf"\s*{_CONDITION}(?:\s+and\s+{_CONDITION})*\s*", row_filter, re.IGNORECASE):
+        return []
+    return re.findall(rf"{_CONDITION}(?:\s+and\s+|\s*$)", row_filter, re.IGNORECASE)
+
+
+def folders_for(row_filter: str, fields: Sequence[PartitionField], schema: StructType) -> list[Column]:
+    """Conditions on the folder columns that every row of a filter meets. The filter itself still has to be applied."""
+    found = []
+    for column, operator, literal in comparisons(row_filter):
+        for field in fields:
+            if field.column.lower() == column.lower():
+                kind = schema[field.column].dataType
+                found.append(field.holds(operator, literal, kind))
+    return [f for f in found if f is not None]
+
+
 def with_partitions(df: DataFrame, fields: Sequence[PartitionField]) -> DataFrame:
     return df.withColumns({f.name: f.value(df.schema[f.column].dataType) for f in fields})
 

@@ -27,6 +27,9 @@ from lakeloom.sources.layout import PartitionField, with_partitions
 
 Handler = Callable[[DataFrame, int], None]
 
+# Folders of finished batches that are brought together, in datasets that no stream reads.
+FOLD = 32
+
 
 def file_stream(
     spark: SparkSession,
@@ -83,11 +86,16 @@ def refine(
     return each_batch(arrivals(source, files_per_batch), checkpoint, handle)
 
 
+def _slot(tag: str, number: int) -> str:
+    """Where a batch leaves what only the next one needs: two folders in turn, so one that is run again finds its predecessor's."""
+    return f"{tag}-{number % 2}"
+
+
 def _before(table: Dataset, tag: str, number: int) -> DataFrame | None:
-    """The rows that the batch before this one left in a folder of its own."""
-    if not table.exists():
+    """The rows that the batch before this one left for it."""
+    if not table.exists() or not number:
         return None
-    return table.rows().where(F.col(BATCH) == f"{tag}-{number - 1}").drop(BATCH)
+    return table.rows().where(F.col(BATCH) == _slot(tag, number - 1)).drop(BATCH)
 
 
 def merge_late(
@@ -103,7 +111,7 @@ def merge_late(
 ) -> StreamingQuery:
     """Upsert new rows; those more than ``days`` behind the newest known time go aside.
 
-    ``newest`` holds one row per batch, the newest time up to it; only the last one is read. A key is looked up wherever it is stored, however
+    ``newest`` holds the newest time up to the last batch and the one before. A key is looked up wherever it is stored, however
     old: give the target a layout by the key, then an update's partition follows from it and no other is read.
     """
 
@@ -119,7 +127,7 @@ def merge_late(
             accepted = rows.where(~late)
         target.merge(accepted, keys, ts)
         last = F.lit(str(known.newest) if known is not None and known.newest is not None else None).cast("timestamp_ntz")
-        newest.append(rows.agg(F.greatest(F.max(ts), last).alias("newest")), batch=f"merge-{number}")
+        newest.append(rows.agg(F.greatest(F.max(ts), last).alias("newest")), batch=_slot("merge", number))
 
     return each_batch(arrivals(source, files_per_batch), checkpoint, handle)
 
@@ -133,7 +141,7 @@ def divert_late(
 ) -> StreamingQuery:
     """Part rows that are more than ``days`` behind the newest known time from those that stateful jobs may take.
 
-    Both sides of a batch are written by that batch, so no row vanishes; rows without a time are accepted. ``newest`` holds one row per batch. Accepted
+    Both sides of a batch are written by that batch, so no row vanishes; rows without a time are accepted. ``newest`` holds the newest time up to the last batch. Accepted
     rows get the newest time as a clock, by which the state of later jobs is kept and dropped.
     """
 
@@ -143,7 +151,7 @@ def divert_late(
         known = mark.first() if mark is not None else None
         before = F.lit(str(known.newest) if known is not None and known.newest is not None else None).cast("timestamp_ntz")
         late = F.coalesce(F.col(ts) < before - F.make_dt_interval(F.lit(days)), F.lit(False))
-        newest.append(rows.agg(F.greatest(F.max(ts), before).alias("newest")), batch=f"split-{number}")
+        newest.append(rows.agg(F.greatest(F.max(ts), before).alias("newest")), batch=_slot("split", number))
         clock = F.lit(str(_before(newest, "split", number + 1).first().newest)).cast("timestamp_ntz")
         aside.append(rows.where(late), batch=f"split-{number}")
         accepted.append(rows.where(~late).withColumn(CLOCK, clock), batch=f"split-{number}")
@@ -239,11 +247,18 @@ def sessions_in_state(
 
 
 def rollup_by_day(
-    stream: DataFrame, ts: str, dimensions: Sequence[str], table: Dataset, checkpoint: str
+    stream: DataFrame, ts: str, dimensions: Sequence[str], table: Dataset, checkpoint: str, fold: int = FOLD
 ) -> StreamingQuery:
-    """Daily counts of each batch, in a folder of its own. No state and no watermark: a row counts however late it comes."""
+    """Daily counts of each batch, in a folder of its own. No state and no watermark: a row counts however late it comes.
+
+    Folders of ``fold`` finished batches are added up into one, and those again, so what ``rollup_total`` reads stays small.
+    """
+
+    def added(counts: DataFrame) -> DataFrame:
+        return counts.groupBy("day", *dimensions).agg(F.sum("n").alias("n"))
 
     def handle(batch: DataFrame, number: int) -> None:
+        table.fold("rollup", number, fold, added)
         day = F.date_trunc("day", F.col(ts).cast("timestamp_ntz")).cast("timestamp_ntz")
         counts = batch.groupBy(day.alias("day"), *dimensions).agg(F.count("*").alias("n"))
         table.append(counts, batch=f"rollup-{number}")
@@ -257,7 +272,7 @@ def rollup_total(table: Dataset, dimensions: Sequence[str]) -> DataFrame:
 
 
 def dedupe(
-    stream: DataFrame, keys: Sequence[str], ts: str, delay_days: int, table: Dataset, checkpoint: str
+    stream: DataFrame, keys: Sequence[str], ts: str, delay_days: int, table: Dataset, checkpoint: str, fold: int = FOLD
 ) -> StreamingQuery:
     """Append rows whose key was not seen before. Copies come within ``delay_days`` of each other's time, so only stored rows
     from that long before the batch's earliest time are compared; a late row that is no copy is kept. Rows with a null in their
@@ -265,6 +280,7 @@ def dedupe(
     whole = reduce(and_, [F.col(k).isNotNull() for k in keys])
 
     def handle(batch: DataFrame, number: int) -> None:
+        table.fold("once", number, fold)
         tag = f"once-{number}"
         keyless = batch.where(~whole)
         batch = materialize(batch.where(whole).dropDuplicates(list(keys)).unionByName(keyless), "arrived")

@@ -8,6 +8,7 @@ from pyspark.sql.types import StructType
 
 from lakeloom.operators import generate, governance, quality
 from lakeloom.operators.governance import Action, Policy
+from lakeloom.session import scratch_path
 from lakeloom.suite import draw_sql
 from lakeloom.suite.base import Tables, query
 from lakeloom.suite.ctes import sql
@@ -198,6 +199,26 @@ def dq_row_rules(t: Tables) -> DataFrame:
     return quality.rule_counts(t.raw("customers"), quality.customer_rules(REGIONS))
 
 
+@query(
+    "dq_checked_write",
+    sql(
+        " UNION ALL ".join(
+            f"""SELECT '{rule}' AS rule, count(*) AS n_rows,
+                count(*) FILTER (WHERE NOT coalesce({condition}, false)) AS n_failed FROM stg_customers"""
+            for rule, condition in RULE_SQL.items()
+        )
+        + " UNION ALL SELECT 'any', count(*), count(*) FILTER (WHERE NOT ("
+        + " AND ".join(f"coalesce({condition}, false)" for condition in RULE_SQL.values())
+        + ")) FROM stg_customers"
+    ),
+)
+def dq_checked_write(t: Tables) -> DataFrame:
+    """Counts observed by the write that parts kept and broken rows, beside what was written."""
+    done = quality.write_checked(t.stg("customers"), quality.customer_rules(REGIONS), scratch_path(t.spark, "checked"))
+    written = done.broken.select(F.lit(1).alias("bad")).unionByName(done.kept.select(F.lit(0).alias("bad")))
+    return done.counts().unionByName(written.agg(F.lit("any").alias("rule"), F.count("*").alias("n_rows"), F.sum("bad").alias("n_failed")))
+
+
 @query(
     "quarantine_rows",
     sql(

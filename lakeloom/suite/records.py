@@ -133,6 +133,39 @@ def backfill_run(t: Tables) -> DataFrame:
     return table.partitions().select(F.col(field.name).alias("partition_key"), "n_rows")
 
 
+@query(
+    "backfill_resumed",
+    sql(
+        """SELECT partition_key, n_rows, runs FROM (
+             SELECT strftime(o_orderdate, '%Y') AS partition_key, count(*) AS n_rows, 1 AS runs
+             FROM orders WHERE strftime(o_orderdate, '%Y') BETWEEN '1995' AND '2000' GROUP BY 1)"""
+    ),
+)
+def backfill_resumed(t: Tables) -> DataFrame:
+    """A backfill of six years breaks in its second batch; run again, two batches at a time, it does what is left and no year twice."""
+    years = partitions.time_keys_of(t.given("orders"), "o_orderdate", "month", "yyyy")
+    keys = years.groupBy("partition_key").agg(F.floor(F.min("index") / 12).alias("index"))
+    plan = partitions.backfill_plan(keys, "1995", "2000", 2)
+    table = Dataset(t.spark, scratch_path(t.spark, "resumed"), [PartitionField("o_orderdate", "year")])
+    done, runs_of = (Dataset(t.spark, scratch_path(t.spark, name)) for name in ("done", "runs-of"))
+    table.overwrite_partitions(t.given("orders").limit(0))
+
+    def load(batch: list[str], breaks: str = "") -> None:
+        if breaks in batch:
+            raise RuntimeError("lost the driver")
+        table.overwrite_partitions(in_partition(t.given("orders"), "o_orderdate", batch[0], batch[-1]))
+        runs_of.append(t.spark.createDataFrame([(k,) for k in batch], "partition_key string"))
+
+    try:
+        partitions.run_backfill(plan, lambda batch: load(batch, "1998"), done)
+    except RuntimeError:
+        pass
+    partitions.run_backfill(plan, load, done, together=2)
+    times = runs_of.scan().groupBy("partition_key").agg(F.count("*").alias("runs"))
+    counts = table.partitions().select(F.col("_p_o_orderdate_year").alias("partition_key"), "n_rows")
+    return counts.join(times, "partition_key", "left")
+
+
 @query(
     "missing_partitions",
     """SELECT strftime(stamp, '%Y-%m-%d') AS partition_key
@@ -266,6 +299,42 @@ def lineage_upstream(t: Tables) -> DataFrame:
     return runs.upstream(edges, leaves.select(F.col("child").alias("node")))
 
 
+# A model depends on the model of half its number; the first three of every hundred also on each other in a circle.
+LINEAGE = """links AS (
+    SELECT c_custkey AS node, c_custkey // 2 AS ancestor FROM customer WHERE c_custkey > 1
+    UNION SELECT -c_custkey, -CASE WHEN c_custkey % 100 = 3 THEN c_custkey - 2 ELSE c_custkey + 1 END
+    FROM customer WHERE c_custkey % 100 IN (1, 2, 3) AND (c_custkey // 100) * 100 + 3 <= (SELECT max(c_custkey) FROM customer))"""
+
+
+def _links(t: Tables) -> DataFrame:
+    keys = t.given("customer").select("c_custkey")
+    top = keys.agg(F.max("c_custkey")).scalar()
+    tree = keys.where("c_custkey > 1").selectExpr("c_custkey AS child", "c_custkey div 2 AS parent")
+    ring = keys.where("c_custkey % 100 in (1, 2, 3)").where(F.expr("(c_custkey div 100) * 100 + 3") <= top)
+    return tree.unionByName(ring.selectExpr("-c_custkey AS child", "-if(c_custkey % 100 = 3, c_custkey - 2, c_custkey + 1) AS parent"))
+
+
+@query(
+    "lineage_closure",
+    f"""WITH RECURSIVE {LINEAGE},
+        ways(node, ancestor, depth) AS (SELECT node, ancestor, 1 FROM links
+          UNION SELECT w.node, l.ancestor, w.depth + 1 FROM ways w JOIN links l ON w.ancestor = l.node WHERE w.depth < 40 AND (w.node > 0 OR w.depth < 3))
+        SELECT node, ancestor, CAST(min(depth) AS BIGINT) AS depth FROM ways GROUP BY node, ancestor""",
+)
+def lineage_closure(t: Tables) -> DataFrame:
+    """All ancestors of all models with their least distance, by doubling; circles among them."""
+    return runs.closure(_links(t))
+
+
+@query(
+    "lineage_circles",
+    f"""WITH {LINEAGE} SELECT node, -((-node) // 100 * 100 + 3) AS circle FROM links WHERE node < 0""",
+)
+def lineage_circles(t: Tables) -> DataFrame:
+    """Models that depend on themselves, named by the least of their circle."""
+    return runs.circles(runs.closure(_links(t)))
+
+
 @query(
     "schema_facet",
     """SELECT 'demo.region' AS dataset, 'r_regionkey' AS name, 'int' AS type, NULL::VARCHAR AS description,

@@ -461,6 +461,19 @@ def merge_upsert(t: Tables) -> DataFrame:
     return table.scan()
 
 
+@query(
+    "scan_pruned_by_row_filter",
+    """SELECT event_id, user_id, event_type, ts FROM events
+       WHERE ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-09 12:00:00' AND user_id = 5""",
+)
+def scan_pruned_by_row_filter(t: Tables) -> DataFrame:
+    """A row filter on the columns that the layout is derived from opens the folders of five days and one bucket."""
+    table = fresh(t, "events", PartitionField("ts", "day"), PartitionField("user_id", "bucket", 8))
+    table.append(t.given("events"))
+    wanted = "ts >= timestamp_ntz'2024-01-05' and ts < timestamp_ntz'2024-01-09 12:00:00' and user_id = 5"
+    return table.scan(["event_id", "user_id", "event_type", "ts"], wanted)
+
+
 @query(
     "incremental_high_water",
     sql(

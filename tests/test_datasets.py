@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DecimalType, IntegerType, LongType, StringType, StructType
 
 from lakeloom.session import scratch_path
+from lakeloom.sources import layout
 from lakeloom.sources.datasets import Dataset, upsert, write_table
 from lakeloom.sources.layout import PartitionField, merged_schema, wider, with_partitions
 from lakeloom.sources.scan import key_range, layer_path, load_input, table_name
@@ -101,36 +102,36 @@ def test_merge_twice_is_the_same(spark):
     assert values(t.scan()) == once
 
 
-@pytest.mark.parametrize("layout", [[], [PartitionField("day")], [PartitionField("id", "bucket", 4)]])
-def test_frames_without_rows(spark, layout):
+@pytest.mark.parametrize("fields", [[], [PartitionField("day")], [PartitionField("id", "bucket", 4)]])
+def test_frames_without_rows(spark, fields):
     """Every way of writing takes an empty frame, whether its plan is known to be empty or turns out so behind a shuffle."""
     schema = "id bigint, day string, at bigint"
     some = spark.createDataFrame([(1, "a", 1)], schema)
     behind = some.where("id > 5").join(some.select("id"), "id").groupBy("id", "day").agg(F.max("at").alias("at"))
     for none in (some.where("id > 5"), spark.createDataFrame([], schema), behind):
-        t = table(spark, *layout)
+        t = table(spark, *fields)
         assert t.append(none).n_rows == 0 and values(t.scan()) == []
         t.append(some)
         assert t.append(none).n_rows == 0 and t.merge(none, ["id"], "at").n_rows == 0
-        if layout:
+        if fields:
             assert t.overwrite_partitions(none).n_rows == 0
         assert values(t.scan()) == [(1, "a", 1)]
         assert t.overwrite(none).n_rows == 0 and values(t.scan()) == []
-        fresh = table(spark, *layout)
+        fresh = table(spark, *fields)
         assert fresh.merge(none, ["id"], "at").n_rows == 0
         assert fresh.merge(some, ["id"], "at").n_rows == 1 and values(fresh.scan()) == [(1, "a", 1)]
 
 
-@pytest.mark.parametrize("layout", [[], [PartitionField("day")]])
-def test_a_merge_that_dies_after_deleting_is_finished_by_the_next(spark, layout, monkeypatch):
+@pytest.mark.parametrize("fields", [[], [PartitionField("day")]])
+def test_a_merge_that_dies_after_deleting_is_finished_by_the_next(spark, fields, monkeypatch):
     schema = "id bigint, day string, v bigint, at bigint"
-    t = table(spark, *layout)
+    t = table(spark, *fields)
     t.append(spark.createDataFrame([(1, "a", 1, 1), (2, "a", 1, 1), (3, "b", 1, 1)], schema))
     updates = spark.createDataFrame([(1, "c", 2, 2), (3, "b", 2, 2)], schema)
     carry_out = Dataset._carry_out
 
     def broken(self, plan):
-        if layout:
+        if fields:
             spark.createDataFrame([], schema).drop("day").write.mode("overwrite").parquet(f"{self.path}/_p_day_identity=a")
         else:
             spark.createDataFrame([], schema).write.mode("overwrite").parquet(self.path)
@@ -140,7 +141,7 @@ def test_a_merge_that_dies_after_deleting_is_finished_by_the_next(spark, layout,
     with pytest.raises(RuntimeError):
         t.merge(updates, ["id"], "at")
     monkeypatch.setattr(Dataset, "_carry_out", carry_out)
-    again = Dataset(spark, t.path, layout)
+    again = Dataset(spark, t.path, fields)
     again.merge(updates, ["id"], "at")
     want = [(1, "c", 2, 2), (2, "a", 1, 1), (3, "b", 2, 2)]
     assert values(again.scan()) == want and not again.recover()
@@ -199,6 +200,43 @@ def test_hourly_partitions_prune(spark):
     assert t.partitions().count() == 48
 
 
+FILTERS = [
+    "ts >= timestamp_ntz'2024-01-02 05:30:00'", "ts < timestamp_ntz'2024-01-02 05:30:00' and n = 7", "ts = timestamp_ntz'2024-01-01 09:00:00'",
+    "n >= 12 and n <= 31", "n > -5", "n < 0", "n = -3", "s >= 'ab' and s < 'b'", "s = ''", "s <= 'a'", "s = 'abc'", "d > date'2024-01-01'", "ts > '2024-01-02'",
+]
+LAYOUTS = [
+    [PartitionField("ts", "hour")], [PartitionField("ts", "month"), PartitionField("n", "bucket", 5)], [PartitionField("n", "truncate", 10)],
+    [PartitionField("s", "truncate", 2)], [PartitionField("s")], [PartitionField("n")], [PartitionField("d", "day"), PartitionField("d", "year")],
+]
+
+
+def test_folders_of_a_row_filter_lose_no_row(spark):
+    df = spark.range(60).selectExpr(
+        "id", "if(id % 13 = 0, null, timestamp_ntz'2024-01-01' + make_dt_interval(0, cast(id as int), 30 * cast(id % 2 as int))) AS ts",
+        "if(id % 11 = 0, null, id - 20) AS n", "element_at(array('', 'a', 'ab', 'abc', 'b', null, 'null', 'z'), cast(1 + id % 8 as int)) AS s",
+        "date'2024-01-01' + cast(id % 4 as int) AS d",
+    )
+    for fields in LAYOUTS:
+        t = table(spark, *fields)
+        t.append(df)
+        for wanted in FILTERS:
+            assert sorted(r.id for r in t.scan(row_filter=wanted).collect()) == sorted(r.id for r in df.where(wanted).collect()), (fields, wanted)
+
+
+def test_row_filters_prune_folders(spark):
+    def text(t, wanted):
+        return t.scan(row_filter=wanted)._jdf.queryExecution().executedPlan().toString()
+
+    t = table(spark, PartitionField("ts", "day"), PartitionField("n", "bucket", 4))
+    t.append(spark.range(48).selectExpr("id AS n", "timestamp_ntz'2024-01-01' + make_dt_interval(0, cast(id as int)) AS ts"))
+    found = text(t, "ts >= timestamp_ntz'2024-01-02' and n = 5")
+    assert "PartitionFilters: [isnotnull(_p_ts_day" in found and ">= 2024-01-02)" in found and "isnotnull(_p_n_bucket" in found
+    # A filter of another shape is applied and prunes nothing.
+    for wanted in ("n = 5 or n = 6", "not (n = 5)", "n = 5 and concat('a and n = 6', n) is not null", "n = 1 + 4"):
+        assert "PartitionFilters: []" in text(t, wanted)
+    assert layout.comparisons("a = 'x and b = 1' and c<=-3") == [("a", "=", "'x and b = 1'"), ("c", "<=", "-3")]
+
+
 def test_partition_keys_of_reads():
     assert key_range("2024-02") == (datetime(2024, 2, 1), datetime(2024, 3, 1))
     assert key_range("2024-12") == (datetime(2024, 12, 1), datetime(2025, 1, 1))
