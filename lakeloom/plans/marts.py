@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lakeloom.functions.clean import mismatch
 from lakeloom.operators.joins import shuffled_again
-from lakeloom.operators.ranking import rank_desc, row_number_desc
+from lakeloom.operators.ranking import ranks_desc, row_number_desc
 from lakeloom.session import materialize
 
 # Our own cut points; no published model fixes them.
@@ -264,9 +264,7 @@ def product_metrics(sales: DataFrame) -> DataFrame:
 
 def rank_in_category(metrics: DataFrame) -> DataFrame:
     """Position by revenue inside a category, ties by product id."""
-    return row_number_desc(
-        materialize(metrics, "product-metrics"), "total_revenue", "product_id", "revenue_rank_in_category", ["category"]
-    )
+    return row_number_desc(metrics, "total_revenue", "product_id", "revenue_rank_in_category", ["category"])
 
 
 def mart_product_performance(
@@ -419,8 +417,7 @@ def revenue_ranks(totals: DataFrame) -> DataFrame:
 
     ``totals`` is read several times: hand in a written frame.
     """
-    overall = rank_desc(totals, "total_revenue", "revenue_rank")
-    return rank_desc(overall, "total_revenue", "category_revenue_rank", ["category"])
+    return ranks_desc(totals, "total_revenue", {"revenue_rank": [], "category_revenue_rank": ["category"]})
 
 
 def mart_product_analytics(products: DataFrame, items: DataFrame) -> DataFrame:

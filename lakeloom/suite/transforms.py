@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakeloom.functions import clean
-from lakeloom.operators.ranking import rank_desc, row_number_desc
+from lakeloom.operators.ranking import row_number_desc
 from lakeloom.plans import marts, staging
 from lakeloom.session import materialize
 from lakeloom.suite.base import Tables, query
@@ -502,7 +502,7 @@ def rank_in_category(t: Tables) -> DataFrame:
     ).select("product_id", "total_revenue")
     named = products.select("product_id", "category").join(metrics, "product_id")
     return row_number_desc(
-        materialize(named, "revenue"), "total_revenue", "product_id", "revenue_rank_in_category", ["category"]
+        named, "total_revenue", "product_id", "revenue_rank_in_category", ["category"]
     ).select("category", "product_id", "total_revenue", "revenue_rank_in_category")
 
 
@@ -585,10 +585,7 @@ def revenue_ranks(t: Tables) -> DataFrame:
     totals = marts.product_totals(t.stg("products"), t.stg("order_items")).select(
         "product_id", "category", "total_revenue"
     )
-    overall = rank_desc(materialize(totals, "revenue"), "total_revenue", "revenue_rank")
-    return rank_desc(overall, "total_revenue", "category_revenue_rank", ["category"]).select(
-        "product_id", "revenue_rank", "category_revenue_rank"
-    )
+    return marts.revenue_ranks(materialize(totals, "revenue")).select("product_id", "revenue_rank", "category_revenue_rank")
 
 
 # --- set operations --------------------------------------------------------

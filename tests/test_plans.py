@@ -59,9 +59,9 @@ def test_no_cross_join(spark, name):
 
 
 def test_no_one_task_window_over_raw_rows(spark):
-    """A window without a partition key gets one row per chunk or bucket, whose number does not follow the rows."""
+    """A window without a partition key gets one row per chunk or range, whose number does not follow the rows."""
     one_task = re.compile(r"Window \[[^\n]*\n[^\n]*Sort [^\n]*\n[^\n]*Exchange SinglePartition[^\n]*\n([^\n]*)")
-    summary = re.compile(r"\+- HashAggregate\(keys=\[(_chunk|_bucket)#\d+L?\]")
+    summary = re.compile(r"\+- HashAggregate\(keys=\[(_chunk|_range)#\d+L?\]")
     seen = 0
     for name, query in suite.all_queries().items():
         if query.area not in EAGER:
