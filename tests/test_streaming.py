@@ -32,6 +32,21 @@ def test_new_files_only_and_only_matching_ones(spark):
     assert run() == [0, 1, 2, 10, 11] == run()
 
 
+def test_a_timed_job_takes_files_as_they_come(spark):
+    folder, target = scratch_path(spark, "in"), table(spark)
+    spark.range(3).coalesce(1).write.parquet(folder)
+    query = jobs.ingest(jobs.file_stream(spark, folder, "id bigint"), target, scratch_path(spark, "cp"), every="1 second")
+    try:
+        for high in (6, 9):
+            query.processAllAvailable()
+            assert target.scan().count() == high - 3
+            spark.range(high - 3, high).coalesce(1).write.mode("append").parquet(folder)
+        query.processAllAvailable()
+    finally:
+        query.stop()
+    assert sorted(r.id for r in target.scan().collect()) == list(range(9))
+
+
 def test_a_batch_that_fails_after_its_write_is_not_doubled(spark):
     folder, checkpoint, target = scratch_path(spark, "in"), scratch_path(spark, "cp"), table(spark)
     spark.range(5).coalesce(1).write.parquet(folder)
