@@ -55,14 +55,14 @@ OP10 = f"""
 WITH RECURSIVE crc(i, k, c) AS (SELECT i, 0, i FROM range(256) r(i)
   UNION ALL SELECT i, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM crc WHERE k < 8),
 t AS (SELECT list(c ORDER BY i) AS tab FROM crc WHERE k = 8),
-b AS (SELECT doc_id, coalesce(text, '') AS text, coalesce('=' || source, '') AS stratum,
-        {_hash("'0:' || coalesce(CAST(doc_id AS VARCHAR), '')")} AS drawn FROM documents),
-s AS (SELECT doc_id, stratum, drawn, octet_length(encode(text)) + 16 AS size,
+b AS (SELECT doc_id, coalesce(text, '') AS text, coalesce('=' || source, '') AS stratum FROM documents),
+c AS (SELECT doc_id, stratum, octet_length(encode(text)) + 16 AS size,
         xor(4294967295, list_reduce(list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda x: ('0x' || x)::BIGINT),
           lambda c, x: xor(c >> 8, tab[xor(c & 255, x) + 1]), 4294967295)) AS text_crc32 FROM b, t),
+s AS (SELECT *, {_hash("'0:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || text_crc32 || ':' || size")} AS drawn, {_hash("'0|' || stratum")} AS mixed FROM c),
 r AS (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY drawn, doc_id, text_crc32, size) - 1 AS rank,
         count(*) OVER (PARTITION BY stratum) AS n FROM s),
-o AS (SELECT *, row_number() OVER (ORDER BY (rank * 2 + 1) / (n * 2)::DOUBLE, {_hash("'0|' || stratum")}, stratum, drawn, doc_id, text_crc32, size) - 1 AS place,
+o AS (SELECT *, row_number() OVER (ORDER BY (rank + mixed / 1152921504606846976.0::DOUBLE) / n::DOUBLE, mixed, stratum, drawn, doc_id, text_crc32, size) - 1 AS place,
         count(*) OVER () AS total FROM r)
 SELECT doc_id, size::BIGINT AS size, text_crc32::BIGINT AS text_crc32, 'rows' AS law, (place * 40 // total)::INTEGER AS shard,
        place - ((place * 40 // total) * total + 39) // 40 AS slot, NULL::INTEGER AS grown_shard, stratum FROM o

@@ -1,7 +1,8 @@
 """Proportional stratified interleaving: shards of equal counts, each with the mixture of the whole.
 
-Rows of each stratum are shuffled by a seeded hash and ranked. Rank r of n gets the fraction
-(2r - 1) / 2n, so the fractions of every stratum are spread evenly over 0 to 1. All rows are then
+Rows of each stratum are shuffled by a seeded hash and ranked. Rank r of n (from 0) gets the fraction
+(r + u) / n, where u is the stratum's own seeded offset between 0 and 1, so the fractions of every stratum are spread
+evenly over 0 to 1, and those of many small strata as well. All rows are then
 ordered by fraction and cut into shards: any stretch of that order holds each stratum in proportion.
 
 Ranks are taken without gathering a stratum: rows are first counted per (stratum, bucket of the hash),
@@ -10,7 +11,8 @@ ordered together. The order by fraction is numbered the same way; fractions are
 so a stratum that holds a third of all rows fills no bucket more than its share.
 
 Nulls: a null text counts as empty, null strata are one stratum of their own, a null id is hashed as the
-empty string. Repeated rows each get their own slot; which of two equal rows comes first does not show.
+empty string. The hash takes the text's CRC and size in, so rows that share an id, or have none, are spread like others.
+Repeated rows each get their own slot; which of two equal rows comes first does not show.
 An empty table gives no rows. Other columns of the input are not read.
 """
 
@@ -22,9 +24,10 @@ from pyspark.sql import functions as F
 from lakeloom.llm.common import written
 from lakeloom.operators.joins import shuffled_again
 
-# Bits of the hash that are used, and buckets per stratum and over all rows.
+# Bits of the hash that are used; buckets per stratum and over all rows, at least, and rows of a bucket, at most about.
 HASH_BITS = 60
 BUCKETS = 4096
+BUCKET_ROWS = 250_000
 # Added to the bytes of each text.
 ROW_BYTES = 16
 
@@ -71,16 +74,20 @@ def interleave(
         (F.octet_length(text) + ROW_BYTES).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
         stratum.alias("stratum"),
-        _hash(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("")))).alias("drawn"),
+        F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("name"),
     )
-    slice_bits = HASH_BITS - (buckets - 1).bit_length()
-    rows = written(rows.withColumn("part", F.shiftright("drawn", slice_bits)), "shard-rows")
+    drawn = _hash(F.concat_ws(":", F.lit(str(seed)), "name", "text_crc32", "size"))
+    mixed = _hash(F.concat(F.lit(f"{seed}|"), F.col("stratum")))
+    rows = written(rows.withColumns({"drawn": drawn, "mixed": mixed}).drop("name"), "shard-rows")
+    # A power of two, so that a bucket is a stretch of the hashes.
+    buckets = 1 << (max(buckets, -(-rows.count() // BUCKET_ROWS)) - 1).bit_length()
+    rows = rows.withColumn("part", F.shiftright("drawn", HASH_BITS - buckets.bit_length() + 1))
     tie = ["doc_id", "text_crc32", "size"]
     ranked = _numbered(rows, ["stratum"], "part", ["drawn", *tie], "rank")
-    fraction = (F.col("rank") * 2 + 1) / (F.col("rank_of") * 2)
+    fraction = (F.col("rank") + F.col("mixed") / F.lit(float(1 << HASH_BITS))) / F.col("rank_of")
     ranked = ranked.drop("part").withColumn("fraction", fraction)
     ranked = ranked.withColumn("band", F.floor(F.col("fraction") * buckets))
-    ranked = written(ranked.withColumn("mixed", _hash(F.concat(F.lit(f"{seed}|"), F.col("stratum")))), "shard-ranks")
+    ranked = written(ranked, "shard-ranks")
     placed = _numbered(ranked, [], "band", ["fraction", "mixed", "stratum", "drawn", *tie], "place")
     placed = placed.withColumn("shard", F.expr(f"int(place * {shards} div place_of)"))
     first = F.expr(f"(shard * place_of + {shards - 1}) div {shards}")

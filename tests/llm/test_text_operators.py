@@ -350,6 +350,21 @@ def test_shards_do_not_depend_on_partitions(spark, odd):
     assert place(odd) == place(odd.repartition(5, F.col("part")).coalesce(1))
 
 
+def test_small_sources_are_spread_over_all_shards(spark):
+    """A third of the rows in sources of one and two rows: every shard has its share of them and of the large source."""
+    rows = [(i, "t", "large") for i in range(2000)] + [(5000 + i, "t", f"one-{i}") for i in range(600)] + [(9000 + i, "t", f"two-{i // 2}") for i in range(600)]
+    got = sharding.interleave(spark.createDataFrame(rows, "doc_id long, text string, source string"), shards=8).collect()
+    for group, total in (("large", 2000), ("one", 600), ("two", 600)):
+        held = Counter(r.shard for r in got if r.stratum.startswith("=" + group))
+        assert set(held) == set(range(8)) and all(abs(n - total / 8) < total / 16 for n in held.values())
+
+
+def test_rows_without_an_id_are_spread_over_the_buckets(spark):
+    rows = spark.range(500).selectExpr("cast(null as bigint) AS doc_id", "cast(id as string) AS text", "'a' AS source")
+    got = [r.slot * 4 + r.shard for r in sorted(sharding.interleave(rows, shards=4, buckets=64).collect(), key=lambda r: int(r.text_crc32))]
+    assert len(set(got)) == 500 and got != sorted(got)
+
+
 def test_fewer_rows_than_shards(spark, odd, nothing):
     got = sharding.interleave(odd.where("doc_id in (1, 2)"), shards=40).collect()
     assert len(got) == 2 and {r.slot for r in got} == {0}
