@@ -22,8 +22,9 @@ from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 
-from lakeloom.llm.common import written
+from lakeloom.llm.common import draw_bound, written
 from lakeloom.llm.components import components
 from lakeloom.operators.joins import shuffled_again
 
@@ -68,7 +69,7 @@ def _as_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def codebooks(vectors: DataFrame, dim: int, codes: int, rows: int = SAMPLE_ROWS) -> tuple[list[np.ndarray], np.ndarray]:
     """Codes of both halves, fitted to a sample of at most about ``rows`` vectors drawn by a hash; and some of the sample."""
     held = vectors.count()
-    drawn = vectors.where(F.pmod(F.xxhash64(F.lit(5), "uid"), F.lit(1_000_000)) < 1_000_000 * rows // max(held, 1))
+    drawn = vectors.where(F.xxhash64(F.lit(5), "uid") <= draw_bound(rows, held))
     drawn = written(drawn.select("vector").mapInArrow(_as_units, "unit array<double>"), "codebook-sample")
     cut = (dim + 1) // 2
     books = []
@@ -237,7 +238,7 @@ def links(vectors: DataFrame, dim: int, cosine: float, recall: float, block_rows
     codes = max(1, min(MOST_CODES, round((held / CELL_ROWS) ** 0.5)))
     books, sample = codebooks(vectors, dim, codes)
     reach = reach_of(vectors, cosine, recall, books, sample)
-    schema = "uid long, n long, vector array<float>, cell long, visits array<long>"
+    schema = f"uid long, n long, vector {vectors.schema['vector'].dataType.simpleString()}, cell long, visits array<long>"
     placed = vectors.repartition("uid").select("uid", "n", "vector").mapInArrow(_place(books, (dim + 1) // 2, reach, reach >= radius_of(cosine)), schema)
     placed = written(placed, "placed-vectors")
     # Named anew: the two sides of the cogroup come from one table.
@@ -278,7 +279,9 @@ def near_duplicates(
     not with each other. Equal vectors are linked, repeated ids too. A null id is never a component's id unless its component has no
     other, and is never kept. No rows give none. Other columns are not read.
     """
-    vector = F.col(vector_col).cast("array<float>")
+    # Doubles stay doubles; whatever else is no float becomes one.
+    kind = table.select(vector_col).schema[0].dataType.elementType
+    vector = F.col(vector_col).cast("array<float>" if isinstance(kind, FloatType) else "array<double>")
     rows = table.select(F.col(id_col).cast("long").alias("vec_id"), vector.alias("vector"))
     lone = rows.where(~usable(F.col("vector"))).select(
         "vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id")
