@@ -253,7 +253,9 @@ def learn(labelled: DataFrame, rows: int = SAMPLE_ROWS, seed: int = 11) -> Model
     spark = labelled.sparkSession
     short_batches(spark)
     known = labelled.where("toxic in (0, 1)").select(F.coalesce("text", F.lit("")).alias("text"), F.col("toxic").cast("int").alias("toxic"))
-    sampled = written(known.withColumn("key", copy_key(F.col("text"))).dropDuplicates(["key", "toxic"]).select("text", "toxic"), "toxicity-sample")
+    # Of copies the least text stays, whatever the partitions are.
+    once = known.withColumn("key", copy_key(F.col("text"))).groupBy("key", "toxic").agg(F.min("text").alias("text"))
+    sampled = written(once.select("text", "toxic"), "toxicity-sample")
     total = {r.toxic: r.n for r in sampled.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     share = total.get(1, 0) / max(sum(total.values()), 1)
     lexicon = learn_lexicon(sampled)
@@ -264,7 +266,9 @@ def learn(labelled: DataFrame, rows: int = SAMPLE_ROWS, seed: int = 11) -> Model
         F.col("toxic").cast("double").alias("label"),
         F.pmod(F.xxhash64(F.lit(seed), "text"), F.lit(2)).alias("fold"),
     )
-    vectors = written(vectors.select(vector_to_array("x").alias("x"), "label", "fold"), "toxicity-features")
+    # The sample is bounded, and so are its features: in one order, sums and splits do not depend on partitions.
+    vectors = vectors.select(vector_to_array("x").alias("x"), "label", "fold").repartition(1).sortWithinPartitions("label", "x", "fold")
+    vectors = written(vectors, "toxicity-features")
     vectors = vectors.withColumn("x", array_to_vector("x"))
     # Each half is scored by trees of the other one.
     halves = [vectors.where(F.col("fold") == i) for i in (0, 1)]

@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from conftest import SMALL
-from odd_tables import nothing, odd, odd_rows  # noqa: F401
+from odd_tables import nothing, odd, odd_rows, prose  # noqa: F401
 from pyspark.sql import functions as F
 
 from lakeloom.llm import langid, toxicity
@@ -149,6 +149,17 @@ def test_scores_keep_rows_and_columns(spark, toxic_model, odd, odd_rows, nothing
     assert toxicity.with_score(nothing, toxic_model, name="s").collect() == []
 
 
+def test_scores_do_not_depend_on_partitions(spark):
+    """The same labels in other partitions and another order, near copies with other texts among them: the same scores to the last bit."""
+    rows = [(f"{'you idiot ' if i % 3 == 0 else ''}{prose(i % 40, 60)} {'end' if i % 2 else 'fin'}{i}", int(i % 3 == 0)) for i in range(300)]
+    frame = spark.createDataFrame(rows, "text string, toxic int")
+    asked = spark.createDataFrame([(i, prose(900 + i, 50) + (" you are an idiot" if i % 2 else "")) for i in range(40)], "doc_id long, text string")
+    found = []
+    for labelled in (frame.coalesce(1), frame.orderBy(F.rand(3)).repartition(7)):
+        found.append(sorted((r.doc_id, r.score) for r in toxicity.with_score(asked, toxicity.learn(labelled)).collect()))
+    assert found[0] == found[1]
+
+
 def test_labels_of_one_class_or_none(spark, odd, nothing):
     clean = toxicity.learn(odd.select("text", F.lit(0).alias("toxic")))
     assert {r.s for r in toxicity.with_score(odd, clean, name="s").collect()} == {0.0}

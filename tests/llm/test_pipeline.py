@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from hashlib import sha256
+
 import pytest
 from conftest import SMALL
 from odd_tables import nothing, odd, odd_rows  # noqa: F401
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from lakeloom.llm.common import written
 
@@ -34,6 +38,25 @@ def test_one_of_each_group_stays(spark, odd):
     assert 4 in ids and not {5, 6} & set(ids)
 
 
+def test_toxic_documents_go(spark):
+    """Of labelled documents nearly all toxic ones leave and nearly all others stay."""
+    docs, labels = (spark.read.parquet(f"{MEDIUM}/{name}.parquet") for name in ("documents", "labels"))
+    kept = STAGES["toxicity"](spark, docs, MEDIUM).select("doc_id").distinct()
+    marked = labels.where("toxic in (0, 1)").join(kept.selectExpr("doc_id", "true AS stays"), "doc_id", "left")
+    share = {r.toxic: r.share for r in marked.groupBy("toxic").agg(F.avg(F.col("stays").isNotNull().cast("double")).alias("share")).collect()}
+    assert share[1] < 0.2 and share[0] > 0.9
+
+
+def test_tokens_of_odd_rows(spark, odd, odd_rows, nothing):
+    """One row per document, empty and null texts without ids, equal texts alike, columns of any name beside them."""
+    got = STAGES["tokens"](spark, odd, MEDIUM)
+    assert got.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and STAGES["tokens"](spark, nothing, MEDIUM).count() == 0
+    want = sorted((str(r[0]), sha256((r[1] or "").encode()).hexdigest()) for r in odd_rows)
+    rows = got.collect()
+    assert sorted((str(r.doc_id), r.decoded_sha256) for r in rows) == want
+    assert {r.n_tokens for r in rows if r.doc_id in (4, 5)} == {0}
+
+
 def test_unreadable_texts_go(spark, odd):
     ids = {r.doc_id for r in STAGES["language"](spark, odd, MEDIUM).collect()}
     assert {1, 2, 3, 8, 10, 12} <= ids and not {4, 5, 6, 7} & ids
