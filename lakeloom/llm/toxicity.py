@@ -116,6 +116,9 @@ def _byte_rates(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     mixed[1:-1] = odd[1:-1] & letter[:-2] & letter[2:]
     run = np.zeros(len(data), bool)
     run[1:] = (kinds[1:] == kinds[:-1]) & ((kinds[1:] == 2) | (kinds[1:] == 3))
+    # The texts lie one behind another: the first and last byte of one has no neighbour in the next.
+    full = offsets[1:] > starts
+    run[starts[full]] = mixed[starts[full]] = mixed[offsets[1:][full] - 1] = False
     counts = [per_text(kinds == k) for k in range(1, 7)]
     return np.stack([*counts, per_text(run), per_text(mixed)], axis=1).astype(np.float64)
 

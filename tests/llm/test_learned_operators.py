@@ -149,6 +149,44 @@ def test_scores_keep_rows_and_columns(spark, toxic_model, odd, odd_rows, nothing
     assert toxicity.with_score(nothing, toxic_model, name="s").collect() == []
 
 
+def plain_features(text, lexicon):
+    """The features of one text, one after another."""
+    tokens = toxicity.TOKEN.findall((text or "").lower())
+    n = max(len(tokens), 1)
+    shown = [toxicity.PLAIN.fullmatch(t) is not None for t in tokens]
+    words = [t if s else toxicity.plain_form(t) for t, s in zip(tokens, shown, strict=True)]
+    insult = [w in toxicity.INSULTS for w in words]
+    weight = [lexicon.weight(w) for w in words]
+    persons = [i for i, t in enumerate(tokens) if t in toxicity.SECOND_PERSON]
+    hits = [i for i in range(len(tokens)) if insult[i] or weight[i]]
+    gaps = [min(abs(p - h) for p in persons) for h in hits] if persons else []
+    hidden = sum(not shown[i] for i in hits)
+    raw = (text or "").encode()
+    kind = ["".join(k for k, letters in (("A", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"), ("!", b"!"), ("?", b"?"), ("*", b"*@$#%&|"), ("0", b"0123456789"), ("a", b"abcdefghijklmnopqrstuvwxyz"))
+                    if b in letters) or ("a" if b >= 128 else ".") for b in raw]
+    count = lambda k: sum(x == k for x in kind)
+    runs = sum(a == b and a in "!?" for a, b in zip(kind, kind[1:], strict=False))
+    mixed = sum(b in "*0!" and a in "Aa" and c in "Aa" for a, b, c in zip(kind, kind[1:], kind[2:], strict=False))
+    size = max(len(text or ""), 1)
+    return [
+        math.log1p(len(tokens)), min(sum(insult), 20), sum(insult) / n, min(sum(w > 0 for w in weight), 20), sum(w > 0 for w in weight) / n, sum(weight) / n,
+        min(sum(g <= toxicity.NEAR for g in gaps), 20), len(persons) / n, 1 / (1 + min(gaps)) if gaps else 0.0, min(hidden, 20), hidden / n,
+        count("A") / max(count("A") + count("a"), 1), count("!") / size, count("?") / size, count("*") / size, runs / size, count("0") / size, mixed / n,
+    ]
+
+
+def test_features_are_those_of_each_text_alone(odd_rows):
+    """Against a plain version; a text's neighbours in a batch change nothing."""
+    lexicon = toxicity.Lexicon({"glurk": 2.5}, {4: {"blor": 1.25}, 5: {}, 6: {}})
+    texts = [r[1] for r in odd_rows] + [
+        "You 1d-i0t!! stuuupid f.o.o.l", "!!", "!ends!", "a", "$tart", "*", "x!", "!", "??", "?what", "GLURK blorping you", "é!é 4you", "no one here", "u r @ssh0le?!", "",
+    ]
+    got = toxicity.features(pa.array(texts), lexicon, {})
+    assert np.allclose(got, [plain_features(t, lexicon) for t in texts], rtol=0, atol=1e-12)
+    for i, text in enumerate(texts):
+        assert np.array_equal(toxicity.features(pa.array([text], pa.string()), lexicon, {})[0], got[i])
+
+
 def test_scores_do_not_depend_on_partitions(spark):
     """The same labels in other partitions and another order, near copies with other texts among them: the same scores to the last bit."""
     rows = [(f"{'you idiot ' if i % 3 == 0 else ''}{prose(i % 40, 60)} {'end' if i % 2 else 'fin'}{i}", int(i % 3 == 0)) for i in range(300)]
