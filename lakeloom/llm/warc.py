@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import io
 import os
+import re
 import struct
 import uuid
 import zlib
@@ -45,6 +46,7 @@ from lakeloom.operators.joins import shuffled_again
 PARTITION_BYTES = 32 * 1024 * 1024
 FILE_BYTES = 256 * 1024 * 1024
 HEAD_BYTES = 1024
+TO_HEADER_END = -1
 LEVEL = 4
 # Identifier of the extra field: length of the member, length of the record's header.
 EXTRA = b"LW"
@@ -168,7 +170,8 @@ class _Stream:
         return end + 4 if end >= 0 else -1
 
     def records(self, wanted) -> Iterator[tuple[dict, bytes | None]]:
-        """Header columns and block of each record; ``wanted(row)``: None to skip it, else how many bytes of the block are needed at least."""
+        """Header columns and block of each record; ``wanted(row)``: None to skip it, else how many bytes of the block are needed at
+        least, or TO_HEADER_END: as many as its HTTP header has."""
         while first := self.peek(2):
             if first == b"\r\n":
                 self.file.seek(2, os.SEEK_CUR)
@@ -188,7 +191,11 @@ class _Stream:
         self.file.seek(end, os.SEEK_CUR)
         need = wanted(row)
         if need is not None:
-            block = self.file.read(min(need, length))
+            block = b""
+            for upto in _sizes(need, length):
+                block += self.file.read(upto - len(block))
+                if need == TO_HEADER_END and header_ends(block):
+                    break
             self.file.seek(length - len(block), os.SEEK_CUR)
             yield row, block
         else:
@@ -220,18 +227,23 @@ class _Stream:
         row, length = header_row(named), int(named.get("content-length", 0))
         need = wanted(row)
         if need is not None:
-            parts, got = [data[end:]], len(data) - end
-            while got < min(need, length):
-                fed = inflate.unconsumed_tail
-                if not fed:
-                    fed = self.file.read(min(1 << 16, left))
-                    left -= len(fed)
-                part = inflate.decompress(fed, min(need, length) - got)
-                if not part and not left and not inflate.unconsumed_tail:
-                    raise ValueError("a record ends early")
-                parts.append(part)
-                got += len(part)
-            yield row, b"".join(parts)[: min(need, length)]
+            block = data[end:]
+            for upto in _sizes(need, length):
+                parts, got = [block], len(block)
+                while got < upto:
+                    fed = inflate.unconsumed_tail
+                    if not fed:
+                        fed = self.file.read(min(1 << 16, left))
+                        left -= len(fed)
+                    part = inflate.decompress(fed, upto - got)
+                    if not part and not left and not inflate.unconsumed_tail:
+                        raise ValueError("a record ends early")
+                    parts.append(part)
+                    got += len(part)
+                block = b"".join(parts)
+                if need == TO_HEADER_END and header_ends(block[:length]):
+                    break
+            yield row, block[: length if need == TO_HEADER_END else min(need, length)]
         self.file.seek(start + size)
 
     def foreign_member(self, wanted) -> Iterator[tuple[dict, bytes | None]]:
@@ -246,6 +258,20 @@ class _Stream:
         yield from _Stream(io.BytesIO(b"".join(parts))).records(wanted)
 
 
+def header_ends(block: bytes) -> bool:
+    """Whether nothing more of a block is needed to know its HTTP header, or that it has none."""
+    return not block.startswith(b"HTTP/"[: len(block)]) or b"\r\n\r\n" in block
+
+
+def _sizes(need: int, length: int) -> Iterator[int]:
+    """How far a block is read, step by step: at once, or ever further until its HTTP header has ended."""
+    size = HEAD_BYTES if need == TO_HEADER_END else need
+    while need == TO_HEADER_END and size < length:
+        yield size
+        size *= 4
+    yield min(size, length)
+
+
 def payload_of(block: bytes) -> tuple[int | None, int]:
     """What the block's HTTP header gives as the payload's length, and where the payload begins."""
     end = block.find(b"\r\n\r\n")
@@ -265,7 +291,8 @@ class Files(InputPartition):
 
 
 def file_system(path: str) -> tuple[pafs.FileSystem, str]:
-    system, inner = pafs.FileSystem.from_uri(path)
+    # Spark's names of that store are not known to Arrow.
+    system, inner = pafs.FileSystem.from_uri(re.sub(r"^s3[an]://", "s3://", path))
     return system, inner.rstrip("/")
 
 
@@ -311,7 +338,7 @@ class WarcReader(DataSourceReader):
         def wanted(row: dict) -> int | None:
             if not all(holds(f, row) for f in self.pushed):
                 return None
-            return 1 << 62 if whole else HEAD_BYTES if some else 0
+            return 1 << 62 if whole else TO_HEADER_END if some else 0
 
         rows, size = [], 0
         for path in partition.paths:
