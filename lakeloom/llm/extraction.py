@@ -59,7 +59,7 @@ BLOCK_TAGS = frozenset(
 )
 # Their content is no text of the page.
 RAW_TAGS = ("script", "style", "noscript", "template", "iframe", "svg", "math", "object", "canvas", "audio", "video", "textarea", "select", "title", "xmp")
-OUT_TAGS = frozenset("nav footer aside menu dialog button fieldset".split())
+OUT_TAGS = frozenset("nav footer aside menu dialog button".split())
 IN_TAGS = frozenset(("article", "main"))
 # Elements that hold others and are closed by name.
 HOLDERS = frozenset(
@@ -76,6 +76,8 @@ OUT_NAMES = frozenset(
     teaser toolbar topbar widget widgets
     """.split()
 )
+# Those of them that are words of an article, too ("share-price", "article-header"): beside other words they say little there.
+ORDINARY_NAMES = frozenset("banner disclaimer header menu notice notices overlay promotion related share sharing social teaser".split())
 OUT_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 
 _TAG = re.compile(
@@ -86,7 +88,8 @@ _TAG = re.compile(
     r"|<[!?/][^>]*+(?:>|\Z)",
     re.DOTALL,
 )
-_ATTRIBUTE = re.compile(r"(?<![\w-])(class|id|role|hidden|style)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.IGNORECASE)
+# Attributes one after another, so that a name inside a value is none.
+_ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
 _NAME_PART = re.compile(r"[a-z0-9]+")
 # Without an end, the rest of the page is theirs; the start of any other is ignored then.
 _TO_THE_END = ("script", "style")
@@ -110,11 +113,12 @@ class Block:
 
 @dataclass
 class Doubt:
-    """An element that is out by its names or as a form, unless it holds the text of the page."""
+    """An element that is out by its names or as a form, unless it holds the text of the page; a weak one unless it holds any."""
 
     around: int
     hint: bool
     depth: int
+    weak: bool = False
     articles: int = 0
     mains: int = 0
     dense: int = 0
@@ -149,7 +153,7 @@ class _Page:
             if why == "tag":
                 out = True
             else:
-                self.doubts.append(Doubt(doubt, why == "hint", self.doubts[doubt].depth + 1 if doubt >= 0 else 1))
+                self.doubts.append(Doubt(doubt, why == "hint", self.doubts[doubt].depth + 1 if doubt >= 0 else 1, why == "weak"))
                 doubt = len(self.doubts) - 1
         if name in IN_TAGS and not out:
             self.articles.append((doubt, name == "main"))
@@ -189,10 +193,11 @@ class _Page:
 
 def _why_out(name: str, rest: str, inside: bool) -> str:
     """Why an element is none of the page's text: ``tag`` for its tag, role or style; ``name`` for a form, or a class or an id of
-    words that say so; ``hint`` for one with other words beside them. Empty if it may be text."""
-    if name in OUT_TAGS or name == "header" and not inside:
+    words that say so; ``hint`` for one with other words beside them; ``weak`` for a hint by ordinary words, or a group of fields, inside a
+    declared article. Empty if it may be text."""
+    if name in OUT_TAGS or name == "header" and not inside or name == "fieldset" and not inside:
         return "tag"
-    why = "name" if name == "form" else ""
+    why = "name" if name == "form" else "weak" if name == "fieldset" else ""
     if name in ("html", "body", "article", "main") or not rest or "=" not in rest and "hidden" not in rest:
         return why
     for key, value in _ATTRIBUTE.findall(rest):
@@ -203,8 +208,11 @@ def _why_out(name: str, rest: str, inside: bool) -> str:
             return "tag"
         if key in ("class", "id") and why != "name":
             for parts in map(_NAME_PART.findall, value.split()):
-                if not OUT_NAMES.isdisjoint(parts):
-                    why = "name" if why == "name" or OUT_NAMES.issuperset(parts) else "hint"
+                names = OUT_NAMES.intersection(parts)
+                if names and (why == "name" or OUT_NAMES.issuperset(parts)):
+                    why = "name"
+                elif names:
+                    why = "weak" if inside and why != "hint" and names <= ORDINARY_NAMES else "hint"
     return why
 
 
@@ -244,6 +252,7 @@ def settle_doubts(page: _Page) -> None:
     stays = []
     for doubt in doubts:
         text = doubt.mains > 0 or doubt.articles > 0 and (doubt.hint or doubt.dense > MOST * total or not total)
+        text = text or doubt.weak and doubt.dense > 0
         text = text or nearest != 0 and doubt.dense > (MOST if doubt.hint else WHOLE) * total
         stays.append(text and (doubt.around < 0 or stays[doubt.around]))
     for block in page.blocks:
@@ -283,7 +292,7 @@ def blocks(page: str) -> list[Block]:
         elif name in HOLDERS and not rest.endswith("/"):
             state.hold(name, rest)
         elif name in BLOCK_TAGS and not end:
-            state.tag_out = bool(_why_out(name, rest, state.around()[1]))
+            state.tag_out = _why_out(name, rest, state.around()[1]) not in ("", "weak")
     state.text(page[at:])
     state.close()
     settle_doubts(state)
