@@ -107,6 +107,27 @@ def test_archives_of_others(spark, tmp_path):
     assert gzip.decompress(warc.member(*warc.record(row))) == b"".join(warc.record(row)) + b"\r\n\r\n"
 
 
+@pytest.mark.parametrize("zipped", [True, False])
+def test_http_headers_of_any_length(spark, tmp_path, zipped):
+    """The payload's length is found behind a long header, with the payload asked for or not, and is unknown without one."""
+    long = "HTTP/1.1 200 OK\r\nX-Long: " + "y" * 9000 + "\r\nContent-Length: 5\r\n\r\nhello"
+    blocks = [long.encode(), long.encode() + b"x" * 5000, b"no header at all " * 400, b"HTTP/1.1 200 OK\r\nwithout an end" * 300, b""]
+    data = b""
+    for i, block in enumerate(blocks):
+        head = f"WARC/1.1\r\nWARC-Type: response\r\nRow-ID: {i}\r\nContent-Length: {len(block)}\r\n\r\n".encode()
+        data += warc.member(head, block) if zipped else head + block + b"\r\n\r\n"
+    (tmp_path / "long.warc").write_bytes(data)
+    for payload in (True, False):
+        got = warc.read(spark, str(tmp_path), payload).select("row_id", "payload_bytes").collect()
+        assert sorted(map(tuple, got)) == [(0, 5), (1, 5), (2, None), (3, None), (4, None)]
+
+
+def test_names_of_an_object_store():
+    for scheme in ("s3a", "s3n", "s3"):
+        system, inner = warc.file_system(f"{scheme}://bucket/folder/?region=us-east-1")
+        assert system.type_name == "s3" and inner == "bucket/folder"
+
+
 def test_no_pages(spark, pages):
     path = scratch_path(spark, "warc-test")
     warc.archive(pages.where("page_id = -1"), path)
@@ -199,6 +220,34 @@ def test_a_raw_tag_without_an_end_cuts_nothing(tag):
     assert extraction.main_text(f"<p>{SENTENCE}</p><{tag} a=b><p>{SENTENCE}</p>") == BODY_TEXT
 
 
+TOLD = "It was told that the history of the town is as long as that of the river and of all who have lived there. "
+
+
+@pytest.mark.parametrize(
+    "part",
+    [
+        '<section class="share-price"><p>{}</p></section>', '<div class="article-header"><p>{}</p></div>', '<div id="notice-of-1848"><p>{}</p></div>',
+        '<p class="banner-text">{}</p>', '<p class="social-history">{}</p>', "<fieldset><p>{}</p></fieldset>", '<p title="the hidden gems of the city">{}</p>',
+        '<section aria-label="Hidden places"><p>{}</p></section>', """<div data-x='{{"hidden":false}}'><p>{}</p></div>""",
+    ],
+)
+def test_ordinary_names_and_words_in_values_put_nothing_out(part):
+    page = f"<body><article><p>{TOLD}</p>{part.format('Another: ' + TOLD)}</article></body>"
+    assert "Another" in extraction.main_text(page)
+
+
+@pytest.mark.parametrize(
+    "part",
+    [
+        '<div class="comment-body"><p>{}</p></div>', '<div class="ad-slot"><p>{}</p></div>', "<p hidden>{}</p>", '<p style="display: none">{}</p>',
+        '<div class="share-buttons"><a href="x">{}</a></div>', '<div class="notice"><p>{}</p></div>', '<div class="related-posts share"><p>{}</p></div>',
+    ],
+)
+def test_parts_that_say_what_they_are_go(part):
+    page = f"<body><article><p>{TOLD}</p>{part.format('Another: ' + TOLD)}</article></body>"
+    assert "Another" not in extraction.main_text(page)
+
+
 def test_raw_tags_without_ends():
     assert extraction.main_text(f"<p>{SENTENCE}</p><script>x<p>{SENTENCE}</p>") == SENTENCE
     assert extraction.main_text(f"<p>{SENTENCE}</p><select><p>{SENTENCE}</p><select><option>x</select>") == BODY_TEXT
@@ -317,6 +366,15 @@ def test_links_and_groups_at_the_first_recall(spark, monkeypatch):
     test_links_and_groups(spark, monkeypatch, 0.9999, 2048)
 
 
+def test_components_that_floats_do_not_hold(spark):
+    """Doubles are compared as doubles, however large or small, and numbers of other kinds as doubles, too."""
+    rows = [(1, [1e300, 2e300]), (2, [1e-300, 2e-300]), (3, [0.5, 1.0]), (4, [1e300, -2e300]), (5, [1e-320, 0.0]), (6, [0.0, 0.0])]
+    got = embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in got) == [(1, 2, 1), (2, 2, 1), (3, 2, 1), (4, 0, 4), (5, 0, 5), (6, 0, 6)]
+    whole = spark.createDataFrame([(1, [2**40, 1]), (2, [2**41, 2]), (3, [1, 2**40])], "vec_id long, embedding array<bigint>")
+    assert sorted((r.vec_id, r.n_links) for r in embeddings.near_duplicates(whole).collect()) == [(1, 1), (2, 1), (3, 0)]
+
+
 def test_no_vectors(spark):
     table = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert embeddings.near_duplicates(table).collect() == []
@@ -342,7 +400,7 @@ def test_components(spark):
 
 
 def test_queries_are_registered():
-    assert {q.split("_")[0] for q in queries.QUERIES} == {f"op{n}" for n in range(1, 11)}
+    assert {q.split("_")[0] for q in queries.QUERIES} == {f"op{n}" for n in range(1, 14)}
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
