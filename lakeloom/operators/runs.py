@@ -162,28 +162,31 @@ def upstream(edges: DataFrame, targets: DataFrame) -> DataFrame:
 def closure(edges: DataFrame) -> DataFrame:
     """Every node with all of its ancestors and their least distance, by doubling: ``node, ancestor, depth``.
 
-    A round joins ways of at most 2^k steps to ways of at most twice as many, so a chain of a thousand takes ten rounds; each round is
+    A round joins the ways of exactly 2^k steps to those of at most as many: the first 2^k steps of a least way are a least way, so every longer one up
+    to twice the length is found, and mostly once. A chain of a thousand takes ten rounds; each round is
     written. Nodes of a circle are ancestors of themselves. The result has a row per pair, which is what is asked for: for the ancestors of a few nodes
     in a wide graph use ``upstream``.
     """
     ways = edges.where("child is not null and parent is not null").select(
         F.col("child").alias("node"), F.col("parent").alias("ancestor"), F.lit(1).alias("depth")
     )
-    ways, seen = materialize(ways.distinct(), "ways"), None
-    while True:
-        mark = ways.agg(F.count("*").alias("n"), F.sum("depth").alias("total")).first()
-        if mark == seen:
-            return ways
-        seen = mark
+    ways, steps = materialize(ways.distinct(), "ways"), 1
+    while not (ends := ways.where(F.col("depth") == steps)).isEmpty():
         further = ways.select(F.col("node").alias("_by"), F.col("ancestor").alias("_up"), F.col("depth").alias("_more"))
-        longer = ways.join(further, F.col("ancestor") == F.col("_by")).select("node", F.col("_up").alias("ancestor"), (F.col("depth") + F.col("_more")).alias("depth"))
+        longer = ends.join(further, F.col("ancestor") == F.col("_by")).select("node", F.col("_up").alias("ancestor"), (F.col("depth") + F.col("_more")).alias("depth"))
         ways = materialize(ways.unionByName(longer).groupBy("node", "ancestor").agg(F.min("depth").alias("depth")), "ways")
+        steps *= 2
+    return ways
 
 
 def circles(ways: DataFrame) -> DataFrame:
     """Nodes of a closure that depend on themselves, each with the least node it shares its circles with: ``node, circle``."""
-    back = ways.select(F.col("ancestor").alias("node"), F.col("node").alias("ancestor"))
-    mutual = ways.select("node", "ancestor").join(back, ["node", "ancestor"])
+    # Only such a node is its own ancestor, so ways of and to others are left out before ways are held against each other.
+    own = ways.where("node = ancestor").select("node").distinct()
+    inside = ways.select("node", "ancestor").join(own, "node", "left_semi")
+    inside = inside.join(own.select(F.col("node").alias("ancestor")), "ancestor", "left_semi")
+    back = inside.select(F.col("ancestor").alias("node"), F.col("node").alias("ancestor"))
+    mutual = inside.join(back, ["node", "ancestor"])
     return mutual.groupBy("node").agg(F.min("ancestor").alias("circle"))
 
 

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import re
 import threading
 
 import pytest
 from pyspark.sql import functions as F
 
 from lakeloom.operators import partitions, quality, runs
-from lakeloom.session import scratch_path
+from lakeloom.session import materialize, scratch_path
 from lakeloom.sources.datasets import Dataset
 
 
@@ -78,6 +79,33 @@ def test_circles_shorter_ways_and_odd_edges(spark):
     assert runs.closure(spark.createDataFrame([], "child string, parent string")).count() == 0
 
 
+def test_closure_joins_only_the_longest_ways(spark, monkeypatch):
+    """A round finds a longer way from the ways of exactly 2^k steps; circles hold only nodes that lead to themselves against each other."""
+    plans = []
+
+    def spy(df, name):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return materialize(df, name)
+
+    monkeypatch.setattr(runs, "materialize", spy)
+    edges = [(i, i + 1) for i in range(20)] + [(30, 31), (31, 32), (32, 30), (40, 40), (41, 40), (7, 5), (0, 3)]
+    found = runs.closure(spark.createDataFrame(edges, "child bigint, parent bigint"))
+    # Lengths 1, 2, 4, 8, 16 and 32; the last round that finds none is not written.
+    assert 4 <= len(plans) <= 6 and all(re.search(r"depth#\d+ = \d+", text) for text in plans[1:])
+    up, want = {}, {}
+    for child, parent in edges:
+        up.setdefault(child, set()).add(parent)
+    for node in up:
+        level, depth = up[node], 1
+        while level:
+            want |= {(node, a): depth for a in level}
+            level, depth = {p for a in level for p in up.get(a, ()) if (node, p) not in want}, depth + 1
+    assert {(r.node, r.ancestor): r.depth for r in found.collect()} == want
+    held = runs.circles(found)
+    assert "LeftSemi" in held._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(tuple, held.collect())) == [(5, 5), (6, 5), (7, 5), (30, 30), (31, 30), (32, 30), (40, 40)]
+
+
 def test_a_checked_write_reads_its_source_once(spark):
     path = scratch_path(spark, "rows")
     spark.range(100).selectExpr("id", "if(id % 10 = 0, null, id % 7) AS n").write.parquet(path)
