@@ -144,3 +144,23 @@ def test_partitioned_write_splits_a_hot_partition(spark, tiny_partitions):
     table.append(rows)
     files = table.rows().select("_metadata.file_path").distinct().where(F.col("file_path").contains("=hot")).count()
     assert files > 1 and table.scan().count() == 90_000
+
+
+def test_product_totals_hold_no_table_of_orders(spark):
+    """Lines of one order and product count as one order; nothing is grouped by order, and the lines are not sorted for the products."""
+    products = spark.sql("select id as product_id, concat('p', id) as name, 'c' as category, cast(10 as decimal(10,2)) as price from range(1, 4)")
+    orders = spark.createDataFrame([(1, "completed"), (2, "pending"), (3, "completed"), (4, None)], "order_id bigint, status string")
+    orders = orders.selectExpr("*", "timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(cast(order_id as int)) as created_at")
+    lines = [(1, 1, 2, 9.0, 18.0), (1, 1, 1, 11.0, 11.0), (2, 1, 1, 10.0, 10.0), (3, 1, 5, 10.0, None), (4, 1, 1, 8.0, 8.0), (2, 2, 1, None, 4.0), (2, 2, 1, 4.0, 4.0), (9, 3, 1, 4.0, 4.0)]
+    items = spark.createDataFrame(lines, "order_id bigint, product_id bigint, quantity int, price double, line_total double")
+    items = items.selectExpr("order_id", "product_id", "quantity", "cast(price as decimal(10,2)) price", "cast(line_total as decimal(10,2)) line_total")
+    found = marts.product_metrics(marts.product_sales(products, items, orders))
+    text = found._jdf.queryExecution().optimizedPlan().toString()
+    assert not [x for x in text.splitlines() if "Aggregate [" in x and "order_id" in x.partition("], [")[0]]
+    assert found.schema["total_revenue"].dataType.simpleString() == "decimal(30,2)"
+    got = {r.product_id: r for r in found.collect()}
+    assert set(got) == {1, 2}
+    one, two = got[1], got[2]
+    assert (one.orders_with_product, one.total_units_sold, float(one.total_revenue), one.completed_orders, float(one.completed_revenue)) == (4, 10, 47.0, 2, 29.0)
+    assert (one.avg_selling_price, one.avg_discount, float(one.min_sold_price), float(one.max_sold_price)) == (48.0 / 5, 3.0 / 5, 8.0, 11.0)
+    assert (two.orders_with_product, two.completed_orders, float(two.completed_revenue), two.avg_discount, two.avg_selling_price) == (1, 0, 0.0, 3.0, 2.0)
