@@ -147,7 +147,7 @@ def test_partitioned_write_splits_a_hot_partition(spark, tiny_partitions):
 
 
 def test_product_totals_hold_no_table_of_orders(spark):
-    """Lines of one order and product count as one order; nothing is grouped by order, and the lines are not sorted for the products."""
+    """Lines of one order and product count as one order; no hash table is keyed by order."""
     products = spark.sql("select id as product_id, concat('p', id) as name, 'c' as category, cast(10 as decimal(10,2)) as price from range(1, 4)")
     orders = spark.createDataFrame([(1, "completed"), (2, "pending"), (3, "completed"), (4, None)], "order_id bigint, status string")
     orders = orders.selectExpr("*", "timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(cast(order_id as int)) as created_at")
